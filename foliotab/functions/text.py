@@ -12,12 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space in the ECMAScript sense: Java's \s plus the Unicode spaces.
-SPACE = r"[\s\u000b   -     　﻿]"
-TRIM_CHARS = (
-    " \t\n\u000b\f\r  "
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　﻿"
+_OTHER_SPACES = "".join(
+    chr(c)
+    for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 )
+SPACE = rf"[\s\x0B{_OTHER_SPACES}]"
+TRIM_CHARS = " \t\n\x0b\f\r" + _OTHER_SPACES
+_ACCENTS = f"[{chr(0x300)}-{chr(0x36F)}]+"
 # ASCII word edges; Java's own \b also treats accented letters as word characters.
 EDGE_L = r"(?<![A-Za-z0-9_])"
 EDGE_R = r"(?![A-Za-z0-9_])"
@@ -49,7 +50,7 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 def fold_accents(c) -> Column:
     """Drop accents; pure ASCII values skip the translation."""
     c = col(c)
-    folded = F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), "[̀-ͯ]+", "")
+    folded = F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), _ACCENTS, "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
@@ -120,7 +121,7 @@ def json_value(c) -> Column:
 
 
 def normalize_line(c) -> Column:
-    return trim_ws(F.regexp_replace(col(c), r"[ \t\f\u000b]+", " "))
+    return trim_ws(F.regexp_replace(col(c), r"[ \t\f\x0B]+", " "))
 
 
 def split_lines(c) -> Column:
@@ -177,7 +178,7 @@ def mask_email(c) -> Column:
 
 
 def truncate_example(c, limit: int) -> Column:
-    compact = trim_ws(F.replace(col(c), F.lit("\u0000"), F.lit("")))
+    compact = trim_ws(F.replace(col(c), F.lit(chr(0)), F.lit("")))
     cut = F.concat(F.substring(compact, 1, limit), F.lit("..."))
     return F.when(F.length(compact) > limit, cut).otherwise(compact)
 
