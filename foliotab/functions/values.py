@@ -36,6 +36,11 @@ def row_confidence(cells: Column) -> Column:
     return F.when(n > 0, F.when(n > 1, n / 100).otherwise(n))
 
 
+def micros(c) -> Column:
+    """Microseconds since the epoch, for timestamps with or without time zone."""
+    return F.unix_micros(col(c).cast("timestamp"))
+
+
 def day_start(c) -> Column:
     return F.date_trunc("day", col(c))
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import trim_ws, truncate_example
+from ..functions.values import micros
 from .ordered import carry_last
 
 SLOT_SECONDS = 900
 
 
 def _slot(ts: str, seconds: int = SLOT_SECONDS) -> Column:
-    return F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
+    return F.floor(micros(ts) / (seconds * 1_000_000))
 
 
 # --- access ----------------------------------------------------------------
@@ -117,7 +118,7 @@ def rate_limit_batch(
     (blockwise); the pieces are then sorted and scanned as a stream with constant memory.
     """
     width = window_seconds * 1_000_000
-    e = events.select("key", "event_id", F.unix_micros("ts").alias("us"))
+    e = events.select("key", "event_id", micros("ts").alias("us"))
     e = e.withColumn("_slot", F.floor(F.col("us") / (width * 16)))
     e = carry_last(e, ["key"], "_slot", ["us", "event_id"], {"_prev": F.col("us")}, include_current=False)
     opens = F.col("_prev").isNull() | (F.col("us") - F.col("_prev") >= width)

@@ -1 +1,15 @@
 """Registered queries and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from . import usage_queries
+
+MODULES = [usage_queries]
+
+
+def all_queries() -> dict:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+
+def all_oracles() -> dict:
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}

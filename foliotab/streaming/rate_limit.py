@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed_values as V
+from ..functions.values import micros
 
 _OUTPUT = "key string, event_id bigint, us bigint, window_count bigint, allowed boolean, remaining bigint, reset_us bigint"
 
@@ -55,7 +56,7 @@ def rate_limit_stream(
     """
     del idle_ttl
     keyed = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
-                          F.unix_micros("ts").alias("us"))
+                          micros("ts").alias("us"))
     out = keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=FixedWindow(limit, window_seconds * 1_000_000),
         outputStructType=_OUTPUT, outputMode="Append", timeMode="None",
