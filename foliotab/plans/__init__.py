@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import usage_queries
+from . import text_queries, usage_queries
 
-MODULES = [usage_queries]
+MODULES = [usage_queries, text_queries]
 
 
 def all_queries() -> dict:

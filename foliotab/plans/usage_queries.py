@@ -8,24 +8,14 @@ from ..functions import text as T
 from ..functions import values as X
 from ..operators import routing, usage
 from . import duck as D
-from .corpora import CLIENTS, CODES, NOW, PLAN_VALUES, USAGE, finish, plan_dimension, sql, table
+from .corpora import CLIENTS, CODES, NOW, PLAN_VALUES, USAGE, plan_dimension, sql, table
+from .registry import registry
 
 E, C, K, P = (f"({D.fill(t)})" for t in (USAGE, CLIENTS, CODES, PLAN_VALUES))
 SUCCESS = "status = 'success'"
 DAY0, MONTH0 = "TIMESTAMP '2024-01-20 00:00:00'", "TIMESTAMP '2024-01-01 00:00:00'"
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(fn):
-        QUERIES[name] = lambda spark, sf: finish(fn(spark, sf))
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def at():
