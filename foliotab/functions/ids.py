@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .text import (
-    EDGE_L, EDGE_R, col, collapse, fold_same_length, norm_key, norm_words, py_key, py_words,
+    EDGE_L, EDGE_R, bind, col, collapse, fold_same_length, norm_key, norm_words, py_key, py_words,
     title_case, trim_ws,
 )
 
@@ -47,7 +47,11 @@ def valid_cuit(c) -> Column:
 
 def province(c) -> Column:
     """Canonical province for an exact (normalised) name, else null."""
-    return _lookup([(py_words(p), p) for p, _ in V.PROVINCES], words_of(c))
+    return province_of(words_of(c))
+
+
+def province_of(words: Column) -> Column:
+    return _lookup([(py_words(p), p) for p, _ in V.PROVINCES], words)
 
 
 def supplier_province(c) -> Column:
@@ -67,17 +71,24 @@ def has_province(c) -> Column:
 
 def last_province(c) -> Column:
     """``struct(name, pos)`` of the last province named in the text; pos is 0-based or -1."""
-    folded = fold_same_length(c)
-    found = folded.rlike(_PROVINCE_ANYWHERE)
-    return F.struct(
-        F.when(found, province(F.regexp_extract(folded, _PROVINCE_LAST, 2))).alias("name"),
-        F.when(found, F.length(F.regexp_extract(folded, _PROVINCE_LAST, 1)))
-        .otherwise(-1).alias("pos"),
-    )
+
+    def last(folded: Column) -> Column:
+        found = folded.rlike(_PROVINCE_ANYWHERE)
+        return F.struct(
+            F.when(found, province(F.regexp_extract(folded, _PROVINCE_LAST, 2))).alias("name"),
+            F.when(found, F.length(F.regexp_extract(folded, _PROVINCE_LAST, 1)))
+            .otherwise(-1).alias("pos"),
+        )
+
+    return bind(fold_same_length(c), last)
 
 
 def known_locality(c) -> Column:
-    return _lookup([(py_words(p), p) for p in V.LOCALITIES], words_of(c))
+    return locality_of(words_of(c))
+
+
+def locality_of(words: Column) -> Column:
+    return _lookup([(py_words(p), p) for p in V.LOCALITIES], words)
 
 
 def apply_corrections(c) -> Column:
@@ -93,56 +104,64 @@ def has_workplace(c) -> Column:
 
 def roster_noise(c) -> Column:
     """Repeated header or watermark line of a roster."""
-    w = words_of(c)
-    combined = w.contains("nombre y apellido") & w.contains("cuil") & w.contains("localidad")
-    return w.isin(V.ROSTER_NOISE) | combined
+
+
+    def noise(w: Column) -> Column:
+        combined = w.contains("nombre y apellido") & w.contains("cuil") & w.contains("localidad")
+        return w.isin(V.ROSTER_NOISE) | combined
+
+    return bind(words_of(c), noise)
 
 
 def likely_person_name(c) -> Column:
     """Roster variant: two or more words, none of header, workplace, place or identifier."""
-    t = trim_ws(c)
-    return (
-        (F.length(t) >= 5)
-        & t.rlike(_LETTER)
-        & t.rlike(r"\S\s+\S")
-        & ~roster_noise(t)
-        & ~has_workplace(t)
-        & province(t).isNull()
-        & known_locality(t).isNull()
-        & ~t.rlike(V.CUIL)
-    )
+
+    def likely(t: Column) -> Column:
+        named = lambda w: province_of(w).isNull() & locality_of(w).isNull()
+        return (
+            (F.length(t) >= 5)
+            & t.rlike(_LETTER)
+            & t.rlike(r"\S\s+\S")
+            & ~has_workplace(t)
+            & ~t.rlike(V.CUIL)
+            & ~roster_noise(t)
+            & bind(words_of(t), named)
+        )
+
+    return bind(trim_ws(c), likely)
 
 
 def likely_person_name_company(c) -> Column:
     """Company-list variant: two to eight words, no digit, no legal suffix."""
-    t = trim_ws(c)
-    n_words = F.size(F.split(t, r"\s+"))
-    return (
-        (F.length(t) >= 5)
-        & n_words.between(2, 8)
-        & t.rlike(_LETTER)
-        & ~t.rlike(r"\d")
-        & ~t.rlike(V.COMPANY_SUFFIX)
-        & province(t).isNull()
-        & ~norm_words(t).isin(V.COMPANY_NOISE)
-    )
+
+    def likely(t: Column) -> Column:
+        return (
+            (F.length(t) >= 5)
+            & t.rlike(r"\S\s+\S")
+            & ~t.rlike(r"^\S+(?:\s+\S+){8}")
+            & t.rlike(_LETTER)
+            & ~t.rlike(r"\d")
+            & ~t.rlike(V.COMPANY_SUFFIX)
+            & province(t).isNull()
+            & ~norm_words(t).isin(V.COMPANY_NOISE)
+        )
+
+    return bind(trim_ws(c), likely)
 
 
 def likely_company(c) -> Column:
-    t = trim_ws(c)
-    return (F.length(t) >= 5) & t.rlike(V.COMPANY_SUFFIX) & ~t.rlike(V.CUIT)
+    return bind(trim_ws(c), lambda t: (F.length(t) >= 5) & t.rlike(V.COMPANY_SUFFIX) & ~t.rlike(V.CUIT))
 
 
 def likely_locality(c) -> Column:
-    t = trim_ws(c)
-    return (
+    return bind(trim_ws(c), lambda t: (
         F.length(t).between(3, 60)
+        & ~t.contains(",")
         & ~t.rlike(r"\d{7,}")
         & ~t.rlike(V.CUIT)
         & ~t.rlike(V.COMPANY_SUFFIX)
         & province(t).isNull()
-        & ~t.contains(",")
-    )
+    ))
 
 
 def clean_roster_line(c) -> Column:
@@ -150,15 +169,15 @@ def clean_roster_line(c) -> Column:
     c = apply_corrections(c)
     c = F.regexp_replace(F.regexp_replace(c, _URL, " "), _SCANNER, " ")
     c = collapse(F.regexp_replace(c, _SCANNER_WORD, " "))
-    noise = c.rlike("(?i)^(?:SECRETARIA|FOLIO|SEC)" + EDGE_R) | roster_noise(c)
-    return F.when(noise, F.lit("")).otherwise(c)
+    noise = lambda x: x.rlike("(?i)^(?:SECRETARIA|FOLIO|SEC)" + EDGE_R) | roster_noise(x)
+    return bind(c, lambda x: F.when(noise(x), F.lit("")).otherwise(x))
 
 
 def clean_company_line(c) -> Column:
     c = F.regexp_replace(F.regexp_replace(col(c), _URL, " "), _SCANNER, " ")
     c = F.regexp_replace(c, _SCANNER_WORD, " ")
     c = collapse(F.regexp_replace(c, r"\|+", " "))
-    return F.when(norm_words(c).isin(V.COMPANY_NOISE), F.lit("")).otherwise(c)
+    return bind(c, lambda x: F.when(norm_words(x).isin(V.COMPANY_NOISE), F.lit("")).otherwise(x))
 
 
 _STRAY_PREFIX = "(?i)^(?:(?:OD|D|0|00|10)" + EDGE_R + r"[\s:;,.-]*)+"
@@ -172,7 +191,7 @@ def clean_locality(c) -> Column:
     c = F.regexp_replace(c, _FIRST_WORKPLACE, "$1 ")
     c = F.regexp_replace(F.regexp_replace(c, _STRAY_PREFIX, ""), _STAMPS, " ")
     c = collapse(F.regexp_replace(c, EDGE_L + r"\d{1,4}" + EDGE_R, " "))
-    return F.coalesce(known_locality(c), c)
+    return bind(c, lambda x: F.coalesce(known_locality(x), x))
 
 
 def normalize_roster_value(column: str, c) -> Column:

@@ -29,6 +29,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 def _fold_table() -> tuple[str, str]:
     """Precomposed letters whose canonical decomposition is one base plus accents."""
     source, target = [], []
@@ -49,9 +54,12 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 
 def fold_accents(c) -> Column:
     """Drop accents; pure ASCII values skip the translation."""
-    c = col(c)
-    folded = F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), _ACCENTS, "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+
+    def fold(x: Column) -> Column:
+        folded = F.regexp_replace(F.translate(x, _FOLD_FROM, _FOLD_TO), _ACCENTS, "")
+        return F.when(x.rlike(r"[^\x00-\x7F]"), folded).otherwise(x)
+
+    return bind(c, fold)
 
 
 def fold_same_length(c) -> Column:
@@ -110,14 +118,17 @@ def json_value(c) -> Column:
     Arrays join their non-empty items with ``"; "``, objects keep their JSON text,
     scalars lose their quotes.
     """
-    c = col(c)
-    items = F.from_json(c, "array<string>")
-    joined = F.array_join(F.filter(F.transform(items, clean_value), lambda x: x != ""), "; ")
-    return (
-        F.when(c.isNull(), F.lit(""))
-        .when(c.startswith("["), F.coalesce(joined, clean_value(c)))
-        .otherwise(clean_value(c))
-    )
+
+    def cell(x: Column) -> Column:
+        items = F.from_json(x, "array<string>")
+        joined = F.array_join(F.filter(F.transform(items, clean_value), lambda i: i != ""), "; ")
+        return (
+            F.when(x.isNull(), F.lit(""))
+            .when(x.startswith("["), F.coalesce(joined, clean_value(x)))
+            .otherwise(clean_value(x))
+        )
+
+    return bind(c, cell)
 
 
 def normalize_line(c) -> Column:
@@ -143,10 +154,14 @@ def sanitize_raw_text(c) -> Column:
 
 def strip_fences(c) -> Column:
     """Remove one Markdown code fence around a JSON or CSV answer."""
-    c = trim_ws(c)
-    fenced = F.regexp_extract(c, r"(?is)^```(?:json|csv)?\s*(.*?)\s*```$", 1)
-    loose = F.regexp_replace(F.regexp_replace(c, r"(?i)^```(?:json)?\s*", ""), r"```\z", "")
-    return trim_ws(F.when(fenced != "", fenced).otherwise(loose))
+
+    def unfence(x: Column) -> Column:
+        fenced = F.regexp_extract(x, r"(?is)^```(?:json|csv)?\s*(.*?)\s*```$", 1)
+        loose = F.regexp_replace(F.regexp_replace(x, r"(?i)^```(?:json)?\s*", ""), r"```\z", "")
+        inner = F.when(x.startswith("```"), bind(fenced, lambda f: F.when(f != "", f).otherwise(loose)))
+        return trim_ws(inner.otherwise(F.regexp_replace(x, r"```\z", "")))
+
+    return bind(trim_ws(c), unfence)
 
 
 def sanitize_file_name(c) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import col, norm_key, norm_search, py_search, trim_ws
+from .text import bind, col, norm_key, norm_search, py_search, trim_ws
 
 
 def half_up(c, scale: int) -> Column:
@@ -24,8 +24,7 @@ def _number(c) -> Column:
 
 
 def normalize_confidence(c) -> Column:
-    n = F.coalesce(_number(c), F.lit(0.0))
-    n = F.when(n > 1, n / 100).otherwise(n)
+    n = bind(F.coalesce(_number(c), F.lit(0.0)), lambda x: F.when(x > 1, x / 100).otherwise(x))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), n))
 
 
@@ -33,7 +32,7 @@ def row_confidence(cells: Column) -> Column:
     """Positive explicit confidence of a row (percent allowed), else null."""
     names = ["confidence", "Confidence", "confianza", "Confianza", "score", "Score"]
     n = _number(F.coalesce(*[cells[k] for k in names]))
-    return F.when(n > 0, F.when(n > 1, n / 100).otherwise(n))
+    return bind(n, lambda x: F.when(x > 0, F.when(x > 1, x / 100).otherwise(x)))
 
 
 def micros(c) -> Column:
@@ -110,9 +109,9 @@ def supported_mime(declared, file_name) -> Column:
 
 def ignored_texts(text) -> Column:
     """Watermark texts found in a value, in list order."""
-    t = norm_search(text)
-    hits = [F.when(t.contains(py_search(i)), F.lit(i)) for i in V.IGNORED_TEXTS]
-    return F.array_compact(F.array(*hits))
+    return bind(norm_search(text), lambda t: F.array_compact(
+        F.array(*[F.when(t.contains(py_search(i)), F.lit(i)) for i in V.IGNORED_TEXTS])
+    ))
 
 
 def _suspicious(text: Column, extra: str) -> Column:
@@ -122,9 +121,9 @@ def _suspicious(text: Column, extra: str) -> Column:
 
 def corrupt_text(c, strict: bool = False) -> Column:
     """Too many replacement or control characters; ``strict`` also counts mojibake letters."""
-    text = col(c)
-    share = _suspicious(text, "ÂÃ" if strict else "") / F.greatest(F.length(text), F.lit(1))
-    return (trim_ws(text) != "") & (share > 0.03)
+    return bind(c, lambda text: (trim_ws(text) != "") & (
+        _suspicious(text, "ÂÃ" if strict else "") / F.greatest(F.length(text), F.lit(1)) > 0.03
+    ))
 
 
 def commercial_key(compact: Column) -> Column:
@@ -154,7 +153,7 @@ def movement_key(compact: Column) -> Column:
 
 def count_column_keys(columns: Column, key_rule) -> Column:
     """Distinct canonical keys matched by an ordered header array."""
-    keys = F.flatten(F.transform(columns, lambda c: key_rule(norm_key(c))))
+    keys = F.flatten(F.transform(columns, lambda c: bind(norm_key(c), key_rule)))
     return F.size(F.array_distinct(keys))
 
 

@@ -42,26 +42,11 @@ def line_blocks(
         F.sort_array(F.collect_list(F.struct("page_number", "lines"))).alias("_p")
     ).select("doc_id", "block", F.flatten(F.transform("_p", lambda x: x["lines"])).alias("_own"))
 
-    lines = F.col("lines")
-    cut = F.least(F.size(lines), F.lit(margin))
-    edges = per_page.select(
-        "doc_id", "block", "page_number",
-        F.slice(lines, F.lit(1), cut).alias("head"),
-        F.slice(lines, F.size(lines) - cut + 1, cut).alias("tail"),
+    # Both uses of ``own`` share one exchange: pages are read and cleaned once.
+    lines = F.col("_own")
+    edges = own.select(
+        "doc_id", "block", F.slice(lines, 1, margin).alias("head"), _last(lines, margin).alias("tail"),
         *[f(lines).alias(n) for n, f in carry.items()],
-    ).groupBy("doc_id", "block").agg(
-        F.sort_array(F.collect_list(F.struct("page_number", "head"))).alias("heads"),
-        F.sort_array(F.collect_list(F.struct("page_number", "tail"))).alias("tails"),
-        *[
-            F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("page_number"))).alias(n)
-            for n in carry
-        ],
-    )
-    head = F.flatten(F.transform("heads", lambda x: x["head"]))
-    tail = F.flatten(F.transform("tails", lambda x: x["tail"]))
-    edges = edges.select(
-        "doc_id", "block", F.slice(head, 1, margin).alias("head"), _last(tail, margin).alias("tail"),
-        *carry,
     )
     doc = Window.partitionBy("doc_id").orderBy("block")
     before = F.flatten(F.collect_list("tail").over(doc.rowsBetween(-margin, -1)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import (
-    LETTER_OR_DIGIT, col, collapse, contains_count, fold_accents, norm_punct, norm_search,
+    LETTER_OR_DIGIT, bind, col, collapse, contains_count, fold_accents, norm_punct, norm_search,
     norm_words, py_search, py_words, trim_ws,
 )
 from ..functions.values import ignored_texts
@@ -116,24 +118,30 @@ def resolve_document_type(detected, code) -> Column:
 
 def reliable_text(text, ignored: Column) -> Column:
     """Enough plain text to trust: length, no watermark, alphanumeric density, no mojibake."""
-    t = collapse(text)
-    n = F.greatest(F.length(t), F.lit(1))
-    density = F.regexp_count(t, F.lit(LETTER_OR_DIGIT)) / n
-    broken = F.regexp_count(t, F.lit("[" + chr(0xFFFD) + "ÂÃ]")) / n
-    return (F.length(t) >= 500) & (F.size(ignored) == 0) & (density >= 0.45) & (broken < 0.02)
+
+    def trusted(t: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1))
+        density = F.regexp_count(t, F.lit(LETTER_OR_DIGIT)) / n
+        broken = F.regexp_count(t, F.lit("[" + chr(0xFFFD) + "ÂÃ]")) / n
+        return (F.length(t) >= 500) & (density >= 0.45) & (broken < 0.02)
+
+    return (F.size(ignored) == 0) & bind(collapse(text), trusted)
 
 
 def table_signals(text, code=None) -> Column:
     """At least four expected columns, or four generic table words, occur in the text."""
-    t = norm_search(text)
-    generic = contains_count(t, V.GENERIC_TABLE_WORDS) >= 4
-    if code is None:
-        return generic
-    out = F
-    for p in V.PROFILES:
-        if p[4]:
-            out = out.when(col(code) == p[0], contains_count(t, [py_search(c) for c in p[4]]) >= 4)
-    return out.otherwise(F.lit(False)) | generic
+
+    def signals(t: Column) -> Column:
+        generic = contains_count(t, V.GENERIC_TABLE_WORDS) >= 4
+        if code is None:
+            return generic
+        out = F
+        for p in V.PROFILES:
+            if p[4]:
+                out = out.when(col(code) == p[0], contains_count(t, [py_search(c) for c in p[4]]) >= 4)
+        return out.otherwise(F.lit(False)) | generic
+
+    return bind(norm_search(text), signals)
 
 
 def document_kind(df: DataFrame) -> DataFrame:
@@ -308,7 +316,7 @@ def size_limit_check(df: DataFrame, global_mb: int = V.MAX_FILE_MB) -> DataFrame
 
 
 def known_annex(text) -> Column:
-    return contains_count(norm_punct(text), V.ANNEX_MARKERS) >= 5
+    return bind(norm_punct(text), lambda t: contains_count(t, V.ANNEX_MARKERS) >= 5)
 
 
 def route_strategy(df: DataFrame) -> DataFrame:
@@ -367,9 +375,15 @@ _ERROR_CLASSES = [
 def classify_error(df: DataFrame, message: str = "error_text") -> DataFrame:
     """Ordered error taxonomy over error name and text, plus a retryable flag."""
     low = F.lower(F.coalesce(F.col(message), F.lit("")))
-    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
-    out = F
-    for name, words in _ERROR_CLASSES:
-        out = out.when(any_of(words), F.lit(name))
-    code = low.rlike("(?<![a-z0-9_])(?:429|500|502|503|504)(?![a-z0-9_])")
-    return df.withColumns({"error_class": out.otherwise(F.lit("other")), "retryable": code | any_of(_RETRYABLE)})
+    any_of = lambda t, words: t.rlike("|".join(re.escape(w) for w in words))
+
+    def kind(t: Column) -> Column:
+        out = F
+        for name, words in _ERROR_CLASSES:
+            out = out.when(any_of(t, words), F.lit(name))
+        return out.otherwise(F.lit("other"))
+
+    code = "(?<![a-z0-9_])(?:429|500|502|503|504)(?![a-z0-9_])"
+    return df.withColumns({
+        "error_class": bind(low, kind), "retryable": bind(low, lambda t: t.rlike(code) | any_of(t, _RETRYABLE)),
+    })

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import norm_punct, page_lines, py_punct, trim_ws
+from ..functions.text import bind, norm_punct, page_lines, py_punct, trim_ws
 from ..functions.values import extract_date, extract_reference
 from .blocks import page_block
 from .ordered import carry_last, first_rows, running_sums
+from .storage import materialize
 
 
 def _positions(pages: DataFrame) -> DataFrame:
@@ -25,18 +26,22 @@ def _positions(pages: DataFrame) -> DataFrame:
 def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
     """Distinct markers per document in the normalised text, also across page ends."""
     width = max(len(m) for m in markers)
-    norm = pages.select("doc_id", "page_number", norm_punct("text").alias("t")).where(F.col("t") != "")
-    doc = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(-4, -1)
-    seams = norm.select(
-        "doc_id", "page_number", F.left("t", F.lit(width)).alias("h"), F.right("t", F.lit(width)).alias("e")
-    ).select("doc_id", F.concat_ws(" ", F.array_join(F.collect_list("e").over(doc), " "), "h").alias("t"))
 
-    def found(df: DataFrame) -> DataFrame:
-        hits = F.array_compact(F.array(*[F.when(F.col("t").contains(m), F.lit(m)) for m in markers]))
-        return df.select("doc_id", F.explode(hits).alias("marker"))
+    def found(t: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(t.contains(m), F.lit(m)) for m in markers]))
+
+    def facts(t: Column) -> Column:
+        ends = [F.left(t, F.lit(width)).alias("h"), F.right(t, F.lit(width)).alias("e")]
+        return F.when(t != "", F.struct(found(t).alias("hits"), *ends))
 
-    hits = found(norm.select("doc_id", "t")).unionByName(found(seams)).distinct()
-    return hits.groupBy("doc_id").agg(F.count("*").alias("markers"))
+    slim = pages.select("doc_id", "page_number", bind(norm_punct("text"), facts).alias("f"))
+    slim = slim.where(F.col("f").isNotNull()).select("doc_id", "page_number", "f.*")
+    doc = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(-4, -1)
+    seam = F.concat_ws(" ", F.array_join(F.collect_list("e").over(doc), " "), "h")
+    hits = slim.select("doc_id", "hits", seam.alias("seam")).select(
+        "doc_id", F.explode(F.concat("hits", bind("seam", found))).alias("marker")
+    )
+    return hits.groupBy("doc_id").agg(F.size(F.collect_set("marker")).alias("markers"))
 
 
 # --- annex -----------------------------------------------------------------
@@ -79,7 +84,10 @@ def extract_annex_rows(pages: DataFrame) -> DataFrame:
 
 
 def _category(section: Column, line: Column) -> Column:
-    t = norm_punct(F.concat_ws(" ", section, line))
+    return bind(norm_punct(F.concat_ws(" ", section, line)), _category_of)
+
+
+def _category_of(t: Column) -> Column:
     has = lambda *words: t.rlike("|".join(words))
     return (
         F.when(has("resolucion"), "Resolución")
@@ -107,12 +115,15 @@ def _label(line: Column) -> Column:
 
 def _section_title(line: Column) -> Column:
     """Marker that the line is or starts with (first in order), else null."""
-    t = norm_punct(line)
-    out = F
-    for marker in V.SECTION_MARKERS:
-        m = py_punct(marker)
-        out = out.when((t == m) | t.startswith(m + " "), F.lit(marker))
-    return out.otherwise(F.lit(None).cast("string"))
+
+    def title(t: Column) -> Column:
+        out = F
+        for marker in V.SECTION_MARKERS:
+            m = py_punct(marker)
+            out = out.when((t == m) | t.startswith(m + " "), F.lit(marker))
+        return out.otherwise(F.lit(None).cast("string"))
+
+    return bind(norm_punct(line), title)
 
 
 def section_rows(pages: DataFrame) -> DataFrame:
@@ -181,11 +192,11 @@ def local_fallback(pages: DataFrame) -> DataFrame:
     """Rows from the first method that yields any: annex, then sections, then plain lines.
 
     ``doc_id, source, result_quality, pos, cells``.  Each later method only sees the documents
-    the earlier ones left.
+    the earlier ones left, so the rows of a method are stored before the next one starts.
     """
-    annex = extract_annex_rows(pages)
+    annex = materialize(extract_annex_rows(pages))
     left = pages.join(annex.select("doc_id").distinct(), "doc_id", "left_anti")
-    sections = extract_sections(left)
+    sections = materialize(extract_sections(left))
     plain = left.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
     numbered = _positions(plain)
     lines = numbered.select("doc_id", "pos", F.create_map(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import clean_cell, clean_value, col, norm_key, py_key, trim_ws
+from ..functions.text import bind, clean_cell, clean_value, col, norm_key, py_key, trim_ws
 from ..functions.values import commercial_column_count, corrupt_text, ignored_texts
 from .ordered import first_rows, number_rows
 
@@ -51,13 +51,15 @@ def field_value_output(columns) -> Column:
 
 def header_except(left: Column, right: Column) -> Column:
     """Names of the left list whose key is not in the right list, in order."""
-    keys = F.transform(right, norm_key)
-    return F.filter(left, lambda c: ~F.array_contains(keys, norm_key(c)))
+    return bind(F.transform(right, norm_key), lambda keys: F.filter(
+        left, lambda c: ~F.array_contains(keys, norm_key(c))
+    ))
 
 
 def header_intersect(left: Column, right: Column) -> Column:
-    keys = F.transform(right, norm_key)
-    return F.filter(left, lambda c: F.array_contains(keys, norm_key(c)))
+    return bind(F.transform(right, norm_key), lambda keys: F.filter(
+        left, lambda c: F.array_contains(keys, norm_key(c))
+    ))
 
 
 def missing_columns(expected: Column, actual: Column) -> Column:
@@ -70,9 +72,10 @@ def extra_columns(expected: Column, actual: Column) -> Column:
 
 def unsupported_columns(columns, text) -> Column:
     """Movement columns of a result that the document text never mentions."""
-    seen = norm_key(text)
     movement = [py_key(c) for c in V.MOVEMENT_COLUMNS]
-    return F.filter(col(columns), lambda c: norm_key(c).isin(movement) & ~seen.contains(norm_key(c)))
+    return bind(norm_key(text), lambda seen: F.filter(
+        col(columns), lambda c: bind(norm_key(c), lambda k: k.isin(movement) & ~seen.contains(k))
+    ))
 
 
 # --- rows ------------------------------------------------------------------
@@ -119,13 +122,19 @@ def renumber_rows(rows: DataFrame, rows_per_block: int = 65536) -> DataFrame:
 def project_cells(expected: Column, columns: Column, cells: Column) -> Column:
     """Re-key a row to the expected columns: exact normalised name, else a name containing it."""
 
-    def value(e: Column) -> Column:
-        exact = F.filter(columns, lambda c: norm_key(c) == norm_key(e))
-        loose = F.filter(columns, lambda c: norm_key(c).contains(norm_key(e)))
-        source = F.coalesce(F.get(exact, F.lit(0)), F.get(loose, F.lit(0)), e)
-        return clean_value(cells[source])
+    def value(keys: Column):
+        def one(e: Column) -> Column:
+            def at(k: Column) -> Column:
+                loose = F.coalesce(F.array_min(F.transform(keys, lambda x, i: F.when(x.contains(k), i + 1))), F.lit(0))
+                exact = F.array_position(keys, k).cast("int")
+                return F.coalesce(F.get(columns, F.when(exact > 0, exact).otherwise(loose) - 1), e)
 
-    return F.map_from_arrays(expected, F.transform(expected, value))
+            return clean_value(cells[bind(norm_key(e), at)])
+
+        return F.transform(expected, one)
+
+    values = bind(F.transform(columns, norm_key), value)
+    return F.map_from_arrays(expected, values)
 
 
 def project_to_profile(rows: DataFrame, expected: list[str]) -> DataFrame:
@@ -170,21 +179,22 @@ def filter_movement_rows(rows: DataFrame) -> DataFrame:
 
 def supplier_header(c) -> Column:
     """Supplier column a header cell stands for (first column in order wins), else null."""
-    key = norm_key(clean_cell(c))
-    out = F
-    for target, aliases in V.SUPPLIER_HEADER_ALIASES.items():
-        out = out.when(key.rlike("|".join(py_key(a) for a in aliases)), F.lit(target))
-    return out.otherwise(F.lit(None).cast("string"))
+
+    def target_of(key: Column) -> Column:
+        out = F
+        for target, aliases in V.SUPPLIER_HEADER_ALIASES.items():
+            out = out.when(key.rlike("|".join(py_key(a) for a in aliases)), F.lit(target))
+        return out.otherwise(F.lit(None).cast("string"))
+
+    return bind(norm_key(clean_cell(c)), target_of)
 
 
 def detected_supplier_headers(text) -> Column:
     """Supplier columns whose alias occurs anywhere in the text."""
-    key = norm_key(text)
-    hits = [
+    return bind(norm_key(text), lambda key: F.array_compact(F.array(*[
         F.when(key.rlike("|".join(py_key(a) for a in aliases)), F.lit(target))
         for target, aliases in V.SUPPLIER_HEADER_ALIASES.items()
-    ]
-    return F.array_compact(F.array(*hits))
+    ])))
 
 
 def supplier_cells(names: Column, values: Column) -> Column:

@@ -81,7 +81,7 @@ PEOPLE = f"""SELECT CAST(floor(p_partkey / 120) AS BIGINT) AS doc_id, CAST(p_par
  {PROVINCE_CASE} AS province, {LOCALITY_CASE} AS locality FROM {{part}}"""
 
 SUPPLIERS = """SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS doc_id, CAST(s_suppkey % 20 AS BIGINT) AS k, s_suppkey, s_name,
- concat('Proveedor ', CAST(s_suppkey AS VARCHAR(20))) AS provider,
+ concat('Firma ', CAST(s_suppkey AS VARCHAR(20))) AS provider,
  concat('20-', lpad(CAST(s_suppkey AS VARCHAR(20)), 8, '0'), '-', CAST(s_suppkey % 10 AS VARCHAR(2))) AS cuit,
  concat('Servicio ', CASE s_nationkey % 3 WHEN 0 THEN 'catering' WHEN 1 THEN 'transporte' ELSE 'limpieza' END) AS service,
  CASE s_nationkey % 4 WHEN 0 THEN 'Salta' WHEN 1 THEN 'Jujuy' WHEN 2 THEN 'Córdoba' ELSE 'Neuquén' END AS province,

@@ -118,7 +118,7 @@ def best_orientation(spark, sf):
         (F.col("doc_id") * 10 + F.col("page_number")).alias("doc_id"), F.col("doc_id").alias("d"), "text",
         F.explode(F.array(*[F.lit(o) for o in (0, 90, 180, 270)])).alias("orientation"))
     lines = F.split("text", "\n")
-    text = F.when(F.col("orientation") == 180, F.col("text")).otherwise(F.array_join(F.slice(lines, 6, 4), "\n"))
+    text = F.when(F.col("orientation") == 180, F.col("text")).otherwise(F.array_join(F.slice(lines, 6, 12), "\n"))
     mime = F.when(F.col("d") % 3 == 0, "application/pdf").otherwise("image/png")
     r = p.select("doc_id", "orientation", text.alias("text"), mime.alias("mime_type"))
     return people.best_orientation(r).select("doc_id", "orientation")
