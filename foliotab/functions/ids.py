@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +18,10 @@ _SCANNER_WORD = "(?i)" + EDGE_L + "CamScanner" + EDGE_R
 
 
 def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
-    flat = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in pairs)
-    return F.create_map(*flat)[key]
+    """Value for an exact key, else null.  Both lists fold to constants at plan time."""
+    keys = F.split(F.lit("|".join(k for k, _ in pairs)), r"\|")
+    values = F.split(F.lit("|".join(v for _, v in pairs)), r"\|")
+    return F.get(values, F.array_position(keys, key).cast("int") - 1)
 
 
 def words_of(c) -> Column:

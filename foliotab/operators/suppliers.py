@@ -11,6 +11,7 @@ from ..functions.text import EDGE_R, clean_cell, norm_key, trim_ws
 from .blocks import line_blocks, page_block
 from .ordered import carry_last
 from .people import first_index, raw_lines, rest
+from .storage import materialize
 from .tables import (
     dedupe_first, detected_supplier_headers, normalize_candidate_rows, supplier_cells, supplier_header,
 )
@@ -183,7 +184,7 @@ def recover_supplier_table(
     Recorded rows come as ``doc_id, row_idx bigint, cells``; the order of preference on a tie
     is reviewer, extractor, delimited lines, line layout.
     """
-    docs = supplier_documents(pages, headers).select("doc_id")
+    docs = materialize(supplier_documents(pages, headers).select("doc_id"))
     gated = pages.join(docs, "doc_id", "left_semi")
     slot = lambda df, rank, a, b: df.select(
         "doc_id", F.lit(rank).alias("candidate"), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")).alias("row_idx"), "cells")
@@ -198,7 +199,8 @@ def recover_supplier_table(
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    usable = dedupe_first(union, supplier_signature()).where(usable_supplier_row("cells"))
+    # Read three times below: counts, choice, result.
+    usable = materialize(dedupe_first(union, supplier_signature()).where(usable_supplier_row("cells")))
     counts = usable.groupBy("doc_id", "candidate").agg(F.count("*").alias("n"))
     best = counts.groupBy("doc_id").agg(F.max_by(F.struct("candidate", "n"), F.struct("n", -F.col("candidate"))).alias("b"))
     best = best.select("doc_id", "b.*").where(F.col("n") >= 5)
