@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import ids
-from ..functions.text import EDGE_R, clean_cell, norm_key, trim_ws
+from ..functions.text import EDGE_R, bind, clean_cell, norm_key, trim_ws
 from .blocks import line_blocks, page_block
 from .ordered import carry_last
 from .people import first_index, raw_lines, rest
@@ -145,14 +145,16 @@ def _behind(lines: Column, has) -> Column:
 
 
 def usable_supplier_row(cells) -> Column:
-    c = F.col(cells) if isinstance(cells, str) else cells
-    has = lambda k: F.coalesce(c[k], F.lit("")) != ""
-    return ids.valid_cuit(c["CUIT"]) & has("Proveedor") & (has("Nombre empresa") | has("Servicio/Área"))
+
+    def usable(c: Column) -> Column:
+        has = lambda k: F.coalesce(c[k], F.lit("")) != ""
+        return ids.valid_cuit(c["CUIT"]) & has("Proveedor") & (has("Nombre empresa") | has("Servicio/Área"))
+
+    return bind(cells, usable)
 
 
 def supplier_signature(cells: str = "cells") -> Column:
-    c = F.col(cells)
-    return F.concat_ws("|", c["CUIT"], norm_key(c["Proveedor"]), norm_key(c["Servicio/Área"]))
+    return bind(cells, lambda c: F.concat_ws("|", c["CUIT"], norm_key(c["Proveedor"]), norm_key(c["Servicio/Área"])))
 
 
 def supplier_documents(pages: DataFrame, headers: DataFrame | None = None) -> DataFrame:

@@ -154,24 +154,33 @@ def project_to_profile(rows: DataFrame, expected: list[str]) -> DataFrame:
 
 def header_repeat(cells, expected: list[str]) -> Column:
     """The row repeats the header: enough cells equal their own column name."""
-    cells = col(cells)
-    same = sum(
-        (F.when(norm_key(F.coalesce(cells[e], F.lit(""))) == py_key(e), 1).otherwise(0) for e in expected), F.lit(0)
-    )
-    return same >= max(3, len(expected) // 2)
+    names = F.array(*[F.lit(e) for e in expected])
+    keys = F.array(*[F.lit(py_key(e)) for e in expected])
+    values = bind(cells, lambda m: F.transform(names, lambda c: clean_value(m[c])))
+    return bind(values, lambda v: _own_names(v, keys)) >= max(3, len(expected) // 2)
+
+
+def _own_names(values: Column, keys: Column) -> Column:
+    """How many cells equal the key of their own column."""
+    return F.size(F.filter(F.transform(values, lambda v, i: norm_key(v) == F.get(keys, i)), lambda same: same))
 
 
 def filter_movement_rows(rows: DataFrame) -> DataFrame:
     """Keep movement rows that hold data and are neither watermark, garbage nor header."""
-    cells = F.col("cells")
-    joined = F.concat_ws(" ", *[clean_value(cells[c]) for c in V.MOVEMENT_COLUMNS])
     expected = F.array(*[F.lit(c) for c in V.MOVEMENT_COLUMNS])
-    return rows.where(
-        non_empty("cells", expected)
-        & (F.size(ignored_texts(joined)) == 0)
-        & ~corrupt_text(joined, strict=True)
-        & ~header_repeat("cells", V.MOVEMENT_COLUMNS)
-    )
+    keys = F.array(*[F.lit(py_key(c)) for c in V.MOVEMENT_COLUMNS])
+
+    def keep(values: Column) -> Column:
+        sound = lambda joined: (F.size(ignored_texts(joined)) == 0) & ~corrupt_text(joined, strict=True)
+        return (
+            F.exists(values, lambda v: v != "")
+            & (_own_names(values, keys) < max(3, len(V.MOVEMENT_COLUMNS) // 2))
+            & bind(F.array_join(values, " "), sound)
+        )
+
+    # One reference to ``cells``: a pushed-down filter would otherwise copy its definition.
+    values = bind("cells", lambda cells: F.transform(expected, lambda c: clean_value(cells[c])))
+    return rows.where(bind(values, keep))
 
 
 # --- supplier headers ------------------------------------------------------
@@ -199,13 +208,16 @@ def detected_supplier_headers(text) -> Column:
 
 def supplier_cells(names: Column, values: Column) -> Column:
     """Parallel header and value arrays to the eight supplier columns; the last match wins."""
-    out = []
-    for target in V.SUPPLIER_COLUMNS:
-        hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(names), F.lit(1))),
-                        lambda i: F.coalesce(F.get(names, i - 1) == target, F.lit(False)))
-        at = F.array_max(hits)
-        out += [F.lit(target), F.coalesce(clean_cell(F.get(values, at - 1)), F.lit(""))]
-    return F.create_map(*out)
+    targets = F.split(F.lit("|".join(V.SUPPLIER_COLUMNS)), r"\|")
+
+    def place(heads: Column):
+        def cell(target: Column) -> Column:
+            at = F.array_max(F.transform(heads, lambda h, i: F.when(h == target, i)))
+            return F.coalesce(clean_cell(F.get(values, at)), F.lit(""))
+
+        return F.transform(targets, cell)
+
+    return F.map_from_arrays(targets, bind(names, place))
 
 
 def normalize_candidate_rows(rows: DataFrame) -> DataFrame:
@@ -220,15 +232,17 @@ def normalize_candidate_rows(rows: DataFrame) -> DataFrame:
 def commercial_cells(columns, cells) -> Column:
     """The 34 commercial columns, each the first non-empty source among its aliases."""
     columns, cells = col(columns), col(cells)
-    out = []
-    for target in V.COMMERCIAL_COLUMNS:
-        aliases = V.COMMERCIAL_ALIASES.get(py_key(target), [py_key(target)])
-        values = F.filter(
-            F.transform(F.filter(columns, lambda c: norm_key(c).isin(aliases)), lambda c: clean_value(cells[c])),
-            lambda v: v != "",
-        )
-        out += [F.lit(target), F.coalesce(F.get(values, F.lit(0)), F.lit(""))]
-    return F.create_map(*out)
+    filled = F.filter(
+        F.transform(columns, lambda c: F.struct(norm_key(c).alias("k"), clean_value(cells[c]).alias("v"))),
+        lambda s: s["v"] != "",
+    )
+    aliases = [V.COMMERCIAL_ALIASES.get(py_key(t), [py_key(t)]) for t in V.COMMERCIAL_COLUMNS]
+    # One "|a|b|" text per target, so that the 34 targets are one expression over an array.
+    wanted = F.split(F.lit(";".join("|" + "|".join(a) + "|" for a in aliases)), ";")
+    first = lambda s, want: F.coalesce(F.get(F.filter(
+        s, lambda x: F.contains(want, F.concat(F.lit("|"), x["k"], F.lit("|")))), F.lit(0))["v"], F.lit(""))
+    names = F.split(F.lit(";".join(V.COMMERCIAL_COLUMNS)), ";")
+    return F.map_from_arrays(names, bind(filled, lambda s: F.transform(wanted, lambda want: first(s, want))))
 
 
 def commercial_projection(rows: DataFrame) -> DataFrame:

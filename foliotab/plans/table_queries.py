@@ -334,7 +334,9 @@ def chunk_outputs(spark, sf):
     mixed = F.when(F.col("turn") % 2 == 0, lits("Título", "Descripción")).otherwise(lits("Título", "Otro"))
     columns = F.when(F.col("conv_id") % 3 == 0, lits("A", "B")).when(F.col("conv_id") % 3 == 1, mixed).otherwise(lits(*V.CHUNK_COLUMNS))
     n = F.length("text").cast("string")
-    row = F.create_map(F.lit("A"), "role", F.lit("B"), n, F.lit("Título"), "role", F.lit("Descripción"), n, F.lit("Otro"), F.lit("x"))
+    odd = (F.col("conv_id") % 3 == 1) & (F.col("turn") % 2 == 1)
+    row = F.when(odd, F.create_map(F.lit("Título"), "role", F.lit("Otro"), F.lit("x"))).otherwise(
+        F.create_map(F.lit("A"), "role", F.lit("B"), n, F.lit("Título"), "role", F.lit("Descripción"), n))
     twin = F.create_map(F.lit("A"), "role", F.lit("B"), F.lit(""), F.lit("Título"), "role")
     data = c.where("turn < 4").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), columns.alias("columns"), F.array(row, twin, twin).alias("rows"))
     errors = c.where("turn >= 4").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), (F.col("turn") + 1).cast("string").alias("page_range"), F.lit("sin respuesta").alias("message"))

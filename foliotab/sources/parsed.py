@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import (
-    clean_value, col, drop_controls, json_value, norm_key, split_lines, strip_fences, trim_ws,
+    bind, clean_value, col, drop_controls, json_value, norm_key, split_lines, strip_fences, trim_ws,
 )
 from ..functions.values import normalize_confidence
 
@@ -32,28 +32,32 @@ def _nonblank_lines(text) -> Column:
     return F.filter(F.transform(split_lines(text), trim_ws), lambda x: x != "")
 
 
-def record(columns: Column, cells: Column) -> Column:
-    """Map of column to cell; a repeated column keeps the last cell, missing cells are ''."""
-    names = F.array_distinct(columns)
+def _name_slots(columns: Column) -> Column:
+    """``struct<names, slots>``: distinct columns and the 0-based last place of each."""
     n = F.size(columns)
+    return bind(F.reverse(columns), lambda back: bind(F.array_distinct(columns), lambda names: F.struct(
+        names.alias("names"),
+        F.transform(names, lambda c: (n - F.array_position(back, c)).cast("int")).alias("slots"),
+    )))
+
+
+def record(slots: Column, cells: Column) -> Column:
+    """Map of column to cell; a repeated column keeps the last cell, missing cells are ''."""
     return F.map_from_arrays(
-        names,
-        F.transform(
-            names,
-            lambda c: F.coalesce(
-                F.get(cells, (n - F.array_position(F.reverse(columns), c)).cast("int")), F.lit("")
-            ),
-        ),
+        slots["names"], F.transform(slots["slots"], lambda i: F.coalesce(F.get(cells, i), F.lit("")))
     )
 
 
 def parse_csv_text(text) -> Column:
     """Header and rows of a CSV text; blank lines dropped, no multi-line cells."""
     lines = _nonblank_lines(F.regexp_replace(col(text), "^" + _BOM, ""))
-    trimmed = F.transform(lines, lambda x: F.transform(csv_cells(x), trim_ws))
-    return F.struct(
-        F.coalesce(F.get(trimmed, F.lit(0)), F.array().cast("array<string>")).alias("columns"),
-        F.slice(trimmed, F.lit(2), F.greatest(F.size(trimmed) - 1, F.lit(0))).alias("rows"),
+    none = F.array().cast("array<string>")
+    return bind(
+        F.transform(lines, lambda x: F.transform(csv_cells(x), trim_ws)),
+        lambda t: F.struct(
+            F.coalesce(F.get(t, F.lit(0)), none).alias("columns"),
+            F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))).alias("rows"),
+        ),
     )
 
 
@@ -70,16 +74,24 @@ def _csv_line(x: Column) -> Column:
 
 def extract_csv_block(text) -> Column:
     """The CSV part of an answer: first to last line that has a comma, '' if none."""
-    t = trim_ws(F.regexp_replace(col(text), "^" + _BOM, ""))
-    fenced = trim_ws(F.regexp_extract(t, r"(?is)```(?:csv)?\s*(.*?)```", 1))
-    bare = trim_ws(F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:csv)?", ""), r"```\z", ""))
-    lines = _nonblank_lines(F.when(fenced != "", fenced).otherwise(bare))
-    marks = F.transform(lines, _csv_line)
-    first = F.array_position(marks, True)
-    last = F.size(marks) + 1 - F.array_position(F.reverse(marks), True)
-    block = F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"),
-                                 F.greatest(last - first + 1, F.lit(0)).cast("int")), "\n")
-    return F.when(first == 0, F.lit("")).otherwise(block)
+
+    def body(t: Column) -> Column:
+        bare = trim_ws(F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:csv)?", ""), r"```\z", ""))
+        fenced = trim_ws(F.regexp_extract(t, r"(?is)```(?:csv)?\s*(.*?)```", 1))
+        return bind(fenced, lambda f: F.when(f != "", f).otherwise(bare))
+
+    def block(lines: Column) -> Column:
+        marks = F.transform(lines, _csv_line)
+        return bind(marks, lambda m: bind(
+            F.struct(F.array_position(m, True).cast("int").alias("first"),
+                     (F.size(m) + 1 - F.array_position(F.reverse(m), True)).cast("int").alias("last")),
+            lambda at: F.when(at["first"] == 0, F.lit("")).otherwise(
+                F.array_join(F.slice(lines, F.greatest(at["first"], F.lit(1)),
+                                     F.greatest(at["last"] - at["first"] + 1, F.lit(0))), "\n")),
+        ))
+
+    trimmed = trim_ws(F.regexp_replace(col(text), "^" + _BOM, ""))
+    return bind(_nonblank_lines(bind(trimmed, body)), block)
 
 
 def looks_like_html(text) -> Column:
@@ -92,39 +104,41 @@ def parse_csv_like(text) -> Column:
     Needs two lines, a header of at most 1000 characters and 2 to 40 columns, and at least
     half of the first seven data lines with two cells.  Surplus cells join the last column.
     """
-    body = strip_fences(F.regexp_replace(col(text), "^" + _BOM, ""))
-    lines = _nonblank_lines(body)
-    header = F.get(lines, F.lit(0))
-    data = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    sample = F.slice(data, 1, 7)
-    wide = F.size(F.filter(sample, lambda x: F.size(csv_cells(x)) >= 2))
-    looks = (
-        (F.size(lines) >= 2) & header.contains(",") & (F.length(header) <= 1000)
-        & (F.size(csv_cells(header)) >= 2)
-        & (wide >= F.greatest(F.lit(1), F.ceil(F.size(sample) / 2)))
-    )
-    columns = F.filter(F.transform(csv_cells(header), clean_value), lambda x: x != "")
-    n = F.size(columns)
-    cells = F.filter(
-        F.transform(data, lambda x: csv_cells(x)),
-        lambda r: F.exists(r, lambda x: clean_value(x) != ""),
-    )
 
-    def to_row(r: Column) -> Column:
-        joined = F.concat(
-            F.slice(r, F.lit(1), n - 1), F.array(F.array_join(F.slice(r, n, F.size(r) - n + 1), ", "))
-        )
-        fit = F.when(F.size(r) > n, joined).otherwise(r)
-        return record(columns, F.transform(fit, clean_value))
+    def table(lines: Column, header: Column, head_cells: Column) -> Column:
+        data = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        columns = F.filter(F.transform(head_cells, clean_value), lambda x: x != "")
+        rows = F.transform(data, csv_cells)
+        looks = (F.size(lines) >= 2) & header.contains(",") & (F.length(header) <= 1000) & (F.size(head_cells) >= 2)
+        return F.when(looks, bind(rows, lambda r: bind(columns, lambda c: finish(r, c))))
+
+    def finish(rows: Column, columns: Column) -> Column:
+        n = F.size(columns)
+        sample = F.slice(rows, 1, 7)
+        wide = F.size(F.filter(sample, lambda r: F.size(r) >= 2))
+        compatible = wide >= F.greatest(F.lit(1), F.ceil(F.size(sample) / 2))
+        usable = F.filter(rows, lambda r: F.exists(r, lambda x: clean_value(x) != ""))
+
+        def fit(r: Column) -> Column:
+            last = F.array(F.array_join(F.slice(r, n, F.size(r) - n + 1), ", "))
+            return F.when(F.size(r) > n, F.concat(F.slice(r, F.lit(1), n - 1), last)).otherwise(r)
+
+        records = lambda slots: F.transform(
+            usable, lambda r: record(slots, F.transform(fit(r), clean_value)))
+        out = bind(_name_slots(columns), lambda s: F.struct(columns.alias("columns"), records(s).alias("rows")))
+        ok = compatible & n.between(2, 40) & F.exists(rows, lambda r: F.exists(r, lambda x: clean_value(x) != ""))
+        return F.when(ok, out)
 
-    ok = ~looks_like_html(body) & looks & n.between(2, 40) & (F.size(cells) > 0)
-    return F.when(ok, F.struct(columns.alias("columns"), F.transform(cells, to_row).alias("rows")))
+    def parse(body: Column) -> Column:
+        lines = lambda x: bind(F.get(x, F.lit(0)), lambda h: bind(csv_cells(h), lambda hc: table(x, h, hc)))
+        return F.when(~looks_like_html(body), bind(_nonblank_lines(body), lines))
+
+    return bind(strip_fences(F.regexp_replace(col(text), "^" + _BOM, "")), parse)
 
 
 def _first_object(text) -> Column:
     body = strip_fences(F.regexp_replace(col(text), "^" + _BOM, ""))
-    at = F.instr(body, "{")
-    return F.when(at > 0, F.substring(body, at, F.length(body)))
+    return bind(body, lambda b: F.when(b.contains("{"), F.substring(b, F.instr(b, "{"), F.length(b))))
 
 
 def _closes(obj: Column) -> Column:
@@ -145,27 +159,16 @@ def _closes(obj: Column) -> Column:
 _MODEL_SCHEMA = "columns array<string>, rows array<string>"
 
 
-def _row_record(row: Column, columns: Column) -> Column:
+def _row_record(row: Column, slots: Column) -> Column:
     """A JSON row (object or array text) as a map with exactly the given columns."""
-    obj = F.from_json(row, "map<string,string>")
-    arr = F.from_json(row, "array<string>")
-    names = F.array_distinct(columns)
-    n = F.size(columns)
-    by_name = F.map_from_arrays(names, F.transform(names, lambda c: json_value(obj[c])))
-    by_place = F.map_from_arrays(
-        names,
-        F.transform(
-            names,
-            lambda c: json_value(F.get(arr, (n - F.array_position(F.reverse(columns), c)).cast("int"))),
-        ),
+    by_name = lambda obj: F.transform(slots["names"], lambda c: json_value(obj[c]))
+    by_place = lambda arr: F.transform(slots["slots"], lambda i: json_value(F.get(arr, i)))
+    values = F.when(F.ltrim(row).startswith("["), bind(F.from_json(row, "array<string>"), by_place)).otherwise(
+        bind(F.from_json(row, "map<string,string>"), by_name)
     )
-    return F.when(F.ltrim(row).startswith("["), by_place).otherwise(by_name)
+    return F.map_from_arrays(slots["names"], values)
 
 
-def model_columns(obj: Column) -> Column:
-    raw = F.from_json(obj, _MODEL_SCHEMA)["columns"]
-    return F.filter(F.transform(raw, clean_value), lambda x: x != "")
-
 
 def parse_model_json(df: DataFrame, text: str) -> DataFrame:
     """Add ``parse_status``, ``columns`` and ``rows`` for a recorded model answer.
@@ -197,7 +200,7 @@ def parse_model_json(df: DataFrame, text: str) -> DataFrame:
         .otherwise("OK")
     )
     df = df.withColumn("parse_status", status)
-    rows = F.transform(F.col("_p")["rows"], lambda r: _row_record(r, F.col("_c")))
+    rows = bind(_name_slots(F.col("_c")), lambda slots: F.transform(F.col("_p")["rows"], lambda r: _row_record(r, slots)))
     return df.withColumns({
         "columns": F.when(F.col("parse_status") == "OK", F.col("_c")).otherwise(F.col("_csv")["columns"]),
         "rows": F.when(F.col("parse_status") == "OK", rows).otherwise(F.col("_csv")["rows"]),
@@ -206,32 +209,28 @@ def parse_model_json(df: DataFrame, text: str) -> DataFrame:
 
 def _distinct_by_key(values: Column) -> Column:
     """Values whose normalised key is non-empty and not seen before, in order."""
-    kept = F.filter(values, lambda v: (v != "") & (norm_key(v) != ""))
-    keys = F.transform(kept, norm_key)
-    return F.filter(kept, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    keyed = F.filter(F.transform(values, lambda v: F.struct(v.alias("v"), norm_key(v).alias("k"))), lambda s: s["k"] != "")
+    return bind(keyed, lambda ks: bind(F.transform(ks, lambda s: s["k"]), lambda keys: F.transform(
+        F.filter(ks, lambda s, i: F.array_position(keys, s["k"]) == i + 1), lambda s: s["v"])))
 
 
 def distinct_headers(values) -> Column:
     return _distinct_by_key(F.transform(col(values), lambda v: F.coalesce(drop_controls(v), F.lit(""))))
 
 
-def _cell_by_key(row: Column, column: Column) -> Column:
-    """Value of the first key that equals the column after normalisation; nested values are ''."""
-    key = F.get(F.filter(F.map_keys(row), lambda k: norm_key(k) == norm_key(column)), F.lit(0))
-    value = row[key]
-    nested = value.startswith("{") | value.startswith("[")
-    return F.when(nested, F.lit("")).otherwise(F.coalesce(drop_controls(value), F.lit("")))
+def _values_by_key(row: Column, keys: Column) -> Column:
+    """Values of a JSON row for normalised column keys; unknown and nested ones are ''."""
 
+    def cell(value: Column) -> Column:
+        nested = value.startswith("{") | value.startswith("[")
+        return F.when(nested, F.lit("")).otherwise(F.coalesce(drop_controls(value), F.lit("")))
 
-def _rows_by_key(rows: Column, columns: Column) -> Column:
-    records = F.transform(
-        rows,
-        lambda r: F.map_from_arrays(
-            columns,
-            F.transform(columns, lambda c: F.coalesce(_cell_by_key(F.from_json(r, "map<string,string>"), c), F.lit(""))),
-        ),
-    )
-    return F.filter(records, lambda m: F.exists(F.map_values(m), lambda v: v != ""))
+    def pick(obj: Column) -> Column:
+        return bind(F.transform(F.map_keys(obj), norm_key), lambda have: bind(F.map_values(obj), lambda vals: F.transform(
+            keys, lambda k: bind(F.get(vals, F.array_position(have, k).cast("int") - 1), cell))))
+
+    blank = F.transform(keys, lambda k: F.lit(""))
+    return F.coalesce(bind(F.from_json(row, "map<string,string>"), pick), blank)
 
 
 def _texts(values: Column, limit: int) -> Column:
@@ -253,27 +252,23 @@ def parse_visual_json(df: DataFrame, text: str, expected: list[str] | None = Non
     columns = F.filter(distinct_headers(source), lambda c: ~norm_key(c).isin(V.VISUAL_METADATA_KEYS))
     df = df.withColumns({"columns": columns, "_rows": raw_rows})
 
-    def with_meta(r: Column) -> Column:
-        obj = F.from_json(r, "struct<confidence string, warnings array<string>>")
-        cells = F.transform(
-            F.col("columns"),
-            lambda c: F.coalesce(_cell_by_key(F.from_json(r, "map<string,string>"), c), F.lit("")),
-        )
-        return F.struct(
-            F.map_from_arrays(F.col("columns"), cells).alias("cells"),
-            normalize_confidence(obj["confidence"]).alias("confidence"),
+    def with_meta(r: Column, keys: Column) -> Column:
+        return bind(F.from_json(r, "struct<confidence string, warnings array<string>>"), lambda obj: F.struct(
+            _values_by_key(r, keys).alias("values"), normalize_confidence(obj["confidence"]).alias("confidence"),
             F.array_join(_texts(obj["warnings"], 20), "; ").alias("warnings"),
-        )
+        ))
 
-    rows = F.filter(
-        F.transform("_rows", with_meta), lambda s: F.exists(F.map_values(s["cells"]), lambda v: v != "")
+    df = df.withColumn("_keys", F.transform("columns", norm_key))
+    rows = F.transform(
+        F.filter(F.transform("_rows", lambda r: with_meta(r, F.col("_keys"))), lambda s: F.exists(s["values"], lambda v: v != "")),
+        lambda s: F.struct(F.map_from_arrays(F.col("columns"), s["values"]).alias("cells"), s["confidence"].alias("confidence"), s["warnings"].alias("warnings")),
     )
     return df.withColumns({
         "rows": rows,
         "success": F.coalesce(F.col("_v")["success"], F.lit(False)),
         "confidence": normalize_confidence(F.col("_v")["confidence"]),
         "warnings": _texts(F.col("_v")["warnings"], 20),
-    }).drop("_v", "_rows")
+    }).drop("_v", "_rows", "_keys")
 
 
 def parse_reviewed_table(df: DataFrame, text: str) -> DataFrame:
@@ -285,14 +280,19 @@ def parse_reviewed_table(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_v", F.from_json(text, schema))
     none = F.array().cast("array<string>")
     df = df.withColumn("columns", distinct_headers(F.coalesce(F.col("_v")["finalHeaders"], none)))
+    df = df.withColumn("_keys", F.transform("columns", norm_key))
     kind = drop_controls(F.col("_v")["finalDocumentType"])
+    values = F.filter(
+        F.transform(F.coalesce(F.col("_v")["finalRows"], none), lambda r: _values_by_key(r, F.col("_keys"))),
+        lambda vs: F.exists(vs, lambda v: v != ""),
+    )
     return df.withColumns({
-        "rows": _rows_by_key(F.coalesce(F.col("_v")["finalRows"], none), F.col("columns")),
+        "rows": F.transform(values, lambda vs: F.map_from_arrays(F.col("columns"), vs)),
         "confidence": normalize_confidence(F.col("_v")["confidence"]),
         "warnings": _texts(F.col("_v")["warnings"], 30),
         "corrections": _texts(F.col("_v")["correctionsApplied"], 30),
         "document_type": F.coalesce(F.nullif(kind, F.lit("")), F.lit("Tabla documental")),
-    }).drop("_v")
+    }).drop("_v", "_keys")
 
 
 def flatten_layout_tables(df: DataFrame) -> DataFrame:
