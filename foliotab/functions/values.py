@@ -16,7 +16,8 @@ def half_up(c, scale: int) -> Column:
 
 
 def round_confidence(c) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), half_up(c, 2)))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), half_up(c, 2)))
+    return F.when(col(c).isNotNull(), clamped)  # greatest and least skip nulls
 
 
 def _number(c) -> Column:

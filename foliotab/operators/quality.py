@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import ids
-from ..functions.text import clean_value, col, norm_key, norm_punct, py_key, trim_ws
+from ..functions.text import bind, clean_value, col, norm_key, norm_punct, py_key, trim_ws
 from ..functions.values import (
     commercial_column_count, ignored_texts, movement_column_count, round_confidence,
     row_confidence,
@@ -33,38 +33,46 @@ def _lits(values) -> Column:
 # --- structural quality ----------------------------------------------------
 
 
-def extraction_quality_of(columns, n_rows, document_type, kind, profile) -> tuple[Column, Column]:
-    """``(level, reason)`` of a table from its header, its non-empty row count and context."""
-    columns, n = col(columns), col(n_rows)
+def extraction_quality_of(columns, n_rows, document_type, kind, profile) -> Column:
+    """``struct<level, reason>`` from the header, the non-empty row count and the context."""
     doc_type, kind, profile = (F.coalesce(col(c), F.lit("")) for c in (document_type, kind, profile))
-    norm = F.filter(F.transform(columns, norm_punct), lambda c: c != "")
-    generic = F.size(F.array_intersect(norm, _lits(["pagina", "linea", "texto"])))
-    useful = F.size(F.filter(norm, lambda c: ~c.isin(V.GENERIC_QUALITY_COLUMNS)))
-    sections = F.size(F.array_intersect(norm, _lits(V.SECTION_QUALITY_COLUMNS)))
-    commercial, movement = commercial_column_count(columns), movement_column_count(columns)
-    width = F.size(columns)
-    is_commercial = (
-        (doc_type == "invoice") | (kind == "commercial-operations")
-        | profile.isin("mateo", "internal-dtve-senasa-arca", "internal-comprobante-generico")
-    ) & (n >= 1) & (commercial >= 6)
-    is_vision = (kind == "vision-table") | profile.isin("movimiento", "internal-movimiento-camiones")
+    names = F.filter(F.transform(col(columns), norm_punct), lambda c: c != "")
+    facts = bind(names, lambda norm: F.struct(
+        F.size(norm).alias("named"),
+        F.size(F.array_intersect(norm, _lits(["pagina", "linea", "texto"]))).alias("generic"),
+        F.size(F.filter(norm, lambda c: ~c.isin(V.GENERIC_QUALITY_COLUMNS))).alias("useful"),
+        F.size(F.array_intersect(norm, _lits(V.SECTION_QUALITY_COLUMNS))).alias("sections"),
+        commercial_column_count(columns).alias("commercial"), movement_column_count(columns).alias("movement"),
+        F.size(col(columns)).alias("width"), col(n_rows).alias("n"),
+        ((doc_type == "invoice") | (kind == "commercial-operations")
+         | profile.isin("mateo", "internal-dtve-senasa-arca", "internal-comprobante-generico")).alias("invoice"),
+        ((kind == "vision-table") | profile.isin("movimiento", "internal-movimiento-camiones")).alias("vision"),
+        (doc_type == "table").alias("table"),
+    ))
+    return bind(facts, _quality_rules)
+
+
+def _quality_rules(f: Column) -> Column:
+    n, width, useful = f["n"], f["width"], f["useful"]
+    invoice = f["invoice"] & (n >= 1) & (f["commercial"] >= 6)
     rules = [
-        ((F.size(norm) == 3) & (generic == 3), "low", "Generic PDF text fallback columns detected"),
+        ((f["named"] == 3) & (f["generic"] == 3), "low", "Generic PDF text fallback columns detected"),
         ((width <= 1) | (n == 0), "low", "Too few columns or rows"),
-        (is_commercial & (width >= 12) & (commercial >= 8), "high",
+        (invoice & (width >= 12) & (f["commercial"] >= 8), "high",
          "Single-row commercial operations document with useful schema"),
-        (is_commercial & (width >= 8), "medium", "Commercial operations document has usable fields"),
-        (is_vision & (n >= 1) & (movement >= 8), "high", "Logistics movement table profile with expected schema"),
-        ((doc_type == "table") & ~is_vision & (n < 3), "low", "Table/list extraction requires multiple rows"),
-        ((sections >= 6) & (width > 5) & (n > 10), "high",
+        (invoice & (width >= 8), "medium", "Commercial operations document has usable fields"),
+        (f["vision"] & (n >= 1) & (f["movement"] >= 8), "high",
+         "Logistics movement table profile with expected schema"),
+        (f["table"] & ~f["vision"] & (n < 3), "low", "Table/list extraction requires multiple rows"),
+        ((f["sections"] >= 6) & (width > 5) & (n > 10), "high",
          "Technical-administrative document columns detected with enough rows"),
         ((width > 3) & (n > 3) & (useful >= 3), "high", "Structured result has enough useful columns and rows"),
         ((width >= 3) & (n >= 2) & (useful >= 2), "medium", "Structured result has usable columns and rows"),
     ]
-    level, reason = F, F
-    for cond, lv, why in rules:
-        level, reason = level.when(cond, F.lit(lv)), reason.when(cond, F.lit(why))
-    return level.otherwise(F.lit("low")), reason.otherwise(F.lit("Result is too generic to be useful"))
+    out = F
+    for cond, level, why in rules:
+        out = out.when(cond, F.struct(F.lit(level).alias("level"), F.lit(why).alias("reason")))
+    return out.otherwise(F.struct(F.lit("low").alias("level"), F.lit("Result is too generic to be useful").alias("reason")))
 
 
 def row_facts(rows: DataFrame) -> DataFrame:
@@ -79,10 +87,11 @@ def row_facts(rows: DataFrame) -> DataFrame:
 def extraction_quality(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """``quality, quality_reason`` per table; ``heads`` may carry document_type and profile_id."""
     h = heads.join(row_facts(rows), KEYS, "left").fillna(0, ["n_rows", "n_filled"])
-    level, reason = extraction_quality_of(
+    quality = extraction_quality_of(
         "columns", "n_filled", "document_type", extraction_profile("profile_id"), "profile_id"
     )
-    return h.withColumns({"quality": level, "quality_reason": reason})
+    h = h.withColumn("_q", quality)
+    return h.withColumns({"quality": F.col("_q")["level"], "quality_reason": F.col("_q")["reason"]}).drop("_q")
 
 
 def table_mode_issue(columns, document_type) -> Column:
@@ -188,9 +197,11 @@ def quality_gate(rows: DataFrame, heads: DataFrame, min_confidence: float = V.MI
         0, ["n_rows", "n_filled", "province_rows", "cuil_rows", "movement_rows", "bad_departures", "bad_arrivals"]
     ).fillna(0.0, ["roster_score", "company_score"]).fillna(False, ["roster_ok", "company_ok", "corrupt"])
     t = t.withColumns({"_kind": kind, "_dt": doc_type, "ignored": F.coalesce("ignored", EMPTY())})
-    level, why = extraction_quality_of("columns", "n_filled", "_dt", "_kind", "profile_id")
-    bare_level, _ = extraction_quality_of("columns", "n_filled", F.lit(""), "_kind", "profile_id")
-    t = t.withColumns({"_level": level, "_why": why, "_bare": bare_level})
+    t = t.withColumns({
+        "_q": extraction_quality_of("columns", "n_filled", "_dt", "_kind", "profile_id"),
+        "_bare": extraction_quality_of("columns", "n_filled", F.lit(""), "_kind", "profile_id")["level"],
+    })
+    t = t.withColumns({"_level": F.col("_q")["level"], "_why": F.col("_q")["reason"]})
     vision = (F.col("_kind") == "vision-table") | F.coalesce(extraction_mode("profile_id") == "vision_table", F.lit(False))
     roster, company = F.col("_kind") == "personnel-roster", F.col("_kind") == "personnel-company-location"
     pattern = F.when(F.size("columns") >= 6, F.when(roster, F.col("roster_score")).when(company, F.col("company_score")))
