@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import (
-    LETTER_OR_DIGIT, bind, col, collapse, contains_count, fold_accents, norm_punct, norm_search,
+    alnum_count, bind, col, collapse, contains_count, fold_accents, norm_punct, norm_search,
     norm_words, py_search, py_words, trim_ws,
 )
 from ..functions.values import ignored_texts
@@ -121,7 +121,7 @@ def reliable_text(text, ignored: Column) -> Column:
 
     def trusted(t: Column) -> Column:
         n = F.greatest(F.length(t), F.lit(1))
-        density = F.regexp_count(t, F.lit(LETTER_OR_DIGIT)) / n
+        density = alnum_count(t) / n
         broken = F.regexp_count(t, F.lit("[" + chr(0xFFFD) + "ÂÃ]")) / n
         return (F.length(t) >= 500) & (density >= 0.45) & (broken < 0.02)
 
@@ -188,11 +188,15 @@ def signal_counts(df: DataFrame) -> DataFrame:
     df = df.withColumn("_raw", raw).withColumn("_words", norm_words("_raw"))
     words = F.col("_words")
     no_cuit = F.regexp_replace("_raw", V.CUIT, " ")
+    # All identifiers need seven digits in a row; most prose has none and skips the counts.
+    has_ids = F.col("_raw").rlike(r"\d{7}")
+    has_suffix = words.contains("s r l") | words.contains("s a") | words.contains("sociedad")
+    counted = lambda gate, c, pattern: F.when(gate, F.regexp_count(c, F.lit(pattern))).otherwise(0)
     return df.withColumns({
-        "company_matches": F.regexp_count(words, F.lit(V.CLASSIFIER_COMPANY)),
-        "cuit_matches": F.regexp_count("_raw", F.lit(V.CUIT)),
-        "dni_matches": F.regexp_count(no_cuit, F.lit(V.DNI)),
-        "cuil_matches": F.regexp_count(words, F.lit(V.CLASSIFIER_CUIL)),
+        "company_matches": counted(has_suffix, words, V.CLASSIFIER_COMPANY),
+        "cuit_matches": counted(has_ids, F.col("_raw"), V.CUIT),
+        "dni_matches": counted(has_ids, no_cuit, V.DNI),
+        "cuil_matches": counted(has_ids, words, V.CLASSIFIER_CUIL),
         **{
             f"{name}_signals": contains_count(words, [py_words(s) for s in signals])
             for name, signals in V.CLASSIFIER_SIGNALS.items()

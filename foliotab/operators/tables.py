@@ -83,10 +83,9 @@ def unsupported_columns(columns, text) -> Column:
 
 def non_empty(cells, expected: Column | None = None) -> Column:
     """Any cell (of the expected columns, if given) is non-blank."""
-    cells = col(cells)
     if expected is None:
-        return F.exists(F.map_values(cells), lambda v: clean_value(v) != "")
-    return F.exists(expected, lambda c: clean_value(cells[c]) != "")
+        return F.exists(F.map_values(col(cells)), lambda v: clean_value(v) != "")
+    return bind(cells, lambda row: F.exists(expected, lambda c: clean_value(row[c]) != ""))
 
 
 def drop_empty_rows(rows: DataFrame) -> DataFrame:
@@ -95,17 +94,17 @@ def drop_empty_rows(rows: DataFrame) -> DataFrame:
 
 def coerce_cells(columns, cells) -> Column:
     """Exactly the given columns; missing cells are ''."""
-    columns, cells = col(columns), col(cells)
-    return F.map_from_arrays(columns, F.transform(columns, lambda c: clean_value(cells[c])))
+    return bind(columns, lambda names: F.map_from_arrays(
+        names, bind(cells, lambda row: F.transform(names, lambda c: clean_value(row[c])))))
 
 
 def coerce_list(columns, values) -> Column:
-    columns, values = col(columns), col(values)
-    return F.map_from_arrays(columns, F.transform(columns, lambda c, i: clean_value(F.get(values, i))))
+    return bind(columns, lambda names: F.map_from_arrays(
+        names, bind(values, lambda row: F.transform(names, lambda c, i: clean_value(F.get(row, i))))))
 
 
 def row_signature(columns: Column, cells: Column) -> Column:
-    return F.array_join(F.transform(columns, lambda c: clean_value(cells[c])), "|")
+    return bind(cells, lambda row: F.array_join(F.transform(columns, lambda c: clean_value(row[c])), "|"))
 
 
 def dedupe_first(rows: DataFrame, signature: Column, keys: tuple[str, ...] = ("doc_id", "candidate")) -> DataFrame:
@@ -122,19 +121,20 @@ def renumber_rows(rows: DataFrame, rows_per_block: int = 65536) -> DataFrame:
 def project_cells(expected: Column, columns: Column, cells: Column) -> Column:
     """Re-key a row to the expected columns: exact normalised name, else a name containing it."""
 
-    def value(keys: Column):
+    def values(names: Column, keys: Column, row: Column) -> Column:
         def one(e: Column) -> Column:
             def at(k: Column) -> Column:
                 loose = F.coalesce(F.array_min(F.transform(keys, lambda x, i: F.when(x.contains(k), i + 1))), F.lit(0))
                 exact = F.array_position(keys, k).cast("int")
-                return F.coalesce(F.get(columns, F.when(exact > 0, exact).otherwise(loose) - 1), e)
+                return F.coalesce(F.get(names, F.when(exact > 0, exact).otherwise(loose) - 1), e)
 
-            return clean_value(cells[bind(norm_key(e), at)])
+            return clean_value(row[bind(norm_key(e), at)])
 
         return F.transform(expected, one)
 
-    values = bind(F.transform(columns, norm_key), value)
-    return F.map_from_arrays(expected, values)
+    # Bound inputs: the optimizer may copy their definitions into the lambdas otherwise.
+    return F.map_from_arrays(expected, bind(columns, lambda names: bind(
+        F.transform(names, norm_key), lambda keys: bind(cells, lambda row: values(names, keys, row)))))
 
 
 def project_to_profile(rows: DataFrame, expected: list[str]) -> DataFrame:
@@ -210,14 +210,14 @@ def supplier_cells(names: Column, values: Column) -> Column:
     """Parallel header and value arrays to the eight supplier columns; the last match wins."""
     targets = F.split(F.lit("|".join(V.SUPPLIER_COLUMNS)), r"\|")
 
-    def place(heads: Column):
+    def place(heads: Column, row: Column) -> Column:
         def cell(target: Column) -> Column:
             at = F.array_max(F.transform(heads, lambda h, i: F.when(h == target, i)))
-            return F.coalesce(clean_cell(F.get(values, at)), F.lit(""))
+            return F.coalesce(clean_cell(F.get(row, at)), F.lit(""))
 
         return F.transform(targets, cell)
 
-    return F.map_from_arrays(targets, bind(names, place))
+    return F.map_from_arrays(targets, bind(names, lambda heads: bind(values, lambda row: place(heads, row))))
 
 
 def normalize_candidate_rows(rows: DataFrame) -> DataFrame:
@@ -231,11 +231,10 @@ def normalize_candidate_rows(rows: DataFrame) -> DataFrame:
 
 def commercial_cells(columns, cells) -> Column:
     """The 34 commercial columns, each the first non-empty source among its aliases."""
-    columns, cells = col(columns), col(cells)
-    filled = F.filter(
-        F.transform(columns, lambda c: F.struct(norm_key(c).alias("k"), clean_value(cells[c]).alias("v"))),
+    filled = bind(cells, lambda row: F.filter(
+        F.transform(col(columns), lambda c: F.struct(norm_key(c).alias("k"), clean_value(row[c]).alias("v"))),
         lambda s: s["v"] != "",
-    )
+    ))
     aliases = [V.COMMERCIAL_ALIASES.get(py_key(t), [py_key(t)]) for t in V.COMMERCIAL_COLUMNS]
     # One "|a|b|" text per target, so that the 34 targets are one expression over an array.
     wanted = F.split(F.lit(";".join("|" + "|".join(a) + "|" for a in aliases)), ";")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LETTER_OR_DIGIT, clean_cell
+from ..functions.text import alnum_count, bind, clean_cell
 from ..functions.values import supported_mime
 
 
@@ -49,17 +49,20 @@ def scan_pdf_text(raw_files: DataFrame) -> DataFrame:
     Literal strings first, then hexadecimal ones; useful segments are 3 to 1000 characters
     with at least 45 % letters or digits; repeats are kept once, in order.
     """
-    raw = F.decode("content", "ISO-8859-1")
-    literals = F.regexp_extract_all(raw, F.lit(r"\(((?:\\.|[^\\()]){2,}+)\)"), F.lit(1))
-    hexes = F.regexp_extract_all(raw, F.lit(r"<([0-9A-Fa-f]{8,})>"), F.lit(1))
-    segments = F.concat(F.transform(literals, _decode_literal), F.transform(hexes, _decode_hex))
-    cleaned = F.transform(segments, clean_cell)
+
+    def segments(raw: Column) -> Column:
+        literals = F.regexp_extract_all(raw, F.lit(r"\(((?:\\.|[^\\()]){2,}+)\)"), F.lit(1))
+        hexes = F.regexp_extract_all(raw, F.lit(r"<([0-9A-Fa-f]{8,}+)>"), F.lit(1))
+        return F.concat(
+            F.transform(literals, lambda x: clean_cell(F.when(x.contains("\\"), bind(x, _decode_literal)).otherwise(x))),
+            F.transform(hexes, lambda x: clean_cell(bind(x, _decode_hex))),
+        )
 
     def useful(s: Column) -> Column:
-        return F.length(s).between(3, 1000) & (F.regexp_count(s, F.lit(LETTER_OR_DIGIT)) / F.length(s) >= 0.45)
+        return F.length(s).between(3, 1000) & (alnum_count(s) / F.length(s) >= 0.45)
 
-    kept = F.array_distinct(F.filter(cleaned, useful))
-    return raw_files.select(
-        "doc_id", F.lit(1).alias("page_number"), F.array_join(kept, "\n").alias("text"),
-        F.size(kept).alias("segments"),
-    ).where(F.col("segments") > 0)
+    found = F.filter(bind(F.decode("content", "ISO-8859-1"), segments), useful)
+    page = bind(F.array_distinct(found), lambda kept: F.when(F.size(kept) > 0, F.struct(
+        F.array_join(kept, "\n").alias("text"), F.size(kept).alias("segments"))))
+    # ``inline`` drops documents without text and computes the page once.
+    return raw_files.select("doc_id", F.lit(1).alias("page_number"), F.inline(F.array_compact(F.array(page))))

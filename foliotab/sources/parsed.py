@@ -259,10 +259,10 @@ def parse_visual_json(df: DataFrame, text: str, expected: list[str] | None = Non
         ))
 
     df = df.withColumn("_keys", F.transform("columns", norm_key))
-    rows = F.transform(
-        F.filter(F.transform("_rows", lambda r: with_meta(r, F.col("_keys"))), lambda s: F.exists(s["values"], lambda v: v != "")),
-        lambda s: F.struct(F.map_from_arrays(F.col("columns"), s["values"]).alias("cells"), s["confidence"].alias("confidence"), s["warnings"].alias("warnings")),
-    )
+    found = bind("_keys", lambda keys: F.filter(
+        F.transform("_rows", lambda r: with_meta(r, keys)), lambda s: F.exists(s["values"], lambda v: v != "")))
+    rows = bind("columns", lambda names: F.transform(found, lambda s: F.struct(
+        F.map_from_arrays(names, s["values"]).alias("cells"), s["confidence"].alias("confidence"), s["warnings"].alias("warnings"))))
     return df.withColumns({
         "rows": rows,
         "success": F.coalesce(F.col("_v")["success"], F.lit(False)),
@@ -282,12 +282,12 @@ def parse_reviewed_table(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("columns", distinct_headers(F.coalesce(F.col("_v")["finalHeaders"], none)))
     df = df.withColumn("_keys", F.transform("columns", norm_key))
     kind = drop_controls(F.col("_v")["finalDocumentType"])
-    values = F.filter(
-        F.transform(F.coalesce(F.col("_v")["finalRows"], none), lambda r: _values_by_key(r, F.col("_keys"))),
+    values = bind("_keys", lambda keys: F.filter(
+        F.transform(F.coalesce(F.col("_v")["finalRows"], none), lambda r: _values_by_key(r, keys)),
         lambda vs: F.exists(vs, lambda v: v != ""),
-    )
+    ))
     return df.withColumns({
-        "rows": F.transform(values, lambda vs: F.map_from_arrays(F.col("columns"), vs)),
+        "rows": bind("columns", lambda names: F.transform(values, lambda vs: F.map_from_arrays(names, vs))),
         "confidence": normalize_confidence(F.col("_v")["confidence"]),
         "warnings": _texts(F.col("_v")["warnings"], 30),
         "corrections": _texts(F.col("_v")["correctionsApplied"], 30),
@@ -301,24 +301,24 @@ def flatten_layout_tables(df: DataFrame) -> DataFrame:
     Input: ``doc_id, text, pages array<struct<page_number, tables array<struct<header_rows,
     body_rows>>>>`` where a row is an array of cells and a cell an array of offset pairs.
     """
-    text = F.col("text")
 
-    def cell_text(cell: Column) -> Column:
+    def cell_text(text: Column, cell: Column) -> Column:
         parts = F.transform(
             cell, lambda s: F.substring(text, s["start_index"] + 1, s["end_index"] - s["start_index"])
         )
         return clean_value(F.array_join(parts, ""))
 
-    def row_text(row: Column) -> Column:
-        cells = F.transform(row, cell_text)
-        return F.when(F.exists(cells, lambda c: c != ""), F.array_join(cells, " | "))
+    def row_text(text: Column, row: Column) -> Column:
+        return bind(F.transform(row, lambda c: cell_text(text, c)), lambda cells: F.when(
+            F.exists(cells, lambda c: c != ""), F.array_join(cells, " | ")))
 
-    def table_lines(page: Column):
-        return lambda t, i: F.concat(
-            F.array(F.concat(F.lit("Pagina "), page["page_number"].cast("string"), F.lit(" Tabla "),
-                             (i + 1).cast("string"))),
-            F.array_compact(F.transform(F.concat(t["header_rows"], t["body_rows"]), row_text)),
-        )
+    def page_lines(text: Column, page: Column) -> Column:
+        title = lambda i: F.concat(
+            F.lit("Pagina "), page["page_number"].cast("string"), F.lit(" Tabla "), (i + 1).cast("string"))
+        return F.flatten(F.transform(page["tables"], lambda t, i: F.concat(
+            F.array(title(i)),
+            F.array_compact(F.transform(F.concat(t["header_rows"], t["body_rows"]), lambda r: row_text(text, r))),
+        )))
 
-    lines = F.flatten(F.transform("pages", lambda p: F.flatten(F.transform(p["tables"], table_lines(p)))))
+    lines = bind("text", lambda text: F.flatten(F.transform("pages", lambda p: page_lines(text, p))))
     return df.select("doc_id", trim_ws(F.array_join(lines, "\n")).alias("tables_text"))
