@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need a timestamp with time zone."""
+    return events.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
 def usage_dedupe_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop repeated event ids seen within the watermark delay."""
-    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def usage_daily_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Successes and errors per code and day; the month comes with every day row."""
-    counted = events.withWatermark("created_at", delay) if events.isStreaming else events
+    counted = _timed(events)
+    if events.isStreaming:
+        counted = counted.withWatermark("created_at", delay)
     daily = counted.groupBy(F.window("created_at", "1 day").alias("w"), "code_id").agg(
         F.count_if(F.col("status") == "success").alias("successes"),
         F.count_if(F.col("status") == "error").alias("errors"),
