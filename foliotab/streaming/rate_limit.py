@@ -18,10 +18,11 @@ _OUTPUT = "key string, event_id bigint, us bigint, window_count bigint, allowed
 class FixedWindow(StatefulProcessor):
     """State per key: start of the open window (microseconds) and events counted in it."""
 
-    def __init__(self, limit: int, window_us: int):
-        self.limit, self.window_us = limit, window_us
+    def __init__(self, limit: int, window_us: int, expire: bool):
+        self.limit, self.window_us, self.expire = limit, window_us, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "start bigint, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -36,8 +37,18 @@ class FixedWindow(StatefulProcessor):
                 n += 1
                 out.append((key[0], int(event_id), int(us), n, n <= self.limit, max(self.limit - n, 0), start + self.window_us))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
-        if start is not None:
-            self.window.update((start, n))
+        if start is None:
+            return
+        self.window.update((start, n))
+        if self.expire:
+            self.handle.registerTimer(-(-(start + self.window_us) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Drop the window once the watermark has passed its end."""
+        held = self.window.get()
+        if held is not None and held[0] + self.window_us <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.window.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in _OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -47,19 +58,22 @@ def rate_limit_stream(
     events: DataFrame,
     limit: int = V.RATE_LIMIT,
     window_seconds: int = V.RATE_WINDOW_SECONDS,
-    idle_ttl: str = "1 day",
+    watermark: str | None = None,
 ) -> DataFrame:
     """Decision per event of a stream ``key, event_id, ts``.
 
     Needs the RocksDB state store.  Events of one key must arrive in time order across
-    batches; within a batch they are sorted.  ``events`` may carry a watermark.
+    batches; within a batch they are sorted.  With a ``watermark`` delay, windows that ended
+    before it are removed from the state by event-time timers.
     """
-    del idle_ttl
-    keyed = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
-                          micros("ts").alias("us"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if watermark:
+        timed = timed.withWatermark("ts", watermark)
+    keyed = timed.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
+                         micros("ts").alias("us"), "ts")
     out = keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FixedWindow(limit, window_seconds * 1_000_000),
-        outputStructType=_OUTPUT, outputMode="Append", timeMode="None",
+        statefulProcessor=FixedWindow(limit, window_seconds * 1_000_000, bool(watermark)),
+        outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime" if watermark else "None",
     )
     return out.select(
         "key", "event_id", F.timestamp_micros("us").alias("ts"), "window_count", "allowed", "remaining",

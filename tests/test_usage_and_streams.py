@@ -83,14 +83,15 @@ def test_usage_dedupe_stream(spark, sf, tmp_path):
     assert run_stream(stream_usage.usage_dedupe_stream(stream), "deduped").count() == e.count()
 
 
-def test_rate_limit_stream(spark, tmp_path):
+@pytest.mark.parametrize("watermark", [None, "1 hour"])
+def test_rate_limit_stream(spark, tmp_path, watermark):
     events = make_events(60, 11)
     df = spark.createDataFrame(events, "key long, event_id long, ts timestamp")
     df.where("event_id < 30").coalesce(1).write.parquet(str(tmp_path / "in"))
     df.where("event_id >= 30").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     try:
-        out = run_stream(rate_limit.rate_limit_stream(stream, 5, 600), "limited").collect()
+        out = run_stream(rate_limit.rate_limit_stream(stream, 5, 600, watermark), f"limited_{bool(watermark)}").collect()
     except Exception as e:  # the state API needs protobuf in the Python worker
         if "protobuf" in str(e).lower() or "grpc" in str(e).lower():
             pytest.skip("protobuf is not installed")
