@@ -31,8 +31,11 @@ def rest(values: Column, start: Column) -> Column:
     return F.slice(values, start, F.greatest(F.size(values) - start + 1, F.lit(0)))
 
 
-def _anchor_rows(blocks: DataFrame, is_anchor, before: int, after: int, *keep: str) -> DataFrame:
-    """One row per anchor line: own line and the lines around it up to the next anchors."""
+def anchor_rows(blocks: DataFrame, is_anchor, before: int, after: int, *keep: str) -> DataFrame:
+    """One row per anchor line: own line and the lines around it up to the next anchors.
+
+    At most ``before`` lines above and ``after`` lines below; ``blocks`` needs a margin of both.
+    """
     lines = F.col("lines")
 
     def around(i: Column) -> Column:
@@ -67,7 +70,7 @@ def extract_roster(pages: DataFrame) -> DataFrame:
     Result: ``doc_id, block, pos, nth`` (document order) and the six roster columns.
     """
     blocks = line_blocks(pages, roster_lines, margin=8)
-    rows = _anchor_rows(blocks, lambda x: x["n"] > 0, 8, 8)
+    rows = anchor_rows(blocks, lambda x: x["n"] > 0, 8, 8)
     rows = rows.select(
         "doc_id", "block", (F.col("pos")).alias("pos"), F.col("line")["t"].alias("line"),
         F.col("line")["n"].alias("n"),
@@ -217,7 +220,7 @@ def extract_company_personnel(pages: DataFrame) -> DataFrame:
         carry={"carried_company": _last_of("company"), "carried_cuit": _last_of("cuit")},
     )
     blocks = _with_positions(blocks)
-    rows = _anchor_rows(
+    rows = anchor_rows(
         blocks, lambda x: x["dni"].isNotNull(), 8, 7, "company_at", "cuit_at", "carried_company", "carried_cuit"
     )
     seen = lambda field: F.element_at(

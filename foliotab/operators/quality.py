@@ -444,3 +444,29 @@ def output_kind(c) -> Column:
 
 def repairable(kind) -> Column:
     return ~col(kind).isin("empty", "html")
+
+
+def normalize_layout_output(outputs: DataFrame) -> DataFrame:
+    """Recorded answers for layout text: ``layout_status, columns, rows`` per document.
+
+    ``outputs``: ``doc_id, profile_id, raw_output``.  No rows is a failure; the movement
+    profile is projected, filtered and validated; other profiles pass through.
+    """
+    from ..sources.parsed import parse_model_json
+    from .tables import movement_row, project_cells
+
+    expected = _lits(V.MOVEMENT_COLUMNS)
+    parsed = parse_model_json(outputs, "raw_output")
+    projected = F.filter(
+        F.transform("rows", lambda r: project_cells(expected, F.col("columns"), r)), movement_row
+    )
+    movement = extraction_profile("profile_id") == "vision-table"
+    readable = F.col("parse_status").isin("OK", "CSV_LIKE")
+    empty = readable & (F.size("rows") == 0)
+    parsed = parsed.withColumn("_kept", F.when(readable & movement, projected).otherwise(F.col("rows")))
+    return parsed.withColumns({
+        "layout_status": F.when(~readable, F.col("parse_status"))
+        .when(empty, "ADVANCED_OCR_NORMALIZATION_EMPTY_ROWS")
+        .when(movement & (F.size("_kept") == 0), "PROFILE_NO_VALID_ROWS").otherwise("ok"),
+        "columns": F.when(movement, expected).otherwise(F.col("columns")),
+    }).withColumn("rows", F.col("_kept")).drop("_kept")

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    The data is written once and survives the loss of executors.  The folder comes from
-    ``spark.checkpoint.dir``; only where none is configured (tests) a temporary one is set.
+    Only where none is configured (tests) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="foliotab-checkpoint-"))
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isEmpty():
+        return found.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliotab-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result once to the shared checkpoint folder; it survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -165,8 +165,8 @@ def _own_names(values: Column, keys: Column) -> Column:
     return F.size(F.filter(F.transform(values, lambda v, i: norm_key(v) == F.get(keys, i)), lambda same: same))
 
 
-def filter_movement_rows(rows: DataFrame) -> DataFrame:
-    """Keep movement rows that hold data and are neither watermark, garbage nor header."""
+def movement_row(cells) -> Column:
+    """The row holds movement data and is neither watermark, garbage nor header."""
     expected = F.array(*[F.lit(c) for c in V.MOVEMENT_COLUMNS])
     keys = F.array(*[F.lit(py_key(c)) for c in V.MOVEMENT_COLUMNS])
 
@@ -179,8 +179,12 @@ def filter_movement_rows(rows: DataFrame) -> DataFrame:
         )
 
     # One reference to ``cells``: a pushed-down filter would otherwise copy its definition.
-    values = bind("cells", lambda cells: F.transform(expected, lambda c: clean_value(cells[c])))
-    return rows.where(bind(values, keep))
+    values = bind(cells, lambda row: F.transform(expected, lambda c: clean_value(row[c])))
+    return bind(values, keep)
+
+
+def filter_movement_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(movement_row("cells"))
 
 
 # --- supplier headers ------------------------------------------------------
