@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import bind, norm_punct, page_lines, py_punct, trim_ws
 from ..functions.values import extract_date, extract_reference
-from .blocks import page_block
+from .blocks import line_blocks, page_block
 from .ordered import carry_last, first_rows, running_sums
 from .storage import materialize
 
@@ -24,7 +24,11 @@ def _positions(pages: DataFrame) -> DataFrame:
 
 
 def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
-    """Distinct markers per document in the normalised text, also across page ends."""
+    """Distinct markers per document in the normalised text, also across page ends.
+
+    A page is reduced to its hits and its two ends where it is read; a marker cut by page
+    ends is found in the ends of up to five consecutive non-blank pages.
+    """
     width = max(len(m) for m in markers)
 
     def found(t: Column) -> Column:
@@ -34,14 +38,19 @@ def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
         ends = [F.left(t, F.lit(width)).alias("h"), F.right(t, F.lit(width)).alias("e")]
         return F.when(t != "", F.struct(found(t).alias("hits"), *ends))
 
-    slim = pages.select("doc_id", "page_number", bind(norm_punct("text"), facts).alias("f"))
-    slim = slim.where(F.col("f").isNotNull()).select("doc_id", "page_number", "f.*")
-    doc = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(-4, -1)
-    seam = F.concat_ws(" ", F.array_join(F.collect_list("e").over(doc), " "), "h")
-    hits = slim.select("doc_id", "hits", seam.alias("seam")).select(
-        "doc_id", F.explode(F.concat("hits", bind("seam", found))).alias("marker")
-    )
-    return hits.groupBy("doc_id").agg(F.size(F.collect_set("marker")).alias("markers"))
+    page = lambda text: F.array_compact(F.array(bind(norm_punct(text), facts)))
+    blocks = line_blocks(pages, page, margin=4)
+    lines, first, last = F.col("lines"), F.col("first"), F.col("last")
+
+    def seam(i: Column) -> Column:
+        lo = F.greatest(i - 4, F.lit(1))
+        before = F.transform(F.slice(lines, lo, i - lo), lambda x: x["e"])
+        return bind(F.concat_ws(" ", before, F.get(lines, i - 1)["h"]), found)
+
+    hits = F.flatten(F.transform(F.slice(lines, first, last - first + 1), lambda x: x["hits"]))
+    seams = F.flatten(F.transform(F.sequence(first, last), seam))
+    each = blocks.select("doc_id", F.explode(F.array_distinct(F.concat(hits, seams))).alias("marker"))
+    return each.groupBy("doc_id").agg(F.size(F.collect_set("marker")).alias("markers"))
 
 
 # --- annex -----------------------------------------------------------------
