@@ -20,6 +20,29 @@ def page_block(page) -> Column:
     return F.floor((F.col(page) - 1) / PAGES_PER_BLOCK)
 
 
+def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id, block, _own``: the lines of each block in page order; the one text shuffle."""
+    per_page = (
+        pages.select("doc_id", "page_number", page_block("page_number").alias("block"),
+                     lines_of(F.col("text")).alias("lines"))
+        .where(F.size("lines") > 0)
+    )
+    return per_page.groupBy("doc_id", "block").agg(
+        F.sort_array(F.collect_list(F.struct("page_number", "lines"))).alias("_p")
+    ).select("doc_id", "block", F.flatten(F.transform("_p", lambda x: x["lines"])).alias("_own"))
+
+
+def numbered_lines(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id, block, pos, line``: every line with its 0-based place in the document."""
+    own = _own_blocks(pages, lines_of)
+    earlier = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = own.select("doc_id", "block", F.size("_own").alias("_n")).select(
+        "doc_id", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
+    )
+    placed = own.join(offsets, ["doc_id", "block"]).select("doc_id", "block", "_offset", F.posexplode("_own").alias("_p", "line"))
+    return placed.select("doc_id", "block", (F.col("_offset") + F.col("_p")).alias("pos"), "line")
+
+
 def line_blocks(
     pages: DataFrame,
     lines_of: Callable[[Column], Column],
@@ -33,14 +56,7 @@ def line_blocks(
     strings and runs where the page is read, before any shuffle.
     """
     carry = carry or {}
-    per_page = (
-        pages.select("doc_id", "page_number", page_block("page_number").alias("block"),
-                     lines_of(F.col("text")).alias("lines"))
-        .where(F.size("lines") > 0)
-    )
-    own = per_page.groupBy("doc_id", "block").agg(
-        F.sort_array(F.collect_list(F.struct("page_number", "lines"))).alias("_p")
-    ).select("doc_id", "block", F.flatten(F.transform("_p", lambda x: x["lines"])).alias("_own"))
+    own = _own_blocks(pages, lines_of)
 
     # Both uses of ``own`` share one exchange: pages are read and cleaned once.
     lines = F.col("_own")

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import bind, norm_punct, page_lines, py_punct, trim_ws
 from ..functions.values import extract_date, extract_reference
-from .blocks import line_blocks, page_block
-from .ordered import carry_last, first_rows, running_sums
+from .blocks import line_blocks, numbered_lines
+from .ordered import carry_last, first_rows
 from .storage import materialize
 
 
 def _positions(pages: DataFrame) -> DataFrame:
-    """``doc_id, block, page_number, pos, line`` with a dense line position per document."""
-    per_page = pages.select("doc_id", "page_number", page_block("page_number").alias("block"), page_lines("text").alias("lines"))
-    placed = running_sums(per_page, ["doc_id"], "block", ["page_number"], {"offset": F.size("lines")})
-    return placed.select("doc_id", "block", "page_number", "offset", F.posexplode("lines").alias("p", "line")).select(
-        "doc_id", "block", "page_number", (F.col("offset") + F.col("p")).alias("pos"),
-        (F.col("p") + 1).alias("line_no"), "line",
-    )
+    """``doc_id, block, page_number, pos, line_no, line`` with a dense position per document."""
+    lines = lambda text: F.transform(page_lines(text), lambda x, i: F.struct(
+        F.col("page_number").alias("page_number"), (i + 1).alias("line_no"), x.alias("line")))
+    return numbered_lines(pages, lines).select("doc_id", "block", "pos", "line.*")
 
 
 def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
@@ -78,13 +75,13 @@ def join_wrapped_lines(pages: DataFrame) -> DataFrame:
 
 def extract_annex_rows(pages: DataFrame) -> DataFrame:
     """Rows of a known annex table: at least five markers and three parsed rows."""
-    docs = document_markers(pages, V.ANNEX_MARKERS).where(F.col("markers") >= 5)
+    docs = materialize(document_markers(pages, V.ANNEX_MARKERS).where(F.col("markers") >= 5).select("doc_id"))
     lines = join_wrapped_lines(pages.join(docs, "doc_id", "left_semi"))
     hit = lines.where(F.col("line").rlike(V.ANNEX_ROW))
     group = lambda i: trim_ws(F.regexp_extract("line", V.ANNEX_ROW, i))
-    rows = hit.select(
+    rows = materialize(hit.select(
         "doc_id", "pos", *[group(i + 1).alias(c) for i, c in enumerate(V.ANNEX_COLUMNS)]
-    )
+    ))
     enough = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= 3)
     return rows.join(enough.select("doc_id"), "doc_id", "left_semi")
 
@@ -182,10 +179,10 @@ def extract_sections(pages: DataFrame) -> DataFrame:
     The current section carries across lines and pages.
     """
     markers = [py_punct(m) for m in V.SECTION_MARKERS]
-    docs = document_markers(pages, markers).where(F.col("markers") >= 4)
+    docs = materialize(document_markers(pages, markers).where(F.col("markers") >= 4).select("doc_id"))
     rows = section_rows(pages.join(docs, "doc_id", "left_semi"))
     rows = first_rows(rows, ["doc_id", *V.SECTION_COLUMNS], ["pos"])
-    rows = rows.where((F.col("Detalle") != "") | (F.col("Valor") != ""))
+    rows = materialize(rows.where((F.col("Detalle") != "") | (F.col("Valor") != "")))
     enough = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= 10)
     return rows.join(enough.select("doc_id"), "doc_id", "left_semi")
 
@@ -201,11 +198,11 @@ def local_fallback(pages: DataFrame) -> DataFrame:
     """Rows from the first method that yields any: annex, then sections, then plain lines.
 
     ``doc_id, source, result_quality, pos, cells``.  Each later method only sees the documents
-    the earlier ones left, so the rows of a method are stored before the next one starts.
+    the earlier ones left, and parsed rows are stored, so no text is parsed twice.
     """
-    annex = materialize(extract_annex_rows(pages))
+    annex = extract_annex_rows(pages)
     left = pages.join(annex.select("doc_id").distinct(), "doc_id", "left_anti")
-    sections = materialize(extract_sections(left))
+    sections = extract_sections(left)
     plain = left.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
     numbered = _positions(plain)
     lines = numbered.select("doc_id", "pos", F.create_map(
