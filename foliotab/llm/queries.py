@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,5 +17,19 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf, "labels")))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
+    out = sharding.shard(_table(spark, sf, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_shards": op4_shards,
+}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.SQL}
