@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,9 +28,14 @@ def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_shards": op4_shards,
+    "op6_packing": op6_packing,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.SQL}
