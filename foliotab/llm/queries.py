@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding
+from . import mixing, packing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,10 +32,15 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_shards": op4_shards,
     "op6_packing": op6_packing,
+    "op8_secret_scans": op8_secret_scans,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.SQL}
