@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, sharding
+from . import language, mixing, packing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +46,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_shards": op4_shards,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op8_secret_scans": op8_secret_scans,
 }
