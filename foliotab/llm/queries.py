@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, secrets, sharding
+from . import language, mixing, packing, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _held_out() -> Column:
+    """Rows that nothing may be learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf, "labels")))
@@ -31,13 +36,20 @@ def op4_shards(spark: SparkSession, sf: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     found = language.predict(docs, language.train(docs))
-    return found.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, _table(spark, sf, "labels")))
+    return found.select("doc_id", _held_out().alias("held_out"), "score",
+                        (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"), "n_hits", "weight")
+
+
 def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(_table(spark, sf, "documents"))
 
@@ -48,6 +60,7 @@ QUERIES = {
     "op4_shards": op4_shards,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.SQL}
