@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, secrets, sharding, toxicity
+from . import extraction, language, mixing, packing, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(_table(spark, sf, "documents"))
 
 
+def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
@@ -62,5 +66,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
+    "op10_html_main_text": op10_html_main_text,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.SQL}
