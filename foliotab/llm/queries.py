@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, language, mixing, packing, quality, secrets, sharding, toxicity
+from . import extraction, language, mixing, near_dup, packing, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf, "labels")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +64,7 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op4_shards": op4_shards,
     "op5_language_id": op5_language_id,
