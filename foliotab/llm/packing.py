@@ -19,9 +19,10 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,44 +37,49 @@ from .shared import stored
 WINDOW, END_ID = 2048, 1
 #: Combinations use classes this wide, of remainders from this length; shorter ones fill what is left.
 CLASS_WIDTH, SHORTEST = 16, 256
-CACHE_WORDS, CELLS = 200_000, 256
+CELLS = 256
 PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Ids:
-    """Token ids of whole texts, looked up by the stretches between single spaces.
+    """Token ids of whole texts under a byte-level BPE file of the ``tokenizers`` library.
 
-    Byte-level BPE never joins text across a space that stands between two other characters, so such
-    stretches can be encoded apart and kept. Texts with other spacing are encoded as a whole.
+    The file's ids are its merge ranks, which a rank-based encoder turns into the same ids in a third of
+    the time. The two are compared on a probe text when the file is loaded; if a file's ids are no ranks,
+    its own library encodes.
     """
 
+    PROBE = "It's 12,5 km -- naïve façade, 東京! \t\n  (she'll) <|x|>  end \u00a0 "
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
+        self.ranked = self._ranked(path)
+        if self.ranked and self.ranked.encode_ordinary(self.PROBE) != self.own.encode(self.PROBE, add_special_tokens=False).ids:
+            self.ranked = None
+
+    @staticmethod
+    def _ranked(path: str):
+        import public_tokenizers
+        import tiktoken
+
+        model = json.loads(Path(path).read_text())
+        if model["model"]["type"] != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("normalizer"):
+            return None
+        special = {t["content"] for t in model["added_tokens"]}
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = text.split(" ")
-        if len(parts) < 4 or not all(parts):
-            return np.array(self._encode([text])[0], np.uint32)
-        if any(p[0].isspace() or p[-1].isspace() for p in parts if not (p[0] > " " and p[-1] > " ") or p[0] > "\x7f" or p[-1] > "\x7f"):
-            return np.array(self._encode([text])[0], np.uint32)
-        known, first = self.known, parts[0]
-        missing = [p for p in set(parts[1:]) if p not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(set(parts[1:]))
-            for p, ids in zip(missing, self._encode([" " + p for p in missing])):
-                known[p] = ids
-        head = self._encode([first])[0]
-        return np.fromiter(chain(head, chain.from_iterable(map(known.__getitem__, parts[1:]))), np.uint32)
+        if self.ranked:
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -87,7 +93,8 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             out: list[list] = [[] for _ in range(6)]
             texts = pc.fill_null(batch.column(2), "")
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                ids = np.append(ids_of(text.as_py()), np.uint32(END_ID)).astype("<u4")
+                ids = ids_of(text.as_py())
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for at in range(0, len(ids), window):
                     piece = ids[at:at + window]
                     for column, value in zip(out, (doc, row, at, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
