@@ -135,3 +135,17 @@ SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, floor
  + greatest(0, least(start + size + source_size, floor(target)::BIGINT) - start - source_size)
  + greatest(0, least(start + size + 2 * source_size, floor(target)::BIGINT) - start - 2 * source_size))::BIGINT AS taken FROM p
 """
+
+
+def mixed(docs: DataFrame, block: int = BLOCK_WORDS, repeats: int = MOST_REPEATS) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, to the nearest whole time.
+
+    Only the one document of each source at which its target is cut can be taken in part.
+    """
+    plan = mix(docs, block, repeats).groupBy("doc_id", "source", "size").agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("times")).where("times > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), size.alias("words"))
+    joined = rows.join(plan, F.col("doc.doc_id").eqNullSafe(plan["doc_id"]) & F.col("doc.source").eqNullSafe(plan["source"])
+                       & (F.col("words") == plan["size"]))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, language, mixing, near_dup, packing, quality, secrets, sharding, toxicity
+from . import extraction, language, mixing, near_dup, packing, quality, secrets, sharding, toxicity, vector_dup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(_table(spark, sf, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dup.near_vectors(_table(spark, sf, "embeddings"))
+
+
 def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(_table(spark, sf, "pages"))
 
@@ -71,6 +75,11 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
+    "op9_near_vectors": op9_near_vectors,
     "op10_html_main_text": op10_html_main_text,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": near_dup.SQL,
+    "op3_mix_sources": mixing.SQL,
+    "op9_near_vectors": vector_dup.SQL,
+}
