@@ -1,26 +1,24 @@
 """Shards of nearly equal bytes by Karmarkar-Karp differencing of indivisible groups of equal texts.
 
-A partial partition holds one byte sum for each shard. The two with the largest spread are combined
-again and again, one in rising and the other in falling order. Groups are dealt by hash into parts of
-bounded size; each part is differenced in a task of its own, and the parts' partial partitions are
-differenced in further rounds until one remains. Only sums travel between rounds; documents learn
-their shard by joins.
+A partial partition holds one byte sum for each shard. The two with the largest spread are combined again
+and again, one in rising and the other in falling order. What is differenced are nodes: each group above
+a hundredth of a fair share is a node of its own, smaller groups are bundled by hash into a fixed number
+of nodes, so that groups stay whole and the number of nodes is bounded whatever the table. Only node sums
+reach the driver, and only the shard of each node goes back, as a broadcast of the same bound.
 
 A group larger than a fair share cannot go into one shard: it is cut by the hash of the id into pieces
-of less than a share. At most as many groups as there are shards can be that large, so the list of
-them is broadcast.
+of less than a share.
 
-Defined cases: a null text has 16 bytes, the CRC of an empty text and a group of its own; null ids are allowed;
-repeated rows are separate rows of one group; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text has 16 bytes, the CRC of an empty text and a group of its own; null ids are
+allowed; repeated rows are separate rows of one group; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ from foliotab.operators.ordered import number_rows
 
 from .shared import stored
 
-SHARDS, ROW_BYTES, PART_NODES, CELLS = 40, 16, 4096, 512
+SHARDS, ROW_BYTES, BUNDLES, LARGE, CELLS = 40, 16, 1 << 14, 100, 512
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,64 +61,34 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return made[-1], final[:n]
 
 
-def _groups_of_part(shards: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "h", "crc", "size", "piece"]).reset_index(drop=True)
-        sums = np.zeros((len(rows), shards), np.int64)
-        sums[:, -1] = rows["bytes"]
-        _, places = difference(sums)
-        return rows.assign(place=places[:, -1].astype(np.int64))[["h", "crc", "size", "piece", "bytes", "part", "place"]]
-
-    return run
-
-
-def _parts_of_part(shards: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part").reset_index(drop=True)
-        total, places = difference(np.array(rows["sums"].tolist(), np.int64).reshape(len(rows), shards))
-        n = len(rows)
-        return pd.DataFrame({"part": np.repeat(rows["part"].to_numpy(), shards), "up": np.repeat(rows["up"].to_numpy(), shards),
-                             "place": np.tile(np.arange(shards), n), "to": places.reshape(-1).astype(np.int64),
-                             "total": np.tile(total, n)[np.arange(n * shards)]})
-
-    return run
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", part_nodes: int = PART_NODES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (from 0 within the shard) of every document."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("crc"), F.xxhash64(text_col, F.col(text_col).isNull()).alias("h")))
-    groups = rows.groupBy("h", "crc", "size").agg(F.sum("size").alias("bytes"))
-    facts = groups.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
-    share = (facts.bytes or 0) / shards
-    large = groups.where(F.col("bytes") > share).select(
-        "h", "crc", "size", F.ceil(F.col("bytes") * 1.25 / max(share, 1)).alias("pieces"))
     key = ["h", "crc", "size"]
-    # Fewer than `shards` groups can be larger than a share: the broadcast has at most that many rows.
-    rows = rows.join(F.broadcast(large), key, "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
-    parts = max(1, math.ceil((facts.n + shards) / part_nodes))
-    nodes = rows.groupBy(*key, "piece").agg(F.sum("size").alias("bytes"))
-    nodes = nodes.withColumn("part", F.pmod(F.xxhash64(*key, "piece"), F.lit(parts)))
-    placed = stored(nodes.groupBy("part").applyInPandas(
-        _groups_of_part(shards), "h long, crc long, size long, piece long, bytes long, part long, place long"))
-    where = placed.select(*key, "piece", "part", "place")
-    sums = placed.groupBy("part", "place").agg(F.sum("bytes").alias("bytes"))
-    while True:
-        parts = math.ceil(parts / part_nodes)
-        filled = sums.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("place", "bytes"))).alias("m"))
-        filled = filled.select("part", F.floor(F.col("part") / part_nodes).alias("up"), F.transform(
-            F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0).cast("long"))).alias("sums"))
-        step = stored(filled.groupBy("up").applyInPandas(_parts_of_part(shards), "part long, up long, place long, `to` long, total long"))
-        where = where.join(step.select("part", "place", "up", "to"), ["part", "place"]).select(
-            *key, "piece", F.col("up").alias("part"), F.col("to").alias("place"))
-        if parts == 1:
-            break
-        sums = step.groupBy(F.col("up").alias("part"), F.col("place")).agg(F.first("total").alias("bytes"))
-    out = rows.join(where.select(*key, "piece", F.col("place").alias("shard")), [*key, "piece"])
+    groups = rows.groupBy(*key).agg(F.sum("size").alias("bytes"))
+    share = max((rows.agg(F.sum("size").alias("bytes")).first().bytes or 0) / shards, 1.0)
+    pieces = F.when(F.col("bytes") > share, F.ceil(F.col("bytes") * 1.25 / share)).otherwise(1)
+    # At most LARGE * shards groups can be larger than a share / LARGE: that bounds the broadcast.
+    large = groups.where(F.col("bytes") > share / LARGE).select(*key, pieces.alias("pieces"))
+    rows = rows.join(F.broadcast(large), key, "left")
+    piece = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces"))
+    rows = rows.withColumn("large", F.when(F.col("pieces").isNotNull(), F.struct(*key, piece.alias("piece"))))
+    rows = rows.withColumn("bundle", F.when(F.col("large").isNull(), F.pmod(F.xxhash64(*key), F.lit(bundles)))).drop("pieces")
+    nodes = rows.groupBy("bundle", "large").agg(F.sum("size").alias("bytes")).select("bundle", "large.*", "bytes")
+    found = nodes.orderBy("bytes", "bundle", *key, "piece").toArrow()  # at most bundles + 3 * LARGE * shards rows
+    sums = np.zeros((found.num_rows, shards), np.int64)
+    sums[:, -1] = found.column("bytes")
+    place = difference(sums)[1][:, -1] if found.num_rows else np.zeros(0, np.int64)
+    seats = list(zip(*(found.column(c).to_pylist() for c in ("bundle", *key, "piece")), place.tolist()))
+    table = spark.createDataFrame(seats, "bundle long, h long, crc long, size long, piece long, shard int")
+    bundled = table.where("bundle is not null").select("bundle", "shard")
+    single = table.where("bundle is null").select(F.struct(*key, "piece").alias("large"), F.col("shard").alias("own"))
+    out = rows.join(F.broadcast(bundled), "bundle", "left").join(F.broadcast(single), "large", "left")
+    out = out.select("doc_id", "size", "crc", "h", F.coalesce("own", "shard").alias("shard"))
     out = out.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
     out = number_rows(out, ["shard"], "cell", ["doc_id", "h"], "slot")
-    return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"),
-                      (F.col("slot") - 1).cast("long").alias("slot"))
+    return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("slot") - 1).cast("long").alias("slot"))
