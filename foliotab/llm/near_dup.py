@@ -2,9 +2,10 @@
 
 A document's set holds its distinct five-word shingles. Documents with the same words are one class and
 are compared once. Bands of four of 128 MinHash samples put classes into buckets; classes of similarity
-0.75 share no bucket with probability below 1e-5. The samples are also folded into a 512-bit odd sketch:
-the population count of the XOR of two sketches estimates high similarities closely, and only pairs
-estimated at 0.5 or more (over five standard deviations below 0.75) have their sets compared.
+0.75 share no bucket with probability below 1e-5. One-permutation MinHash samples in 1,024 bins are folded
+into an odd sketch of 2,048 parity bits: the population count of the XOR of two sketches estimates how many
+samples differ, with a standard deviation of the similarity below 0.015, and less for short texts. Only
+pairs that may reach 0.68 have their sets compared.
 
 No bucket is expanded into all pairs. Every member is first compared with the bucket's smallest id, best
 pairs first; the links found give components. Only members outside a bucket's main component are then
@@ -18,7 +19,6 @@ have no component; an empty table gives an empty result; other columns are not r
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +30,14 @@ from .components import components
 from .shared import stored
 from .words import Words, mix, pieces, windows
 
-#: Words of a shingle, MinHash samples, samples of a band, bits of a sketch, similarity in hundredths, estimate that is checked.
-SHINGLE, SAMPLES, BAND, SKETCH_BITS, SIMILAR, CHECK_FROM = 5, 128, 4, 512, 75, 0.5
-_LONGS = SKETCH_BITS // 64
+#: Words of a shingle, MinHash samples and samples of a band, bins and bits of a sketch, similarity in hundredths,
+#: estimate that is checked, and bits of the fixed-size filter of wanted ids.
+SHINGLE, SAMPLES, BAND, BINS, SKETCH_BITS, SIMILAR, CHECK_FROM, FILTER_BITS = 5, 128, 4, 1024, 2048, 75, 0.68, 1 << 25
+_LONGS, _BITMAP = SKETCH_BITS // 64, 1 << 15
 _random = np.random.default_rng(424242)
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEAT = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 SKETCH = [f"s{i}" for i in range(_LONGS)]
-_PRINT = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+_PRINT = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, filled long, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -73,10 +73,18 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Parity of the number of samples that fall on each bit."""
-    bits = np.bincount((mix(least + _SEAT) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of bins with a sample, and parity of the number of samples that fall on each bit.
+
+    The sample of a bin is its smallest value under one permutation of all shingles.
+    """
+    values = np.sort(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)))
+    bins = values >> np.uint64(64 - BINS.bit_length() + 1)
+    first = np.ones(len(values), bool)
+    first[1:] = bins[1:] != bins[:-1]
+    seats = (mix(values[first]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits = np.bincount(seats, minlength=SKETCH_BITS) & 1
+    return int(first.sum()), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -84,7 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, keys, bands, sketches = [], [], [], []
+            size, keys, bands, filled, sketches = [], [], [], [], []
             texts = batch.column(1)
             for row, found in shingle_sets(texts):
                 size.append(len(found))
@@ -92,7 +100,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 least = samples(found)
                 bands.append(band_keys(least) if len(found) else np.zeros(0, np.int64))
-                sketches.append(odd_sketch(least))
+                bins, sketch = odd_sketch(found)
+                filled.append(bins)
+                sketches.append(sketch)
             key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             sketch = np.array(sketches).reshape(-1, _LONGS)
             at = np.zeros(len(bands) + 1, np.int32)
@@ -100,29 +110,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]),
                  pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))),
-                 *[pa.array(sketch[:, i].copy()) for i in range(_LONGS)]],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", *SKETCH])
+                 pa.array(filled, pa.int64()), *[pa.array(sketch[:, i].copy()) for i in range(_LONGS)]],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", "filled", *SKETCH])
 
     return docs.mapInArrow(run, _PRINT)
 
 
-def estimate() -> Column:
-    """Similarity estimated from sketch columns s0.. and t0.. by the population count of their XOR."""
-    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(s.replace("s", "t")))) for s in SKETCH), F.lit(0))
-    share = F.greatest(1 - 2 * differ / F.lit(float(SKETCH_BITS)), F.lit(1e-6))
-    return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(share)
+def _sketched(classes: DataFrame, name: str, letter: str) -> DataFrame:
+    """Sketch columns under the given id name and letter."""
+    return classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"{letter}_n"), F.col("filled").alias(f"{letter}_filled"),
+                          *[F.col(s).alias(f"{letter}_{s}") for s in SKETCH])
 
 
-#: estimate() >= CHECK_FROM in terms of differing bits.
-MOST_DIFFERING = int(SKETCH_BITS * (1 - math.exp((CHECK_FROM - 1) * 4 * SAMPLES / SKETCH_BITS)) / 2)
+def estimate() -> Column:
+    """Similarity estimated from the sketch columns s_ and t_, for pairs near ``CHECK_FROM``.
+
+    Samples shared = half of the samples of both less those that differ; the number of bins that the union
+    fills follows from its size at that similarity.
+    """
+    bits = sum((F.bit_count(F.col(f"s_{s}").bitwiseXOR(F.col(f"t_{s}"))) for s in SKETCH), F.lit(0))
+    differ = F.log(F.greatest(1 - 2 * bits / F.lit(float(SKETCH_BITS)), F.lit(1e-6))) * F.lit(-SKETCH_BITS / 2)
+    shared = (F.col("s_filled") + F.col("t_filled") - differ) / 2
+    union = F.lit(float(BINS)) * (1 - F.exp((F.col("s_n") + F.col("t_n")) * F.lit(-1 / ((1 + CHECK_FROM) * BINS))))
+    return shared / union
 
 
 def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches allow the similarity, with the estimate."""
-    first = classes.select(F.col("id").alias("a"), *SKETCH)
-    second = classes.select(F.col("id").alias("b"), *[F.col(s).alias(s.replace("s", "t")) for s in SKETCH])
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", estimate().alias("estimate"))
-    return both.where(F.col("estimate") >= CHECK_FROM)
+    both = pairs.join(_sketched(classes, "b", "t"), "b").join(_sketched(classes, "a", "s"), "a")
+    return both.select("a", "b", estimate().alias("estimate")).where(F.col("estimate") >= CHECK_FROM)
+
+
+def bodies_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts of the ids in pairs (a, b).
+
+    The wanted ids first go into a bitmap of fixed size (FILTER_BITS, 4 MB), broadcast to the scan, so that
+    few other texts are shuffled; the exact join follows.
+    """
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = wanted.select(F.floor(place("id") / _BITMAP).alias("part"), (place("id") % _BITMAP).alias("bit")).groupBy("part").agg(
+        F.bitmap_construct_agg("bit").alias("map"))
+    part, bit = F.floor(place("doc_id") / _BITMAP), place("doc_id") % _BITMAP
+    found = texts.withColumn("part", part).withColumn("bit", bit).join(F.broadcast(maps), "part")
+    byte = F.conv(F.hex(F.substring("map", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "text")
+    return stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("id", "text"))
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -154,14 +187,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = stored(fingerprints(texts))
     classes = stored(prints.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SKETCH]))
+        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "n_shingles", "filled", *SKETCH)]))
     placed = classes.select("id", F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").drop("last")
     members = stored(placed.join(buckets, "band"))
     star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     candidates = stored(screened(star, classes))
-    needed = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    bodies = stored(texts.join(needed, texts["doc_id"] == needed["id"]).select("id", "text"))
+    bodies = bodies_of(texts, candidates)
 
     best = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
     ranked = candidates.withColumn("rank", F.row_number().over(best))
@@ -178,9 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rest = stored(screened_rest(members, found, classes).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        needed = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
-        bodies = stored(texts.join(needed, texts["doc_id"] == needed["id"]).select("id", "text"))
-        found = components(links.unionByName(stored(confirmed(rest, bodies))))
+        found = components(links.unionByName(stored(confirmed(rest, bodies_of(texts, rest)))))
 
     of_class = classes.select("k1", "k2", "id").join(found, "id", "left").select(
         "k1", "k2", F.coalesce("component", "id").alias("component"))
@@ -200,13 +230,13 @@ def screened_rest(members: DataFrame, found: DataFrame, classes: DataFrame) -> D
     open_ = labelled.join(split, "band")
     mains = open_.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"))
-    open_ = stored(open_.join(mains, "band").join(classes.select("id", *SKETCH), "id"))
-    outside = open_.where("component != main").select(
-        "band", F.col("id").alias("x"), F.col("component").alias("cx"), "main", *[F.col(s).alias(s.replace("s", "t")) for s in SKETCH])
-    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(s.replace("s", "t")))) for s in SKETCH), F.lit(0))
-    inside = open_.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), *SKETCH)
-    pairs = outside.join(inside, (outside["band"] == inside["band"]) & (F.col("cx") != F.col("cy"))
-                         & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (differ <= MOST_DIFFERING + 1))
+    open_ = stored(open_.join(mains, "band"))
+    outside = open_.where("component != main").select("band", F.col("id").alias("x"), F.col("component").alias("cx"), "main")
+    outside = outside.join(_sketched(classes, "x", "s"), "x")
+    inside = open_.select(F.col("band").alias("y_band"), F.col("id").alias("y"), F.col("component").alias("cy"))
+    inside = inside.join(_sketched(classes, "y", "t"), "y")
+    pairs = outside.join(inside, (F.col("band") == F.col("y_band")) & (F.col("cx") != F.col("cy"))
+                         & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (estimate() >= CHECK_FROM))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -73,14 +73,19 @@ def test_near_copies_edge_rows(spark):
     assert kept.columns == docs.columns and ids.count(5) == 1 and 6 not in ids and 9 not in ids
 
 
-def test_sketch_estimate(spark):
+@pytest.mark.parametrize("size", [40, 600, 20_000])
+def test_sketch_estimate(spark, size):
     rng = np.random.default_rng(5)
-    for share in (0.75, 0.9, 1.0):
-        both = rng.integers(0, 1 << 63, int(1000 * share), dtype=np.uint64)
-        sets = [np.concatenate([both, rng.integers(0, 1 << 63, (1000 - len(both)) // 2, dtype=np.uint64)]) for _ in range(2)]
-        a, b = (near_dup.odd_sketch(near_dup.samples(s)) for s in sets)
-        row = {f"s{i}": int(v) for i, v in enumerate(a)} | {f"t{i}": int(v) for i, v in enumerate(b)}
-        assert spark.createDataFrame([row]).select(near_dup.estimate()).first()[0] == pytest.approx(share, abs=0.15)
+    for similarity in (0.7, 0.75, 0.9, 1.0):
+        shared = round(2 * size * similarity / (1 + similarity))
+        both = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        row = {}
+        for letter in "st":
+            filled, sketch = near_dup.odd_sketch(np.concatenate([both, rng.integers(0, 1 << 63, size - shared, dtype=np.uint64)]))
+            row |= {f"{letter}_n": size, f"{letter}_filled": filled} | {f"{letter}_s{i}": int(v) for i, v in enumerate(sketch)}
+        exact = shared / (2 * size - shared)
+        got = spark.createDataFrame([row]).select(near_dup.estimate()).first()[0]
+        assert got > min(exact, 0.75) - 0.06 and (similarity > 0.75 or got < exact + 0.06)
 
 
 def test_components_of_chains_and_stars(spark):
