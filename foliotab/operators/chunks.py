@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import trim_ws
-from ..functions.values import format_page_range
+from ..functions.text import TRIM_CHARS, trim_ws
 from .tables import chunk_error_cells
 
 
@@ -17,57 +19,66 @@ def over_page_limit(pages: DataFrame, max_pages: int = V.MAX_PAGES) -> DataFrame
     return counts.where(F.col("pages") > max_pages)
 
 
+_COLUMNS = ["doc_id", "chunk_index", "page_range", "pages", "text", "status"]
+_CHUNK = "doc_id {kind}, chunk_index int, page_range string, pages array<int>, text string, status string"
+
+
 def chunk_pages(
     pages: DataFrame,
     max_chars: int = V.CHUNK_CHARS,
-    max_pages: int = V.MAX_PAGES,
+    max_pages: int | None = None,
     overlap: int = V.CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Greedy chunks: ``doc_id, chunk_index, page_range, pages, text``.
+    """Greedy chunks: ``doc_id, chunk_index, page_range, pages, text, status``.
 
-    Documents over the page limit are removed before anything is collected, so a document
-    brings at most ``max_pages`` rows into its fold.  A chunk that is full hands the end of its
-    text to the next one; a text no longer than the overlap hands over nothing.
+    A chunk that is full hands the end of its text to the next one; a text no longer than the
+    overlap hands over nothing.  Pages of a document are read in order as a sorted stream, so
+    only the open chunk is held, whatever the length of the document.  With ``max_pages``, a
+    longer document is not chunked and comes back as one row of status ``too_many_pages``.
     """
-    allowed = pages.join(over_page_limit(pages, max_pages), "doc_id", "left_anti")
-    page = F.struct(F.col("page_number").alias("n"), trim_ws("text").alias("t"))
-    docs = allowed.select("doc_id", page.alias("p")).where(F.col("p.t") != "").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list("p")).alias("pages")
-    )
-    chunk = "struct<pages: array<int>, text: string>"
-    start = F.struct(
-        F.array().cast(f"array<{chunk}>").alias("done"),
-        F.array().cast("array<int>").alias("pages"), F.lit("").alias("text"),
-    )
-
-    def step(acc, p):
-        own = F.concat(F.lit("Página "), p["n"].cast("string"), F.lit("\n"), p["t"])
-        number = F.array(p["n"].cast("int"))
-        longer = F.when(acc["text"] == "", own).otherwise(F.concat(acc["text"], F.lit("\n\n"), own))
-        full = (acc["text"] != "") & (F.length(longer) > max_chars)
-        keep = (F.length(acc["text"]) > overlap) if overlap > 0 else F.lit(False)
-        tail = trim_ws(F.right(acc["text"], F.lit(overlap)))
-        fresh = F.when(keep & (tail != ""), F.concat(tail, F.lit("\n\n"), own)).otherwise(own)
-        closed = F.struct(acc["pages"].alias("pages"), acc["text"].alias("text"))
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
-            F.when(full, number).otherwise(F.concat(acc["pages"], number)).alias("pages"),
-            F.when(full, fresh).otherwise(longer).alias("text"),
-        )
-
-    def finish(acc):
-        return F.concat(acc["done"], F.array(F.struct(acc["pages"].alias("pages"), acc["text"].alias("text"))))
-
-    out = docs.select("doc_id", F.posexplode(F.aggregate("pages", start, step, finish)).alias("i", "c"))
-    return out.select(
-        "doc_id", (F.col("i") + 1).alias("chunk_index"),
-        format_page_range(F.element_at("c.pages", 1), F.element_at("c.pages", -1)).alias("page_range"),
-        F.col("c.pages").alias("pages"), trim_ws("c.text").alias("text"),
-    )
-
-
-def cap_chunks(chunks: DataFrame, limit: int = V.MAX_BALANCED_CHUNKS) -> tuple[DataFrame, DataFrame]:
-    """Chunks to process and, for those beyond the limit, their error rows."""
+    kept = pages.select("doc_id", F.col("page_number").cast("int").alias("n"), trim_ws("text").alias("t"))
+    rejected = None
+    if max_pages is not None:
+        long = over_page_limit(pages, max_pages)
+        kept = kept.join(long, "doc_id", "left_anti")
+        rejected = long.select("doc_id", F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("page_range"),
+                               F.lit(None).cast("array<int>").alias("pages"), F.lit(None).cast("string").alias("text"),
+                               F.lit("too_many_pages").alias("status"))
+    kept = kept.where(F.col("t") != "").repartition("doc_id").sortWithinPartitions("doc_id", "n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, index, numbers, text = None, 0, [], ""
+
+        def closed():
+            first, last = numbers[0], numbers[-1]
+            span = str(first) if first == last else f"{first}-{last}"
+            return doc, index, span, numbers, text.strip(TRIM_CHARS), "ok"
+
+        for batch in batches:
+            out = []
+            for d, n, t in zip(batch["doc_id"], batch["n"], batch["t"]):
+                own = f"Página {n}\n{t}"
+                if d != doc:
+                    if numbers:
+                        out.append(closed())
+                    doc, index, numbers, text = d, 1, [n], own
+                elif len(text) + 2 + len(own) > max_chars:
+                    out.append(closed())
+                    tail = text[-overlap:].strip(TRIM_CHARS) if 0 < overlap < len(text) else ""
+                    index, numbers, text = index + 1, [n], f"{tail}\n\n{own}" if tail else own
+                else:
+                    numbers, text = [*numbers, n], f"{text}\n\n{own}"
+            if out:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+        if numbers:
+            yield pd.DataFrame([closed()], columns=_COLUMNS)
+
+    found = kept.mapInPandas(run, _CHUNK.format(kind=dict(pages.dtypes)["doc_id"]))
+    return found if rejected is None else found.unionByName(rejected)
+
+
+def cap_chunks(chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks to process and, for those beyond the caller's limit, their error rows."""
     message = F.lit("No se procesó esta parte por el límite del modo balanceado.")
     skipped = chunks.where(F.col("chunk_index") > limit)
     return chunks.where(F.col("chunk_index") <= limit), skipped.select(

@@ -350,7 +350,8 @@ def company_signals(pages: DataFrame) -> DataFrame:
 
 def company_text_score(pages: DataFrame) -> DataFrame:
     """Weighted score of a recognised text, used to compare page orientations."""
-    lengths = pages.groupBy("doc_id").agg(F.sum(F.length(trim_ws("text"))).alias("_len"))
+    # The pages joined by line ends.
+    lengths = pages.groupBy("doc_id").agg((F.sum(F.length(trim_ws("text"))) + F.count("*") - 1).alias("_len"))
     m = company_metrics(extract_company_personnel(pages), pages).join(lengths, "doc_id")
     score = (
         F.col("cuitsDetectados") * 8 + F.col("dnisDetectados") * 5 + F.col("empresasDetectadas") * 8

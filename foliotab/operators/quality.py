@@ -75,13 +75,14 @@ def _quality_rules(f: Column) -> Column:
     return out.otherwise(F.struct(F.lit("low").alias("level"), F.lit("Result is too generic to be useful").alias("reason")))
 
 
-def row_facts(rows: DataFrame) -> DataFrame:
-    """Per table: rows, non-empty rows and the summed explicit row confidence."""
+def _row_sums() -> list[Column]:
     conf = row_confidence(F.col("cells"))
-    return rows.groupBy(*KEYS).agg(
-        F.count("*").alias("n_rows"), F.count_if(non_empty("cells")).alias("n_filled"),
-        F.avg(conf).alias("row_confidence"),
-    )
+    return [F.count("*").alias("n_rows"), F.count_if(non_empty("cells")).alias("n_filled"), F.avg(conf).alias("row_confidence")]
+
+
+def row_facts(rows: DataFrame) -> DataFrame:
+    """Per table: rows, non-empty rows and the mean explicit row confidence."""
+    return rows.groupBy(*KEYS).agg(*_row_sums())
 
 
 def extraction_quality(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -115,21 +116,24 @@ def confidence_estimate(provider, row_conf, pattern_score, result_quality, level
 # --- gate ------------------------------------------------------------------
 
 
-def _pattern_scores(rows: DataFrame) -> DataFrame:
-    """Roster and company scores of a table's rows in one aggregate."""
+def _pattern_sums() -> list[Column]:
     c = lambda k: F.coalesce(F.col("cells")[k], F.lit(""))
     prov = ids.province(c("Provincia")).isNotNull()
     roster_valid = ids.valid_cuil(c("CUIL")) & ids.likely_person_name(c("NombreApellido")) & prov
     person = ids.likely_person_name_company(c("NombreApellido"))
     core = (trim_ws(c("Empresa")) != "") & person & ids.valid_dni(c("DNI"))
-    agg = rows.groupBy(*KEYS).agg(
+    return [
         F.count("*").alias("n"), F.count_if(prov).alias("province_rows"), F.count_if(roster_valid).alias("rv"),
         F.count_if(ids.valid_cuil(c("CUIL"))).alias("cuil_rows"), F.count_if(core).alias("core"),
         F.count_if(trim_ws(c("Localidad")) != "").alias("locality_rows"),
         F.count_distinct(F.when(ids.valid_dni(c("DNI")), c("DNI"))).alias("dnis"),
         # The gate only asks whether any is there, so one distinct count suffices.
         F.count_if(c("CUIT") != "").alias("cuits"), F.count_if(c("Empresa") != "").alias("companies"),
-    )
+    ]
+
+
+def _pattern_scores(agg: DataFrame) -> DataFrame:
+    """Roster and company scores from a table's sums."""
     two = lambda x: F.floor(x * 100 + 0.5).cast("double") / 100
     n = F.greatest("n", F.lit(1))
     agg = agg.withColumns({
@@ -142,29 +146,38 @@ def _pattern_scores(rows: DataFrame) -> DataFrame:
         "roster_ok": (large | (F.col("rv") > 0)) & (F.col("roster_score") >= 0.65),
         "company_ok": (F.col("dnis") >= 10) & (F.col("cuits") >= 1) & (F.col("companies") >= 1)
         & (F.col("core") / n >= 0.6),
-    }).select(*KEYS, "province_rows", "cuil_rows", "roster_score", "company_score", "roster_ok", "company_ok")
+    })
 
 
-def _movement_facts(rows: DataFrame) -> DataFrame:
-    """Watermarks, corruption, filled rows and bad dates over all values of a table."""
-    joined = F.array_join(F.map_values("cells"), " ")
+def _movement_sums() -> list[Column]:
+    """Watermarks, corruption, filled rows and bad dates; ``_j`` holds a row's values, ``_h`` its watermarks."""
     bad = lambda c: F.count_if(
         (trim_ws(F.coalesce(F.col("cells")[c], F.lit(""))) != "")
         & ~trim_ws(F.col("cells")[c]).rlike(r"^\d{2}/\d{2}/\d{4}\z"))
-    hits = ignored_texts(joined)
-    agg = rows.select(*KEYS, "cells", hits.alias("_h"), joined.alias("_j")).groupBy(*KEYS).agg(
+    return [
         F.count_if(non_empty("cells", _lits(V.MOVEMENT_COLUMNS))).alias("movement_rows"),
         *[F.max(F.array_contains("_h", w)).alias(f"_w{i}") for i, w in enumerate(V.IGNORED_TEXTS)],
         F.sum(F.length("_j") + 1).alias("_len"),
         F.sum(F.regexp_count("_j", F.lit("[" + r"\x00-\x1f\x7f" + chr(0xFFFD) + "]"))).alias("_bad"),
         F.max(F.col("_j").rlike("(?i)https?://")).alias("_url"),
         bad("FechaSalida").alias("bad_departures"), bad("FechaArribo").alias("bad_arrivals"),
-    )
+    ]
+
+
+def gate_facts(rows: DataFrame) -> DataFrame:
+    """All facts of every table in one pass over its rows.
+
+    Everything adds up but the distinct DNIs, so Spark groups once by table and DNI and once by table.
+    """
+    joined = F.array_join(F.map_values("cells"), " ")
+    read = rows.select(*KEYS, "cells", ignored_texts(joined).alias("_h"), joined.alias("_j"))
+    agg = _pattern_scores(read.groupBy(*KEYS).agg(*_row_sums(), *_pattern_sums(), *_movement_sums()))
     marks = F.array_compact(F.array(*[F.when(F.col(f"_w{i}"), F.lit(w)) for i, w in enumerate(V.IGNORED_TEXTS)]))
     length = F.col("_len") - 1
     penalty = F.col("_bad") + F.when(F.col("_url"), 20).otherwise(0)
     return agg.select(
-        *KEYS, "movement_rows", "bad_departures", "bad_arrivals", marks.alias("ignored"),
+        *KEYS, "n_rows", "n_filled", "row_confidence", "province_rows", "cuil_rows", "roster_score", "company_score",
+        "roster_ok", "company_ok", "movement_rows", "bad_departures", "bad_arrivals", marks.alias("ignored"),
         ((length > 0) & (penalty / F.greatest(length, F.lit(1)) > 0.03)).alias("corrupt"),
     )
 
@@ -192,8 +205,7 @@ def quality_gate(rows: DataFrame, heads: DataFrame, min_confidence: float = V.MI
         F.when(kind == "commercial-operations", "invoice").when(kind == "table-list", "table")
         .when(kind == "technical-admin", "report").otherwise("auto")
     )
-    facts = row_facts(rows).join(_pattern_scores(rows), KEYS).join(_movement_facts(rows), KEYS)
-    t = heads.join(facts, KEYS, "left").fillna(
+    t = heads.join(gate_facts(rows), KEYS, "left").fillna(
         0, ["n_rows", "n_filled", "province_rows", "cuil_rows", "movement_rows", "bad_departures", "bad_arrivals"]
     ).fillna(0.0, ["roster_score", "company_score"]).fillna(False, ["roster_ok", "company_ok", "corrupt"])
     t = t.withColumns({"_kind": kind, "_dt": doc_type, "ignored": F.coalesce("ignored", EMPTY())})
@@ -343,7 +355,7 @@ def text_only_diagnostic(selected: DataFrame) -> DataFrame:
     return selected.where(~F.col("acceptable")).select(
         "doc_id", F.lit("ocr_text_only").alias("extraction_mode"), status.alias("quality_status"),
         F.col("confidence").alias("quality_score"), "reason", F.length("text").alias("text_length"),
-        cap_warnings("warnings", 30).alias("warnings"),
+        "warnings",
     )
 
 
@@ -411,23 +423,27 @@ def resolve_file_kind(df: DataFrame) -> DataFrame:
     return df.withColumn("file_kind", out.otherwise(F.lit("GENERAL")))
 
 
-def merge_page_outputs(outputs: DataFrame, page_counts: DataFrame, max_pages: int = V.MAX_PAGES) -> DataFrame:
-    """Movement rows of a document from its per-page outputs.
+def merge_page_outputs(outputs: DataFrame, page_counts: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Movement rows of a document from its per-page outputs, and a status for every document.
 
-    ``outputs``: ``doc_id, page_number, columns, rows``.  Pages beyond the cap are not read and
-    are reported; repeated rows are dropped in order.  Adds the document's warnings.
+    ``outputs``: ``doc_id, page_number, columns, rows``; ``page_counts``: ``doc_id, page_count``.
+    Repeated rows are dropped in order.  A document without a valid row comes back as one row of
+    status ``PROFILE_NO_VALID_ROWS``.  Only a caller that sets ``max_pages`` leaves later pages
+    out, and is told so in the document's warnings.
     """
     from .tables import dedupe_first, filter_movement_rows, project_cells, row_signature
 
-    used = outputs.where(F.col("page_number") <= max_pages)
+    used = outputs if max_pages is None else outputs.where(F.col("page_number") <= max_pages)
     rows = used.select("doc_id", "page_number", "columns", F.posexplode("rows").alias("p", "cells"))
     rows = rows.select("doc_id", F.struct("page_number", "p").alias("row_idx"),
                        project_cells(_lits(V.MOVEMENT_COLUMNS), F.col("columns"), F.col("cells")).alias("cells"))
     kept = dedupe_first(filter_movement_rows(rows), row_signature(_lits(V.MOVEMENT_COLUMNS), F.col("cells")), ("doc_id",))
-    cap = F.when(F.col("page_count") > max_pages, F.array(F.concat(
+    cap = EMPTY() if max_pages is None else F.when(F.col("page_count") > max_pages, F.array(F.concat(
         F.lit(f"Se procesaron {max_pages} de "), F.col("page_count").cast("string"),
         F.lit(" paginas por limite configurado.")))).otherwise(EMPTY())
-    return kept.join(page_counts, "doc_id").select("doc_id", "row_idx", "cells", merge_warnings(cap).alias("warnings"))
+    status = F.when(F.col("row_idx").isNull(), "PROFILE_NO_VALID_ROWS").otherwise("ok")
+    return page_counts.join(kept, "doc_id", "left").select(
+        "doc_id", "row_idx", "cells", status.alias("status"), merge_warnings(cap).alias("warnings"))
 
 
 def output_kind(c) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,12 @@ def profiles_table(spark: SparkSession) -> DataFrame:
 
 
 def plans_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        V.PLANS,
-        "plan_name string, description string, daily_limit int, monthly_limit int, max_pdf_mb int, "
-        "max_image_mb int, allow_json_export boolean, allow_custom_profile boolean",
-    ).withColumn("is_active", F.lit(True))
+    """The five plans as a local relation: its size is known, so joins broadcast it and leave the facts in place."""
+    names = ("plan_name", "description", "daily_limit", "monthly_limit", "max_pdf_mb", "max_image_mb",
+             "allow_json_export", "allow_custom_profile")
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*V.PLANS), kinds)]
+    return spark.createDataFrame(pa.table(columns, names=list(names))).withColumn("is_active", F.lit(True))
 
 
 def upsert_plans(existing: DataFrame, plans: DataFrame) -> DataFrame:
@@ -372,7 +374,7 @@ _ERROR_CLASSES = [
     ("timeout", ["ocr processing timed out", "procesamiento tard"]),
     ("temporary", ["googleaitemporaryerror"]),
     ("structured_output", ["structuredoutputerror"]),
-    ("advanced_reader", ["document ai", "document_ai", "advanced_ocr_normalization"]),
+    ("advanced_reader", ["google document ai", "google_document_ai", "advanced_ocr_normalization"]),
 ]
 
 

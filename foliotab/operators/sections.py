@@ -24,9 +24,10 @@ def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
     """Distinct markers per document in the normalised text, also across page ends.
 
     A page is reduced to its hits and its two ends where it is read; a marker cut by page
-    ends is found in the ends of up to five consecutive non-blank pages.
+    ends is found in the ends of as many consecutive non-blank pages as it has words.
     """
     width = max(len(m) for m in markers)
+    margin = max(1, *(m.count(" ") for m in markers))  # pages before the last word of the longest marker
 
     def found(t: Column) -> Column:
         return F.array_compact(F.array(*[F.when(t.contains(m), F.lit(m)) for m in markers]))
@@ -36,11 +37,11 @@ def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
         return F.when(t != "", F.struct(found(t).alias("hits"), *ends))
 
     page = lambda text: F.array_compact(F.array(bind(norm_punct(text), facts)))
-    blocks = line_blocks(pages, page, margin=4)
+    blocks = line_blocks(pages, page, margin=margin)
     lines, first, last = F.col("lines"), F.col("first"), F.col("last")
 
     def seam(i: Column) -> Column:
-        lo = F.greatest(i - 4, F.lit(1))
+        lo = F.greatest(i - margin, F.lit(1))
         before = F.transform(F.slice(lines, lo, i - lo), lambda x: x["e"])
         return bind(F.concat_ws(" ", before, F.get(lines, i - 1)["h"]), found)
 

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where none is configured (tests) a temporary folder is used.
+    A session on one machine may leave it unset and gets a temporary folder; on a cluster the
+    executors could not see that, so it must be set there.
     """
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isEmpty():
         return found.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliotab-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = tempfile.mkdtemp(prefix="foliotab-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

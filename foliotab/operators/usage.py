@@ -15,6 +15,8 @@ from ..functions.values import micros
 from .ordered import carry_last
 
 SLOT_SECONDS = 900
+#: Copies of a profile's example block, to spread a profile that many documents share.
+SALTS = 16
 
 
 def _slot(ts: str, seconds: int = SLOT_SECONDS) -> Column:
@@ -35,7 +37,9 @@ def code_hash_lookup(attempts: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def usage_with_client(events: DataFrame, clients: DataFrame) -> DataFrame:
-    return events.join(clients, "client_id", "left")
+    """Events with their client; those without one skip the join, so they load no single partition."""
+    named = events.where(F.col("client_id").isNotNull()).join(clients, "client_id", "left")
+    return named.unionByName(events.where(F.col("client_id").isNull()), allowMissingColumns=True)
 
 
 def usage_event_rows(results: DataFrame) -> DataFrame:
@@ -204,9 +208,9 @@ def plans_by_limit(plans: DataFrame) -> DataFrame:
 
 
 def top_examples(examples: DataFrame, k: int = 3) -> DataFrame:
-    """Newest k (1..5) examples per profile; only k rows per profile and task are shuffled."""
-
-    k = max(1, min(k, 5))
+    """Newest k examples per profile; only k rows per profile and task are shuffled."""
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     w = Window.partitionBy("profile_code").orderBy(F.desc("created_at"), F.desc("example_id"))
     return examples.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -229,4 +233,7 @@ def format_examples(examples: DataFrame, k: int = 3) -> DataFrame:
 def correction_examples_for(docs: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
     """Documents with the example block of their profile (left join on a few profile rows)."""
     blocks = format_examples(examples, k).withColumnRenamed("profile_code", "profile_id")
-    return docs.join(blocks, "profile_id", "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    # One row a profile: repeated for each salt, so that a common profile is spread over as many tasks.
+    blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("_salt", salt).join(blocks, ["profile_id", "_salt"], "left").drop("_salt")

@@ -85,9 +85,9 @@ def _narrow() -> None:
 _narrow()
 
 
-@query("union_error_rows", f"SELECT doc_id, page FROM ({table_queries.ORACLES['merge_chunks']}) m WHERE part = 1")
+@query("union_error_rows", f"SELECT doc_id, part, title, page FROM ({table_queries.ORACLES['merge_chunks']}) m")
 def union_error_rows(spark, sf):
-    return table_queries.merge_chunks(spark, sf).where("part = 1").select("doc_id", "page")
+    return table_queries.merge_chunks(spark, sf).select("doc_id", "part", "title", "page")
 
 
 @query("first_non_empty", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE '' END AS value FROM part")
@@ -183,9 +183,14 @@ def usage_stream(spark, sf):
         F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"))
 
 
-@query("usage_daily_stream", f"""SELECT * FROM ({usage_queries.ORACLES["usage_daily"]}) d WHERE day + 86400000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""")
+@query("usage_daily_stream", usage_queries.ORACLES["usage_daily"])
 def usage_daily_stream(spark, sf):
-    out = drain(usage.usage_daily_stream(usage_stream(spark, sf)))
+    """Update mode: open days are there too, each with its latest counts."""
+    base = f"{shared_folder(spark)}/foliotab-stream-{uuid.uuid4().hex}"
+    counts = usage.usage_daily_stream(usage_stream(spark, sf))
+    (counts.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(usage.upsert_batches(f"{base}/out"))
+        .trigger(availableNow=True).start().awaitTermination())
+    out = usage.latest_rows(spark.read.parquet(f"{base}/out"), ["code_id", "day"])
     return out.withColumns({"day": X.micros("day"), "month": X.micros("month")})
 
 

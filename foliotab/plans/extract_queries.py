@@ -102,13 +102,16 @@ def company_signals(spark, sf):
     return people.company_signals(C.company_pages(spark, sf))
 
 
-@query("company_text_score", f"""SELECT doc_id, count(DISTINCT CUIT) * 8 + count(*) * 5 + count(DISTINCT Empresa) * 8 + count(*) * 8 + 10.0::DOUBLE AS text_score FROM ({COMPANY}) c
- GROUP BY 1 HAVING count(*) = 120""")
+# Length of the joined text: per person the lines, every twelfth with a company, and 60 characters of header a page.
+_COMPANY_LENGTH = f"""SELECT doc_id, sum(length(p_name) + length(province) + length(locality) + 11 +
+  CASE WHEN k % 12 = 0 THEN length(p_brand) + 35 + length(CAST(CAST(floor(k / 12) AS BIGINT) AS VARCHAR)) ELSE 0 END) + count(*) - 1 + 60 * count(DISTINCT floor(k / 30)) AS n
+ FROM {PEOPLE} p GROUP BY 1"""
+
+
+@query("company_text_score", f"""SELECT doc_id, count(DISTINCT CUIT) * 8 + count(*) * 5 + count(DISTINCT Empresa) * 8 + count(*) * 8 + least(10.0::DOUBLE, max(l.n) / 500) AS text_score
+ FROM ({COMPANY}) c JOIN ({_COMPANY_LENGTH}) l USING (doc_id) GROUP BY 1""")
 def company_text_score(spark, sf):
-    p = C.company_pages(spark, sf)
-    scores = people.company_text_score(p)
-    whole = people.extract_company_personnel(p).groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 120").select("doc_id")
-    return scores.join(whole, "doc_id", "left_semi")
+    return people.company_text_score(C.company_pages(spark, sf))
 
 
 @query("best_orientation", "SELECT DISTINCT CAST(floor(p_partkey / 120) AS BIGINT) * 10 + CAST(floor((p_partkey % 120) / 30) + 1 AS BIGINT) AS doc_id, "
@@ -125,11 +128,11 @@ def best_orientation(spark, sf):
 
 
 @query("first_nonempty_rotation", """SELECT doc_id, CAST(1 AS BIGINT) AS page_number, rotation, n_rows FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE rotation WHEN 0 THEN 0 WHEN 90 THEN 1 WHEN 270 THEN 2 ELSE 3 END) AS r
- FROM (SELECT user_id AS doc_id, rotation, count(*) FILTER (event_type = 'error') AS n_rows FROM (SELECT *, (event_id % 4) * 90 AS rotation FROM events) e GROUP BY 1, 2) q WHERE n_rows > 9) z WHERE r = 1""")
+ FROM (SELECT user_id AS doc_id, rotation, count(*) FILTER (event_type = 'error') AS n_rows FROM (SELECT *, (event_id % 4) * 90 AS rotation FROM events) e GROUP BY 1, 2) q WHERE n_rows > 0) z WHERE r = 1""")
 def first_nonempty_rotation(spark, sf):
     e = C.table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id"), ((F.col("event_id") % 4) * 90).alias("rotation")).agg(
         F.count_if(F.col("event_type") == "error").alias("n"))
-    return people.first_nonempty_rotation(e.select("doc_id", F.lit(1).alias("page_number"), "rotation", F.when(F.col("n") > 9, F.col("n")).otherwise(0).alias("n_rows")))
+    return people.first_nonempty_rotation(e.select("doc_id", F.lit(1).alias("page_number"), "rotation", F.col("n").alias("n_rows")))
 
 
 # --- suppliers -------------------------------------------------------------
@@ -152,14 +155,14 @@ def extract_around_cuit(spark, sf):
     return _wide(suppliers.extract_around_cuit(C.supplier_layout_pages(spark, sf)))
 
 
-def supplier_inputs(spark, sf):
+def supplier_inputs(spark, sf, recorded="doc_id % 3 = 0"):
     """Even documents delimited, odd ones laid out; every third also has recorded rows."""
     pipe = C.supplier_pipe_pages(spark, sf).where("doc_id % 2 = 0")
     p = pipe.unionByName(C.supplier_layout_pages(spark, sf).where("doc_id % 2 = 1"))
     src = C.sql(spark, sf, C.SUPPLIERS)
     cells = F.create_map(*[x for a, c in (("Razón social", "s_name"), ("PROVEEDOR", "provider"), ("Nº CUIT", "cuit"), ("Otro", "zone"))
                            for x in (F.lit(a), F.col(c))])
-    rec = src.where("doc_id % 3 = 0").select("doc_id", F.col("k").alias("row_idx"), cells.alias("cells"))
+    rec = src.where(recorded).select("doc_id", F.col("k").alias("row_idx"), cells.alias("cells"))
     conf = src.groupBy("doc_id").agg((F.min("doc_id") % 10 / 10).alias("reviewer_confidence"))
     return p, rec, conf
 
@@ -174,11 +177,11 @@ def recover_supplier_table(spark, sf):
     return _wide(suppliers.recover_supplier_table(p, conf, reviewed_rows=rec), "source", "confidence")
 
 
-@query("normalize_candidate_rows", f"""SELECT doc_id, k, s_name AS "Nombre empresa", provider AS "Proveedor", cuit AS "CUIT" FROM {SUPPLIERS} s WHERE doc_id % 3 = 0""")
+@query("normalize_candidate_rows", f"""SELECT doc_id, k, s_name AS "Nombre empresa", provider AS "Proveedor", cuit AS "CUIT" FROM {SUPPLIERS} s""")
 def normalize_candidate_rows(spark, sf):
     from ..operators.tables import normalize_candidate_rows as op
 
-    _, rec, _ = supplier_inputs(spark, sf)
+    _, rec, _ = supplier_inputs(spark, sf, "true")
     return op(rec).select("doc_id", F.col("row_idx").alias("k"), *[F.col("cells")[c].alias(c) for c in V.SUPPLIER_COLUMNS[:3]])
 
 

@@ -193,14 +193,16 @@ def row_confidence(spark, sf):
     return e.select("event_id", X.row_confidence(cells).alias("confidence"))
 
 
-@query("invalid_dates", """SELECT doc_id, CASE WHEN bad > 0 THEN 'FechaSalida contiene ' || bad || ' valor(es) fuera de DD/MM/YYYY.' ELSE '' END AS warnings FROM
- (SELECT CAST(floor(o_orderkey / 7) AS BIGINT) AS doc_id, count(*) FILTER (o_orderkey % 10 = 9) AS bad FROM orders GROUP BY 1) o""")
+@query("invalid_dates", """SELECT doc_id, concat_ws(';', CASE WHEN bad > 0 THEN 'FechaSalida contiene ' || bad || ' valor(es) fuera de DD/MM/YYYY.' END,
+  CASE WHEN late > 0 THEN 'FechaArribo contiene ' || late || ' valor(es) fuera de DD/MM/YYYY.' END) AS warnings FROM
+ (SELECT CAST(floor(o_orderkey / 7) AS BIGINT) AS doc_id, count(*) FILTER (o_orderkey % 10 = 9) AS bad, count(*) FILTER (o_orderkey % 4 = 1) AS late FROM orders GROUP BY 1) o""")
 def invalid_dates(spark, sf):
     o, k = C.table(spark, sf, "orders"), F.col("o_orderkey")
     date = F.when(k % 10 == 9, F.date_format("o_orderdate", "d/M/yy")).when(k % 10 == 8, F.lit(" ")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    agg = o.select(F.floor(k / 7).alias("doc_id"), date.alias("d")).groupBy("doc_id").agg(
-        F.count_if((F.trim("d") != "") & ~F.col("d").rlike(r"^\d{2}/\d{2}/\d{4}\z")).alias("bad"))
-    return agg.select("doc_id", F.array_join(quality.invalid_dates(F.col("bad"), F.lit(0)), ";").alias("warnings"))
+    arrival = F.when(k % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    bad = lambda c: F.count_if((F.trim(c) != "") & ~F.col(c).rlike(r"^\d{2}/\d{2}/\d{4}\z"))
+    agg = o.select(F.floor(k / 7).alias("doc_id"), date.alias("d"), arrival.alias("a")).groupBy("doc_id").agg(bad("d").alias("bad"), bad("a").alias("late"))
+    return agg.select("doc_id", F.array_join(quality.invalid_dates(F.col("bad"), F.col("late")), ";").alias("warnings"))
 
 
 @query("pattern_result", f"""SELECT doc_id, count(*) AS n_rows, 'pattern_structured' AS extraction_mode, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'La nomina se reconstruyo por patron de CUIL sin tabla explicita.' END AS warnings FROM {_PEOPLE} p GROUP BY 1""")

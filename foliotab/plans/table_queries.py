@@ -364,15 +364,16 @@ def union_outputs(spark, sf):
     return first_rows(both, ["doc_id", "role"], ["row_idx"]).select("doc_id", "role", F.col("row_idx").alias("first_turn"))
 
 
-@query("merge_page_outputs", """SELECT doc_id, price, CASE WHEN doc_id % 2 = 0 THEN 'Se procesaron 30 de 40 paginas por limite configurado.' ELSE '' END AS warnings FROM
- (SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS doc_id, CAST(o_totalprice AS VARCHAR) AS price FROM orders WHERE o_orderkey % 6 IN (0, 5) AND o_orderkey % 40 < 30) q""")
+@query("merge_page_outputs", """WITH o AS (SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS doc_id, o_orderkey % 6 AS k, CAST(o_totalprice AS VARCHAR) AS price FROM orders)
+ SELECT doc_id, price, 'ok' AS status FROM o WHERE k IN (0, 5) AND doc_id % 7 <> 3
+ UNION ALL SELECT DISTINCT doc_id, NULL, 'PROFILE_NO_VALID_ROWS' FROM o WHERE doc_id % 7 = 3 OR doc_id NOT IN (SELECT doc_id FROM o WHERE k IN (0, 5))""")
 def merge_page_outputs(spark, sf):
     from ..operators.quality import merge_page_outputs as op
 
     m = movement_rows(spark, sf)
     outputs = m.select("doc_id", (F.col("row_idx") % 40 + 1).alias("page_number"), "columns", F.array("cells", "cells").alias("rows"))
-    counts = m.select("doc_id").distinct().withColumn("page_count", F.when(F.col("doc_id") % 2 == 0, 40).otherwise(30))
-    return op(outputs, counts).select("doc_id", F.col("cells")["Tons"].alias("price"), F.array_join("warnings", ";").alias("warnings"))
+    counts = m.groupBy("doc_id").agg(F.count("*").alias("page_count"))
+    return op(outputs.where("doc_id % 7 <> 3"), counts).select("doc_id", F.col("cells")["Tons"].alias("price"), "status")
 
 
 # --- export ----------------------------------------------------------------

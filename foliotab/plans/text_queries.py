@@ -60,7 +60,7 @@ def items_to_lines(spark, sf):
 
 SEGMENTS = f"""SELECT doc_id, i, s FROM (SELECT doc_id, i, {D.collapse("l[i]")} AS s FROM
  (SELECT doc_id, list_prepend(concat('Doc (', doc_id, ') A'), string_split_regex(text, '\\n')) AS l FROM documents) d, unnest(generate_series(1, len(l))) g(i)) x
- WHERE length(s) BETWEEN 3 AND 1000 AND {D.count("s", "[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]")} / length(s) >= 0.45"""
+ WHERE length(s) >= 3 AND {D.count("s", "[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]")} / length(s) >= 0.45"""
 
 
 @query("scan_pdf_text", f"""SELECT doc_id, count(*) AS segments, string_agg(s, chr(10) ORDER BY i) AS text FROM
@@ -269,10 +269,10 @@ _RAWTXT = r"trim(array_to_string(list_transform(string_split(regexp_replace(rege
 
 
 @query("write_raw_text", f"""SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'documento' ELSE concat('acta-', doc_id) END, '_ocr_bruto.txt') AS file_name, {_RAWTXT} AS raw_text
- FROM (SELECT doc_id, replace(concat('  ', text, '  '), chr(10), concat(' ', chr(9), chr(13), chr(10), chr(7))) AS t FROM documents WHERE n_chars < 400) d""")
+ FROM (SELECT doc_id, replace(concat('  ', text, '  '), chr(10), concat(' ', chr(9), chr(13), chr(10), chr(7))) AS t FROM documents) d""")
 def write_raw_text(spark, sf):
     dirty = F.replace(F.concat(F.lit("  "), F.col("text"), F.lit("  ")), F.lit("\n"), F.lit(" \t\r\n\x07"))
-    rejected = table(spark, sf, "documents").where("n_chars < 400")
+    rejected = table(spark, sf, "documents")
     name = F.when(F.col("doc_id") % 5 == 0, F.lit(" .pdf")).otherwise(F.concat(F.lit("acta\\"), F.col("doc_id").cast("string"), F.lit(".pdf")))
     return rejected.select("doc_id", T.raw_text_file_name(name).alias("file_name"), T.sanitize_raw_text(dirty).alias("raw_text"))
 
@@ -338,7 +338,7 @@ def roster_value_cleanup(spark, sf):
 
 
 @query("chunk_pages", f"""WITH RECURSIVE p AS (SELECT doc_id, page_number AS n, concat('Página ', page_number, chr(10), t) AS own, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS rn
-  FROM (SELECT doc_id, page_number, trim(text, ' ' || chr(10) || chr(13) || chr(9)) AS t, count(*) OVER (PARTITION BY doc_id) AS pages FROM {TURNS} t) x WHERE t <> '' AND pages <= 30),
+  FROM (SELECT doc_id, page_number, trim(text, ' ' || chr(10) || chr(13) || chr(9)) AS t, count(*) OVER (PARTITION BY doc_id) AS pages FROM {TURNS} t) x WHERE t <> ''),
  r AS (SELECT doc_id, rn, CAST(1 AS BIGINT) AS chunk, n AS first, n AS last, own AS text FROM p WHERE rn = 1
   UNION ALL SELECT p.doc_id, p.rn, CASE WHEN f THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN f THEN p.n ELSE r.first END, p.n,
    CASE WHEN NOT f THEN concat(r.text, chr(10), chr(10), p.own) WHEN length(r.text) > 100 THEN concat(trim(right(r.text, 100), ' ' || chr(10)), chr(10), chr(10), p.own) ELSE p.own END
@@ -347,7 +347,7 @@ def roster_value_cleanup(spark, sf):
  SELECT doc_id, chunk AS chunk_index, CASE WHEN first = last THEN CAST(first AS VARCHAR) ELSE concat(first, '-', last) END AS page_range, trim(text, ' ' || chr(10)) AS text
  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY rn DESC) AS k FROM r) q WHERE k = 1""")
 def chunk_pages(spark, sf):
-    return chunks.chunk_pages(sql(spark, sf, MULTI_PAGES), max_chars=1500, overlap=100).drop("pages")
+    return chunks.chunk_pages(sql(spark, sf, MULTI_PAGES), max_chars=1500, overlap=100).drop("pages", "status")
 
 
 @query("cap_pages", """SELECT doc_id, count(*) AS pages FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS doc_id FROM documents UNION ALL
@@ -360,7 +360,7 @@ def cap_pages(spark, sf):
 @query("cap_chunks", f"""SELECT doc_id, CAST(page_number AS BIGINT) AS chunk_index, page_number > 4 AS skipped, CASE WHEN page_number > 4 THEN 'Error de procesamiento' ELSE '' END AS kind FROM {TURNS} t""")
 def cap_chunks(spark, sf):
     c = sql(spark, sf, MULTI_PAGES).select("doc_id", F.col("page_number").alias("chunk_index"), F.col("page_number").cast("string").alias("page_range"))
-    kept, errors = chunks.cap_chunks(c)
+    kept, errors = chunks.cap_chunks(c, 4)
     return kept.select("doc_id", "chunk_index", F.lit(False).alias("skipped"), F.lit("").alias("kind")).unionByName(
         errors.select("doc_id", "chunk_index", F.lit(True).alias("skipped"), F.col("cells")["Tipo de dato"].alias("kind")))
 

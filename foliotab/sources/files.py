@@ -43,11 +43,11 @@ def _decode_hex(c: Column) -> Column:
     )
 
 
-def scan_pdf_text(raw_files: DataFrame) -> DataFrame:
+def scan_pdf_text(raw_files: DataFrame, longest: int | None = None) -> DataFrame:
     """Text found in uncompressed PDF streams, as page 1 of each document.
 
-    Literal strings first, then hexadecimal ones; useful segments are 3 to 1000 characters
-    with at least 45 % letters or digits; repeats are kept once, in order.
+    Literal strings first, then hexadecimal ones; useful segments have 3 characters or
+    more (up to ``longest`` if given), at least 45 % letters or digits; repeats are kept once, in order.
     """
 
     def segments(raw: Column) -> Column:
@@ -59,7 +59,8 @@ def scan_pdf_text(raw_files: DataFrame) -> DataFrame:
         )
 
     def useful(s: Column) -> Column:
-        return F.length(s).between(3, 1000) & (alnum_count(s) / F.length(s) >= 0.45)
+        fits = F.length(s) >= 3 if longest is None else F.length(s).between(3, longest)
+        return fits & (alnum_count(s) / F.length(s) >= 0.45)
 
     found = F.filter(bind(F.decode("content", "ISO-8859-1"), segments), useful)
     page = bind(F.array_distinct(found), lambda kept: F.when(F.size(kept) > 0, F.struct(

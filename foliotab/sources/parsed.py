@@ -98,18 +98,21 @@ def looks_like_html(text) -> Column:
     return F.ltrim(F.substring(trim_ws(text), 1, 80)).startswith("<")
 
 
-def parse_csv_like(text) -> Column:
+def parse_csv_like(text, max_header: int | None = None, max_columns: int | None = None) -> Column:
     """A CSV-looking answer as columns and rows, else null.
 
-    Needs two lines, a header of at most 1000 characters and 2 to 40 columns, and at least
-    half of the first seven data lines with two cells.  Surplus cells join the last column.
+    Needs two lines, a header of two columns or more, and at least half of the first seven data
+    lines with two cells.  Surplus cells join the last column.  A caller may bound the length of
+    the header and the number of columns.
     """
 
     def table(lines: Column, header: Column, head_cells: Column) -> Column:
         data = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
         columns = F.filter(F.transform(head_cells, clean_value), lambda x: x != "")
         rows = F.transform(data, csv_cells)
-        looks = (F.size(lines) >= 2) & header.contains(",") & (F.length(header) <= 1000) & (F.size(head_cells) >= 2)
+        looks = (F.size(lines) >= 2) & header.contains(",") & (F.size(head_cells) >= 2)
+        if max_header is not None:
+            looks = looks & (F.length(header) <= max_header)
         return F.when(looks, bind(rows, lambda r: bind(columns, lambda c: finish(r, c))))
 
     def finish(rows: Column, columns: Column) -> Column:
@@ -126,7 +129,7 @@ def parse_csv_like(text) -> Column:
         records = lambda slots: F.transform(
             usable, lambda r: record(slots, F.transform(fit(r), clean_value)))
         out = bind(_name_slots(columns), lambda s: F.struct(columns.alias("columns"), records(s).alias("rows")))
-        ok = compatible & n.between(2, 40) & F.exists(rows, lambda r: F.exists(r, lambda x: clean_value(x) != ""))
+        ok = compatible & (n >= 2 if max_columns is None else n.between(2, max_columns)) & F.exists(rows, lambda r: F.exists(r, lambda x: clean_value(x) != ""))
         return F.when(ok, out)
 
     def parse(body: Column) -> Column:
@@ -233,9 +236,9 @@ def _values_by_key(row: Column, keys: Column) -> Column:
     return F.coalesce(bind(F.from_json(row, "map<string,string>"), pick), blank)
 
 
-def _texts(values: Column, limit: int) -> Column:
+def _texts(values: Column) -> Column:
     cleaned = F.filter(F.transform(values, lambda v: F.coalesce(drop_controls(v), F.lit(""))), lambda v: v != "")
-    return F.slice(F.coalesce(cleaned, F.array().cast("array<string>")), 1, limit)
+    return F.coalesce(cleaned, F.array().cast("array<string>"))
 
 
 def parse_visual_json(df: DataFrame, text: str, expected: list[str] | None = None) -> DataFrame:
@@ -255,7 +258,7 @@ def parse_visual_json(df: DataFrame, text: str, expected: list[str] | None = Non
     def with_meta(r: Column, keys: Column) -> Column:
         return bind(F.from_json(r, "struct<confidence string, warnings array<string>>"), lambda obj: F.struct(
             _values_by_key(r, keys).alias("values"), normalize_confidence(obj["confidence"]).alias("confidence"),
-            F.array_join(_texts(obj["warnings"], 20), "; ").alias("warnings"),
+            F.array_join(_texts(obj["warnings"]), "; ").alias("warnings"),
         ))
 
     df = df.withColumn("_keys", F.transform("columns", norm_key))
@@ -267,7 +270,7 @@ def parse_visual_json(df: DataFrame, text: str, expected: list[str] | None = Non
         "rows": rows,
         "success": F.coalesce(F.col("_v")["success"], F.lit(False)),
         "confidence": normalize_confidence(F.col("_v")["confidence"]),
-        "warnings": _texts(F.col("_v")["warnings"], 20),
+        "warnings": _texts(F.col("_v")["warnings"]),
     }).drop("_v", "_rows", "_keys")
 
 
@@ -289,8 +292,8 @@ def parse_reviewed_table(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({
         "rows": bind("columns", lambda names: F.transform(values, lambda vs: F.map_from_arrays(names, vs))),
         "confidence": normalize_confidence(F.col("_v")["confidence"]),
-        "warnings": _texts(F.col("_v")["warnings"], 30),
-        "corrections": _texts(F.col("_v")["correctionsApplied"], 30),
+        "warnings": _texts(F.col("_v")["warnings"]),
+        "corrections": _texts(F.col("_v")["correctionsApplied"]),
         "document_type": F.coalesce(F.nullif(kind, F.lit("")), F.lit("Tabla documental")),
     }).drop("_v", "_keys")
 

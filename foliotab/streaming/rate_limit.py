@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,20 @@ class FixedWindow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.window.get()
         start, n = held if held is not None else (None, 0)
-        for pdf in rows:
-            pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-            out = []
-            for us, event_id in zip(pdf["us"], pdf["event_id"]):
-                if start is None or start + self.window_us <= us:
-                    start, n = int(us), 0
-                n += 1
-                out.append((key[0], int(event_id), int(us), n, n <= self.limit, max(self.limit - n, 0), start + self.window_us))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
+        # A key's rows come in several Arrow batches: order all of the micro-batch, not each.
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        us = pdf["us"].to_numpy()
+        at, counts, starts = 0, np.empty(len(us), np.int64), np.empty(len(us), np.int64)
+        while at < len(us):
+            if start is None or start + self.window_us <= us[at]:
+                start, n = int(us[at]), 0
+            end = int(np.searchsorted(us, start + self.window_us))
+            counts[at:end], starts[at:end] = np.arange(n + 1, n + 1 + end - at), start
+            n, at = n + end - at, end
+        yield pd.DataFrame({
+            "key": key[0], "event_id": pdf["event_id"].to_numpy(), "us": us, "window_count": counts, "allowed": counts <= self.limit,
+            "remaining": np.maximum(self.limit - counts, 0), "reset_us": starts + self.window_us,
+        })
         if start is None:
             return
         self.window.update((start, n))

@@ -30,10 +30,20 @@ def usage_daily_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def append_batches(path: str):
-    """A ``foreachBatch`` writer that makes a replayed batch overwrite itself."""
+def upsert_batches(path: str):
+    """A ``foreachBatch`` writer for update mode: each batch holds the changed rows under its number.
+
+    A replayed batch overwrites itself, so ``latest_rows`` sees every change once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
+
+
+def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each key."""
+    columns = [c for c in changes.columns if c != "batch_id"]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch_id").alias("_r"))
+    return last.select("_r.*")

@@ -99,6 +99,21 @@ def test_rate_limit_stream(spark, tmp_path, watermark):
     assert {r["event_id"]: (r["window_count"], r["allowed"]) for r in out} == brute_force(events, 5, timedelta(seconds=600))
 
 
+def test_rate_limit_stream_over_arrow_batches(spark, tmp_path):
+    """A key whose rows fill many Arrow batches, shuffled, decides as if they came in order."""
+    events = make_events(400, 12)
+    df = spark.createDataFrame(events, "key long, event_id long, ts timestamp")
+    df.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        out = run_stream(rate_limit.rate_limit_stream(stream, 5, 600), "limited_small").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["event_id"]: (r["window_count"], r["allowed"]) for r in out} == brute_force(events, 5, timedelta(seconds=600))
+
+
 def test_write_csv_and_scan(spark, tmp_path):
     df = spark.createDataFrame([('a "q", b', None), ("x\ny", "2")], "Nombre string, Valor string")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "csv"))
