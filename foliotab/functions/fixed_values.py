@@ -301,6 +301,15 @@ PLANS = [
     ("Empresa", "Uso empresarial administrado manualmente.", 9999, 99999, 50, 20, True, True),
 ]
 
+# Kinds of attempts in the order in which their results are preferred.
+ATTEMPT_KINDS = ["primary", "fallback", "experimental", "visual", "local"]
+
+# Notes on a recovered supplier table.
+RECOVERY_WARNINGS = [
+    "La revisión automática detectó dudas de alineación, pero se reconstruyó una tabla utilizable a partir de encabezados y CUIT detectados.",
+    "Se recomienda revisión manual de filas con celdas partidas.",
+]
+
 # --- limits ----------------------------------------------------------------
 
 MAX_FILE_MB = 50

@@ -339,12 +339,21 @@ def reviewed_table_gate(rows: DataFrame, heads: DataFrame) -> DataFrame:
 # --- choice ----------------------------------------------------------------
 
 
+def attempt_priority(kind) -> Column:
+    """Order in which attempts count: the listed kinds first, as listed, any other after them."""
+    at = F.array_position(_lits(V.ATTEMPT_KINDS), col(kind))
+    return F.when(at > 0, at).otherwise(len(V.ATTEMPT_KINDS) + 1).cast("int")
+
+
 def select_result(candidates: DataFrame) -> DataFrame:
     """First acceptable candidate per document in priority order, else the first one.
 
+    ``priority`` may be left out where ``attempt_kind`` is there: see ``attempt_priority``.
+
     Combined map-side: one row per document and task reaches the shuffle.
     """
-    rank = F.struct((~F.col("acceptable")).cast("int"), F.col("priority"))
+    order = F.col("priority") if "priority" in candidates.columns else F.struct(attempt_priority("attempt_kind"), "candidate")
+    rank = F.struct((~F.col("acceptable")).cast("int"), order)
     best = candidates.groupBy("doc_id").agg(F.min_by(F.struct(*candidates.columns), rank).alias("_r"))
     return best.select("_r.*")
 

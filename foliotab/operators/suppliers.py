@@ -210,6 +210,7 @@ def recover_supplier_table(
     return usable.join(best, ["doc_id", "candidate"]).join(reviewer_confidence, "doc_id").select(
         "doc_id", "row_idx", F.get(names, F.col("candidate") - 1).alias("source"),
         F.greatest("reviewer_confidence", F.lit(0.65)).alias("confidence"), "cells",
+        F.array(*[F.lit(w) for w in V.RECOVERY_WARNINGS]).alias("warnings"),
     )
 
 

@@ -200,6 +200,11 @@ def recent(df: DataFrame, at: str = "created_at", tie: str = "event_id", n: int
     return df.orderBy(F.desc(at), F.desc(tie)).limit(n)
 
 
+def clients_by_date(clients: DataFrame, at: str = "client_id") -> DataFrame:
+    """Clients, the newest first."""
+    return clients.orderBy(F.desc(at))
+
+
 def plans_by_limit(plans: DataFrame) -> DataFrame:
     return plans.where("is_active").orderBy("daily_limit", "plan_name")
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import ids
-from ..operators import people, sections, suppliers
+from ..operators import anchors, people, sections, suppliers
 from ..operators.ordered import running_sums
+from ..sources.pages import explode_lines
 from . import corpora as C
 from . import duck as D
 from .registry import registry
@@ -51,10 +52,18 @@ def roster_assessment(spark, sf):
     return people.roster_assessment(noisy_roster(spark, sf))
 
 
-@query("find_anchors", f"SELECT doc_id, CAST(floor(k / 30) + 1 AS BIGINT) AS page_number, count(*) AS cuils, count(DISTINCT cuil) AS distinct_cuils FROM {PEOPLE} p GROUP BY 1, 2")
+@query("find_anchors", f"""SELECT 'cuil' AS kind, doc_id, count(*) AS anchors, count(DISTINCT cuil) AS distinct_anchors FROM {PEOPLE} p GROUP BY 2
+ UNION ALL SELECT 'dni', doc_id, count(*), count(DISTINCT p_partkey) FROM {PEOPLE} p GROUP BY 2
+ UNION ALL SELECT 'cuit', doc_id, count(*), count(DISTINCT cuit) FROM {SUPPLIERS} s GROUP BY 2""")
 def find_anchors(spark, sf):
-    found = C.roster_pages(spark, sf).select("doc_id", "page_number", F.explode(F.regexp_extract_all("text", F.lit(V.CUIL), F.lit(0))).alias("c"))
-    return found.groupBy("doc_id", "page_number").agg(F.count("*").alias("cuils"), F.count_distinct(ids.digits("c")).alias("distinct_cuils"))
+    pages = {"cuil": C.roster_pages(spark, sf), "dni": C.company_pages(spark, sf), "cuit": C.supplier_layout_pages(spark, sf)}
+    out = None
+    for kind, p in pages.items():
+        found = anchors.find_anchors(explode_lines(p), kind).groupBy("doc_id").agg(
+            F.count("*").alias("anchors"), F.count_distinct("anchor").alias("distinct_anchors"))
+        found = found.select(F.lit(kind).alias("kind"), "doc_id", "anchors", "distinct_anchors")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 # --- company lists ---------------------------------------------------------
@@ -168,13 +177,13 @@ def supplier_inputs(spark, sf, recorded="doc_id % 3 = 0"):
 
 
 @query("recover_supplier_table", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'reviewer_rows' WHEN doc_id % 2 = 0 THEN 'document_table' ELSE 'text_layout' END AS source,
- greatest(0.65::DOUBLE, (doc_id % 10) / 10) AS confidence, s_name AS "Nombre empresa", provider AS "Proveedor", cuit AS "CUIT",
+ greatest(0.65::DOUBLE, (doc_id % 10) / 10) AS confidence, 2 AS n_warnings, s_name AS "Nombre empresa", provider AS "Proveedor", cuit AS "CUIT",
  CASE WHEN doc_id % 3 = 0 THEN '' ELSE service END AS "Servicio/Área", CASE WHEN doc_id % 3 = 0 THEN '' ELSE province END AS "Provincia", CASE WHEN doc_id % 3 = 0 THEN '' ELSE zone END AS "Zona de radicación",
  CASE WHEN doc_id % 3 = 0 THEN '' ELSE period END AS "Fecha/Periodo de contratación", CASE WHEN doc_id % 3 = 0 THEN '' ELSE mode END AS "Modalidad de contratación"
  FROM {SUPPLIERS} s WHERE doc_id IN (SELECT doc_id FROM {SUPPLIERS} z GROUP BY 1 HAVING count(*) >= 5)""")
 def recover_supplier_table(spark, sf):
     p, rec, conf = supplier_inputs(spark, sf)
-    return _wide(suppliers.recover_supplier_table(p, conf, reviewed_rows=rec), "source", "confidence")
+    return _wide(suppliers.recover_supplier_table(p, conf, reviewed_rows=rec), "source", "confidence", F.size("warnings").alias("n_warnings"))
 
 
 @query("normalize_candidate_rows", f"""SELECT doc_id, k, s_name AS "Nombre empresa", provider AS "Proveedor", cuit AS "CUIT" FROM {SUPPLIERS} s""")
@@ -266,21 +275,19 @@ def local_fallback(spark, sf):
 # --- ordered helpers -------------------------------------------------------
 
 
-@query("prev_next_anchor", """SELECT event_id, lag(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_anchor,
- count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchors_before FROM events""")
+@query("prev_next_anchor", """SELECT event_id, lag(a IGNORE NULLS) OVER w AS previous_anchor, lead(a IGNORE NULLS) OVER w AS next_anchor,
+ count(a) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchors_before
+ FROM (SELECT *, CASE WHEN event_type = 'error' THEN event_id END AS a FROM events) e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def prev_next_anchor(spark, sf):
-    from ..operators.ordered import carry_last
-
     e = C.table(spark, sf, "events").withColumn("b", F.floor(F.col("event_id") / 512))
     hit = F.when(F.col("event_type") == "error", F.col("event_id"))
-    e = carry_last(e, ["user_id"], "b", ["event_id"], {"previous_anchor": hit}, include_current=False)
+    e = anchors.neighbours(e, ["user_id"], "b", "event_id", hit)
     e = running_sums(e, ["user_id"], "b", ["event_id"], {"anchors_before": F.when(F.col("event_type") == "error", 1).otherwise(0)})
-    return e.select("event_id", "previous_anchor", "anchors_before")
+    return e.select("event_id", "previous_anchor", "next_anchor", "anchors_before")
 
 
 @query("docs_with_anchor", f"SELECT DISTINCT doc_id FROM {PEOPLE} p UNION ALL SELECT conv_id + 1000000 FROM conversations WHERE regexp_matches(text, '\\b(\\d{{10,11}}|\\d{{2}}[- ]?\\d{{7,8}}[- ]?\\d)\\b') GROUP BY 1")
 def docs_with_anchor(spark, sf):
     docs = C.roster_pages(spark, sf).select("doc_id", "text").unionByName(
         C.table(spark, sf, "conversations").select((F.col("conv_id") + 1000000).alias("doc_id"), "text"))
-    anchored = docs.where(F.col("text").rlike(V.CUIL)).select("doc_id")
-    return docs.select("doc_id").distinct().join(anchored, "doc_id", "left_semi")
+    return anchors.docs_with_anchor(docs)

@@ -162,6 +162,15 @@ def select_result(spark, sf):
     return quality.select_result(attempts(spark, sf)).select("doc_id", "candidate", "acceptable", "reason")
 
 
+@query("attempt_order", """SELECT user_id AS doc_id, 'c' || event_id AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
+  CASE WHEN value > 40 THEN 0 ELSE 1 END, CASE event_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 6 END, 'c' || event_id) AS r FROM events) e WHERE r = 1""")
+def attempt_order(spark, sf):
+    kinds = lits("local", "primary", "visual", "fallback", "experimental", "other")
+    tries = attempts(spark, sf).withColumns({
+        "attempt_kind": F.element_at(kinds, (F.col("priority") % 6 + 1).cast("int")), "acceptable": F.col("confidence") > 0.4}).drop("priority")
+    return quality.select_result(tries).select("doc_id", "candidate")
+
+
 @query("text_only_diagnostic", f"""SELECT user_id AS doc_id, 'ocr_text_only' AS extraction_mode, CASE WHEN user_id % 2 = 0 THEN 'manual_review_required' ELSE 'failed_quality_gate' END AS quality_status, value / 100 AS quality_score,
  event_type AS reason, length(props) AS text_length FROM ({CHOSEN}) c WHERE NOT (value > 40 AND user_id % 3 <> 0)""")
 def text_only_diagnostic(spark, sf):

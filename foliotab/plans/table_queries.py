@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import values as X
 from ..operators import tables
 from ..operators.ordered import first_rows
+from ..operators.storage import shared_folder
 from ..sources import pages, parsed, sinks
 from . import corpora as C
 from . import duck as D
@@ -394,4 +397,6 @@ def write_json(spark, sf):
     names = lits("Demo", "Piloto", "Basico", "Profesional", "Empresa", "Sin plan")
     docs = rows.select("doc_id", "rows", lits("code", "name").alias("columns"), F.struct(F.lit("LISTADO").alias("kind"), F.col("n").alias("records")).alias("metadata"),
                        F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int")).alias("plan_name"))
-    return sinks.json_documents(docs, C.plan_dimension(spark))
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    sinks.write_json(docs, C.plan_dimension(spark), path)
+    return spark.read.schema("doc_id bigint, value string").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -9,7 +11,8 @@ from ..functions import ids
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import chunks, quality, routing
-from ..sources import files, pages
+from ..operators.storage import shared_folder
+from ..sources import files, pages, sinks
 from . import duck as D
 from .corpora import MULTI_PAGES, SINGLE_PAGES, TYPED_DOCS, sql, table
 from .registry import registry
@@ -274,7 +277,10 @@ def write_raw_text(spark, sf):
     dirty = F.replace(F.concat(F.lit("  "), F.col("text"), F.lit("  ")), F.lit("\n"), F.lit(" \t\r\n\x07"))
     rejected = table(spark, sf, "documents")
     name = F.when(F.col("doc_id") % 5 == 0, F.lit(" .pdf")).otherwise(F.concat(F.lit("acta\\"), F.col("doc_id").cast("string"), F.lit(".pdf")))
-    return rejected.select("doc_id", T.raw_text_file_name(name).alias("file_name"), T.sanitize_raw_text(dirty).alias("raw_text"))
+    path = f"{shared_folder(spark)}/raw-text-{uuid.uuid4().hex}"
+    sinks.write_raw_text(rejected.select(
+        "doc_id", T.raw_text_file_name(name).alias("file_name"), T.sanitize_raw_text(dirty).alias("raw_text")), path)
+    return spark.read.parquet(path)
 
 
 @query("text_cleanups", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'AI response could not be converted to structured output' ELSE

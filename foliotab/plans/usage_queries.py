@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as X
 from ..operators import routing, usage
+from ..operators.storage import shared_folder
+from ..sources import sinks
 from . import duck as D
 from .corpora import CLIENTS, CODES, NOW, PLAN_VALUES, USAGE, plan_dimension, sql, table
 from .registry import registry
@@ -98,7 +102,7 @@ def recent_codes(spark, sf):
 
 @query("clients_by_date", f"SELECT client_id, client_name FROM {C} c ORDER BY client_id DESC")
 def clients_by_date(spark, sf):
-    return sql(spark, sf, CLIENTS).orderBy(F.desc("client_id")).select("client_id", "client_name")
+    return usage.clients_by_date(sql(spark, sf, CLIENTS)).select("client_id", "client_name")
 
 
 @query("plans_by_limit", f"""SELECT p.plan_name, daily_limit, count(c.client_id) AS clients FROM {P} p
@@ -232,8 +236,9 @@ def save_correction_examples(spark, sf):
     raw = table(spark, sf, "events").select(
         F.concat(F.lit("profile-"), (F.col("event_id") % 8).cast("string")).alias("profile_code"),
         F.when(F.col("event_id") % 6 == 0, F.lit('{"k": ')).otherwise(F.col("props")).alias("corrected_json"))
-    valid = raw.withColumn("corrected_json", F.try_parse_json("corrected_json"))
-    return valid.groupBy("profile_code").agg(F.count("*").alias("examples"), F.count("corrected_json").alias("with_json"))
+    path = f"{shared_folder(spark)}/corrections-{uuid.uuid4().hex}"
+    sinks.save_correction_examples(raw.withColumn("original_json", F.lit(None).cast("string")), path)
+    return spark.read.parquet(path).groupBy("profile_code").agg(F.count("*").alias("examples"), F.count("corrected_json").alias("with_json"))
 
 
 @query("small_text_functions", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a***@x.com' ELSE concat(left(concat('user', user_id), 2), '***@x.com') END AS masked,
