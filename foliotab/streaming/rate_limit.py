@@ -68,15 +68,17 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Decision per event of a stream ``key, event_id, ts``.
 
-    Needs the RocksDB state store.  Events of one key must arrive in time order across
-    batches; within a batch they are sorted.  With a ``watermark`` delay, windows that ended
-    before it are removed from the state by event-time timers.
+    Needs the RocksDB state store.  A key's events of one micro-batch are put in order before they
+    are decided.  An event of an earlier time that comes in a later batch is decided on arrival, in
+    the window open then: every event gets a decision, none is dropped as late.  With a
+    ``watermark`` delay, windows that ended before it are removed from the state by event-time
+    timers.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if watermark:
         timed = timed.withWatermark("ts", watermark)
     keyed = timed.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
-                         micros("ts").alias("us"), "ts")
+                         micros("ts").alias("us"))
     out = keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=FixedWindow(limit, window_seconds * 1_000_000, bool(watermark)),
         outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime" if watermark else "None",

@@ -1,6 +1,7 @@
 """Rate limits against brute force, streams against batch, writers."""
 
 import random
+import os
 import shutil
 import tempfile
 from datetime import datetime, timedelta
@@ -114,6 +115,27 @@ def test_rate_limit_stream_over_arrow_batches(spark, tmp_path):
     assert {r["event_id"]: (r["window_count"], r["allowed"]) for r in out} == brute_force(events, 5, timedelta(seconds=600))
 
 
+def test_rate_limit_late_events_and_expiry(spark, tmp_path):
+    """Late events are decided too, and windows behind the watermark leave the state."""
+    start = datetime(2024, 1, 1)
+    batches = [[(k, k, start) for k in range(1, 6)], [(9, 10, start + timedelta(hours=9))], [(9, 11, start + timedelta(hours=1))],
+               [(9, 12, start + timedelta(hours=10))]]
+    for i, rows in enumerate(batches):
+        part = tmp_path / "in" / f"part-{i}.parquet"
+        spark.createDataFrame(rows, "key long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        part.parent.mkdir(exist_ok=True)
+        next((tmp_path / f"b{i}").glob("part-*")).rename(part)
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("key long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    limited = rate_limit.rate_limit_stream(stream, 5, 600, "1 hour")
+    q = limited.writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {r["event_id"]: (r["window_count"], r["allowed"]) for r in spark.table("late").collect()}
+    assert got == {**{k: (1, True) for k in range(1, 6)}, 10: (1, True), 11: (2, True), 12: (1, True)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held[-1] < max(held)
+
+
 def test_write_csv_and_scan(spark, tmp_path):
     df = spark.createDataFrame([('a "q", b', None), ("x\ny", "2")], "Nombre string, Valor string")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "csv"))
