@@ -2,7 +2,7 @@
 
 Markup is stripped and every block element becomes a line. A line counts its characters, or none if it
 is boilerplate: inside navigation, header, footer, sidebar, form, advert, notice or comments (by element,
-role, class or id), outside the article element where the page has one, or made of links. Lengths are
+role, class or id), outside the article element where the page has one, or a short one made of links. Lengths are
 summed over a sliding window of lines. Text surges where a sum reaches ``SURGE`` and dives where it is
 back at zero; the stretch between, grown to the lines with text before the surge, is kept.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE, SHORT_LINK_LINE = 3, 80, 0.6
+WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
 # Elements that open a line, that hold no text of the page, and that hold none of the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary "
@@ -152,7 +152,7 @@ def main_text(page: str) -> str:
         weight[~article] = 0
     else:
         for i, (line, share) in enumerate(zip(lines, links)):
-            if share > SHORT_LINK_LINE or re.match(r"(©|\(c\)|copyright\b|all rights reserved)", line, re.I):
+            if share > LINK_SHARE and len(line) < SURGE or re.match(r"(©|\(c\)|copyright\b|all rights reserved)", line, re.I):
                 weight[i] = 0
     sums = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1:]  # over each line and the next ones
     keep = np.zeros(len(lines), bool)
