@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a result once to the shared checkpoint folder; it survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result once as Parquet to the shared folder and read it back.
+
+    A checkpoint runs its last stage twice; this computes every row once.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

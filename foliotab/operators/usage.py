@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import trim_ws, truncate_example
 from ..functions.values import micros
-from .ordered import carry_last
+from .storage import stored
 
 SLOT_SECONDS = 900
 #: Copies of a profile's example block, to spread a profile that many documents share.
@@ -110,6 +110,61 @@ def quota_decisions(events: DataFrame, limits: DataFrame, slot_seconds: int = SL
 # --- rate limit ------------------------------------------------------------
 
 
+def _runs(pdf: pd.DataFrame, by: list[str]) -> Iterator[tuple[int, int]]:
+    """First row and end of each run of equal values."""
+    change = np.zeros(len(pdf), bool)
+    change[:1] = True
+    for c in by:
+        change |= pdf[c].ne(pdf[c].shift()).to_numpy()
+    edges = np.flatnonzero(change)
+    yield from zip(edges, [*edges[1:], len(pdf)])
+
+
+def _block_steps(width: int):
+    """What a block makes of the window that is open before it: per entry event, the window open after it.
+
+    The open window began at or before the block's first event, so only the events up to one window
+    after that can be the first of a new one.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(pdf["us"].to_numpy())
+        n = len(us)
+        following = np.append(np.searchsorted(us, us + width), n)
+        entry = np.arange(min(n, int(following[0]) + 1))
+        at, back = entry, entry
+        while (following[at] < n).any():
+            at, again = np.unique(np.where(following[at] < n, following[at], at), return_inverse=True)
+            back = again[back]
+        out = at[back]
+        kept = np.append(np.flatnonzero(np.diff(out)), len(out) - 1)  # the last entry of each run of equal outcomes
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "block": pdf["block"].iloc[:1], "n": [n], "entry": [us[entry[kept]].tolist()],
+                             "start": [us[out[kept]].tolist()], "count": [(n - out[kept]).tolist()]})
+
+    return run
+
+
+def _chain(width: int):
+    """The open window (start, events in it) before each block of a key; one block is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, start, count = None, None, 0
+        for pdf in batches:
+            out = []
+            for key, block, n, entry, starts, counts in pdf.itertuples(index=False):
+                if owner != (key,):
+                    owner, start, count = (key,), None, 0
+                out.append((key, block, start, count))
+                at = 0 if start is None else int(np.searchsorted(entry, start + width))
+                if start is None or at < len(entry):
+                    start, count = int(starts[at]), int(counts[at])
+                else:
+                    count += n
+            yield pd.DataFrame(out, columns=["key", "block", "open_start", "open_count"]).astype({"open_start": "Int64"})
+
+    return run
+
+
 def rate_limit_batch(
     events: DataFrame,
     limit: int = V.RATE_LIMIT,
@@ -117,44 +172,48 @@ def rate_limit_batch(
 ) -> DataFrame:
     """Replay of the fixed window anchored at a key's first event.
 
-    ``events``: ``key, event_id, ts``.  Adds ``window_count, allowed, remaining, reset_at``.  An
-    idle gap of a whole window always starts a new one, so a key is first cut at such gaps
-    (blockwise); the pieces are then sorted and scanned as a stream with constant memory.
+    ``events``: ``key, event_id, ts``.  Adds ``window_count, allowed, remaining, reset_at``.  Events
+    are cut into range partitions by key and time, so that a block holds a bounded number of rows
+    whatever the key or the burst.  Where a key lies in several blocks, each says what it makes of
+    the window open before it, one row a block is chained, and every block is then scanned alone.
     """
     width = window_seconds * 1_000_000
+    kind = dict(events.dtypes)
     e = events.select("key", "event_id", micros("ts").alias("us"))
-    e = e.withColumn("_slot", F.floor(F.col("us") / (width * 16)))
-    e = carry_last(e, ["key"], "_slot", ["us", "event_id"], {"_prev": F.col("us")}, include_current=False)
-    opens = F.col("_prev").isNull() | (F.col("us") - F.col("_prev") >= width)
-    e = carry_last(e, ["key"], "_slot", ["us", "event_id"], {"_piece": F.when(opens, F.col("us"))})
-    ordered = e.select("key", "event_id", "us", F.xxhash64("key", "_piece").alias("_h"), F.col("_piece").alias("piece"))
-    ordered = ordered.repartition("_h").sortWithinPartitions("key", "piece", "us", "event_id").drop("_h")
+    e = stored(e.repartitionByRange("key", "us", "event_id").withColumn("block", F.spark_partition_id()))
+    # A boundary between blocks cuts one key at most: the keys and rows below are bounded by the blocks.
+    spread = e.groupBy("key").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select(F.col("key").alias("cut"))
+    parts = e.join(F.broadcast(spread), F.col("key").eqNullSafe(F.col("cut"))).select("key", "block", "us")
+    steps = parts.groupBy("key", "block").applyInPandas(
+        _block_steps(width), f"key {kind['key']}, block int, n bigint, entry array<bigint>, start array<bigint>, count array<bigint>")
+    carried = steps.repartition("key").sortWithinPartitions("key", "block").mapInPandas(
+        _chain(width), f"key {kind['key']}, block int, open_start bigint, open_count bigint")
+    carried = carried.select(F.col("key").alias("cut"), F.col("block").alias("cut_block"), "open_start", "open_count")
+    placed = e.join(F.broadcast(carried), F.col("key").eqNullSafe(F.col("cut")) & (F.col("block") == F.col("cut_block")), "left")
+    placed = placed.select("key", "event_id", "us", "block", "open_start", "open_count")
+    ordered = placed.repartition("key", "block").sortWithinPartitions("key", "block", "us", "event_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, start, count = None, 0, 0
+        owner, start, count = None, None, 0
         for pdf in batches:
             us = pdf["us"].to_numpy()
-            edges = np.flatnonzero((pdf["key"].ne(pdf["key"].shift()) | pdf["piece"].ne(pdf["piece"].shift())).to_numpy())
             starts, counts = np.empty_like(us), np.empty_like(us)
-            for lo, hi in zip(edges, [*edges[1:], len(us)]):
-                run = (pdf["key"].iat[lo], pdf["piece"].iat[lo])
+            for lo, hi in _runs(pdf, ["key", "block"]):
+                run = (pdf["key"].iat[lo], pdf["block"].iat[lo])
+                if run != owner:
+                    held = pdf["open_start"].iat[lo]
+                    owner, start, count = (run, None, 0) if pd.isna(held) else (run, int(held), int(pdf["open_count"].iat[lo]))
                 at = lo
-                if run == owner:
-                    end = lo + int(np.searchsorted(us[lo:hi], start + width, side="left"))
-                    starts[lo:end], counts[lo:end] = start, count + np.arange(1, end - lo + 1)
-                    count += end - lo
-                    at = end
                 while at < hi:
-                    start = int(us[at])
-                    end = at + int(np.searchsorted(us[at:hi], start + width, side="left"))
-                    count = end - at
-                    starts[at:end], counts[at:end] = start, np.arange(1, count + 1)
-                    at = end
-                owner = run
+                    end = at if start is None else at + int(np.searchsorted(us[at:hi], start + width))
+                    if end == at:
+                        start, count = int(us[at]), 0
+                        end = at + int(np.searchsorted(us[at:hi], start + width))
+                    starts[at:end], counts[at:end] = start, count + np.arange(1, end - at + 1)
+                    count, at = count + end - at, end
             yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "us": us,
                                 "window_count": counts, "reset_us": starts + width})
 
-    kind = dict(events.dtypes)
     schema = f"key {kind['key']}, event_id {kind['event_id']}, us bigint, window_count bigint, reset_us bigint"
     out = ordered.mapInPandas(scan, schema)
     return out.select(

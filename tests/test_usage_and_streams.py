@@ -49,6 +49,23 @@ def test_rate_limit_batch(spark, batch):
     assert got == brute_force(events, 5, timedelta(seconds=600))
 
 
+@pytest.mark.parametrize("hot", [0.4, 1.0])
+def test_rate_limit_blocks_of_one_key(spark, hot):
+    """One key over many blocks, with bursts inside a window, equal times, and no idle gap."""
+    events = [(k, i, t) for k, i, t in make_events(1500, 5, hot)]
+    events = [(k, i, T0 + (t - T0) / 8) for k, i, t in events]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(events, "key long, event_id long, ts timestamp").repartition(3)
+        out = usage.rate_limit_batch(df, 5, 600).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["event_id"]: (r["window_count"], r["allowed"]) for r in out} == brute_force(events, 5, timedelta(seconds=600))
+
+
 def test_quota_slots_are_invisible(spark, sf):
     limits = spark.range(200).select(F.col("id").alias("code_id"), F.lit(3).alias("daily_limit"), F.lit(20).alias("monthly_limit"))
     e = sql(spark, sf, USAGE)
