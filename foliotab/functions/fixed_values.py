@@ -260,24 +260,17 @@ GENERIC_TABLE_WORDS = [
     "fecha", "proveedor", "producto", "origen", "destino", "cantidad", "tons", "cuit",
 ]
 
-# --- profiles: id, label, extraction profile, extraction mode, expected columns
+# --- profiles: id, extraction profile, extraction mode, expected columns
 
 PROFILES = [
-    ("internal-general", "Documento general", "general", None, [], "Documento administrativo"),
-    ("internal-documento-tecnico-administrativo", "Documento tecnico-administrativo",
-     "technical-admin", "text_chunks", [], "Documento tecnico / administrativo"),
-    ("internal-dtve-senasa-arca", "Comprobante operativo", "commercial-operations", None, [], None),
-    ("internal-comprobante-generico", "Comprobante", "commercial-operations", None, [],
-     "Comprobante"),
-    ("internal-movimiento-camiones", "Movimiento de camiones", "vision-table", "vision_table",
-     MOVEMENT_COLUMNS, "OCR visual tabular"),
-    ("internal-personal-empresa-localidad", "Listado de personal por empresa/localidad",
-     "personnel-company-location", "text_chunks", COMPANY_COLUMNS,
-     "Listado de personal por empresa/localidad"),
-    ("internal-nomina-personal", "Nómina de personal / lugar de residencia", "personnel-roster",
-     "text_chunks", ROSTER_COLUMNS, "Nómina de personal / lugar de residencia"),
-    ("internal-tabla-administrativa", "Documento administrativo", "table-list", "direct_file", [],
-     "Documento administrativo"),
+    ("internal-general", "general", None, []),
+    ("internal-documento-tecnico-administrativo", "technical-admin", "text_chunks", []),
+    ("internal-dtve-senasa-arca", "commercial-operations", None, []),
+    ("internal-comprobante-generico", "commercial-operations", None, []),
+    ("internal-movimiento-camiones", "vision-table", "vision_table", MOVEMENT_COLUMNS),
+    ("internal-personal-empresa-localidad", "personnel-company-location", "text_chunks", COMPANY_COLUMNS),
+    ("internal-nomina-personal", "personnel-roster", "text_chunks", ROSTER_COLUMNS),
+    ("internal-tabla-administrativa", "table-list", "direct_file", []),
 ]
 
 PROFILE_ALIASES = {
@@ -294,11 +287,31 @@ PROFILE_ALIASES = {
 # --- plans: name, description, daily, monthly, PDF MB, image MB, JSON export, own profile
 
 PLANS = [
-    ("Demo", "Prueba acotada para validaciones iniciales.", 5, 10, 20, 10, True, False),
-    ("Piloto", "Piloto comercial con uso moderado.", 20, 100, 50, 20, True, True),
-    ("Basico", "Operación básica para documentos frecuentes.", 50, 500, 50, 20, True, True),
-    ("Profesional", "Uso profesional con mayor volumen mensual.", 150, 2000, 50, 20, True, True),
-    ("Empresa", "Uso empresarial administrado manualmente.", 9999, 99999, 50, 20, True, True),
+    ("Demo", 5, 10, 20, 10, True, False),
+    ("Piloto", 20, 100, 50, 20, True, True),
+    ("Basico", 50, 500, 50, 20, True, True),
+    ("Profesional", 150, 2000, 50, 20, True, True),
+    ("Empresa", 9999, 99999, 50, 20, True, True),
+]
+
+# Words of error texts: those worth a retry, and the classes in the order in which they are tried.
+RETRYABLE = [
+    "high demand", "service unavailable", "temporarily unavailable", "timeout", "timed out",
+    "too many requests", "quota", "resource exhausted", "network", "fetch failed", "econnreset",
+    "etimedout", "enotfound",
+]
+ERROR_CLASSES = [
+    ("profile_validation", ["profileextractionvalidationerror", "profile_extraction_validation_error",
+                            "profile_rejected_generic_line_csv"]),
+    ("quota", ["429", "too many requests", "quota", "resource exhausted", "high demand", "fetch failed",
+               "service unavailable", "temporarily", "saturad", "network"]),
+    ("html_leak", ["unexpected token '<'", "<!doctype", "<html"]),
+    ("low_quality", ["aioutputqualityerror", "ai result quality was too low", "ai_output_quality_low"]),
+    ("quality_gate", ["ocr_quality_gate_failed", "ocr_fallback_quality_gate_failed", "quality gate"]),
+    ("timeout", ["ocr processing timed out", "procesamiento tard"]),
+    ("temporary", ["googleaitemporaryerror"]),
+    ("structured_output", ["structuredoutputerror"]),
+    ("advanced_reader", ["google document ai", "google_document_ai", "advanced_ocr_normalization"]),
 ]
 
 # Kinds of attempts in the order in which their results are preferred.

@@ -21,20 +21,11 @@ DEFAULT_PROFILE = "internal-general"
 # --- dimensions ------------------------------------------------------------
 
 
-def profiles_table(spark: SparkSession) -> DataFrame:
-    """The eight profiles; a constant of a few rows."""
-    return spark.createDataFrame(
-        V.PROFILES,
-        "profile_id string, label string, extraction_profile string, extraction_mode string, "
-        "expected_columns array<string>, user_label string",
-    )
-
-
 def plans_table(spark: SparkSession) -> DataFrame:
     """The five plans as a local relation: its size is known, so joins broadcast it and leave the facts in place."""
-    names = ("plan_name", "description", "daily_limit", "monthly_limit", "max_pdf_mb", "max_image_mb",
+    names = ("plan_name", "daily_limit", "monthly_limit", "max_pdf_mb", "max_image_mb",
              "allow_json_export", "allow_custom_profile")
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
     columns = [pa.array(list(c), t) for c, t in zip(zip(*V.PLANS), kinds)]
     return spark.createDataFrame(pa.table(columns, names=list(names))).withColumn("is_active", F.lit(True))
 
@@ -65,11 +56,11 @@ def _by_profile(code: Column, field: int) -> Column:
 
 
 def extraction_profile(code) -> Column:
-    return _by_profile(col(code), 2)
+    return _by_profile(col(code), 1)
 
 
 def extraction_mode(code) -> Column:
-    return _by_profile(col(code), 3)
+    return _by_profile(col(code), 2)
 
 
 def expected_columns(code) -> Column:
@@ -79,8 +70,8 @@ def expected_columns(code) -> Column:
     lit = lambda names: F.array(*[F.lit(n) for n in names])
     out = F
     for p in V.PROFILES:
-        if p[4]:
-            out = out.when(code == p[0], lit(p[4]))
+        if p[3]:
+            out = out.when(code == p[0], lit(p[3]))
     return (
         out.when(kind == "commercial-operations", lit(V.COMMERCIAL_COLUMNS))
         .when(kind == "technical-admin", lit(V.SECTION_COLUMNS))
@@ -139,8 +130,8 @@ def table_signals(text, code=None) -> Column:
             return generic
         out = F
         for p in V.PROFILES:
-            if p[4]:
-                out = out.when(col(code) == p[0], contains_count(t, [py_search(c) for c in p[4]]) >= 4)
+            if p[3]:
+                out = out.when(col(code) == p[0], contains_count(t, [py_search(c) for c in p[3]]) >= 4)
         return out.otherwise(F.lit(False)) | generic
 
     return bind(norm_search(text), signals)
@@ -160,7 +151,7 @@ def document_kind(df: DataFrame) -> DataFrame:
         "reliable": is_pdf & reliable_text("text", F.col("ignored_text")),
         "has_table_signals": is_pdf & table_signals("text", "profile_id"),
     })
-    has_columns = F.col("profile_id").isin([p[0] for p in V.PROFILES if p[4]])
+    has_columns = F.col("profile_id").isin([p[0] for p in V.PROFILES if p[3]])
     pdf_warnings = F.array_compact(F.array(
         F.when(~F.col("reliable"), F.lit(
             "El PDF no tiene texto digital confiable; se prioriza OCR visual cuando el perfil lo requiere.")),
@@ -358,26 +349,6 @@ def visual_retry_eligible(df: DataFrame, enabled: bool = True) -> Column:
     return F.lit(enabled) & (trim_ws(F.coalesce("text", F.lit(""))) != "") & supported & weak
 
 
-_RETRYABLE = [
-    "high demand", "service unavailable", "temporarily unavailable", "timeout", "timed out",
-    "too many requests", "quota", "resource exhausted", "network", "fetch failed", "econnreset",
-    "etimedout", "enotfound",
-]
-_ERROR_CLASSES = [
-    ("profile_validation", ["profileextractionvalidationerror", "profile_extraction_validation_error",
-                            "profile_rejected_generic_line_csv"]),
-    ("quota", ["429", "too many requests", "quota", "resource exhausted", "high demand", "fetch failed",
-               "service unavailable", "temporarily", "saturad", "network"]),
-    ("html_leak", ["unexpected token '<'", "<!doctype", "<html"]),
-    ("low_quality", ["aioutputqualityerror", "ai result quality was too low", "ai_output_quality_low"]),
-    ("quality_gate", ["ocr_quality_gate_failed", "ocr_fallback_quality_gate_failed", "quality gate"]),
-    ("timeout", ["ocr processing timed out", "procesamiento tard"]),
-    ("temporary", ["googleaitemporaryerror"]),
-    ("structured_output", ["structuredoutputerror"]),
-    ("advanced_reader", ["google document ai", "google_document_ai", "advanced_ocr_normalization"]),
-]
-
-
 def classify_error(df: DataFrame, message: str = "error_text") -> DataFrame:
     """Ordered error taxonomy over error name and text, plus a retryable flag."""
     low = F.lower(F.coalesce(F.col(message), F.lit("")))
@@ -385,11 +356,11 @@ def classify_error(df: DataFrame, message: str = "error_text") -> DataFrame:
 
     def kind(t: Column) -> Column:
         out = F
-        for name, words in _ERROR_CLASSES:
+        for name, words in V.ERROR_CLASSES:
             out = out.when(any_of(t, words), F.lit(name))
         return out.otherwise(F.lit("other"))
 
     code = "(?<![a-z0-9_])(?:429|500|502|503|504)(?![a-z0-9_])"
     return df.withColumns({
-        "error_class": bind(low, kind), "retryable": bind(low, lambda t: t.rlike(code) | any_of(t, _RETRYABLE)),
+        "error_class": bind(low, kind), "retryable": bind(low, lambda t: t.rlike(code) | any_of(t, V.RETRYABLE)),
     })

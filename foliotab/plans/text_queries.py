@@ -176,7 +176,7 @@ def kinds(spark, sf):
 
 _MV = "profile_id = 'internal-movimiento-camiones'"
 _EXPECT = " OR ".join(
-    f"(profile_id = '{p[0]}' AND {D.contains_count(D.search('text'), [T.py_search(c) for c in p[4]])} >= 4)" for p in V.PROFILES if p[4])
+    f"(profile_id = '{p[0]}' AND {D.contains_count(D.search('text'), [T.py_search(c) for c in p[3]])} >= 4)" for p in V.PROFILES if p[3])
 KINDED = f"""SELECT *, CASE WHEN pdf THEN {RELIABLE} AND NOT ignored ELSE false END AS reliable,
  pdf AND ({_EXPECT} OR {D.contains_count(D.search('text'), V.GENERIC_TABLE_WORDS)} >= 4) AS has_table_signals FROM
  (SELECT p.*, m.mime_type, m.size_bytes, m.mime_type = 'application/pdf' AS pdf, {_MV} AND m.mime_type = 'application/pdf' AND {_IGN.replace("text", "p.text")} AS ignored
