@@ -14,15 +14,10 @@ from ..functions.text import trim_ws, truncate_example
 from ..functions.values import micros
 from .storage import stored
 
-SLOT_SECONDS = 900
 #: Copies of a profile's example block, to spread a profile that many documents share.
 SALTS = 16
 
 
-def _slot(ts: str, seconds: int = SLOT_SECONDS) -> Column:
-    return F.floor(micros(ts) / (seconds * 1_000_000))
-
-
 # --- access ----------------------------------------------------------------
 
 
@@ -72,29 +67,31 @@ def quota_usage(events: DataFrame, limits: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def quota_decisions(events: DataFrame, limits: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+def quota_decisions(events: DataFrame, limits: DataFrame, blocks: int | None = None) -> DataFrame:
     """Replay: whether each event was allowed, given earlier successes of its day and month.
 
-    Counts run in two levels (quarter-hour slots, then inside a slot), so a code with a third
-    of all events is spread over its slots.  Events without a limit row are unlimited.
+    Events are cut into range partitions by code and time, so that a block holds a bounded number of
+    rows whatever the code or the burst.  Counts run in two levels: blocks, then inside a block.
+    Events without a limit row are unlimited; events without a code are left out.
     """
     ok = F.when(F.col("status") == "success", 1).otherwise(0)
-    e = events.withColumns({
+    order = ["code_id", "created_at", "event_id"]
+    ranged = events.repartitionByRange(blocks, *order) if blocks else events.repartitionByRange(*order)
+    e = stored(ranged.withColumns({
         "_day": F.date_trunc("day", "created_at"), "_month": F.date_trunc("month", "created_at"),
-        "_slot": _slot("created_at", slot_seconds), "_ok": ok,
-    })
-    slots = e.groupBy("code_id", "_month", "_day", "_slot").agg(F.sum("_ok").alias("_n"))
+        "_block": F.spark_partition_id(), "_ok": ok,
+    }))
+    part = ["code_id", "_day", "_block"]
+    sums = e.groupBy("_month", *part).agg(F.sum("_ok").alias("_n"))
     before = (Window.unboundedPreceding, -1)
-    by_month = Window.partitionBy("code_id", "_month").orderBy("_slot").rowsBetween(*before)
-    by_day = Window.partitionBy("code_id", "_month", "_day").orderBy("_slot").rowsBetween(*before)
-    slots = slots.select(
-        "code_id", "_slot", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_day_before"),
+    by_month = Window.partitionBy("code_id", "_month").orderBy("_day", "_block").rowsBetween(*before)
+    by_day = Window.partitionBy("code_id", "_day").orderBy("_block").rowsBetween(*before)
+    sums = sums.select(
+        *part, F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_day_before"),
         F.coalesce(F.sum("_n").over(by_month), F.lit(0)).alias("_month_before"),
     )
-    inside = Window.partitionBy("code_id", "_slot").orderBy("created_at", "event_id").rowsBetween(*before)
-    joined = e.join(slots, ["code_id", "_slot"])
-    in_slot = F.coalesce(F.sum("_ok").over(inside), F.lit(0))
-    counted = joined.withColumn("_in", in_slot).select(
+    inside = Window.partitionBy(*part).orderBy("created_at", "event_id").rowsBetween(*before)
+    counted = e.join(sums, part).withColumn("_in", F.coalesce(F.sum("_ok").over(inside), F.lit(0))).select(
         *events.columns,
         (F.col("_day_before") + F.col("_in")).alias("prior_day"),
         (F.col("_month_before") + F.col("_in")).alias("prior_month"),
