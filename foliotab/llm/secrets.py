@@ -74,8 +74,8 @@ def _joined(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
 
 
-def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """The document as ``doc``, its owner, row number, counts, digest of the base spans and all candidates."""
+def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all by default) as ``doc``, owner, row number, counts, digest of the base spans and candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source") ->
                  pa.array([[dict(zip(("start", "kind", "end", "hash"), x)) for x in row] for row in spans], _SPANS)],
                 names=["doc", "owner", "row", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(owner_col).cast("string").alias("owner"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(owner_col).cast("string").alias("owner"),
                        F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     added = T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans " + SPANS)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *added.fields]))
@@ -117,7 +117,7 @@ def judged(scanned: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, **columns: str) -> DataFrame:
     """Counts, digest and spans of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
-    rows = judged(stored(scan(docs.select("doc_id", "text", "source"), **columns)))
+    rows = judged(stored(scan(docs, keep=["doc_id"], **columns)))
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = F.filter("found", lambda s: (s["kind"] < 3) | s["live"])
     text = F.transform(shown, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string")))
