@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
+
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
 # Elements that open a line, that hold no text of the page, and that hold none of the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -184,4 +186,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, EXTRACTED)
+    return in_batches(pages.select(F.col("page_id").cast("long"), "url", "html"), run, EXTRACTED)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches, stored
+
 ORDER, DISCOUNT, START = 4, 0.75, 1
 #: Bounds of the model; standard deviations at which a text is rejected; floor of the spread.
 MOST_NGRAMS, MOST_LANGUAGES, CALIBRATION_ROWS, REJECT_AT, LEAST_SPREAD = 60_000, 64, 2000, 8.0, 0.15
@@ -256,7 +258,7 @@ def count_grams(rows: DataFrame, lang_col: str = "lang", text_col: str = "text")
         for lang, parts in found.items():
             yield out(lang, parts)
 
-    counted = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, gram long, n long")
+    counted = in_batches(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -267,8 +269,6 @@ def in_training(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, most_ngrams: int = MOST_NGRAMS) -> LanguageModel | None:
     """Models of all languages of the training rows (the ``MOST_LANGUAGES`` with the most n-grams)."""
-    from .shared import stored
-
     rows = docs.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counted = stored(count_grams(rows))
     # Counts by eighths of a power of two: at most some 500 rows for each language reach the driver.
@@ -312,7 +312,7 @@ def calibrated(model: LanguageModel, rows: DataFrame) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array(own[ok], pa.int32()), pa.array(m), pa.array(np.maximum(s - m * m, 0)), pa.array(count[ok])],
                                              names=["lang", "mean", "within", "n"])
 
-    found = sample.mapInArrow(run, "lang int, mean double, within double, n long").toPandas()
+    found = in_batches(sample, run, "lang int, mean double, within double, n long").toPandas()
     limits = np.zeros((len(model.names), 3))
     overall = found["mean"].mean() if len(found) else 0.0
     for i in range(len(model.names)):
@@ -338,7 +338,7 @@ def decide(model: LanguageModel, mean: np.ndarray, count: np.ndarray) -> tuple[n
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and acceptance of every whole text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predictor(model, 1, lambda batch, columns: pa.RecordBatch.from_arrays(
+    return in_batches(rows, _predictor(model, 1, lambda batch, columns: pa.RecordBatch.from_arrays(
         [batch.column(0), *columns], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])), PREDICTED)
 
 
@@ -364,4 +364,4 @@ def accepted_rows(docs: DataFrame, model: LanguageModel | None, text_col: str =
     def keep(batch: pa.RecordBatch, columns: list) -> pa.RecordBatch:
         return batch.filter(columns[3])
 
-    return docs.mapInArrow(_predictor(model, docs.columns.index(text_col), keep), docs.schema)
+    return in_batches(docs, _predictor(model, docs.columns.index(text_col), keep), docs.schema)

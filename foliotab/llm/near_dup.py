@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import in_batches, stored
 from .words import Words, mix, pieces, windows
 
 #: Words of a shingle, MinHash samples and samples of a band, bins and bits of a sketch, similarity in hundredths,
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                  pa.array(filled, pa.int64()), *[pa.array(sketch[:, i].copy()) for i in range(_LONGS)]],
                 names=["doc_id", "n_shingles", "k1", "k2", "bands", "filled", *SKETCH])
 
-    return docs.mapInArrow(run, _PRINT)
+    return in_batches(docs, run, _PRINT)
 
 
 def _sketched(classes: DataFrame, name: str, letter: str) -> DataFrame:
@@ -175,7 +175,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     with_b = pairs.select("a", "b").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return in_batches(with_both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:

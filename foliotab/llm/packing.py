@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from foliotab.operators.ordered import number_rows
 
-from .shared import stored
+from .shared import in_batches, stored
 
 WINDOW, END_ID = 2048, 1
 #: Combinations use classes this wide, of remainders from this length; shorter ones fill what is left.
@@ -103,7 +103,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                                              names=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return in_batches(rows, run, PIECES)
 
 
 def non_negative(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -216,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, **columns: str)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])],
                                              names=[*batch.schema.names[:6], "sequence_id", "place"])
 
-    seated = ranked.mapInArrow(seats, PIECES + ", sequence_id long, place long")
+    seated = in_batches(ranked, seats, PIECES + ", sequence_id long, place long")
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     shared = seated.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                            F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .words import Words, mix, per_text, pieces, windows
 
 WORD_BINS, BYTE_BINS = 1 << 12, 1 << 12
@@ -138,7 +139,7 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
                      pa.array(failed), pa.array(~failed & (p >= KEEP_FROM)), pa.array(p, pa.float64())],
                     names=["doc_id", *COUNTS, "base_failed", "kept", "p_good"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCORED)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -197,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                     [batch.column(0).slice(lo, hi - lo), pa.array([w.astype(np.uint16).tobytes() for w in where]),
                      pa.array([r[w].tobytes() for r, w in zip(x, where)])], names=["y", "bins", "values"])
 
-    found = sample.mapInArrow(vectors, "y int, bins binary, values binary").toArrow()
+    found = in_batches(sample, vectors, "y int, bins binary, values binary").toArrow()
     y = found.column("y").to_numpy().astype(np.float32)
     if len(y) == 0 or y.min() == y.max():
         return None

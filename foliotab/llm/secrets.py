@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import in_batches, stored
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", kee
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(owner_col).cast("string").alias("owner"),
                        F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     added = T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans " + SPANS)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *added.fields]))
+    return in_batches(rows, run, T.StructType([*rows.schema.fields[:3], *added.fields]))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from foliotab.operators.storage import shared_folder
 
+BATCH_BYTES = 4 << 20
+
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it back.
@@ -21,6 +24,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES``, so that texts of any length need little memory.
+
+    The limit is a setting of the session, which is lowered if it is higher.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key))) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)

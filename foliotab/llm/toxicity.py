@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import in_training
+from .shared import in_batches, stored
 
 # Common insults in English, Spanish, French and German, folded.
 INSULTS = ("idiot", "idiots", "moron", "morons", "loser", "losers", "stupid", "scum", "worthless", "pathetic", "disgusting",
@@ -158,7 +159,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(weight, words)), pa.array(hits), pa.array(weight)],
                                              names=["doc_id", "score", "n_hits", "weight"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCORED)
 
 
 def _beginnings(text: str) -> set[str]:
@@ -229,8 +230,6 @@ def _curve(weight: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS) -> ToxicityModel:
     """Learn entries and curve from at most ``rows`` labelled rows, all of them rows that may be learned from."""
-    from .shared import stored
-
     chosen = (labels.where(F.col(label).isin(0, 1) & in_training()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     # At most `rows` ids and labels: a broadcast of known size.
@@ -240,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         for batch in batches:
             yield batch.append_column("key", pa.array([_alike_key(t.as_py()) for t in batch.column(1)], pa.int64()))
 
-    sample = stored(joined.mapInArrow(keyed, "y int, text string, key long"))
+    sample = stored(in_batches(joined, keyed, "y int, text string, key long"))
     one_each = sample.groupBy("y", "key").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     if not n.get(0) or not n.get(1):
         return ToxicityModel(dict.fromkeys((w + END for w in INSULTS), FIXED_WEIGHT), (-3.0, 2.0, 0.5, 0.1))
     fixed = [w + END for w in INSULTS]
-    totals = one_each.select("y", "text").mapInArrow(counted, "entry string, toxic long, other long").groupBy("entry").agg(
+    totals = in_batches(one_each.select("y", "text"), counted, "entry string, toxic long, other long").groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
     strong = totals.where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS) & (odds * F.sqrt("toxic") >= LEAST_STRENGTH) | F.col("entry").isin(fixed))
@@ -270,6 +269,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.float64()),
                                               pa.array([f[2] for f in found], pa.int64())], names=["y", "weight", "words"])
 
-    facts = sample.select("y", "text").mapInArrow(weighed, "y int, weight double, words long").toPandas()
+    facts = in_batches(sample.select("y", "text"), weighed, "y int, weight double, words long").toPandas()
     facts = facts.sort_values(["y", "weight", "words"])
     return ToxicityModel(lexicon, _curve(facts["weight"].to_numpy(), facts["words"].to_numpy(np.float64), facts["y"].to_numpy(np.float64)))
