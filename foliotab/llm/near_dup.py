@@ -141,20 +141,26 @@ def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", estimate().alias("estimate")).where(F.col("estimate") >= CHECK_FROM)
 
 
-def bodies_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the ids in pairs (a, b).
+def marked(rows: DataFrame, id_col: str, wanted: DataFrame, mark: str) -> DataFrame:
+    """Rows with ``mark``: false only where the id is not among ``wanted`` (id).
 
-    The wanted ids first go into a bitmap of fixed size (FILTER_BITS, 4 MB), broadcast to the scan, so that
-    few other texts are shuffled; the exact join follows.
+    The wanted ids go into a bitmap of fixed size (FILTER_BITS, 4 MB) that is broadcast to the scan, so that
+    an exact join need shuffle few other rows.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    maps = wanted.select(F.floor(place("id") / _BITMAP).alias("part"), (place("id") % _BITMAP).alias("bit")).groupBy("part").agg(
-        F.bitmap_construct_agg("bit").alias("map"))
-    part, bit = F.floor(place("doc_id") / _BITMAP), place("doc_id") % _BITMAP
-    found = texts.withColumn("part", part).withColumn("bit", bit).join(F.broadcast(maps), "part")
-    byte = F.conv(F.hex(F.substring("map", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "text")
+    maps = wanted.select(F.floor(place("id") / _BITMAP).alias("_part"), (place("id") % _BITMAP).alias("_bit")).groupBy("_part").agg(
+        F.bitmap_construct_agg("_bit").alias("_map"))
+    placed = rows.withColumns({"_part": F.floor(place(id_col) / _BITMAP), "_bit": place(id_col) % _BITMAP})
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
+    joined = placed.join(F.broadcast(maps), "_part", "left")
+    return joined.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_part", "_bit", "_map")
+
+
+def bodies_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts of the ids in pairs (a, b)."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    found = marked(texts, "doc_id", wanted, "_wanted").where("_wanted")
     return stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("id", "text"))
 
 
@@ -243,7 +249,11 @@ def screened_rest(members: DataFrame, found: DataFrame, classes: DataFrame) -> D
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest id, once."""
     found = stored(near_duplicates(docs))
-    kept = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    removed = found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    split = marked(docs, "doc_id", removed, "_removed")
+    doubtful = split.where("_removed").select(*docs.columns)
+    kept = split.where("not _removed").select(*docs.columns).unionByName(
+        doubtful.join(removed, doubtful["doc_id"] == removed["id"], "left_anti"))
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept

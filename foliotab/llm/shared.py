@@ -5,25 +5,41 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from foliotab.operators.storage import shared_folder
 
 BATCH_BYTES = 4 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
+_held: list[str] | None = None
+
+
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     Unlike ``checkpoint()``, which runs its last stage twice, this computes each row once.
-    The files outlive any executor and bear a name of their own for each call.
+    The files outlive any executor and bear a name of their own for each call. Those stored after
+    one call of ``release`` are deleted by the next one, unless they are ``lasting``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not lasting and _held is not None:
+        _held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what was stored since the last call, for a pipeline that has written the results made of it."""
+    global _held
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in _held or []:
+        path = hadoop(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _held = []
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` over batches of at most ``BATCH_BYTES``, so that texts of any length need little memory.
 

@@ -98,7 +98,7 @@ def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        after = stored(stage(spark, docs, sf))
+        after = stored(stage(spark, docs, sf), lasting=True)
         rows = after.collect()
         if name == "language":
             assert {r.doc_id for r in rows} == {r.doc_id for r in language.predict(docs, language.train(docs)).collect() if r.accepted}
