@@ -2,10 +2,12 @@
 
 Texts are lower-cased and every run of characters that are not letters becomes one space. 4-grams of
 characters are counted for each language over all training rows, combined in each task before the
-shuffle. All lower orders of Kneser-Ney follow from the distinct 4-grams (continuation counts). The
-most frequent 4-grams of each language are kept, up to a fixed number, so the model that is broadcast
-has a size bound whatever the corpus. The log-probabilities of each order are resolved for every
-language and stored as sorted arrays of hashes with one column for each language.
+shuffle. All lower orders of Kneser-Ney follow from the distinct 4-grams (continuation counts). No 4-gram
+is left out: the model grows with the corpus. It is cut into parts of at most ``PART_CELLS`` values, by
+groups of languages and by the third character of the 4-gram (very common ones also by the second), so that a
+part holds all that the back-off of its 4-grams needs. The driver builds one part at a time and broadcasts
+it; a task scores its texts part by part and adds up. In a part, the log-probabilities of each order are
+resolved for every language of the group and stored as sorted arrays of hashes with a column a language.
 
 A text goes to the language of lowest cross-entropy per character. It is rejected if its cross-entropy
 is above what training texts of that language and length reach: the limit is the mean plus
@@ -23,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_batches, stored
 
 ORDER, DISCOUNT, START = 4, 0.75, 1
-#: Bounds of the model; standard deviations at which a text is rejected; floor of the spread.
-MOST_NGRAMS, MOST_LANGUAGES, CALIBRATION_ROWS, REJECT_AT, LEAST_SPREAD = 60_000, 64, 2000, 8.0, 0.15
-PIECE_CHARS = 1 << 19
+#: Most languages, rows of calibration; standard deviations at which a text is rejected; floor of the spread.
+MOST_LANGUAGES, CALIBRATION_ROWS, REJECT_AT, LEAST_SPREAD = 64, 2000, 8.0, 0.15
+#: Languages of a group, 4-grams times languages of a part, characters scored at once, and bytes of texts for which the parts are loaded once.
+GROUP, PART_CELLS, PIECE_CHARS, HELD_BYTES = 16, 4_000_000, 1 << 19, 8 << 20
 PREDICTED = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
 
 
@@ -126,24 +130,21 @@ class HashedTable:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Per order, resolved log-probabilities and back-off weights of contexts; per language, rejection limits."""
+    """Per order, resolved log-probabilities and back-off weights of contexts."""
 
     names: list[str]
     grams: list[HashedTable]
     backoffs: list[HashedTable]
     unseen: np.ndarray
-    limits: np.ndarray | None = None
 
-    def log_probabilities(self, chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each character that ends a whole n-gram, its text and its log-probability in each language."""
-        keys, ends = grams(chars, bounds, ORDER)
-        text = (np.searchsorted(bounds, ends, "right") - 1).astype(np.int64)
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        """The log-probability of the last character of each 4-gram in each language."""
         table = self.grams[ORDER - 1]
         out = table.values[table.find(keys)]
         missing = np.flatnonzero(np.isnan(out[:, 0]))
         if len(missing):
             out[missing] = self._lower(keys[missing], ORDER)
-        return text, out
+        return out
 
     def _lower(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Log-probabilities of n-grams that the table of their order lacks: back-off weight and next lower order."""
@@ -160,8 +161,47 @@ class LanguageModel:
         return low + factor
 
 
-def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> LanguageModel:
-    """Models from the 4-grams (packed keys, counts) of each language."""
+@dataclass(frozen=True)
+class Seats:
+    """The part of each 4-gram: by its third character, and by its second where that has several parts."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        third = ((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+        second = ((keys >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64)
+        return self.first[third] + (second * 40503 & 0xFFFF) % self.parts[third]
+
+
+@dataclass(frozen=True)
+class LanguageParts:
+    """The whole model: for each group of languages where 4-grams sit and the parts; per language, rejection limits."""
+
+    names: list[str]
+    groups: list[tuple[Seats, list[LanguageModel | Broadcast]]]
+    limits: np.ndarray | None = None
+
+    def single(self) -> bool:
+        return sum(len(parts) for _, parts in self.groups) == 1
+
+
+def _loaded(part: LanguageModel | Broadcast) -> LanguageModel:
+    """A part, which is not kept in memory if it lies in a file."""
+    if isinstance(part, LanguageModel):
+        return part
+    path = getattr(part, "_path", None)
+    return part.load_from_path(path) if path else part.value
+
+
+Counts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def kneser_ney(counts: Counts, names: list[str], lower_counts: dict[int, Counts] | None = None, alphabet: int | None = None) -> LanguageModel:
+    """Models from the 4-grams (packed keys, counts) of each language.
+
+    A part of the 4-grams needs the lower orders that its own do not tell, and the number of different characters and one.
+    """
     n = len(names)
     mask = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
     by_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
@@ -171,7 +211,9 @@ def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], names: list[str]) ->
         for k in range(ORDER - 1, 0, -1):  # how many different characters precede each shorter n-gram
             seen, preceded = np.unique(seen & mask[k], return_counts=True)
             by_order[k].append((seen, preceded.astype(np.float64)))
-    alphabet = len(np.unique(np.concatenate([by_order[1][i][0] for i in range(n)]))) + 1
+    for k, known in (lower_counts or {}).items():
+        by_order[k] = [(keys, freq.astype(np.float64)) for keys, freq in known]
+    alphabet = alphabet or len(np.unique(np.concatenate([by_order[1][i][0] for i in range(n)]))) + 1
     unseen = np.full(n, -np.log(alphabet), np.float32)
     tables: list[HashedTable] = []
     backoffs: list[HashedTable] = []
@@ -211,20 +253,49 @@ def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gram_runs(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """4-grams and their texts, counted from the first one, of texts from lo to hi."""
+    for lo, hi in _runs(texts):
+        chars, bounds = characters(texts[lo:hi])
+        keys, ends = grams(chars, bounds, ORDER)
+        yield lo, hi, keys, (np.searchsorted(bounds, ends, "right") - 1).astype(np.int64)
+
+
+def entropies(model: LanguageParts, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cross-entropy in each language, its squares' mean, and the number of scored characters of each text."""
     n, k = len(texts), len(model.names)
     mean, square, count = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n, np.int64)
-    for lo, hi in _runs(texts):
-        chars, bounds = characters(texts[lo:hi])
-        text, logp = model.log_probabilities(chars, bounds)
-        size = np.bincount(text, minlength=hi - lo)
-        count[lo:hi] = size
-        for i in range(k):
-            p = logp[:, i].astype(np.float64)
-            mean[lo:hi, i] = -np.bincount(text, weights=p, minlength=hi - lo) / np.maximum(size, 1)
-            square[lo:hi, i] = np.bincount(text, weights=p * p, minlength=hi - lo) / np.maximum(size, 1)
-    return mean, square, count
+    runs = _gram_runs(texts) if model.single() else list(_gram_runs(texts))
+    at = 0
+    for seats, parts in model.groups:
+        for p, part in enumerate(parts):
+            part = _loaded(part)
+            for lo, hi, keys, text in runs:
+                if len(parts) > 1:
+                    here = np.flatnonzero(seats.of(keys) == p)
+                    keys, text = keys[here], text[here]
+                logp = part.log_probabilities(keys)
+                if at == 0:
+                    count[lo:hi] += np.bincount(text, minlength=hi - lo)
+                for i in range(len(part.names)):
+                    v = logp[:, i].astype(np.float64)
+                    mean[lo:hi, at + i] -= np.bincount(text, weights=v, minlength=hi - lo)
+                    square[lo:hi, at + i] += np.bincount(text, weights=v * v, minlength=hi - lo)
+        at += len(part.names)
+    size = np.maximum(count, 1)[:, None]
+    return mean / size, square / size, count
+
+
+def gathered(batches: Iterator[pa.RecordBatch], model: LanguageParts | None) -> Iterator[pa.RecordBatch]:
+    """The batches, several together if the model has several parts to load."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if not model or model.single() or sum(b.nbytes for b in held) >= HELD_BYTES:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def count_grams(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -267,44 +338,87 @@ def in_training(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def train(docs: DataFrame, most_ngrams: int = MOST_NGRAMS) -> LanguageModel | None:
+def _by_language(found: DataFrame, n: int) -> Counts:
+    """Sorted keys and counts of each language from rows (i, gram, n)."""
+    table = found.select("i", "gram", "n").toArrow()
+    lang, keys, freq = table["i"].to_numpy(), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.lexsort((keys, lang))
+    bounds = np.searchsorted(lang[order], np.arange(n + 1))
+    return [(keys[order[lo:hi]], freq[order[lo:hi]]) for lo, hi in zip(bounds, bounds[1:])]
+
+
+def seated(sizes: dict[int, int], most: int) -> tuple[Seats, int]:
+    """Seats and number of parts, of about ``most`` 4-grams each, from the number of 4-grams of each third character."""
+    first, parts = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+    made, room = 0, 0
+    for third, size in sorted(sizes.items()):
+        if size > most:
+            first[third], parts[third] = made, -(-size // most)
+            made, room = made + int(parts[third]), 0
+            continue
+        if size > room:
+            made, room = made + 1, most
+        first[third], room = made - 1, room - size
+    return Seats(first, parts), made
+
+
+def _group(counted: DataFrame, names: list[str], entries: int, alphabet: int | None, cells: int) -> tuple[Seats, list[LanguageModel | Broadcast]]:
+    """The parts of a group of languages."""
+    spark, n = counted.sparkSession, len(names)
+    index = spark.createDataFrame(list(zip(names, range(n))), "lang string, i int")
+    own = counted.join(F.broadcast(index), "lang").select("i", "gram", "n")
+    if entries * n <= cells:
+        part = kneser_ney(_by_language(own, n), names, alphabet=alphabet)
+        return seated({}, 1)[0], [part if alphabet is None else spark.sparkContext.broadcast(part)]
+    third, second = (F.shiftrightunsigned("gram", k).bitwiseAND(0xFFFF) for k in (16, 32))
+    # One row for each of at most 65,536 characters reaches the driver.
+    seats, parts = seated({r.third: r.n for r in own.groupBy(third.alias("third")).agg(F.count("*").alias("n")).collect()}, max(1, cells // n))
+    known = spark.createDataFrame([(c, int(seats.first[c]), int(seats.parts[c])) for c in range(1 << 16)], "third long, first long, parts long")
+    placed = own.withColumn("third", third).join(F.broadcast(known), "third").withColumn(
+        "part", F.col("first") + (second * 40503).bitwiseAND(0xFFFF) % F.col("parts"))
+    placed = stored(placed.select("part", "i", "gram", "n").sort("part", "gram", "i"))
+    # How many different characters precede each pair and each single character, over all 4-grams.
+    tail = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")
+    pairs = stored(own.select("i", tail(3)).distinct().groupBy("i", tail(2)).agg(F.count("*").alias("n")))
+    singles = _by_language(pairs.groupBy("i", tail(1)).agg(F.count("*").alias("n")), n)
+    leading = F.shiftrightunsigned("gram", 16).bitwiseAND(0xFFFF)
+    reach = pairs.withColumn("third", leading).join(F.broadcast(known), "third")
+    reach = stored(reach.withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1))).select(
+        "part", "i", "gram", "n").sort("part", "gram", "i"))
+    out = []
+    for p in range(parts):
+        lower = {2: _by_language(reach.where(F.col("part") == p), n), 1: singles}
+        part = kneser_ney(_by_language(placed.where(F.col("part") == p), n), names, lower, alphabet)
+        out.append(spark.sparkContext.broadcast(part))
+    return seats, out
+
+
+def train(docs: DataFrame, cells: int = PART_CELLS) -> LanguageParts | None:
     """Models of all languages of the training rows (the ``MOST_LANGUAGES`` with the most n-grams)."""
     rows = docs.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counted = stored(count_grams(rows))
-    # Counts by eighths of a power of two: at most some 500 rows for each language reach the driver.
-    level = F.floor(F.log2("n") * 8).cast("int")
-    levels = counted.groupBy("lang", level.alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n"))
-    sizes = levels.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    chosen = levels.join(F.broadcast(sizes.select("lang")), "lang").toPandas()
-    if not len(chosen):
+    # One row a language reaches the driver.
+    sizes = counted.groupBy("lang").agg(F.count("*").alias("grams"), F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    entries = {r.lang: r.grams for r in sizes.collect()}
+    if not entries:
         return None
-    least = {}
-    for lang, part in chosen.groupby("lang"):
-        part = part.sort_values("level", ascending=False)
-        within = part["grams"].cumsum() <= most_ngrams
-        least[lang] = int(part["level"][within].min()) if within.any() else int(part["level"].max())
-    bound = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, least int")
-    kept = counted.join(F.broadcast(bound), "lang").where(level >= F.col("least")).select("lang", "gram", "n").toArrow().to_pandas()
-    names = sorted(least)
-    counts = []
-    for name in names:
-        part = kept[kept["lang"] == name].sort_values("gram")
-        counts.append((part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy()))
-    for i, (keys, n) in enumerate(counts):
-        order = np.argsort(keys)
-        counts[i] = keys[order], n[order]
-    model = kneser_ney(counts, names)
-    return calibrated(model, rows)
-
-
-def calibrated(model: LanguageModel, rows: DataFrame) -> LanguageModel:
+    names = sorted(entries)
+    alphabet = None
+    if len(names) > GROUP or sum(entries.values()) * len(names) > cells:
+        alphabet = counted.select(F.col("gram").bitwiseAND(0xFFFF).alias("last")).distinct().count() + 1
+    groups = [_group(counted, part, sum(entries[x] for x in part), alphabet, cells)
+              for part in (names[i:i + GROUP] for i in range(0, len(names), GROUP))]
+    return calibrated(LanguageParts(names, groups), rows)
+
+
+def calibrated(model: LanguageParts, rows: DataFrame) -> LanguageParts:
     """Add, per language, the mean cross-entropy, its spread between texts and the spread within a text."""
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
     # At most CALIBRATION_ROWS ids: a broadcast of known size.
     sample = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, model):
             mean, square, count = entropies(model, batch.column(1).to_pylist())
             own = np.array([model.names.index(x) if x in model.names else -1 for x in batch.column(0).to_pylist()])
             ok = np.flatnonzero((own >= 0) & (count > 0))
@@ -321,10 +435,10 @@ def calibrated(model: LanguageModel, rows: DataFrame) -> LanguageModel:
         limits[i] = (long["mean"].median() if len(part) else overall,
                      max(LEAST_SPREAD, float(long["mean"].std(ddof=0)) if len(part) > 1 else 0.0),
                      float(part["within"].median()) if len(part) else 4.0)
-    return LanguageModel(model.names, model.grams, model.backoffs, model.unseen, limits)
+    return LanguageParts(model.names, model.groups, limits)
 
 
-def decide(model: LanguageModel, mean: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decide(model: LanguageParts, mean: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language, probability of the language and acceptance of each text."""
     best = mean.argmin(1)
     at = np.arange(len(mean))
@@ -335,16 +449,16 @@ def decide(model: LanguageModel, mean: np.ndarray, count: np.ndarray) -> tuple[n
     return best, 1 / odds.sum(1), accepted & (count > 0)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageParts | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and acceptance of every whole text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return in_batches(rows, _predictor(model, 1, lambda batch, columns: pa.RecordBatch.from_arrays(
         [batch.column(0), *columns], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])), PREDICTED)
 
 
-def _predictor(model: LanguageModel | None, text_at: int, make):
+def _predictor(model: LanguageParts | None, text_at: int, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, model):
             n = batch.num_rows
             names, score = ["und"] * n, np.zeros(n)
             bits, accepted = np.full(n, np.nan), np.zeros(n, bool)
@@ -359,7 +473,7 @@ def _predictor(model: LanguageModel | None, text_at: int, make):
     return run
 
 
-def accepted_rows(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+def accepted_rows(docs: DataFrame, model: LanguageParts | None, text_col: str = "text") -> DataFrame:
     """The documents whose language is accepted, in one pass and with all their columns."""
     def keep(batch: pa.RecordBatch, columns: list) -> pa.RecordBatch:
         return batch.filter(columns[3])
