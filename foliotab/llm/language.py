@@ -10,7 +10,7 @@ it; a task scores its texts part by part and adds up. In a part, the log-probabi
 resolved for every language of the group and stored as sorted arrays of hashes with a column a language.
 
 A text goes to the language of lowest cross-entropy per character. It is rejected if its cross-entropy
-is above what training texts of that language and length reach: the limit is the mean plus
+is above what the training texts of that language, all of them, reach: the limit is the mean plus
 ``REJECT_AT`` standard deviations, of which the within-text part shrinks with the length.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and are rejected; with no
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .shared import in_batches, stored
 
 ORDER, DISCOUNT, START = 4, 0.75, 1
-#: Most languages, rows of calibration; standard deviations at which a text is rejected; floor of the spread.
-MOST_LANGUAGES, CALIBRATION_ROWS, REJECT_AT, LEAST_SPREAD = 64, 2000, 8.0, 0.15
+#: Most languages; standard deviations at which a text is rejected; floor of the spread.
+MOST_LANGUAGES, REJECT_AT, LEAST_SPREAD = 64, 8.0, 0.15
+#: Sums over the texts of a language.
+SUMS = ("texts", "means", "squares", "within", "noise")
 #: Languages of a group, 4-grams times languages of a part, characters scored at once, and bytes of texts for which the parts are loaded once.
 GROUP, PART_CELLS, PIECE_CHARS, HELD_BYTES = 16, 4_000_000, 1 << 19, 8 << 20
 PREDICTED = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
@@ -412,29 +414,35 @@ def train(docs: DataFrame, cells: int = PART_CELLS) -> LanguageParts | None:
 
 
 def calibrated(model: LanguageParts, rows: DataFrame) -> LanguageParts:
-    """Add, per language, the mean cross-entropy, its spread between texts and the spread within a text."""
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
-    # At most CALIBRATION_ROWS ids: a broadcast of known size.
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    """Add, per language, the mean cross-entropy, its spread between texts and the spread within a text, over all ``rows``.
 
+    Sums over the rows of a language give the limits: the spread between texts is what their variance has
+    beyond the part that the spread within texts of their lengths explains. A language of one row has the
+    spread between the texts of all languages.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {name: i for i, name in enumerate(model.names)}
         for batch in gathered(batches, model):
             mean, square, count = entropies(model, batch.column(1).to_pylist())
-            own = np.array([model.names.index(x) if x in model.names else -1 for x in batch.column(0).to_pylist()])
+            own = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
             ok = np.flatnonzero((own >= 0) & (count > 0))
-            m, s = mean[ok, own[ok]], square[ok, own[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(own[ok], pa.int32()), pa.array(m), pa.array(np.maximum(s - m * m, 0)), pa.array(count[ok])],
-                                             names=["lang", "mean", "within", "n"])
-
-    found = in_batches(sample, run, "lang int, mean double, within double, n long").toPandas()
-    limits = np.zeros((len(model.names), 3))
-    overall = found["mean"].mean() if len(found) else 0.0
-    for i in range(len(model.names)):
-        part = found[found["lang"] == i]
-        long = part[part["n"] >= part["n"].median()] if len(part) else part
-        limits[i] = (long["mean"].median() if len(part) else overall,
-                     max(LEAST_SPREAD, float(long["mean"].std(ddof=0)) if len(part) > 1 else 0.0),
-                     float(part["within"].median()) if len(part) else 4.0)
+            own, size = own[ok], count[ok]
+            m, s = mean[ok, own], square[ok, own]
+            within = np.maximum(s - m * m, 0)
+            seen = np.unique(own)
+            facts = [np.bincount(own, weights=v, minlength=len(number))[seen] for v in (np.ones(len(ok)), m, m * m, within, within / size)]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *map(pa.array, facts)], names=["lang", *SUMS])
+
+    sums = in_batches(rows.select("lang", "text"), run, "lang long, " + ", ".join(f"{c} double" for c in SUMS))
+    found = {r.lang: r for r in sums.groupBy("lang").agg(*[F.sum(c).alias(c) for c in SUMS]).collect()}
+    limits, between = np.zeros((len(model.names), 3)), np.zeros(len(model.names))
+    for i, r in found.items():
+        between[i] = max(0.0, (r.squares - r.means ** 2 / r.texts) / r.texts - r.noise / r.texts) if r.texts > 1 else 0.0
+        limits[i] = r.means / r.texts, 0, r.within / r.texts
+    several = [i for i, r in found.items() if r.texts > 1]
+    pooled = sum(between[i] * found[i].texts for i in several) / max(1, sum(found[i].texts for i in several))
+    for i, r in found.items():
+        limits[i, 1] = max(LEAST_SPREAD, (between[i] if r.texts > 1 else pooled) ** 0.5)
     return LanguageParts(model.names, model.groups, limits)
 
 

@@ -49,3 +49,22 @@ def test_a_common_character_has_several_parts():
     assert seats.first[[97, 98, 99]].tolist() == [10, 11, 11]
     keys = np.array([(a << 32) | (32 << 16) for a in range(65, 91)], np.uint64)
     assert set(seats.of(keys)) <= set(range(10)) and len(set(seats.of(keys))) > 3
+
+
+def test_limits_come_from_all_training_rows(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(30_000).where(language.in_training("id")).orderBy(F.xxhash64("id")).select("id")
+    ids = [r.id for r in ids.collect()]
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["river", "mill", "weir", "valley", "wheel", "water"], 6)), "en") for i in ids[:2500]]
+    # The rare language has only rows that come last in the order of id hashes.
+    rows += [(i, "".join(map(chr, rng.integers(0x4E00, 0x6E00, size=size))), "zh") for i, size in zip(ids[-4:], (40, 400, 900, 2000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    own = {x: [] for x in model.names}
+    mean, _, _ = language.entropies(model, [t for _, t, _ in rows])
+    for (_, _, lang), m in zip(rows, mean):
+        own[lang].append(m[model.names.index(lang)])
+    assert model.limits[:, 0].tolist() == pytest.approx([np.mean(own[x]) for x in model.names])
+    assert all(r.accepted for r in language.predict(docs, model).collect())
