@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .shared import in_batches, stored
 
 ORDER, DISCOUNT, START = 4, 0.75, 1
-#: Most languages; standard deviations at which a text is rejected; floor of the spread.
-MOST_LANGUAGES, REJECT_AT, LEAST_SPREAD = 64, 8.0, 0.15
+#: Standard deviations at which a text is rejected; floor of the spread.
+REJECT_AT, LEAST_SPREAD = 8.0, 0.15
 #: Sums over the texts of a language.
 SUMS = ("texts", "means", "squares", "within", "noise")
 #: Languages of a group, 4-grams times languages of a part, characters scored at once, and bytes of texts for which the parts are loaded once.
@@ -396,12 +396,11 @@ def _group(counted: DataFrame, names: list[str], entries: int, alphabet: int | N
 
 
 def train(docs: DataFrame, cells: int = PART_CELLS) -> LanguageParts | None:
-    """Models of all languages of the training rows (the ``MOST_LANGUAGES`` with the most n-grams)."""
+    """Models of all languages of the training rows, scored in groups of ``GROUP``."""
     rows = docs.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counted = stored(count_grams(rows))
     # One row a language reaches the driver.
-    sizes = counted.groupBy("lang").agg(F.count("*").alias("grams"), F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    entries = {r.lang: r.grams for r in sizes.collect()}
+    entries = {r.lang: r.grams for r in counted.groupBy("lang").agg(F.count("*").alias("grams")).collect()}
     if not entries:
         return None
     names = sorted(entries)

@@ -68,3 +68,14 @@ def test_limits_come_from_all_training_rows(spark):
         own[lang].append(m[model.names.index(lang)])
     assert model.limits[:, 0].tolist() == pytest.approx([np.mean(own[x]) for x in model.names])
     assert all(r.accepted for r in language.predict(docs, model).collect())
+
+
+def test_every_language_has_a_model(spark):
+    rng = np.random.default_rng(6)
+    ids = [i for i in range(400) if in_training(i)][:210]
+    rows = [(i, "".join(map(chr, rng.integers(0x4E00 + 60 * (k % 70), 0x4E00 + 60 * (k % 70) + 50, 120))), f"x{k % 70:02}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.names == [f"x{k:02}" for k in range(70)] and len(model.groups) == 5
+    got = {r.doc_id: (r.lang_pred, r.accepted) for r in language.predict(docs, model).collect()}
+    assert got == {i: (lang, True) for i, _, lang in rows}
