@@ -4,8 +4,8 @@ A document's set holds its distinct five-word shingles. Documents with the same
 are compared once. Bands of four of 128 MinHash samples put classes into buckets; classes of similarity
 0.75 share no bucket with probability below 1e-5. One-permutation MinHash samples in 1,024 bins are folded
 into an odd sketch of 2,048 parity bits: the population count of the XOR of two sketches estimates how many
-samples differ, with a standard deviation of the similarity below 0.015, and less for short texts. Only
-pairs that may reach 0.68 have their sets compared.
+samples differ, with a standard deviation of the similarity of 0.015 to 0.02. Only pairs whose sizes allow
+a link and whose estimate reaches 0.60 have their sets compared; sets of few shingles are always compared.
 
 No bucket is expanded into all pairs. Every member is first compared with the bucket's smallest id, best
 pairs first; the links found give components. Only members outside a bucket's main component are then
@@ -31,8 +31,8 @@ from .shared import in_batches, stored
 from .words import Words, mix, pieces, windows
 
 #: Words of a shingle, MinHash samples and samples of a band, bins and bits of a sketch, similarity in hundredths,
-#: estimate that is checked, and bits of the fixed-size filter of wanted ids.
-SHINGLE, SAMPLES, BAND, BINS, SKETCH_BITS, SIMILAR, CHECK_FROM, FILTER_BITS = 5, 128, 4, 1024, 2048, 75, 0.68, 1 << 25
+#: estimate that is checked, shingles of a pair below which no estimate is asked, and bits of the fixed-size filter of wanted ids.
+SHINGLE, SAMPLES, BAND, BINS, SKETCH_BITS, SIMILAR, CHECK_FROM, FEW, FILTER_BITS = 5, 128, 4, 1024, 2048, 75, 0.60, 192, 1 << 25
 _LONGS, _BITMAP = SKETCH_BITS // 64, 1 << 15
 _random = np.random.default_rng(424242)
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,7 +123,7 @@ def _sketched(classes: DataFrame, name: str, letter: str) -> DataFrame:
 
 
 def estimate() -> Column:
-    """Similarity estimated from the sketch columns s_ and t_, for pairs near ``CHECK_FROM``.
+    """Similarity estimated from the sketch columns s_ and t_, for pairs near ``SIMILAR``.
 
     Samples shared = half of the samples of both less those that differ; the number of bins that the union
     fills follows from its size at that similarity.
@@ -131,14 +131,20 @@ def estimate() -> Column:
     bits = sum((F.bit_count(F.col(f"s_{s}").bitwiseXOR(F.col(f"t_{s}"))) for s in SKETCH), F.lit(0))
     differ = F.log(F.greatest(1 - 2 * bits / F.lit(float(SKETCH_BITS)), F.lit(1e-6))) * F.lit(-SKETCH_BITS / 2)
     shared = (F.col("s_filled") + F.col("t_filled") - differ) / 2
-    union = F.lit(float(BINS)) * (1 - F.exp((F.col("s_n") + F.col("t_n")) * F.lit(-1 / ((1 + CHECK_FROM) * BINS))))
+    union = F.lit(float(BINS)) * (1 - F.exp((F.col("s_n") + F.col("t_n")) * F.lit(-1 / ((1 + SIMILAR / 100) * BINS))))
     return shared / union
 
 
+def may_link() -> Column:
+    """Whether the sizes of s_ and t_ allow a link (no link is lost there) and their sketches do."""
+    sizes = 100 * F.least("s_n", "t_n") >= SIMILAR * F.greatest("s_n", "t_n")
+    return sizes & ((F.col("s_n") + F.col("t_n") < FEW) | (estimate() >= CHECK_FROM))
+
+
 def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches allow the similarity, with the estimate."""
     both = pairs.join(_sketched(classes, "b", "t"), "b").join(_sketched(classes, "a", "s"), "a")
-    return both.select("a", "b", estimate().alias("estimate")).where(F.col("estimate") >= CHECK_FROM)
+    return both.where(may_link()).select("a", "b", estimate().alias("estimate"))
 
 
 def marked(rows: DataFrame, id_col: str, wanted: DataFrame, mark: str) -> DataFrame:
@@ -242,7 +248,7 @@ def screened_rest(members: DataFrame, found: DataFrame, classes: DataFrame) -> D
     inside = open_.select(F.col("band").alias("y_band"), F.col("id").alias("y"), F.col("component").alias("cy"))
     inside = inside.join(_sketched(classes, "y", "t"), "y")
     pairs = outside.join(inside, (F.col("band") == F.col("y_band")) & (F.col("cx") != F.col("cy"))
-                         & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (estimate() >= CHECK_FROM))
+                         & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may_link())
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
