@@ -29,7 +29,6 @@ WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary "
                    "table tbody tfoot thead tr ul".split())
-RAW = frozenset("script style noscript template svg math title textarea iframe object canvas audio video select head".split())
 BOILERPLATE = frozenset("nav aside form footer header button menu dialog label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
@@ -40,7 +39,9 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense s
                   "navigation breadcrumb breadcrumbs comment comments respond disqus replies share sharing social related recommended widget "
                   "toolbar login signin signup search pagination pager hidden".split())
 OUTER_NAMES = frozenset("header footer masthead topbar bottom copyright legal side alert".split())
-_RAW = re.compile(r"<(script|style|noscript|template|svg|math|title|textarea|iframe|object|canvas|audio|video|select)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+# Elements whose content is no markup, which run to the end of the page if nothing closes them.
+TEXT_ONLY = frozenset("script style title textarea".split())
+_RAW = re.compile(r"""<!--|<(script|style|title|textarea)\b(?:"[^"]*"|'[^']*'|[^'">])*+>|<(noscript|template|svg|annotation|annotation-xml|iframe|object|canvas|audio|video|select)(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*+>(?<!/>)""", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>?", re.S)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)\Z""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -70,9 +71,31 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def without_raw(page: str) -> str:
+    """The page without comments and elements that hold none of its text; what nothing closes loses its tag only, but for ``TEXT_ONLY``."""
+    parts: list[str] = []
+    unclosed: set[str] = set()
+    at = 0
+    while m := _RAW.search(page, at):
+        name = (m[1] or m[2] or "").lower()
+        parts += [page[at:m.start()], " " if name else ""]
+        if name in unclosed:
+            at = m.end()
+            continue
+        end = re.compile(rf"</{name}\s*>" if name else "-->", re.I).search(page, m.end())
+        if end:
+            at = end.end()
+        elif name and name not in TEXT_ONLY:
+            unclosed.add(name)
+            at = m.end()
+        else:
+            at = len(page)
+    return "".join([*parts, page[at:]])
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool], list[bool], list[float]]:
     """Lines of text; for each whether it is boilerplate, whether it lies in an article, and the share of link text."""
-    page = _COMMENT.sub("", _RAW.sub(" ", page))
+    page = _COMMENT.sub("", without_raw(page))
     lines: list[str] = []
     spare: list[bool] = []
     content: list[bool] = []
