@@ -4,7 +4,9 @@ Markup is stripped and every block element becomes a line. A line counts its cha
 is boilerplate: inside navigation, header, footer, sidebar, form, advert, notice or comments (by element,
 role, class or id), outside the article element where the page has one, or a short one made of links. Lengths are
 summed over a sliding window of lines. Text surges where a sum reaches ``SURGE`` and dives where it is
-back at zero; the stretch between, grown to the lines with text before the surge, is kept.
+back at zero; the stretch between, grown to the lines with text before the surge, is kept. Each article
+is a distribution of its own, with a lower surge; an article whose highest sum is small beside the page's
+highest (a teaser card, a related story) is not kept.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed elements end with
 the page, except that an article ends any open boilerplate; a page cut inside a tag loses that tag only;
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .shared import in_batches
 
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
+#: Within articles: where text surges, and the least share of the page's highest window sum that an article must reach.
+ARTICLE_SURGE, PEAK_SHARE = 20, 0.2
 # Elements that open a line, that hold no text of the page, and that hold none of the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary "
@@ -93,16 +97,18 @@ def without_raw(page: str) -> str:
     return "".join([*parts, page[at:]])
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], list[bool], list[float]]:
-    """Lines of text; for each whether it is boilerplate, whether it lies in an article, and the share of link text."""
+def lines_of(page: str) -> tuple[list[str], list[bool], list[int], list[float], dict[int, int]]:
+    """Lines of text; for each whether it is boilerplate, the number of the article it lies in or 0, and the share of link text; the article around each."""
     page = _COMMENT.sub("", without_raw(page))
     lines: list[str] = []
     spare: list[bool] = []
-    content: list[bool] = []
+    content: list[int] = []
+    parents: dict[int, int] = {}
+    open_: list[int] = []
     links: list[float] = []
     parts: list[str] = []
     linked = total = 0
-    skip, depth, articles, in_link = "", 0, 0, False
+    skip, depth, in_link = "", 0, False
 
     def close() -> None:
         nonlocal linked, total
@@ -110,7 +116,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[bool], list[float]]
         if text:
             lines.append(text)
             spare.append(bool(skip))
-            content.append(articles > 0)
+            content.append(open_[-1] if open_ else 0)
             links.append(linked / max(total, 1))
         parts.clear()
         linked = total = 0
@@ -139,14 +145,15 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[bool], list[float]]
                     close()
                     skip = ""
             elif name in CONTENT and not skip:
-                articles = max(0, articles - 1)
+                del open_[-1:]
             continue
         if name in VOID:
             continue
-        if name in CONTENT and not _is_boilerplate(name, attributes, articles > 0):
+        if name in CONTENT and not _is_boilerplate(name, attributes, bool(open_)):
             close()
             skip, depth = "", 0
-            articles += 1
+            parents[len(parents) + 1] = open_[-1] if open_ else 0
+            open_.append(len(parents))
             continue
         if skip:
             if name == skip:
@@ -157,46 +164,59 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[bool], list[float]]
                     continue
             else:
                 continue
-        if _is_boilerplate(name, attributes, articles > 0):
+        if _is_boilerplate(name, attributes, bool(open_)):
             close()
             skip, depth = name, 1
     parts.append(page[at:])
     close()
-    return lines, spare, content, links
+    return lines, spare, content, links, parents
 
 
-def main_text(page: str) -> str:
-    """The stretches of lines between surges and dives, joined by empty lines."""
-    lines, spare, content, links = lines_of(page)
-    if not lines:
-        return ""
-    weight = np.array([len(x) for x in lines])
-    weight[np.array(spare)] = 0
-    article = np.array(content)
-    if (article & (weight > 0)).any():
-        weight[~article] = 0
-    else:
-        for i, (line, share) in enumerate(zip(lines, links)):
-            if share > LINK_SHARE and len(line) < SURGE or re.match(r"(©|\(c\)|copyright\b|all rights reserved)", line, re.I):
-                weight[i] = 0
+def _stretches(weight: np.ndarray, least: int) -> np.ndarray:
+    """Lines between a surge of the window sums to ``least`` and the dive to zero, grown to the lines with text before the surge."""
     sums = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1:]  # over each line and the next ones
-    keep = np.zeros(len(lines), bool)
+    keep = np.zeros(len(weight), bool)
     i = 0
-    limit = min(SURGE, int(sums.max()))
-    while i < len(lines) and limit > 0:
+    limit = min(least, int(sums.max()))
+    while i < len(weight) and limit > 0:
         if sums[i] < limit:
             i += 1
             continue
         dive = i
-        while dive < len(lines) and sums[dive] > 0:
+        while dive < len(weight) and sums[dive] > 0:
             dive += 1
         surge = i
         while surge > 0 and sums[surge - 1] > 0:
             surge -= 1
         keep[surge:dive] = True
         i = dive
-    if article.any():
-        keep |= article  # short lines of the article that an advert cuts off
+    return keep
+
+
+def main_text(page: str) -> str:
+    """The stretches of lines between surges and dives, joined by empty lines."""
+    lines, spare, content, links, parents = lines_of(page)
+    if not lines:
+        return ""
+    weight = np.array([len(x) for x in lines])
+    weight[np.array(spare)] = 0
+    article = np.array(content)
+    if ((article > 0) & (weight > 0)).any():
+        weight[article == 0] = 0
+        keep = np.zeros(len(lines), bool)
+        of = {a: np.flatnonzero(article == a) for a in sorted(set(content) - {0})}
+        peak = {a: int(np.convolve(weight[at], np.ones(WINDOW, int)).max()) for a, at in of.items()}
+        for a, at in of.items():
+            if peak[a] >= PEAK_SHARE * max(peak.values()):
+                keep[at] = _stretches(weight[at], ARTICLE_SURGE)
+        for i in np.flatnonzero((article[:-1] > 0) & (article[1:] > article[:-1]))[::-1]:  # short heading of an element before the article in it
+            if keep[i + 1] and parents.get(content[i + 1]) == content[i]:
+                keep[max(0, i - 1):i + 1] |= article[max(0, i - 1):i + 1] == article[i]
+    else:
+        for i, (line, share) in enumerate(zip(lines, links)):
+            if share > LINK_SHARE and len(line) < SURGE or re.match(r"(©|\(c\)|copyright\b|all rights reserved)", line, re.I):
+                weight[i] = 0
+        keep = _stretches(weight, SURGE)
     return "\n\n".join(line for line, k, w in zip(lines, keep, weight) if k and w > 0)
 
 
