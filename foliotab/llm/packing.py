@@ -45,20 +45,20 @@ class Ids:
     """Token ids of whole texts under a byte-level BPE file of the ``tokenizers`` library.
 
     The file's ids are its merge ranks, which a rank-based encoder turns into the same ids in a third of
-    the time. The two are compared on a probe text when the file is loaded; if a file's ids are no ranks,
-    its own library encodes.
+    the time; special tokens of the file that a text spells out are their own ids. The two are compared on a
+    probe text with every special token when the file is loaded; where they differ, the file's own library encodes.
     """
 
-    PROBE = "It's 12,5 km -- naïve façade, 東京! \t\n  (she'll) <|x|>  end \u00a0 "
+    PROBE = "It's 12,5 km -- naïve façade, 東京! \t\n  (she'll) <|x|>%s  end \u00a0 "
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
         self.ranked = self._ranked(path)
-        if self.ranked and self.ranked.encode_ordinary(self.PROBE) != self.own.encode(self.PROBE, add_special_tokens=False).ids:
+        probe = self.PROBE % " ".join(t.content for t in self.own.get_added_tokens_decoder().values())
+        if self.ranked and self.ranked.encode(probe, allowed_special="all") != self.own.encode(probe, add_special_tokens=False).ids:
             self.ranked = None
 
     @staticmethod
@@ -69,16 +69,18 @@ class Ids:
         model = json.loads(Path(path).read_text())
         if model["model"]["type"] != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("normalizer"):
             return None
-        special = {t["content"] for t in model["added_tokens"]}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in model["added_tokens"]):
+            return None
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or 174 <= b]
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
-        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
         if self.ranked:
-            return self.ranked.encode_to_numpy(text, disallowed_special=())
+            return self.ranked.encode_to_numpy(text, allowed_special="all")
         return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
