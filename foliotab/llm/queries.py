@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, language, mixing, near_dup, packing, quality, secrets, sharding, toxicity, vector_dup
+from . import (exact_dup, extraction, language, manifest, mixing, near_dup, packing, periodic, quality, secrets, sharding, toxicity,
+               vector_dup)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +67,20 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(_table(spark, sf, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.verified(manifest.manifest(manifest.document_leaves(_table(spark, sf, "documents"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    texts = docs.select("doc_id", periodic.repeating_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digests(periodic.find_runs(texts))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dup.groups(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -77,9 +92,14 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_near_vectors": op9_near_vectors,
     "op10_html_main_text": op10_html_main_text,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_duplicates": op13_exact_duplicates,
 }
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": near_dup.SQL,
     "op3_mix_sources": mixing.SQL,
     "op9_near_vectors": vector_dup.SQL,
+    "op11_merkle_manifest": manifest.SQL,
+    "op13_exact_duplicates": exact_dup.SQL,
 }
