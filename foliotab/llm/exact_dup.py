@@ -7,6 +7,8 @@ when its texts have ended; only open groups go on, and a round reads one piece o
 else. Pieces grow sixteenfold, so that the longest text takes eight rounds. Bytes are compared as they are;
 no digest decides.
 
+Of each piece only rows that a bitmap of the open ones lets pass are joined with them.
+
 A round groups in two steps: rows are first grouped within salts of their number, one for each shuffle
 partition, then one row for each of these groups; so a group that holds a third of all rows is shared
 by all tasks, and row numbers come back to rows by a join on the small groups.
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import probably, stored
 
 #: Bytes at which texts are cut.
 EDGES = (0, 1 << 6, 1 << 10, 1 << 14, 1 << 18, 1 << 22, 1 << 26, 1 << 30, (1 << 31) - 1)
@@ -65,11 +67,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     finished, open_ = [], None
     for k, end in enumerate(EDGES[1:]):
         piece = digits.select("row", who, "n_bytes", F.col(f"piece_{k}").alias("piece"))
-        rows = piece.withColumn("group", F.lit(0).cast("long")) if open_ is None else piece.where("piece is not null").join(
-            open_.select("row", "group"), "row")
+        if open_ is None:
+            rows = piece.withColumn("group", F.lit(0).cast("long"))
+        else:
+            likely, mark = probably(piece.where("piece is not null"), "row", open_.select(F.col("row").alias("id")))
+            rows = likely.where(F.col(mark)).drop(mark).join(open_, "row")
         found = stored(_split(rows))
         finished.append(found.where((F.col("n") == 1) | (F.col("n_bytes") <= end)))
-        open_ = found.where((F.col("n") > 1) & (F.col("n_bytes") > end))
+        open_ = stored(found.where((F.col("n") > 1) & (F.col("n_bytes") > end)).select("row", "group"))
         if open_.isEmpty():
             break
     seats = reduce(DataFrame.unionByName, finished).select("row", "first", "n")

@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import in_batches, stored
+from .shared import in_batches, probably, stored
 from .words import Words, mix, pieces, windows
 
 #: Words of a shingle, MinHash samples and samples of a band, bins and bits of a sketch, similarity in hundredths,
-#: estimate that is checked, shingles of a pair below which no estimate is asked, and bits of the fixed-size filter of wanted ids.
-SHINGLE, SAMPLES, BAND, BINS, SKETCH_BITS, SIMILAR, CHECK_FROM, FEW, FILTER_BITS = 5, 128, 4, 1024, 2048, 75, 0.60, 192, 1 << 25
-_LONGS, _BITMAP = SKETCH_BITS // 64, 1 << 15
+#: estimate that is checked, and shingles of a pair below which no estimate is asked.
+SHINGLE, SAMPLES, BAND, BINS, SKETCH_BITS, SIMILAR, CHECK_FROM, FEW = 5, 128, 4, 1024, 2048, 75, 0.60, 192
+_LONGS = SKETCH_BITS // 64
 _random = np.random.default_rng(424242)
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = [f"s{i}" for i in range(_LONGS)]
@@ -147,27 +147,11 @@ def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(may_link()).select("a", "b", estimate().alias("estimate"))
 
 
-def marked(rows: DataFrame, id_col: str, wanted: DataFrame, mark: str) -> DataFrame:
-    """Rows with ``mark``: false only where the id is not among ``wanted`` (id).
-
-    The wanted ids go into a bitmap of fixed size (FILTER_BITS, 4 MB) that is broadcast to the scan, so that
-    an exact join need shuffle few other rows.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    maps = wanted.select(F.floor(place("id") / _BITMAP).alias("_part"), (place("id") % _BITMAP).alias("_bit")).groupBy("_part").agg(
-        F.bitmap_construct_agg("_bit").alias("_map"))
-    placed = rows.withColumns({"_part": F.floor(place(id_col) / _BITMAP), "_bit": place(id_col) % _BITMAP})
-    byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
-    joined = placed.join(F.broadcast(maps), "_part", "left")
-    return joined.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_part", "_bit", "_map")
-
-
 def bodies_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the ids in pairs (a, b)."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    found = marked(texts, "doc_id", wanted, "_wanted").where("_wanted")
-    return stored(found.join(wanted, found["doc_id"] == wanted["id"]).select("id", "text"))
+    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    found, mark = probably(texts, "doc_id", wanted)
+    return stored(found.where(F.col(mark)).join(wanted, found["doc_id"] == wanted["id"]).select("id", "text"))
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -255,10 +239,10 @@ def screened_rest(members: DataFrame, found: DataFrame, classes: DataFrame) -> D
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest id, once."""
     found = stored(near_duplicates(docs))
-    removed = found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
-    split = marked(docs, "doc_id", removed, "_removed")
-    doubtful = split.where("_removed").select(*docs.columns)
-    kept = split.where("not _removed").select(*docs.columns).unionByName(
+    removed = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct())
+    split, mark = probably(docs, "doc_id", removed)
+    doubtful = split.where(F.col(mark)).drop(mark)
+    kept = split.where(~F.col(mark)).drop(mark).unionByName(
         doubtful.join(removed, doubtful["doc_id"] == removed["id"], "left_anti"))
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
