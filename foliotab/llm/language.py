@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_batches, stored
+from .shared import bounded_batches, in_batches, stored
 
 ORDER, DISCOUNT, START = 4, 0.75, 1
 #: Standard deviations at which a text is rejected; floor of the spread.
@@ -367,7 +367,7 @@ def seated(sizes: dict[int, int], most: int) -> tuple[Seats, int]:
 def _group(counted: DataFrame, names: list[str], entries: int, alphabet: int | None, cells: int) -> tuple[Seats, list[LanguageModel | Broadcast]]:
     """The parts of a group of languages."""
     spark, n = counted.sparkSession, len(names)
-    index = spark.createDataFrame(list(zip(names, range(n))), "lang string, i int")
+    index = spark.createDataFrame(pa.table({"lang": pa.array(names, pa.string()), "i": pa.array(range(n), pa.int32())}))
     own = counted.join(F.broadcast(index), "lang").select("i", "gram", "n")
     if entries * n <= cells:
         part = kneser_ney(_by_language(own, n), names, alphabet=alphabet)
@@ -375,7 +375,7 @@ def _group(counted: DataFrame, names: list[str], entries: int, alphabet: int | N
     third, second = (F.shiftrightunsigned("gram", k).bitwiseAND(0xFFFF) for k in (16, 32))
     # One row for each of at most 65,536 characters reaches the driver.
     seats, parts = seated({r.third: r.n for r in own.groupBy(third.alias("third")).agg(F.count("*").alias("n")).collect()}, max(1, cells // n))
-    known = spark.createDataFrame([(c, int(seats.first[c]), int(seats.parts[c])) for c in range(1 << 16)], "third long, first long, parts long")
+    known = spark.createDataFrame(pa.table({"third": np.arange(1 << 16), "first": seats.first, "parts": seats.parts}))
     placed = own.withColumn("third", third).join(F.broadcast(known), "third").withColumn(
         "part", F.col("first") + (second * 40503).bitwiseAND(0xFFFF) % F.col("parts"))
     placed = stored(placed.select("part", "i", "gram", "n").sort("part", "gram", "i"))
@@ -456,33 +456,37 @@ def decide(model: LanguageParts, mean: np.ndarray, count: np.ndarray) -> tuple[n
     return best, 1 / odds.sum(1), accepted & (count > 0)
 
 
-def predict(docs: DataFrame, model: LanguageParts | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy and acceptance of every whole text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_batches(rows, _predictor(model, 1, lambda batch, columns: pa.RecordBatch.from_arrays(
-        [batch.column(0), *columns], names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])), PREDICTED)
+def _verdicts(model: LanguageParts | None, texts: pa.Array) -> list[pa.Array]:
+    """lang_pred, score, cross_entropy and acceptance of a column of texts."""
+    n = len(texts)
+    names, score = ["und"] * n, np.zeros(n)
+    bits, accepted = np.full(n, np.nan), np.zeros(n, bool)
+    if model and n:
+        mean, _, count = entropies(model, [t or "" for t in texts.to_pylist()])
+        best, p, ok = decide(model, mean, count)
+        names = [model.names[b] if c else "und" for b, c in zip(best, count)]
+        score, accepted = np.where(count > 0, p, 0.0), ok
+        bits = np.where(count > 0, mean[np.arange(n), best], np.nan)
+    return [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(accepted)]
 
 
-def _predictor(model: LanguageParts | None, text_at: int, make):
+def predict(docs: DataFrame, model: LanguageParts | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy and acceptance of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, model):
-            n = batch.num_rows
-            names, score = ["und"] * n, np.zeros(n)
-            bits, accepted = np.full(n, np.nan), np.zeros(n, bool)
-            if model and n:
-                mean, _, count = entropies(model, [t or "" for t in batch.column(text_at).to_pylist()])
-                best, p, ok = decide(model, mean, count)
-                names = [model.names[b] if c else "und" for b, c in zip(best, count)]
-                score, accepted = np.where(count > 0, p, 0.0), ok
-                bits = np.where(count > 0, mean[np.arange(n), best], np.nan)
-            yield make(batch, [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(accepted)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_verdicts(model, batch.column(1))],
+                                             names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
 
-    return run
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return in_batches(rows, run, PREDICTED)
 
 
 def accepted_rows(docs: DataFrame, model: LanguageParts | None, text_col: str = "text") -> DataFrame:
-    """The documents whose language is accepted, in one pass and with all their columns."""
-    def keep(batch: pa.RecordBatch, columns: list) -> pa.RecordBatch:
-        return batch.filter(columns[3])
+    """The documents whose language is accepted, with all their columns; only texts go to Python, and only verdicts come back."""
+    def keep(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        batches = (pa.RecordBatch.from_arrays([t], names=["text"]) for t in texts)
+        for batch in gathered(batches, model):
+            yield _verdicts(model, batch.column(0))[3]
 
-    return in_batches(docs, _predictor(model, docs.columns.index(text_col), keep), docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col(f"`{text_col}`")))

@@ -2,15 +2,15 @@
 
 Three fixed patterns give the base spans; long mixed-character tokens of high entropy are further
 candidates. Each candidate leaves the text only as a hash. Hashes are aggregated over the whole corpus by
-owner and repository: a value used by several owners is a copied example, a value of one or two owners
-looks live. Live high-entropy tokens join the spans; base spans stay whatever the verdict.
+owner and distinct repository: a value of several owners, or of more repositories than one credential is used
+in, is a copied example; a value of one or two owners in few repositories looks live. Live high-entropy tokens join the spans; base spans stay whatever the verdict.
 
 Texts are screened for each pattern by a linear-time matcher on the Arrow batch, and only texts that can
 match are searched in detail. Aggregation combines before it shuffles; the join of verdicts to candidates
 is salted, so that a value found in a third of all rows is spread.
 
-Defined cases: a null or empty text has no spans; a null owner is an owner of its own; repeated rows are
-separate repositories; an empty table gives an empty result; other columns are not read by ``judged`` and
+Defined cases: a null or empty text has no spans; a null owner is an owner of its own; rows of one
+repository (by default the id of the document) count once, a row without one is a repository of its own; an empty table gives an empty result; other columns are not read by ``judged`` and
 pass through ``redacted`` unchanged, whatever their names.
 """
 
@@ -20,15 +20,13 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import in_batches, stored
+from .shared import bounded_batches, stored
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -37,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 SCREENS = (r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""", "AKIA[A-Z0-9]{12}",
            "[0-9a-f]{32}", "[A-Za-z0-9+/_=-]{24}")
-SHORTEST_VALUE, SHORTEST_ACCESS, LEAST_ENTROPY, MOST_LIVE_OWNERS, SALTS = 8, 16, 3.5, 2, 16
+SHORTEST_VALUE, SHORTEST_ACCESS, LEAST_ENTROPY, MOST_LIVE_OWNERS, MOST_LIVE_REPOSITORIES, SALTS = 8, 16, 3.5, 2, 50, 16
 SPANS = "array<struct<start: int, kind: int, end: int, hash: long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
 
@@ -74,42 +72,45 @@ def _joined(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
 
 
-def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all by default) as ``doc``, owner, row number, counts, digest of the base spans and candidates."""
+def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id",
+         keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all by default) as ``doc``, owner, repository, row number, counts, digest of the base spans and candidates."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column(3), "")
-            may = [pc.match_substring_regex(texts, s).to_pylist() for s in SCREENS]
-            spans = [find_spans(texts[i].as_py(), m) if any(m) else [] for i, m in enumerate(zip(*may))]
-            base = [[x for x in row if x[1] < 3] for row in spans]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *[pa.array([sum(x[1] == k for x in row) for row in base], pa.int64()) for k in range(3)],
-                 pa.array([hashlib.sha256(_joined(row).encode()).hexdigest() for row in base], pa.string()),
-                 pa.array([[dict(zip(("start", "kind", "end", "hash"), x)) for x in row] for row in spans], _SPANS)],
-                names=["doc", "owner", "row", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    def run(column: pa.Array) -> pa.Array:
+        texts = pc.fill_null(column, "")
+        may = [pc.match_substring_regex(texts, s).to_pylist() for s in SCREENS]
+        spans = [find_spans(texts[i].as_py(), m) if any(m) else [] for i, m in enumerate(zip(*may))]
+        base = [[x for x in row if x[1] < 3] for row in spans]
+        return pa.StructArray.from_arrays(
+            [*[pa.array([sum(x[1] == k for x in row) for row in base], pa.int64()) for k in range(3)],
+             pa.array([hashlib.sha256(_joined(row).encode()).hexdigest() for row in base], pa.string()),
+             pa.array([[dict(zip(("start", "kind", "end", "hash"), x)) for x in row] for row in spans], _SPANS)],
+            names=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(owner_col).cast("string").alias("owner"),
-                       F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    added = T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans " + SPANS)
-    return in_batches(rows, run, T.StructType([*rows.schema.fields[:3], *added.fields]))
+    bounded_batches(docs.sparkSession)
+    scanned = F.arrow_udf(run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans " + SPANS)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), F.col(f"`{owner_col}`").cast("string").alias("owner"),
+                       F.col(f"`{repository_col}`").cast("string").alias("repository"), F.monotonically_increasing_id().alias("row"), scanned(F.col(f"`{text_col}`")).alias("scanned"))
+    return rows.select("doc", "owner", "repository", "row", "scanned.*")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """For each candidate hash, the repositories (rows) and owners that hold it."""
-    each = scanned.select("owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
+    """For each candidate hash, the distinct repositories and owners that hold it."""
+    repository = F.coalesce(F.concat(F.lit("="), "repository"), F.col("row").cast("string"))
+    each = scanned.select("owner", repository.alias("repository"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    by_owner = each.distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
 def judged(scanned: DataFrame) -> DataFrame:
     """Every scanned row with ``found``: its candidates and whether each looks live. ``scanned`` is read several times."""
     salt = F.pmod(F.col("row"), F.lit(SALTS)).cast("int")
+    live = (F.col("owners") <= MOST_LIVE_OWNERS) & (F.col("repos") <= MOST_LIVE_REPOSITORIES)
     some = scanned.where(F.size("spans") > 0)
     each = some.select("row", salt.alias("salt"), F.explode("spans").alias("s")).select("row", "salt", "s", F.col("s.hash").alias("hash"))
     verdicts = ownership(scanned).select("hash", "repos", "owners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     found = each.join(verdicts, ["hash", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-        "s.start", "s.kind", "s.end", (F.col("owners") <= MOST_LIVE_OWNERS).alias("live"), "owners", "repos"))).alias("found"))
+        "s.start", "s.kind", "s.end", live.alias("live"), "owners", "repos"))).alias("found"))
     with_spans = some.join(found, "row").select(*scanned.columns, "found")
     empty = F.array().cast(with_spans.schema["found"].dataType)
     return with_spans.unionByName(scanned.where(F.size("spans") == 0).withColumn("found", empty))

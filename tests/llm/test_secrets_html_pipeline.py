@@ -1,6 +1,7 @@
 """Secret scans, main text of pages, and the pipeline."""
 
 import hashlib
+import random
 import re
 
 from frames import edge_docs, no_docs
@@ -29,6 +30,22 @@ def secret_rows():
     return rows + [(20 + i, f"see {copied} in the docs {copied}", f"owner{i}") for i in range(9)] + [(1, f'é password = "{live}" end', "a")]
 
 
+def test_ownership_against_sets(spark):
+    rng = random.Random(4)
+    keys = [f"{rng.getrandbits(160):040x}" for _ in range(6)]
+    rows = [(d, f"see {keys[k]} here", o) for k, (owners, docs) in enumerate([(1, 1), (2, 4), (3, 3), (1, 50), (1, 51), (2, 80)])
+            for d, o in [(1000 * k + i, f"o{i % owners}") for i in range(docs)]]
+    rows += rows[:5] + [(3000, rows[8][1], "o0")] * 3 + [(7000 + i, f"{keys[0]} again", "o0") for i in range(2)]
+    held = {}
+    for d, text, o in rows:
+        held.setdefault(next(k for k in keys if k in text), set()).add((o, d))
+    want = {k: len({o for o, _ in v}) <= secrets.MOST_LIVE_OWNERS and len(v) <= secrets.MOST_LIVE_REPOSITORIES for k, v in held.items()}
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, repository string")
+    for r in secrets.report(docs).join(docs, "doc_id").collect():
+        assert (r.n_live, r.n_copied) == ((1, 0) if want[next(k for k in keys if k in r.text)] else (0, 1))
+    assert sorted(want.values()) == [False] * 3 + [True] * 3
+
+
 def test_secret_report(spark):
     rows = secret_rows()
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, source string, row int, spans string")
