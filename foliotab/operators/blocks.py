@@ -27,7 +27,8 @@ def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataF
                      lines_of(F.col("text")).alias("lines"))
         .where(F.size("lines") > 0)
     )
-    return per_page.groupBy("doc_id", "block").agg(
+    # Placed by the finished block number, which later joins by block can use as it is.
+    return per_page.repartition("doc_id", "block").groupBy("doc_id", "block").agg(
         F.sort_array(F.collect_list(F.struct("page_number", "lines"))).alias("_p")
     ).select("doc_id", "block", F.flatten(F.transform("_p", lambda x: x["lines"])).alias("_own"))
 

@@ -65,76 +65,129 @@ def extract_around_cuit(pages: DataFrame) -> DataFrame:
 
     Name and provider are the two lines above; service, province, zone, date and mode follow.
     The last two lines before the next CUIT belong to the next row.
+
+    Lines after the last CUIT of a block go on in later blocks. Each stretch is summed up where it lies: its
+    first province and first date with the text before, between and after them. A row is made of one summary
+    for each block it reaches; how many closing lines go to the next row is known from counts, one row a block.
     """
-    lines = F.col("lines")
     blocks = line_blocks(pages, _layout_lines, margin=4)
+    at = F.filter(F.sequence(F.col("first"), F.col("last")), lambda i: F.get(F.col("lines"), i - 1)["cuit"].isNotNull())
+    blocks = blocks.withColumn("_at", at)
+    entered = blocks.join(_continued(blocks), ["doc_id", "block"])
+    rows = entered.select("doc_id", F.inline(_stretches())).groupBy("doc_id", "block", "pos").agg(
+        F.max("cuit").alias("cuit"), F.max("behind").alias("behind"), F.sort_array(F.collect_list(F.struct("at", _summary(F.col("c")).alias("s")))).alias("s"))
+    return _supplier_rows(rows.select("doc_id", "block", "pos", "cuit", "behind", _parts(F.transform("s", lambda x: x["s"])).alias("parts")))
+
+
+def _content(lines: Column) -> Column:
+    return F.transform(F.filter(lines, lambda x: ~x["meta"]), lambda x: x["t"])
+
+
+def _lead() -> Column:
+    """Content lines of a block before its first CUIT."""
+    end = F.when(F.size("_at") > 0, F.get("_at", F.lit(0)) - 1).otherwise(F.col("last"))
+    return _content(F.slice("lines", F.col("first"), F.greatest(end - F.col("first") + 1, F.lit(0))))
+
+
+def _tail() -> Column:
+    """Content lines of a block after its last CUIT; null without one."""
+    at = F.element_at("_at", -1)
+    return F.when(F.size("_at") > 0, _content(F.slice("lines", at + 1, F.col("last") - at)))
+
+
+def _continued(blocks: DataFrame) -> DataFrame:
+    """Per block: the last CUIT before it, and how many closing lines of its lead and of its tail belong to the next row."""
+    facts = blocks.select("doc_id", "block", F.size(_lead()).alias("lead_n"), F.size(F.coalesce(_tail(), F.array().cast("array<string>"))).alias("tail_n"),
+                          F.when(F.size("_at") > 0, F.element_at("_at", -1)).alias("anchor"))
+    doc = Window.partitionBy("doc_id").orderBy("block")
+    earlier, later = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
+    owner = F.when(F.col("anchor").isNotNull(), F.struct("block", F.col("anchor").alias("pos")))
+    facts = facts.withColumns({
+        "owner": F.last(owner, ignorenulls=True).over(earlier), "follows": F.first("anchor", ignorenulls=True).over(later).isNotNull(),
+        "group": F.coalesce(F.count("anchor").over(earlier), F.lit(0))})
+    # Leads of one group belong to one CUIT: those up to and with the lead of the block that has the next one.
+    same = Window.partitionBy("doc_id", "group").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    facts = facts.withColumn("after", F.coalesce(F.sum("lead_n").over(same), F.lit(0)))
+    facts = facts.withColumn("all_after", F.coalesce(F.lead(F.col("after") + F.col("lead_n")).over(doc), F.lit(0)))
+    ends = F.col("follows") | F.col("anchor").isNotNull()
+    cut = lambda on, n, after: F.when(on, F.least(F.greatest(2 - after, F.lit(0)), n)).otherwise(0)
+    return facts.select(
+        "doc_id", "block", "owner",
+        cut(ends, F.col("lead_n"), F.col("after")).alias("lead_cut"), cut(F.col("follows"), F.col("tail_n"), F.col("all_after")).alias("tail_cut"))
+
+
+def _without_last(lines: Column, n: Column) -> Column:
+    return F.slice(lines, F.lit(1), F.size(lines) - n)
+
+
+def _summary(c: Column) -> Column:
+    """First province and date of content lines, and the text before, between and after them."""
+    join = lambda values: F.array_join(values, " ")
+
+    def parts(facts: Column) -> Column:
+        lines, p, d = facts["c"], facts["p"], facts["d"]
+        n = F.size(lines)
+        piece = lambda start, end: join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))))  # noqa: E731  0-based [start, end)
+        return F.struct(
+            n.alias("n"), F.when(p > 0, ids.supplier_province(F.get(lines, p - 1))).alias("province"), F.when(d > 0, F.get(lines, d - 1)).alias("date"),
+            join(lines).alias("all"), piece(F.lit(0), p - 1).alias("before_p"), F.when(p > 0, piece(p, n)).alias("after_p"),
+            piece(F.lit(0), d - 1).alias("before_d"), F.when(d > 0, piece(d, n)).alias("after_d"), piece(p, d - 1).alias("between"),
+            F.get(lines, F.lit(0)).alias("head"), piece(F.lit(1), n).alias("after_head"), piece(F.lit(0), n - 1).alias("before_last"),
+            piece(F.lit(1), n - 1).alias("middle"), piece(F.lit(1), d - 1).alias("head_to_d"), piece(p, n - 1).alias("p_to_last"),
+            F.element_at(F.concat(F.array(F.lit(None).cast("string")), lines), -1).alias("foot"))
+
+    found = F.struct(c.alias("c"), first_index(c, lambda x: ids.supplier_province(x).isNotNull()).alias("p"),
+                     first_index(c, lambda x: x.rlike(V.CONTRACT_DATE)).alias("d"))
+    return bind(found, parts)
+
+
+def _stretches() -> Column:
+    """The stretches of lines of a block: one for each of its CUITs, with the lines above it, and its lead."""
+    lines = F.col("lines")
     has = lambda x: x["cuit"].isNotNull()
-    own = F.filter(F.sequence(F.col("first"), F.col("last")), lambda i: has(F.get(lines, i - 1)))
-    blocks = blocks.withColumn("_at", own)
-    anchors_n = F.size("_at")
 
-    def anchor(i: Column, k: Column) -> Column:
+    def stretch(i: Column, k: Column) -> Column:
         lo = F.greatest(i - 4, F.lit(1))
-        behind = F.slice(lines, lo, i - lo)
-        stop = F.coalesce(F.get("_at", k + 1), F.col("last") + 1)
+        is_last = k == F.size("_at") - 1
+        after = _content(F.slice(lines, i + 1, F.coalesce(F.get("_at", k + 1), F.col("last") + 1) - i - 1))
+        cut = F.when(is_last, F.col("tail_cut")).otherwise(F.least(F.lit(2), F.size(after)))
+        return F.struct(F.col("block").alias("block"), i.alias("pos"), F.col("block").alias("at"), F.get(lines, i - 1)["cuit"].alias("cuit"),
+                        _behind(F.slice(lines, lo, i - lo), has).alias("behind"), _without_last(after, cut).alias("c"))
+
+    lead = F.struct(
+        F.col("owner.block").alias("block"), F.col("owner.pos").alias("pos"), F.col("block").alias("at"), F.lit(None).cast("string").alias("cuit"),
+        F.lit(None).cast("array<string>").alias("behind"), _without_last(_lead(), F.col("lead_cut")).alias("c"))
+    return F.concat(F.transform("_at", stretch), F.filter(F.array(lead), lambda x: x["block"].isNotNull() & (F.size(x["c"]) > 0)))
+
+
+def _parts(summaries: Column) -> Column:
+    """Service, province, zone, date and mode from the summaries of a row's lines, in order."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        pi, di = first_index(s, lambda x: x["province"].isNotNull()), first_index(s, lambda x: x["date"].isNotNull())
+        p, d, last = F.get(s, pi - 1), F.get(s, di - 1), F.get(s, n - 1)
+        first = F.get(s, F.lit(0))
+        text = lambda lo, hi: F.array_join(F.transform(  # noqa: E731  whole summaries strictly between two places
+            F.slice(s, lo + 1, F.greatest(hi - lo - 1, F.lit(0))), lambda x: x["all"]), " ")
+        words = lambda *v: F.concat_ws(" ", *v)
+        # The zone begins after the province, or after the first line, and ends before the date, or before the last line.
+        start, begin = F.greatest(pi, F.lit(1)), F.when(pi > 0, p["after_p"]).otherwise(first["after_head"])
+        stop, finish = F.when(di > 0, di).otherwise(n), F.when(di > 0, d["before_d"]).otherwise(last["before_last"])
+        within = F.when((pi > 0) & (di > 0), p["between"]).when(pi > 0, p["p_to_last"]).when(di > 0, first["head_to_d"]).otherwise(first["middle"])
         return F.struct(
-            i.alias("pos"), F.get(lines, i - 1)["cuit"].alias("cuit"), behind.alias("behind"),
-            F.slice(lines, i + 1, stop - i - 1).alias("after"), (k == anchors_n - 1).alias("is_last"),
-        )
+            F.when(pi > 0, words(text(F.lit(0), pi), p["before_p"])).otherwise(first["head"]).alias("service"), p["province"].alias("province"),
+            F.when(start < stop, words(begin, text(start, stop), finish)).when(start == stop, within).alias("zone"), d["date"].alias("date"),
+            F.when(di > 0, words(d["after_d"], text(di, n + 1))).otherwise(last["foot"]).alias("mode"))
 
-    rows = blocks.where(anchors_n > 0).select("doc_id", "block", F.inline(F.transform("_at", anchor)))
+    return bind(F.filter(summaries, lambda x: x["n"] > 0), of)
 
-    # Lines above a block's first CUIT belong to the last CUIT of an earlier block.
-    lead_end = F.when(anchors_n > 0, F.get("_at", F.lit(0)) - 1).otherwise(F.col("last"))
-    leads = blocks.select(
-        "doc_id", "block", (anchors_n > 0).alias("anchored"),
-        F.slice(lines, F.col("first"), F.greatest(lead_end - F.col("first") + 1, F.lit(0))).alias("lead"),
-    )
-    doc = Window.partitionBy("doc_id").orderBy("block")
-    anchored = F.when(F.col("anchored"), F.col("block"))
-    owners = leads.select(
-        "doc_id", "block", "anchored",
-        F.last(anchored, ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, -1)).alias("owner"),
-        F.max(anchored).over(Window.partitionBy("doc_id")).alias("last_anchored"),
-    )
-    tails = (
-        leads.select("doc_id", "block", "lead").where(F.size("lead") > 0)
-        .join(owners.where(F.col("owner").isNotNull()).select("doc_id", "block", "owner"), ["doc_id", "block"])
-        .groupBy("doc_id", "owner")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "lead"))).alias("_l"))
-        .select("doc_id", F.col("owner").alias("block"), F.lit(True).alias("is_last"),
-                F.flatten(F.transform("_l", lambda x: x["lead"])).alias("more"))
-    )
-    more_docs = owners.where("anchored").select("doc_id", "block", (F.col("last_anchored") > F.col("block")).alias("continues"))
-    rows = rows.join(tails, ["doc_id", "block", "is_last"], "left").join(more_docs, ["doc_id", "block"])
-    after = F.when(F.col("is_last") & F.col("more").isNotNull(), F.concat("after", "more")).otherwise(F.col("after"))
-    rows = rows.withColumns({
-        "after": F.transform(F.filter(after, lambda x: ~x["meta"]), lambda x: x["t"]),
-        "has_next": ~F.col("is_last") | F.col("continues"),
-        "behind": _behind(F.col("behind"), has),
-    })
-    kept = F.size("after") - F.when(F.col("has_next"), F.least(F.lit(2), F.size("after"))).otherwise(0)
-    rows = rows.withColumn("_c", F.slice("after", F.lit(1), kept))
-    c = F.col("_c")
-    rows = rows.withColumns({
-        "_p": first_index(c, lambda x: ids.supplier_province(x).isNotNull()),
-        "_d": first_index(c, lambda x: x.rlike(V.CONTRACT_DATE)),
-    })
-    p, d, n = F.col("_p"), F.col("_d"), F.size("_c")
-    part = lambda start, end: clean_cell(F.array_join(  # noqa: E731  0-based [start, end)
-        F.slice("_c", start + 1, F.greatest(F.least(end, n) - start, F.lit(0))), " "))
-    nth_last = lambda k: F.coalesce(F.get("behind", F.size("behind") - k), F.lit(""))
-    service_end = F.when(p > 0, p - 1).otherwise(F.lit(1))
-    zone_start = F.when(p > 0, p).otherwise(F.lit(1))
-    zone_end = F.when(d > 0, d - 1).otherwise(F.greatest(n - 1, F.lit(1)))
-    mode = F.when(d > 0, part(d, n)).otherwise(F.coalesce(clean_cell(F.get("_c", n - 1)), F.lit("")))
-    values = [
-        clean_cell(nth_last(2)), clean_cell(nth_last(1)), F.col("cuit"), part(F.lit(0), service_end),
-        F.when(p > 0, ids.supplier_province(F.get("_c", p - 1))).otherwise(F.lit("")),
-        part(zone_start, zone_end),
-        F.when(d > 0, clean_cell(F.get("_c", d - 1))).otherwise(F.lit("")), mode,
-    ]
-    pairs = [x for name, v in zip(V.SUPPLIER_COLUMNS, values) for x in (F.lit(name), v)]
+
+def _supplier_rows(rows: DataFrame) -> DataFrame:
+    nth_last = lambda k: F.get("behind", F.size("behind") - k)
+    values = [nth_last(2), nth_last(1), F.col("cuit"), *[F.col(f"parts.{c}") for c in ("service", "province", "zone", "date", "mode")]]
+    cells = [F.col("cuit") if i == 2 else F.coalesce(clean_cell(v), F.lit("")) for i, v in enumerate(values)]
+    pairs = [x for name, v in zip(V.SUPPLIER_COLUMNS, cells) for x in (F.lit(name), v)]
     return rows.select("doc_id", F.struct("block", "pos").alias("row_idx"), F.create_map(*pairs).alias("cells"))
 
 

@@ -1,7 +1,11 @@
 """Cutting a document into blocks must not change any result."""
 
+import random
+import re
+
 import pytest
 
+from foliotab.functions import fixed_values as V
 from foliotab.operators import blocks, people, sections, suppliers
 from foliotab.plans import corpora as C
 
@@ -37,3 +41,49 @@ def test_layout_rows_over_pages_without_anchor(spark, monkeypatch):
     assert "Zona A parque" in whole[0] + whole[1] and "Firma dos" in whole[0] + whole[1]
     monkeypatch.setattr(blocks, "PAGES_PER_BLOCK", 1)
     assert rows(suppliers.extract_around_cuit(df), "row_idx") == whole
+
+
+def layout_row(lines, at, stop, has_next):
+    """Cells of the CUIT in line ``at`` of a document's layout lines, read in one pass."""
+    cuit = re.compile(r"\d{2}-\d{8}-\d")
+    behind = lines[max(0, at - 4):at]
+    behind = behind[max([k + 1 for k, x in enumerate(behind) if cuit.search(x)], default=0):]
+    c = lines[at + 1:stop]
+    c = c[:max(0, len(c) - 2)] if has_next else c
+    p = next((i + 1 for i, x in enumerate(c) if x in ("Salta", "Jujuy")), 0)
+    d = next((i + 1 for i, x in enumerate(c) if re.search(r"\d\d/\d\d/\d{4}", x)), 0)
+    service = c[:p - 1 if p else 1]
+    zone = c[p or 1:d - 1 if d else max(len(c) - 1, 1)]
+    mode = c[d:] if d else c[-1:]
+    return (" ".join(behind[-2:-1]), " ".join(behind[-1:]), cuit.search(lines[at])[0], " ".join(service), c[p - 1] if p else "",
+            " ".join(zone), c[d - 1] if d else "", " ".join(mode))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_layout_rows_equal_one_pass(spark, monkeypatch, seed):
+    rng, rows, want = random.Random(seed), [], []
+    for doc in range(12):
+        lines = []
+        for page in range(1, 9):
+            own = [rng.choice(["Salta", "Jujuy", "01/02/2023", "Zona A", "Obra", "Contrato", "Firma uno", f"20-0000000{rng.randrange(9)}-1"])
+                   for _ in range(rng.choice([0, 1, 1, 2, 6]))]
+            rows.append((doc, page, "\n".join(own)))
+            lines += own
+        anchors = [i for i, x in enumerate(lines) if x.startswith("20-")]
+        want += [(doc, *layout_row(lines, at, stop, stop < len(lines))) for at, stop in zip(anchors, [*anchors[1:], len(lines)])]
+    df = spark.createDataFrame(rows, "doc_id int, page_number int, text string")
+    for pages_per_block in (1, 3, 64):
+        monkeypatch.setattr(blocks, "PAGES_PER_BLOCK", pages_per_block)
+        got = [(r.doc_id, *(r.cells[c] for c in V.SUPPLIER_COLUMNS)) for r in suppliers.extract_around_cuit(df).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_layout_rows_need_few_exchanges(spark):
+    df = spark.createDataFrame([(1, 1, "x")], "doc_id int, page_number int, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(held, ("-1", "false")):
+        spark.conf.set(k, v)
+    plan = suppliers.extract_around_cuit(df)._jdf.queryExecution().executedPlan().toString()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    assert 0 < len(re.findall(r"[-+:] \*?(?:\(\d+\) )?Exchange ", plan)) <= 10

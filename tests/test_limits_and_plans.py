@@ -1,5 +1,7 @@
 """Limits that are off by default, status rows of those that are set, and plans of dimension joins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def greedy(texts, most, overlap):
         own = f"Página {n}\n{t}"
         if numbers and len(text) + 2 + len(own) > most:
             out.append((numbers, text.strip()))
-            tail = text[-overlap:].strip() if len(text) > overlap else ""
+            tail = text[-overlap:].strip() if 0 < overlap < len(text) else ""
             numbers, text = [n], f"{tail}\n\n{own}" if tail else own
         else:
             numbers, text = [*numbers, n], f"{text}\n\n{own}" if text else own
@@ -37,6 +39,36 @@ def test_long_documents_are_chunked_whole(spark):
     assert got == want
 
 
+def random_pages(seed):
+    """Short, long and blank pages with blanks inside, so that chunks take over whole pages, parts of several and nothing."""
+    rng = random.Random(seed)
+    for doc in (1, 2, None):
+        for n in range(1, rng.choice([4, 90])):
+            size = rng.choice([0, 1, 3, 20, 20, 60, 150])
+            yield doc, n, "".join(rng.choice("ab \n") for _ in range(size))
+
+
+@pytest.mark.parametrize("most,overlap,block", [(100, 30, 1), (100, 30, 7), (60, 90, 3), (200, 0, 5), (40, 10, 64), (300, 120, 2)])
+def test_blocks_of_pages_pack_like_one_pass(spark, monkeypatch, most, overlap, block):
+    monkeypatch.setattr(chunks, "BLOCK_PAGES", block)
+    rows = list(random_pages(most + block))
+    got = chunks.chunk_pages(spark.createDataFrame(rows, "doc_id long, page_number int, text string").repartition(5), most, overlap=overlap)
+    want = []
+    for d in (1, 2, None):
+        own = [(n, t.strip()) for doc, n, t in rows if doc == d and t.strip()]
+        want += [(d, i + 1, n, t) for i, (n, t) in enumerate(greedy(own, most, overlap))]
+    assert sorted([(r.doc_id, r.chunk_index, r.pages, r.text) for r in got.collect()], key=str) == sorted(want, key=str)
+
+
+def test_one_document_is_packed_in_many_tasks(spark):
+    p = spark.range(1, 6401).select(F.lit(7).alias("doc_id"), F.col("id").alias("page_number"), F.repeat(F.lit("palabra "), 20).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small test shuffles would end in one task
+    got = chunks.chunk_pages(p, 2000)
+    tasks = got.select(F.spark_partition_id().alias("task"), F.size("pages").alias("n")).groupBy("task").agg(F.sum("n").alias("n")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n for r in tasks) == 6400 and len(tasks) > 1
+
+
 def test_a_page_limit_reports_what_it_rejects(spark):
     got = {(r.doc_id, r.status) for r in chunks.chunk_pages(pages(spark, {1: 40, 2: 3}), 400, max_pages=30).collect()}
     assert got == {(1, "too_many_pages"), (2, "ok")}
