@@ -17,7 +17,8 @@ def _positions(pages: DataFrame) -> DataFrame:
     """``doc_id, block, page_number, pos, line_no, line`` with a dense position per document."""
     lines = lambda text: F.transform(page_lines(text), lambda x, i: F.struct(
         F.col("page_number").alias("page_number"), (i + 1).alias("line_no"), x.alias("line")))
-    return numbered_lines(pages, lines).select("doc_id", "block", "pos", "line.*")
+    found = numbered_lines(pages, lines).select("doc_id", "block", "pos", "before_piece", "line.*")
+    return found.withColumn("line_no", (F.col("line_no") + F.col("before_piece")).cast("int")).drop("before_piece")
 
 
 def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:

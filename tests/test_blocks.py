@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliotab.functions import fixed_values as V
 from foliotab.operators import blocks, people, sections, suppliers
@@ -21,6 +22,8 @@ CASES = {
     "layout": lambda s, sf: suppliers.extract_around_cuit(C.supplier_layout_pages(s, sf)).drop("row_idx"),
     "annex": lambda s, sf: sections.extract_annex_rows(C.annex_pages(s, sf)),
     "sections": lambda s, sf: sections.extract_sections(C.section_pages(s, sf)),
+    "positions": lambda s, sf: sections._positions(C.section_pages(s, sf)).drop("block"),
+    "markers": lambda s, sf: sections.document_markers(C.annex_pages(s, sf), V.ANNEX_MARKERS),
 }
 
 
@@ -32,6 +35,24 @@ def test_block_size_is_invisible(spark, sf, monkeypatch, name):
     assert rows(CASES[name](spark, sf)) == whole
 
 
+@pytest.mark.parametrize("name", [n for n in CASES if n != "pipe"])
+def test_pieces_of_long_pages_are_invisible(spark, sf, monkeypatch, name):
+    whole = rows(CASES[name](spark, sf))
+    for pages_per_block, chars in ((64, 40), (3, 90)):
+        monkeypatch.setattr(blocks, "PAGES_PER_BLOCK", pages_per_block)
+        monkeypatch.setattr(blocks, "PIECE_CHARS", chars)
+        assert rows(CASES[name](spark, sf)) == whole
+
+
+def test_pieces_of_a_long_page(spark):
+    text = "".join(f"line {i}" + ("\r\n", "\n", "\r", "\n\n")[i % 4] for i in range(400)) + "the end"
+    df = spark.createDataFrame([(text,), ("",), ("x" * 5000,), (None,)], "text string")
+    got = [r[0] for r in df.select(blocks.page_pieces(F.col("text"), 100)).collect()]
+    split = lambda t: [x for x in re.split(r"\r\n?|\n", t) if x]
+    assert len(got[0]) > 25 and max(map(len, got[0])) < 130 and [x for p in got[0] for x in split(p)] == split(text)
+    assert got[1] == [""] and got[2] == ["x" * 5000] and got[3] == [None]
+
+
 def test_layout_rows_over_pages_without_anchor(spark, monkeypatch):
     head = "Nombre empresa\nProveedor\nCUIT\nServicio/Área\nProvincia\nRadicación\n"
     pages = [(1, 1, head + "Uno SA\nFirma uno\n20-00000001-1\nCatering"), (1, 2, "Salta"), (1, 3, "Zona A\nparque"),
