@@ -177,6 +177,48 @@ def rate_limit_expiry(spark, sf):
     return limited(spark, sf, "1 day")
 
 
+def fed(spark, parts):
+    """A stream that brings each table of ``parts`` in a micro-batch of its own, in this order."""
+    base = f"{shared_folder(spark)}/foliotab-feed-{uuid.uuid4().hex}"
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i, part in enumerate(parts):
+        part.repartition(files, F.monotonically_increasing_id()).write.parquet(f"{base}/part-{i}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{base}/part-*")
+
+
+def marker(rows, at, time_col):
+    """One row of an own key at the time ``at``, which moves the watermark."""
+    last = rows.agg(F.max(time_col).alias(time_col), F.lit(-1).alias("event_id")).withColumn(time_col, at(F.col(time_col)))
+    return last.select(*[F.col(c).cast(rows.schema[c].dataType) if c in (time_col, "event_id") else F.lit(None).cast(rows.schema[c].dataType).alias(c)
+                         for c in rows.columns])
+
+
+@query("rate_limit_in_order", _LIMITED)
+def rate_limit_in_order(spark, sf):
+    """Later events first, then earlier ones; two markers let the watermark pass them all."""
+    e = C.table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
+    late = F.col("event_id") % 3
+    after = marker(e, lambda t: t + F.expr("INTERVAL 2000 DAYS"), "ts")
+    stream = fed(spark, [*[e.where(late == k) for k in (2, 0, 1)], after, after])
+    out = drain(rate_limit.rate_limit_stream(stream, 5, 172800, "1000 days", in_order=True)).where("event_id >= 0")
+    return out.drop("ts").withColumn("reset_at", X.micros("reset_at"))
+
+
+@query("rate_limit_state", f"""SELECT key, max(reset_at) AS reset_at, CAST(arg_max(window_count, (reset_at, window_count)) AS BIGINT) AS window_count FROM ({_LIMITED}) b
+ GROUP BY key HAVING max(reset_at) > (SELECT max(epoch_us(ts)) - 86400000000 FROM events)""")
+def rate_limit_state(spark, sf):
+    """The windows that the state still holds when the watermark has passed all others."""
+    e = C.table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
+    now = marker(e, lambda t: t, "ts")
+    base = f"{shared_folder(spark)}/foliotab-stream-{uuid.uuid4().hex}"
+    limits = rate_limit.rate_limit_stream(fed(spark, [e, now, now]), 5, 172800, "1 day")
+    (limits.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out")
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    left = spark.read.format("statestore").option("path", f"{base}/state").option("stateVarName", "window").load()
+    return left.select(F.col("key.key").alias("key"), (F.col("value.start") + 172800000000).alias("reset_at"), F.col("value.n").alias("window_count")).where(
+        F.col("key").isNotNull())
+
+
 def usage_stream(spark, sf):
     return stream_of(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("code_id"), F.col("ts").alias("created_at"),
@@ -198,3 +240,25 @@ def usage_daily_stream(spark, sf):
 def usage_dedupe_stream(spark, sf):
     twice = usage_stream(spark, sf).unionByName(usage_stream(spark, sf))
     return drain(usage.usage_dedupe_stream(twice)).select("event_id", "code_id")
+
+
+@query("usage_monthly_stream", """SELECT CAST(user_id AS VARCHAR) AS code_id, epoch_us(date_trunc('month', ts)) AS month,
+ count(*) FILTER (event_type <> 'error' OR event_type IS NULL) AS successes, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2""")
+def usage_monthly_stream(spark, sf):
+    """Markers after the last month close it."""
+    e = C.table(spark, sf, "events").select(
+        "event_id", F.col("user_id").alias("code_id"), F.col("ts").alias("created_at"),
+        F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"))
+    after = [marker(e, lambda t, d=d: t + F.expr(f"INTERVAL {d} DAYS"), "created_at") for d in (100, 200, 300)]
+    out = drain(usage.usage_monthly_stream(fed(spark, [e, *after])))
+    return out.where("code_id is not null").withColumn("month", X.micros("month"))
+
+
+@query("append_usage_stream", "SELECT event_id, user_id AS code_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def append_usage_stream(spark, sf):
+    """The events come twice, from two streams; each is stored once."""
+    base = f"{shared_folder(spark)}/foliotab-stream-{uuid.uuid4().hex}"
+    for run in range(2):
+        (usage_stream(spark, sf).writeStream.option("checkpointLocation", f"{base}/state-{run}").foreachBatch(usage.append_batches(f"{base}/out"))
+            .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{base}/out").select("event_id", "code_id", F.col("day").cast("string").alias("day"))

@@ -10,7 +10,7 @@ from ..functions import fixed_values as V
 from ..functions import ids
 from ..functions import text as T
 from ..functions import values as X
-from ..operators import chunks, quality, routing
+from ..operators import chunks, quality, routing, signals
 from ..operators.storage import shared_folder
 from ..sources import files, pages, sinks
 from . import duck as D
@@ -126,6 +126,19 @@ def match_signals(spark, sf):
     return routing.signal_counts(docs(spark, sf)).drop("file_name", "declared", "size_bytes", "text")
 
 
+#: A dictionary of one-, two- and three-word signals: the first words of every part name, benchmark passage and turn.
+SIGNALS = """SELECT DISTINCT k AS signal_group, array_to_string(list_slice(w, 1, k), ' ') AS signal FROM (SELECT string_split(x, ' ') AS w FROM (
+ SELECT p_name AS x FROM part UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM conversations) t) s, (VALUES (1), (2), (3)) n(k)"""
+
+
+@query("match_signal_table", f"""SELECT doc_id, signal_group, count(*) AS matched FROM (SELECT doc_id, {D.words("text")} AS body FROM documents) d
+ JOIN (SELECT signal_group, signal, {D.words("signal")} AS needle FROM ({SIGNALS}) s) k ON needle <> '' AND contains(body, needle) GROUP BY 1, 2""")
+def match_signal_table(spark, sf):
+    first = "SELECT DISTINCT k AS signal_group, array_join(slice(w, 1, k), ' ') AS signal FROM (SELECT split(x, ' ') AS w FROM (SELECT p_name AS x FROM {part} " \
+            "UNION ALL SELECT text FROM {benchmark} UNION ALL SELECT text FROM {conversations})) LATERAL VIEW explode(array(1, 2, 3)) n AS k"
+    return signals.signal_groups(table(spark, sf, "documents"), sql(spark, sf, first))
+
+
 @query("classify_profile", f"""SELECT doc_id, profile_id, CASE profile_id WHEN 'internal-personal-empresa-localidad' THEN CASE WHEN dni >= 10 THEN 'high' ELSE 'medium' END
  WHEN 'internal-nomina-personal' THEN CASE WHEN roster >= 5 OR cuil > 100 THEN 'high' ELSE 'medium' END
  WHEN 'internal-movimiento-camiones' THEN CASE WHEN movement >= 6 THEN 'high' ELSE 'medium' END

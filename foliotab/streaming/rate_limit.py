@@ -17,21 +17,21 @@ _OUTPUT = "key string, event_id bigint, us bigint, window_count bigint, allowed
 
 
 class FixedWindow(StatefulProcessor):
-    """State per key: start of the open window (microseconds) and events counted in it."""
+    """State per key: start of the open window (microseconds) and events counted in it, and the events that wait for the watermark."""
 
-    def __init__(self, limit: int, window_us: int, expire: bool):
-        self.limit, self.window_us, self.expire = limit, window_us, expire
+    def __init__(self, limit: int, window_us: int, expire: bool, in_order: bool = False, ttl_ms: int | None = None):
+        self.limit, self.window_us, self.expire, self.in_order, self.ttl_ms = limit, window_us, expire, in_order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start bigint, n bigint")
+        self.window = handle.getValueState("window", "start bigint, n bigint", self.ttl_ms)
+        if self.in_order:
+            self.waiting = handle.getListState("waiting", "us bigint, event_id bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _decided(self, key, us: np.ndarray, event_id: np.ndarray) -> pd.DataFrame:
+        """Decisions on ordered events; the open window is kept."""
         held = self.window.get()
         start, n = held if held is not None else (None, 0)
-        # A key's rows come in several Arrow batches: order all of the micro-batch, not each.
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        us = pdf["us"].to_numpy()
         at, counts, starts = 0, np.empty(len(us), np.int64), np.empty(len(us), np.int64)
         while at < len(us):
             if start is None or start + self.window_us <= us[at]:
@@ -39,22 +39,54 @@ class FixedWindow(StatefulProcessor):
             end = int(np.searchsorted(us, start + self.window_us))
             counts[at:end], starts[at:end] = np.arange(n + 1, n + 1 + end - at), start
             n, at = n + end - at, end
-        yield pd.DataFrame({
-            "key": key[0], "event_id": pdf["event_id"].to_numpy(), "us": us, "window_count": counts, "allowed": counts <= self.limit,
+        if start is not None:
+            self.window.update((start, n))
+            if self.expire:
+                self.handle.registerTimer(-(-(start + self.window_us) // 1000))
+        return pd.DataFrame({
+            "key": key[0], "event_id": event_id, "us": us, "window_count": counts, "allowed": counts <= self.limit,
             "remaining": np.maximum(self.limit - counts, 0), "reset_us": starts + self.window_us,
         })
-        if start is None:
+
+    def _release(self, key, us: np.ndarray, event_id: np.ndarray, watermark_us: int) -> pd.DataFrame:
+        """Decide what the watermark has passed, in order, and keep the rest with a timer for its first event."""
+        order = np.lexsort((event_id, us))
+        us, event_id = us[order], event_id[order]
+        ready = int(np.searchsorted(us, watermark_us, "right"))
+        out = self._decided(key, us[:ready], event_id[:ready])
+        if ready < len(us):
+            self.waiting.put(list(zip(us[ready:].tolist(), event_id[ready:].tolist())))
+            self.handle.registerTimer(-(-int(us[ready]) // 1000))
+        else:
+            self.waiting.clear()
+        return out
+
+    def _waiting(self) -> tuple[np.ndarray, np.ndarray]:
+        found = list(self.waiting.get()) if self.waiting.exists() else []
+        return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A key's rows come in several Arrow batches: order all of the micro-batch, not each.
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        us, event_id = pdf["us"].to_numpy(np.int64), pdf["event_id"].to_numpy(np.int64)
+        if not self.in_order:
+            yield self._decided(key, us, event_id)
             return
-        self.window.update((start, n))
-        if self.expire:
-            self.handle.registerTimer(-(-(start + self.window_us) // 1000))
+        earlier = self._waiting()
+        yield self._release(key, np.append(earlier[0], us), np.append(earlier[1], event_id), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Drop the window once the watermark has passed its end."""
+        """Decide the events that the watermark has passed; drop the window once it has passed its end."""
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.in_order:
+            us, event_id = self._waiting()
+            out = self._release(key, us, event_id, watermark_us)
+        else:
+            out = pd.DataFrame(columns=[c.split()[0] for c in _OUTPUT.split(", ")])
         held = self.window.get()
-        if held is not None and held[0] + self.window_us <= timerValues.getCurrentWatermarkInMs() * 1000:
+        if held is not None and held[0] + self.window_us <= watermark_us:
             self.window.clear()
-        yield pd.DataFrame(columns=[c.split()[0] for c in _OUTPUT.split(", ")])
+        yield out
 
     def close(self) -> None:
         pass
@@ -65,6 +97,8 @@ def rate_limit_stream(
     limit: int = V.RATE_LIMIT,
     window_seconds: int = V.RATE_WINDOW_SECONDS,
     watermark: str | None = None,
+    in_order: bool = False,
+    keep_seconds: int | None = None,
 ) -> DataFrame:
     """Decision per event of a stream ``key, event_id, ts``.
 
@@ -72,16 +106,22 @@ def rate_limit_stream(
     are decided.  An event of an earlier time that comes in a later batch is decided on arrival, in
     the window open then: every event gets a decision, none is dropped as late.  With a
     ``watermark`` delay, windows that ended before it are removed from the state by event-time
-    timers.
+    timers.  With ``in_order`` too, events wait in the state until the watermark passes them and are
+    decided in order of time, whatever batches they came in; only an event later than the delay is decided on arrival.
+    Without a watermark, ``keep_seconds`` removes the window of a key that has had no event for so long.
     """
+    if in_order and not watermark:
+        raise ValueError("in_order needs a watermark")
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if watermark:
         timed = timed.withWatermark("ts", watermark)
     keyed = timed.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("bigint").alias("event_id"),
                          micros("ts").alias("us"))
     out = keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FixedWindow(limit, window_seconds * 1_000_000, bool(watermark)),
-        outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime" if watermark else "None",
+        statefulProcessor=FixedWindow(limit, window_seconds * 1_000_000, bool(watermark), in_order,
+                                      keep_seconds * 1000 if keep_seconds and not watermark else None),
+        outputStructType=_OUTPUT, outputMode="Append",
+        timeMode="EventTime" if watermark else "ProcessingTime" if keep_seconds else "None",
     )
     return out.select(
         "key", "event_id", F.timestamp_micros("us").alias("ts"), "window_count", "allowed", "remaining",
