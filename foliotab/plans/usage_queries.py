@@ -241,6 +241,21 @@ def save_correction_examples(spark, sf):
     return spark.read.parquet(path).groupBy("profile_code").agg(F.count("*").alias("examples"), F.count("corrected_json").alias("with_json"))
 
 
+@query("correction_paths", """SELECT profile_code, k, count(*) AS examples, count(*) FILTER (bad) AS malformed FROM (SELECT concat('profile-', event_id % 8) AS profile_code,
+ event_id % 6 = 0 AS bad, CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) % 10 END AS k FROM events) e GROUP BY 1, 2""")
+def correction_paths(spark, sf):
+    """Examples are written with variants, read back, and grouped by one path."""
+    raw = table(spark, sf, "events").select(
+        F.concat(F.lit("profile-"), (F.col("event_id") % 8).cast("string")).alias("profile_code"), F.col("props").alias("original_json"),
+        F.when(F.col("event_id") % 6 == 0, F.lit('{"k": ')).otherwise(F.col("props")).alias("corrected_json"))
+    path = f"{shared_folder(spark)}/corrections-{uuid.uuid4().hex}"
+    sinks.save_correction_examples(raw, path)
+    saved = spark.read.parquet(path)
+    k = sinks.correction_values(saved, "corrected_json", "$.k", "bigint") % 10
+    bad = F.col("malformed")["corrected_json"] == '{"k": '
+    return saved.groupBy("profile_code", k.alias("k")).agg(F.count("*").alias("examples"), F.count_if(bad).alias("malformed"))
+
+
 @query("small_text_functions", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a***@x.com' ELSE concat(left(concat('user', user_id), 2), '***@x.com') END AS masked,
  concat('OCR_NOMINA_', strftime(ts, '%Y%m%d_%H%M'), '.csv') AS stamp, epoch_us(date_trunc('day', ts)) AS day, epoch_us(CAST(date_trunc('month', ts) AS TIMESTAMP)) AS month,
  CASE WHEN event_id % 4 = 0 THEN NULL ELSE epoch_us(date_trunc('day', ts)) + 86399999000 END AS expires,

@@ -63,12 +63,21 @@ def append_usage_events(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+#: JSON columns of a correction example.
+CORRECTION_JSON = ("original_json", "corrected_json")
+
+
 def save_correction_examples(examples: DataFrame, path: str) -> None:
-    """Append correction examples; JSON columns are validated text, malformed ones become null."""
-    def valid(c: str) -> Column:
-        return F.when(F.try_parse_json(c).isNotNull(), F.col(c))
+    """Append correction examples with their JSON as variants, so that single paths can be read.
 
-    (
-        examples.withColumns({"original_json": valid("original_json"), "corrected_json": valid("corrected_json")})
-        .write.mode("append").parquet(path)
-    )
+    Text that is no JSON is kept apart: its column becomes null and ``malformed`` maps the column to the text.
+    """
+    parsed = {c: F.try_parse_json(c) for c in CORRECTION_JSON}
+    bad = [F.when(F.col(c).isNotNull() & v.isNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))) for c, v in parsed.items()]
+    malformed = F.map_from_entries(F.array_compact(F.array(*bad)))
+    examples.withColumns({"malformed": malformed, **parsed}).write.mode("append").parquet(path)
+
+
+def correction_values(examples: DataFrame, column: str, json_path: str, kind: str = "string") -> Column:
+    """Value at a path of a saved JSON column; null where it is missing or of another kind."""
+    return F.try_variant_get(examples[column], json_path, kind)

@@ -108,7 +108,8 @@ def rate_limit_stream(
     ``watermark`` delay, windows that ended before it are removed from the state by event-time
     timers.  With ``in_order`` too, events wait in the state until the watermark passes them and are
     decided in order of time, whatever batches they came in; only an event later than the delay is decided on arrival.
-    Without a watermark, ``keep_seconds`` removes the window of a key that has had no event for so long.
+    Without a watermark, ``keep_seconds`` removes the window of a key that has had no event for so long; such a
+    stream runs until it is stopped, also with a trigger for what is available now.
     """
     if in_order and not watermark:
         raise ValueError("in_order needs a watermark")

@@ -4,6 +4,7 @@ import random
 import os
 import shutil
 import tempfile
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -175,4 +176,58 @@ def test_append_usage_and_corrections(spark, sf, tmp_path):
     assert back.count() == 2 * e.count() and "day" in back.columns
     x = spark.createDataFrame([("p", '{"a": 1}', "{bad")], "profile_code string, original_json string, corrected_json string")
     sinks.save_correction_examples(x, str(tmp_path / "c"))
-    assert spark.read.parquet(str(tmp_path / "c")).first().asDict()["corrected_json"] is None
+    saved = spark.read.parquet(str(tmp_path / "c"))
+    assert saved.first().asDict()["corrected_json"] is None and saved.first()["malformed"] == {"corrected_json": "{bad"}
+    assert saved.select(sinks.correction_values(saved, "original_json", "$.a", "int")).first()[0] == 1
+
+
+def stream_files(spark, rows, folder, schema="key long, event_id long, ts timestamp"):
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"p{i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "p*"))
+
+
+def test_rate_limit_in_order_equals_batch(spark, tmp_path):
+    """Batches that come in any order are decided as one replay; only what is later than the delay is not."""
+    events = make_events(90, 13)
+    parts = [[e for e in events if e[1] % 4 == k] for k in (3, 1, 0, 2)]
+    after = [[(-1, -1, datetime(2040, 1, d))] for d in (1, 2)]
+    stream = stream_files(spark, [*parts, *after], tmp_path)
+    out = run_stream(rate_limit.rate_limit_stream(stream, 5, 600, "5000 days", in_order=True), "in_order").where("event_id >= 0").collect()
+    assert {r["event_id"]: (r["window_count"], r["allowed"]) for r in out} == brute_force(events, 5, timedelta(seconds=600))
+    with pytest.raises(ValueError):
+        rate_limit.rate_limit_stream(stream, in_order=True)
+
+
+@pytest.mark.parametrize("keep,count", [(1, 1), (3600, 2)])
+def test_windows_without_watermark_end_by_time_to_live(spark, tmp_path, keep, count):
+    at = datetime(2024, 1, 1)
+    spark.createDataFrame([(1, 1, at)], "key long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / "p0"))
+    stream = spark.readStream.schema("key long, event_id long, ts timestamp").parquet(str(tmp_path / "in" / "p*"))
+    limited = rate_limit.rate_limit_stream(stream, 5, 600, keep_seconds=keep)
+    q = limited.writeStream.format("memory").queryName(f"kept_{keep}").option("checkpointLocation", str(tmp_path / "state")).start()
+    found = lambda: {r.event_id: r.window_count for r in spark.table(f"kept_{keep}").collect()}
+
+    def wait(n):
+        until = time.time() + 60
+        while len(found()) < n and time.time() < until:
+            time.sleep(0.2)
+
+    try:
+        wait(1)
+        time.sleep(1.5)
+        spark.createDataFrame([(1, 2, at)], "key long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / "p1"))
+        wait(2)
+        assert found() == {1: 1, 2: count}
+    finally:
+        q.stop()
+
+
+def test_a_replayed_batch_appends_nothing(spark, sf, tmp_path):
+    e = sql(spark, sf, USAGE)
+    write = stream_usage.append_batches(str(tmp_path / "u"))
+    write(e.where("event_id % 3 = 0"), 0)
+    for _ in range(2):
+        write(e.unionByName(e), 1)
+    back = spark.read.parquet(str(tmp_path / "u"))
+    assert back.count() == e.count() == back.select("event_id").distinct().count()
