@@ -8,8 +8,11 @@ samples differ, with a standard deviation of the similarity of 0.015 to 0.02. On
 a link and whose estimate reaches 0.60 have their sets compared; sets of few shingles are always compared.
 
 No bucket is expanded into all pairs. Every member is first compared with the bucket's smallest id, best
-pairs first; the links found give components. Only members outside a bucket's main component are then
-compared with the members of other components there. All joins are on keys that adaptive execution splits.
+pairs first; the links found give components. Members outside a bucket's main component then meet those of
+other components there in tiles of bounded size, each pair of tiles a task: sketches tell which members may
+have a link, and the shingle sets of those are compared, all pairs of two tiles as one matrix product. A task
+returns members, then a forest of links, so the rows between stages grow with the members of a bucket and its
+tiles, also where templates fill a bucket without being links. Joins are on keys that adaptive execution splits.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; fewer than five
 words are one shingle; rows of one id count as one document; rows without an id are linked with nothing and
@@ -28,12 +31,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import in_batches, probably, stored
+from .vector_dup import forest
 from .words import Words, mix, pieces, windows
 
 #: Words of a shingle, MinHash samples and samples of a band, bins and bits of a sketch, similarity in hundredths,
 #: estimate that is checked, and shingles of a pair below which no estimate is asked.
 SHINGLE, SAMPLES, BAND, BINS, SKETCH_BITS, SIMILAR, CHECK_FROM, FEW = 5, 128, 4, 1024, 2048, 75, 0.60, 192
 _LONGS = SKETCH_BITS // 64
+#: Sketches of a tile; shingles of a tile, and least that a document counts for there; shingles multiplied at once.
+TILE, TILE_SHINGLES, LEAST_SHINGLES, AT_ONCE = 2048, 1 << 19, 256, 1024
 _random = np.random.default_rng(424242)
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH = [f"s{i}" for i in range(_LONGS)]
@@ -149,7 +155,11 @@ def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def bodies_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the ids in pairs (a, b)."""
-    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    return texts_of(texts, stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of stored ids (id)."""
     found, mark = probably(texts, "doc_id", wanted)
     return stored(found.where(F.col(mark)).join(wanted, found["doc_id"] == wanted["id"]).select("id", "text"))
 
@@ -204,9 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         found = components(links)
 
-    rest = stored(screened_rest(members, found, classes).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = rest_links(members, found, classes, texts)
     if not rest.isEmpty():
-        found = components(links.unionByName(stored(confirmed(rest, bodies_of(texts, rest)))))
+        found = components(links.unionByName(rest))
 
     of_class = classes.select("k1", "k2", "id").join(found, "id", "left").select(
         "k1", "k2", F.coalesce("component", "id").alias("component"))
@@ -216,24 +226,145 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def screened_rest(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one bucket but different components, in buckets that still hold several, that their sketches allow.
+def tile_screen(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Which rows of x and y are of different components and may link: ``may_link`` over all pairs of two tiles."""
+    out = np.zeros((len(x["n"]), len(y["n"])), bool)
+    for lo in range(0, len(out), 256):
+        at = slice(lo, lo + 256)
+        bits = np.zeros((len(x["n"][at]), len(y["n"])), np.int32)
+        for i in range(_LONGS):
+            bits += np.bitwise_count((x["sketch"][at, i, None] ^ y["sketch"][None, :, i]).view(np.uint64))
+        both = x["n"][at, None] + y["n"][None]
+        differ = np.log(np.maximum(1 - 2 * bits / SKETCH_BITS, 1e-6)) * (-SKETCH_BITS / 2)
+        union = BINS * (1 - np.exp(both * (-1 / ((1 + SIMILAR / 100) * BINS))))
+        alike = (x["filled"][at, None] + y["filled"][None] - differ) / 2 >= CHECK_FROM * union
+        sizes = 100 * np.minimum(x["n"][at, None], y["n"][None]) >= SIMILAR * np.maximum(x["n"][at, None], y["n"][None])
+        out[at] = sizes & ((both < FEW) | alike) & (x["component"][at, None] != y["component"][None])
+    return out
+
 
-    One side is outside the bucket's main component, so a large family costs a pass for each outsider only.
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y.
+
+    Shingles that many sets of both sides hold are columns of a matrix product, others are counted pair by pair.
+    """
+    out = np.zeros((len(x), len(y)))
+    common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if not len(common):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        return rows[hit][order], at[hit][order]
+
+    (rx, cx), (ry, cy) = places(x), places(y)
+    nx, ny = np.bincount(cx, minlength=len(common)), np.bincount(cy, minlength=len(common))
+    dense = nx * ny * 100 > out.size
+    seat = np.cumsum(dense) - 1
+    (dx, sx), (dy, sy) = ((r[dense[c]], seat[c[dense[c]]]) for r, c in ((rx, cx), (ry, cy)))
+    for lo in range(0, int(dense.sum()), AT_ONCE):
+        ends = lo, lo + AT_ONCE
+        sides = []
+        for rows, seats, sets in ((dx, sx, x), (dy, sy, y)):
+            one, end = np.searchsorted(seats, ends)
+            side = np.zeros((len(sets), AT_ONCE), np.float32)
+            side[rows[one:end], seats[one:end] - lo] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    rows, columns = rx[~dense[cx]], cx[~dense[cx]]
+    first, sums = np.cumsum(ny) - ny, np.cumsum(ny[columns])
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + (1 << 20), "right")))
+        each = ny[columns[lo:hi]]
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        np.add.at(out, (np.repeat(rows[lo:hi], each), ry[step + np.repeat(first[columns[lo:hi]], each)]), 1)
+        lo = hi
+    return out
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows of the first and of the second tile, which may be one and the same."""
+    table = table.combine_chunks()
+    second = table.filter(pa.array(table.column("side").to_numpy() == 1))
+    if table.num_rows and table.column("ti")[0] == table.column("tj")[0]:
+        return table, table
+    return table.filter(pa.array(table.column("side").to_numpy() == 0)), second
+
+
+def _possible(table: pa.Table) -> pa.Table:
+    """Members of two tiles with a possible link between them."""
+
+    def arrays(rows: pa.Table) -> dict[str, np.ndarray]:
+        sketch = np.stack([rows.column(s).to_numpy() for s in SKETCH], 1)
+        return {"sketch": sketch, "n": rows.column("n_shingles").to_numpy()} | {
+            c: rows.column(c).to_numpy() for c in ("filled", "component")}
+
+    x, y = _sides(table)
+    maybe = tile_screen(arrays(x), arrays(y))
+    ids = np.unique(np.concatenate([x.column("id").to_numpy()[maybe.any(1)], y.column("id").to_numpy()[maybe.any(0)]]))
+    return pa.table({"band": pa.array(np.full(len(ids), table.column("band")[0].as_py(), np.int64)), "id": pa.array(ids)})
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """A forest of the links between the components of two tiles, by full sets."""
+    x, y = _sides(table)
+    if not x.num_rows or not y.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b")})
+    sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in side.column("shingles")] for side in (x, y)]
+    both = overlaps(*sets)
+    sizes = [np.array([len(s) for s in side]) for side in sets]
+    of = [side.column("component").to_numpy() for side in (x, y)]
+    linked = (100 * both >= SIMILAR * (sizes[0][:, None] + sizes[1][None] - both)) & (of[0][:, None] != of[1][None])
+    links = np.array(forest(linked, x.column("id").to_numpy(), y.column("id").to_numpy()), np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(links[:, 0].copy()), "b": pa.array(links[:, 1].copy())})
+
+
+def dealt(rows: DataFrame, weight: Column, tile: int) -> DataFrame:
+    """Rows (band, id, outside, ...) once for each pair of tiles (ti, tj) of their bucket that they meet in.
+
+    A tile holds rows of about ``tile`` in weight. Tiles outside the main component come first and meet every
+    tile; those of the main component do not meet one another.
     """
-    labelled = _labelled(members.select("band", "id"), found)
+    total = lambda is_in: F.coalesce(F.ceil(F.sum(F.when(is_in, weight)) / tile), F.lit(0)).cast("long")
+    counts = rows.groupBy("band").agg(total(F.col("outside")).alias("nx"), total(~F.col("outside")).alias("nm"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("nx")).otherwise(F.col("nm")))
+    placed = rows.join(counts, "band").withColumn("tile", F.when(F.col("outside"), own).otherwise(own + F.col("nx")))
+    last = F.when(F.col("outside"), F.col("nx") + F.col("nm") - 1).otherwise(F.col("nx") - 1)
+    placed = placed.where("nx > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return placed.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other"),
+                               "side": (F.col("tile") > F.col("other")).cast("int")}).drop("tile", "other", "nx", "nm")
+
+
+def rest_links(members: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame,
+               tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Links (a, b), enough to join what is similar, between members of one bucket but different components.
+
+    The bucket's smallest id was compared with all others before and takes no part.
+    """
+    labelled = _labelled(members.where("id != pivot").select("band", "id"), found)
     split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    open_ = labelled.join(split, "band")
+    open_ = stored(labelled.join(split, "band"))
     mains = open_.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"))
-    open_ = stored(open_.join(mains, "band"))
-    outside = open_.where("component != main").select("band", F.col("id").alias("x"), F.col("component").alias("cx"), "main")
-    outside = outside.join(_sketched(classes, "x", "s"), "x")
-    inside = open_.select(F.col("band").alias("y_band"), F.col("id").alias("y"), F.col("component").alias("cy"))
-    inside = inside.join(_sketched(classes, "y", "t"), "y")
-    pairs = outside.join(inside, (F.col("band") == F.col("y_band")) & (F.col("cx") != F.col("cy"))
-                         & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may_link())
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_ = open_.join(mains, "band").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+    open_ = stored(open_.join(classes.select("id", "n_shingles", "filled", *SKETCH), "id"))
+    possible = stored(dealt(open_, F.lit(1), tile).groupBy("band", "ti", "tj").applyInArrow(_possible, "band long, id long").distinct())
+    wanted = stored(possible.select("id").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for _, s in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+    bodies = stored(in_batches(texts_of(texts, wanted), sets, "id long, shingles binary").distinct())
+    met = possible.join(open_.select("band", "id", "component", "outside").distinct(), ["band", "id"])
+    size = F.greatest(F.length("shingles") / 8, F.lit(LEAST_SHINGLES))
+    met = dealt(met.join(bodies, "id"), size, tile_shingles)
+    return stored(met.groupBy("band", "ti", "tj").applyInArrow(_linked, "a long, b long").distinct())
 
 
 def representatives(docs: DataFrame) -> DataFrame:

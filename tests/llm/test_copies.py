@@ -60,6 +60,53 @@ def test_near_copies_equal_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def templates(size, seed):
+    """Texts with much in common that are no links, and chains of links between some of them."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(size):
+        rows.append((i, " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(36)])))
+        if i % 10 == 0:
+            words = rows[-1][1].split()
+            rows += [(1000 + 2 * i + k, " ".join(words[:-6 - 6 * k] + [f"y{rng.randrange(10**6)}" for _ in range(6 + 6 * k)])) for k in range(2)]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_buckets_of_templates(spark, monkeypatch, tile):
+    rows = templates(120, tile)
+    sizes = []
+
+    def counted(*args):
+        out = near_dup_rest(*args, tile=tile, tile_shingles=256 * tile)
+        sizes.append(out.count())
+        return out
+
+    near_dup_rest = near_dup.rest_links
+    monkeypatch.setattr(near_dup, "rest_links", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_force(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len(set(c for _, c in want.values())) > 100 and sizes[0] <= len(rows)
+
+
+@pytest.mark.parametrize("kinds", [20, 100_000])
+def test_overlaps_equal_brute_force(kinds):
+    rng = np.random.default_rng(kinds)
+    x, y = ([np.unique(rng.integers(0, kinds, rng.integers(1, 300))).astype(np.uint64) for _ in range(n)] for n in (70, 90))
+    assert near_dup.overlaps(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    tables = []
+    for side in (x, y):
+        filled, sketch = zip(*map(near_dup.odd_sketch, side))
+        tables.append({"sketch": np.array(sketch), "n": np.array([len(s) for s in side]), "filled": np.array(filled), "component": np.arange(len(side))})
+    maybe = near_dup.tile_screen(*tables)
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            shared = len(np.intersect1d(a, b))
+            assert maybe[i, j] or i == j or 100 * shared < 75 * (len(a) + len(b) - shared)
+
+
 def test_near_copies_edge_rows(spark):
     docs = edge_docs(spark)
     got = near_dup.near_duplicates(docs).collect()
