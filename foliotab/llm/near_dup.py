@@ -335,8 +335,10 @@ def dealt(rows: DataFrame, weight: Column, tile: int) -> DataFrame:
     placed = rows.join(counts, "band").withColumn("tile", F.when(F.col("outside"), own).otherwise(own + F.col("nx")))
     last = F.when(F.col("outside"), F.col("nx") + F.col("nm") - 1).otherwise(F.col("nx") - 1)
     placed = placed.where("nx > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return placed.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other"),
-                               "side": (F.col("tile") > F.col("other")).cast("int")}).drop("tile", "other", "nx", "nm")
+    placed = placed.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other"),
+                                 "side": (F.col("tile") > F.col("other")).cast("int")}).drop("tile", "other", "nx", "nm")
+    # by number: otherwise all tiles of a bucket stay where the join on its band put them, and few bytes make few tasks
+    return placed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "ti", "tj")
 
 
 def rest_links(members: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame,
