@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detail_queries, extract_queries, quality_queries, table_queries, text_queries, usage_queries
+from . import detail_queries, export_queries, extract_queries, quality_queries, table_queries, text_queries, usage_queries
 
-MODULES = [usage_queries, text_queries, extract_queries, table_queries, quality_queries, detail_queries]
+MODULES = [usage_queries, text_queries, extract_queries, table_queries, quality_queries, export_queries, detail_queries]
 
 
 def all_queries() -> dict:
