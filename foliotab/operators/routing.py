@@ -39,13 +39,27 @@ def upsert_plans(existing: DataFrame, plans: DataFrame) -> DataFrame:
 # --- profile lookup --------------------------------------------------------
 
 
+def _resolved(alias: str) -> str:
+    """Where an alias leads when the aliases are applied one after another."""
+    found = alias
+    for name, target in V.PROFILE_ALIASES.items():
+        found = target if found == name else found
+    return found if found in {p[0] for p in V.PROFILES} else DEFAULT_PROFILE
+
+
 def profile_code(c) -> Column:
     """Alias-resolved profile id; unknown ids become the general profile."""
-    key = F.lower(trim_ws(F.coalesce(col(c), F.lit(""))))
-    for alias, target in V.PROFILE_ALIASES.items():
-        if alias != target:
-            key = F.when(key == alias, F.lit(target)).otherwise(key)
-    return F.when(key.isin([p[0] for p in V.PROFILES]), key).otherwise(F.lit(DEFAULT_PROFILE))
+    names = [*V.PROFILE_ALIASES, *(p[0] for p in V.PROFILES if p[0] not in V.PROFILE_ALIASES)]
+    found = {n: _resolved(n) for n in names}
+
+    def resolved(key: Column) -> Column:
+        out = F
+        for name, target in found.items():
+            if target != DEFAULT_PROFILE:
+                out = out.when(key == name, F.lit(target))
+        return out.otherwise(F.lit(DEFAULT_PROFILE))
+
+    return bind(F.lower(trim_ws(F.coalesce(col(c), F.lit("")))), resolved)
 
 
 def _by_profile(code: Column, field: int) -> Column:
