@@ -40,7 +40,11 @@ def distinct_headers(columns: DataFrame) -> DataFrame:
 
 def generic_line_schema(columns) -> Column:
     """The header holds page, line and text: a plain transcription, not a table."""
-    keys = F.transform(col(columns), norm_key)
+    return generic_line_keys(F.transform(col(columns), norm_key))
+
+
+def generic_line_keys(keys: Column) -> Column:
+    """The same, of a header's normalised names."""
     return F.size(F.array_intersect(keys, F.array(*[F.lit(x) for x in ("pagina", "linea", "texto")]))) == 3
 
 
@@ -118,23 +122,33 @@ def renumber_rows(rows: DataFrame, rows_per_block: int = 65536) -> DataFrame:
     return number_rows(cut, ["doc_id"], "_b", ["row_idx"], "row_number").drop("_b")
 
 
-def project_cells(expected: Column, columns: Column, cells: Column) -> Column:
-    """Re-key a row to the expected columns: exact normalised name, else a name containing it."""
+def header_sources(expected: Column, columns: Column, keys: Column | None = None, wanted: Column | None = None) -> Column:
+    """For each expected column the name of the header that it is read from: exact normalised name, else a name containing it.
 
-    def values(names: Column, keys: Column, row: Column) -> Column:
-        def one(e: Column) -> Column:
-            def at(k: Column) -> Column:
-                loose = F.coalesce(F.array_min(F.transform(keys, lambda x, i: F.when(x.contains(k), i + 1))), F.lit(0))
-                exact = F.array_position(keys, k).cast("int")
-                return F.coalesce(F.get(names, F.when(exact > 0, exact).otherwise(loose) - 1), e)
+    ``keys`` and ``wanted``: the normalised names of the header and of the expected columns, where they are known.
+    """
 
-            return clean_value(row[bind(norm_key(e), at)])
+    def of(names: Column, keys: Column, wanted: Column) -> Column:
+        def one(k: Column, i: Column) -> Column:
+            loose = F.coalesce(F.array_min(F.transform(keys, lambda x, j: F.when(x.contains(k), j + 1))), F.lit(0))
+            exact = F.array_position(keys, k).cast("int")
+            return F.coalesce(F.get(names, F.when(exact > 0, exact).otherwise(loose) - 1), F.get(expected, i))
 
-        return F.transform(expected, one)
+        return F.transform(wanted, one)
 
     # Bound inputs: the optimizer may copy their definitions into the lambdas otherwise.
-    return F.map_from_arrays(expected, bind(columns, lambda names: bind(
-        F.transform(names, norm_key), lambda keys: bind(cells, lambda row: values(names, keys, row)))))
+    return bind(columns, lambda names: bind(F.transform(names, norm_key) if keys is None else keys, lambda keys: bind(
+        F.transform(expected, norm_key) if wanted is None else wanted, lambda wanted: of(names, keys, wanted))))
+
+
+def source_values(sources: Column, cells: Column) -> Column:
+    """The clean cells of a row under these names, as a list."""
+    return bind(cells, lambda row: F.transform(sources, lambda s: clean_value(row[s])))
+
+
+def project_cells(expected: Column, columns: Column, cells: Column) -> Column:
+    """Re-key a row to the expected columns."""
+    return F.map_from_arrays(expected, bind(header_sources(expected, columns), lambda sources: source_values(sources, cells)))
 
 
 def project_to_profile(rows: DataFrame, expected: list[str]) -> DataFrame:
@@ -162,12 +176,11 @@ def header_repeat(cells, expected: list[str]) -> Column:
 
 def _own_names(values: Column, keys: Column) -> Column:
     """How many cells equal the key of their own column."""
-    return F.size(F.filter(F.transform(values, lambda v, i: norm_key(v) == F.get(keys, i)), lambda same: same))
+    return F.size(F.filter(F.transform(values, lambda v, i: F.when(v != "", norm_key(v) == F.get(keys, i))), lambda same: same))
 
 
-def movement_row(cells) -> Column:
-    """The row holds movement data and is neither watermark, garbage nor header."""
-    expected = F.array(*[F.lit(c) for c in V.MOVEMENT_COLUMNS])
+def movement_values(values) -> Column:
+    """The clean values of the movement columns, in their order, hold movement data and are neither watermark, garbage nor header."""
     keys = F.array(*[F.lit(py_key(c)) for c in V.MOVEMENT_COLUMNS])
 
     def keep(values: Column) -> Column:
@@ -178,11 +191,16 @@ def movement_row(cells) -> Column:
             & bind(F.array_join(values, " "), sound)
         )
 
-    # One reference to ``cells``: a pushed-down filter would otherwise copy its definition.
-    values = bind(cells, lambda row: F.transform(expected, lambda c: clean_value(row[c])))
     return bind(values, keep)
 
 
+def movement_row(cells) -> Column:
+    """The row holds movement data and is neither watermark, garbage nor header."""
+    expected = F.array(*[F.lit(c) for c in V.MOVEMENT_COLUMNS])
+    # One reference to ``cells``: a pushed-down filter would otherwise copy its definition.
+    return movement_values(bind(cells, lambda row: F.transform(expected, lambda c: clean_value(row[c]))))
+
+
 def filter_movement_rows(rows: DataFrame) -> DataFrame:
     """A costly test, so it stays where the rows are instead of being pushed to the scan."""
     return rows.select(F.inline(F.when(movement_row("cells"), F.array(F.struct(*rows.columns)))))
