@@ -5,18 +5,30 @@ signals come as a table of any length: nothing in the plan grows with it. Each s
 words. A word between two others must be a whole word of the text; the first word of a signal may end a
 longer word, the last may begin one, and a single word may lie inside one. Such partial words are found
 among the distinct words of all texts by an equi-join on three-letter grams. Signals of one word are then
-settled; longer ones are confirmed in the text of the few documents that hold their word.
+settled; longer ones are confirmed in the texts that hold their word.
+
+A document meets its signals in a block of documents of bounded text: the distinct words of the block bring the ids of
+their signals, once for all of its documents. Only texts, words and ids are shuffled, never a row for each signal
+of each word of each document.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_words
+from .storage import stored
 
 #: Letters of a gram.
 GRAM = 3
+#: Characters of normalised text in a block of documents, about.
+BLOCK_CHARS = 1 << 23
+#: Signals that are sent to the words as they are; a longer dictionary is shuffled.
+SENT_KEYS = 1 << 17
 
 
 def _grams(word: Column, width: int) -> Column:
@@ -37,31 +49,104 @@ def _keys(signals: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "key": F.when(n > 2, longest(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))))).when((n == 2) & ~by_first, last).otherwise(first),
         "place": F.when(n > 2, "whole").when(n == 1, "inside").when(by_first, "end").otherwise("start")})
+    # What stands beside the key, two characters of it: a text is searched for the needle only where it has them there.
+    at = F.when(n > 2, F.array_position(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))), F.col("key")) + 1).otherwise(F.lit(1)).cast("int")
+    after = F.array_join(F.slice(words, at + 1, n), " ")
+    rows = rows.withColumn("beside", F.when(F.col("place") == "start", F.concat(F.lit("<"), F.right(first, F.lit(2)))).when(
+        F.col("place") != "inside", F.concat(F.lit(">"), F.left(after, F.lit(2)))))
     return rows.withColumn("gram", F.left("key", F.lit(GRAM)))
 
 
+def _hits(words: DataFrame, keys: DataFrame, sent) -> DataFrame:
+    """``word, settled, doubtful, needles, beside``: the signals that each distinct word holds, or may be a part of.
+
+    Grams that no key has leave the words before they meet the keys; at most 36 + 36^2 + 36^3 are different.
+    """
+    whole = keys.where("place = 'whole'").select(F.col("key").alias("word"), "id", "needle", "beside")
+    partial = keys.where("place <> 'whole'")
+    grams = F.concat(*[_grams(F.col("word"), k) for k in range(1, GRAM + 1)])
+    parts = words.select("word", F.explode(grams).alias("gram")).join(F.broadcast(partial.select("gram").distinct()), "gram", "left_semi")
+    parts = parts.join(sent(partial.select("gram", "key", "place", "id", "needle", "beside")), "gram")
+    lies = F.when(F.col("place") == "inside", F.contains("word", "key")).when(
+        F.col("place") == "end", F.endswith("word", "key")).otherwise(F.startswith("word", "key"))
+    inside = F.col("place") == "inside"
+    found = words.join(sent(whole), "word").select("word", F.lit(None).cast("bigint").alias("settled"), F.struct("id", "needle", "beside").alias("doubt")).unionByName(
+        parts.where(lies).select("word", F.when(inside, F.col("id")).alias("settled"), F.when(~inside, F.struct("id", "needle", "beside")).alias("doubt")))
+    lists = found.groupBy("word").agg(F.collect_list("settled").alias("settled"), F.collect_list("doubt").alias("doubts"))
+    return lists.select("word", "settled", F.col("doubts.id").alias("doubtful"), F.col("doubts.needle").alias("needles"), F.col("doubts.beside").alias("beside"))
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of the lists and their values, one after the other."""
+    lists = lists.combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return bounds, lists.flatten()
+
+
+def _ids_of_block(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """``doc_id, id`` of one block: signals settled by a word, and those whose needle a text holds."""
+    at = {w: i for i, w in enumerate(words["word"].to_pylist())}
+    ends, settled = _flat(words["settled"])
+    settled = settled.to_numpy()
+    limits, doubtful = _flat(words["doubtful"])
+    doubts = list(zip(doubtful.to_pylist(), _flat(words["needles"])[1].to_pylist()))
+    beside = _flat(words["beside"])[1].to_pylist()
+    doubts_of: dict[str, dict[str, list]] = {}
+    for word, i in at.items():
+        for j in range(limits[i], limits[i + 1]):
+            doubts_of.setdefault(word, {}).setdefault(beside[j], []).append(doubts[j])
+    docs: dict[object, set[int]] = {}
+    for doc_id, body in zip(texts["doc_id"].to_pylist(), texts["body"]):
+        body, start = body.as_py(), 0
+        every = body.split(" ")
+        held = docs.setdefault(doc_id, set())
+        rows = [i for i in map(at.get, set(every)) if i is not None]
+        if rows:
+            held.update(np.unique(np.concatenate([settled[ends[i]:ends[i + 1]] for i in rows])).tolist())
+        tried = set()
+        for word in every if doc_id is not None else ():
+            end = start + len(word)
+            found = doubts_of.get(word)
+            if found:
+                after, before = body[end + 1:end + 3], body[max(start - 3, 0):max(start - 1, 0)]
+                for hint in {">" + after, ">" + after[:1], "<" + before, "<" + before[-1:]}:
+                    if hint in found and (word, hint) not in tried:
+                        tried.add((word, hint))
+                        held.update([k for k, needle in found[hint] if k not in held and needle in body])
+            start = end + 1
+    sizes = np.array([len(x) for x in docs.values()], np.int64)
+    return pa.table({
+        "doc_id": pa.array(list(docs), texts.schema.field("doc_id").type).take(pa.array(np.repeat(np.arange(len(docs)), sizes))),
+        "id": pa.array([i for x in docs.values() for i in x], pa.int64())})
+
+
+def _found(docs: DataFrame, signals: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """``doc_id, id`` of every signal held; the stored signals with their ids; and how they are joined."""
+    keys = stored(_keys(signals).withColumn("id", F.monotonically_increasing_id()))
+    sent = F.broadcast if keys.count() <= SENT_KEYS else (lambda df: df)
+    texts = docs.select(F.col(id_col).alias("doc_id"), norm_words(text_col).alias("body")).where(F.col("body") != "")
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(1 + chars // BLOCK_CHARS)))
+    seen = texts.select("block", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).distinct()
+    words = seen.join(_hits(seen.select("word").distinct(), keys, sent), "word").withColumnRenamed("block", "of_block")
+    found = texts.groupBy("block").cogroup(words.groupBy("of_block")).applyInArrow(
+        _ids_of_block, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, id bigint")
+    return found, keys, sent
+
+
 def find_signals(docs: DataFrame, signals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, signal``: every signal of ``signals`` (signal) that each text holds, once.
 
     Null and empty texts hold none; a signal without letters or digits is found nowhere; documents are
     told apart by their id, so rows of one id are one document.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), norm_words(text_col).alias("body")).where(F.col("body") != "")
-    seen = texts.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    keys = _keys(signals)
-    whole = keys.where("place = 'whole'").select(F.col("key").alias("word"), "signal", "needle", F.lit(False).alias("settled"))
-    vocabulary = seen.select("word").distinct()
-    grams = F.concat(*[_grams(F.col("word"), k) for k in range(1, GRAM + 1)])
-    parts = vocabulary.select("word", F.explode(grams).alias("gram")).join(keys.where("place != 'whole'"), "gram")
-    lies = F.when(F.col("place") == "inside", F.contains("word", "key")).when(
-        F.col("place") == "end", F.endswith("word", "key")).otherwise(F.startswith("word", "key"))
-    parts = parts.where(lies).select("word", "signal", "needle", (F.col("place") == "inside").alias("settled"))
-    found = seen.join(whole.unionByName(parts), "word").groupBy("doc_id", "signal", "needle").agg(F.max("settled").alias("settled"))
-    doubtful = found.where("not settled").join(texts, "doc_id").where(F.contains("body", "needle"))
-    return found.where("settled").select("doc_id", "signal").unionByName(doubtful.select("doc_id", "signal").distinct())
+    found, keys, sent = _found(docs, signals, id_col, text_col)
+    return found.join(sent(keys.select("id", "signal")), "id").select("doc_id", "signal")
 
 
 def signal_groups(docs: DataFrame, signals: DataFrame) -> DataFrame:
     """``doc_id, signal_group, matched``: how many signals of each group (signal_group, signal) a document holds."""
-    found = find_signals(docs, signals.select("signal"))
-    return found.join(signals.select("signal_group", "signal").distinct(), "signal").groupBy("doc_id", "signal_group").agg(F.count("*").alias("matched"))
+    found, keys, sent = _found(docs, signals.select("signal"))
+    groups = stored(keys.select("id", "signal").join(signals.select("signal_group", "signal").distinct(), "signal").select("id", "signal_group"))
+    sent = sent if groups.count() <= SENT_KEYS else (lambda df: df)
+    return found.join(sent(groups), "id").groupBy("doc_id", "signal_group").agg(F.count("*").alias("matched"))

@@ -21,3 +21,12 @@ def test_signals_equal_brute_force(spark):
     assert {(r.doc_id, r.signal_group): r.matched for r in got.collect()} == {k: v for k, v in want.items() if v}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_row_for_each_signal_of_each_word(spark):
+    """Documents meet their signals in blocks: texts and words are shuffled, not documents by word and signal."""
+    docs = spark.createDataFrame([(i, "abcab bcabc cabca") for i in range(40)], "doc_id long, text string")
+    found = signals.find_signals(docs, spark.createDataFrame([(x,) for x in ("a", "b", "ab", "bc", "abc", "ab bc")], "signal string"))
+    assert {(r.doc_id, r.signal) for r in found.collect()} == {(i, x) for i in range(40) for x in ("a", "b", "ab", "bc", "abc", "ab bc")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Aggregate [doc_id" in x]
