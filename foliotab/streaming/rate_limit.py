@@ -67,26 +67,32 @@ class FixedWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A key's rows come in several Arrow batches: order all of the micro-batch, not each.
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        us, event_id = pdf["us"].to_numpy(np.int64), pdf["event_id"].to_numpy(np.int64)
+        parts = list(rows)
+        us, event_id = (np.concatenate([p[c].to_numpy(np.int64) for p in parts]) for c in ("us", "event_id"))
+        order = np.lexsort((event_id, us))
+        us, event_id = us[order], event_id[order]
         if not self.in_order:
             yield self._decided(key, us, event_id)
             return
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        if us[0] > watermark_us:
+            # All wait: what waited before is neither read nor written again, its own timer decides it.
+            self.waiting.appendList(list(zip(us.tolist(), event_id.tolist())))
+            self.handle.registerTimer(-(-int(us[0]) // 1000))
+            return
         earlier = self._waiting()
-        yield self._release(key, np.append(earlier[0], us), np.append(earlier[1], event_id), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield self._release(key, np.append(earlier[0], us), np.append(earlier[1], event_id), watermark_us)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Decide the events that the watermark has passed; drop the window once it has passed its end."""
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
         if self.in_order:
             us, event_id = self._waiting()
-            out = self._release(key, us, event_id, watermark_us)
-        else:
-            out = pd.DataFrame(columns=[c.split()[0] for c in _OUTPUT.split(", ")])
+            if len(us):
+                yield self._release(key, us, event_id, watermark_us)
         held = self.window.get()
         if held is not None and held[0] + self.window_us <= watermark_us:
             self.window.clear()
-        yield out
 
     def close(self) -> None:
         pass

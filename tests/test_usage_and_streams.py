@@ -7,6 +7,7 @@ import tempfile
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,22 @@ def test_a_replayed_batch_appends_nothing(spark, sf, tmp_path):
         write(e.unionByName(e), 1)
     back = spark.read.parquet(str(tmp_path / "u"))
     assert back.count() == e.count() == back.select("event_id").distinct().count()
+
+
+def test_waiting_events_are_added_and_not_written_again():
+    """A batch that the watermark has not reached is appended; nothing that waits is read, and nothing is handed out."""
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    window = rate_limit.FixedWindow(5, 1_000_000, True, True)
+    window.handle = window.window = window.waiting = State()
+    rows = [pd.DataFrame({"us": [9_000_000, 7_000_000], "event_id": [2, 1]}), pd.DataFrame({"us": [8_000_000], "event_id": [3]})]
+    assert list(window.handleInputRows(("k",), iter(rows), Times())) == []
+    assert calls == ["appendList", "registerTimer"]
