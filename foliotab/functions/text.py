@@ -253,3 +253,19 @@ def py_search(s: str) -> str:
 def py_punct(s: str) -> str:
     return " ".join("".join(" " if ch in "°º#.,:;()[]{}_-" else ch for ch in py_fold(s)).split()).lower()
 
+
+# --- norm_punct on whole texts inside a Python worker, at a third of its cost
+
+
+_WIDE_TABLE = dict(zip(_FOLD_FROM, _FOLD_TO)) | {chr(c): "" for c in range(0x300, 0x370)} | dict.fromkeys("°º" + _OTHER_SPACES, " ")
+
+
+def text_punct(s: str) -> str:
+    """What ``norm_punct`` makes of a text; only the newest letters of Unicode may keep their case."""
+    for c in () if s.isascii() else set(s) & _WIDE_TABLE.keys():
+        s = s.replace(c, _WIDE_TABLE[c])
+    for c in "#.,:;()[]{}_-\t\n\x0b\f\r":
+        s = s.replace(c, " ")
+    while "  " in s:
+        s = s.replace("  ", " ")
+    return s.strip(" ").lower()

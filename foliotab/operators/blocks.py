@@ -12,6 +12,7 @@ the pages of one shuffled row are parted, so that its pieces come between them i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,12 +37,24 @@ def page_pieces(text: Column, most: int | None = None) -> Column:
     return F.when(F.length(text) > most, bind(found, cut)).otherwise(F.array(text))
 
 
-def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataFrame:
-    """``doc_id, _seat, _subs``: the blocks (number, page of a piece, lines) of each shuffled row; the one text shuffle.
+def text_pieces(text: str, most: int) -> list[str]:
+    """``page_pieces`` of one text inside a Python worker."""
+    if len(text) <= most:
+        return [text]
+    found = re.findall(rf"(?s).{{1,{most}}}[^\r\n]*(?:\r\n?|\n|\Z)", text)
+    return [re.sub(r"(?:\r\n?|\n)\Z", "", x) for x in found[:-1]] + found[-1:]
 
-    ``_seat`` is even for the shorter pages of a stretch and odd for each piece of a long page.
+
+def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column] | None) -> DataFrame:
+    """``_doc, _seat, _subs``: the blocks (number, page of a piece, lines) of each shuffled row; the one text shuffle.
+
+    ``_seat`` is even for the shorter pages of a stretch and odd for each piece of a long page. ``_doc`` wraps the
+    document's id: a struct is never null, so joining blocks with facts of their own adds no null filter to one side,
+    which would keep the two sides from sharing the shuffle and have every page read and cleaned twice.
     """
-    cut = pages.select("doc_id", "page_number", page_pieces(F.col("text")).alias("_texts"))
+    texts = page_pieces(F.col("text")) if lines_of else F.col("pieces")
+    lines_of = lines_of or (lambda piece: piece)
+    cut = pages.select("doc_id", "page_number", texts.alias("_texts"))
     number = F.coalesce(F.col("page_number").cast("bigint"), F.lit(0))
     many = F.size("_texts") > 1
 
@@ -54,9 +67,9 @@ def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataF
     mark = F.transform(F.slice(parts, 1, 1), lambda x: F.struct(
         (F.coalesce(page_block("page_number"), F.lit(-1)) * 2).alias("_seat"), x["block"].alias("block"), F.nullif(x["lines"], x["lines"]).alias("lines")))
     parts = F.filter(parts, lambda x: F.size(x["lines"]) > 0)
-    per_page = cut.select("doc_id", F.when(many, F.col("page_number")).alias("page"), F.inline(F.when(many, F.concat(mark, parts)).otherwise(parts)))
+    per_page = cut.select(F.struct("doc_id").alias("_doc"), F.when(many, F.col("page_number")).alias("page"), F.inline(F.when(many, F.concat(mark, parts)).otherwise(parts)))
     # Placed by finished columns, which later joins by seat can use as they are.
-    rows = per_page.repartition("doc_id", "_seat").groupBy("doc_id", "_seat").agg(
+    rows = per_page.repartition("_doc", "_seat").groupBy("_doc", "_seat").agg(
         F.sort_array(F.collect_list(F.struct("block", "page", "lines"))).alias("_p"))
 
     def stretches(p: Column) -> Column:
@@ -69,13 +82,18 @@ def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataF
     subs = F.transform(F.filter(bind(F.col("_p"), stretches), lambda x: F.size(x) > 0), lambda x: F.struct(
         F.get(x, F.lit(0))["block"].alias("block"), F.when(F.col("_seat") % 2 == 1, F.get(x, F.lit(0))["page"]).alias("page"),
         F.flatten(F.transform(x, lambda y: y["lines"])).alias("lines")))
-    return rows.select("doc_id", "_seat", subs.alias("_subs"))
+    return rows.select("_doc", "_seat", subs.alias("_subs"))
 
 
 def _with_context(own: DataFrame, context: DataFrame, *values: str) -> DataFrame:
-    """Blocks with the values that ``context`` (doc_id, _seat, block, values) has for them; shuffles the context only."""
-    per_row = context.groupBy("doc_id", "_seat").agg(F.collect_list(F.struct("block", *values)).alias("_ctx"))
-    rows = own.join(per_row, ["doc_id", "_seat"], "left").select("doc_id", "_ctx", F.inline("_subs"))
+    """Blocks with the values that ``context`` (_doc, _seat, block, values) has for them; shuffles the context only.
+
+    Pages without a document have no context.
+    """
+    per_row = context.groupBy("_doc", "_seat").agg(F.collect_list(F.struct("block", *values)).alias("_ctx"))
+    doc_id = F.col("_doc.doc_id")
+    rows = own.join(per_row, ["_doc", "_seat"], "left").select(
+        doc_id.alias("doc_id"), F.when(doc_id.isNotNull(), F.col("_ctx")).alias("_ctx"), F.inline("_subs"))
     mine = F.get(F.filter("_ctx", lambda x: x["block"] == F.col("block")), F.lit(0))
     return rows.withColumn("_mine", mine).select("doc_id", "block", "page", F.col("lines").alias("_own"), *[F.col("_mine")[v].alias(v) for v in values])
 
@@ -87,17 +105,17 @@ def numbered_lines(pages: DataFrame, lines_of: Callable[[Column], Column]) -> Da
     """
     own = _own_blocks(pages, lines_of)
     first = Window.unboundedPreceding
-    sizes = own.select("doc_id", "_seat", F.inline("_subs")).select("doc_id", "_seat", "block", "page", F.size("lines").alias("_n"))
+    sizes = own.select("_doc", "_seat", F.inline("_subs")).select("_doc", "_seat", "block", "page", F.size("lines").alias("_n"))
     before = lambda w: F.coalesce(F.sum("_n").over(w.orderBy("block").rowsBetween(first, -1)), F.lit(0))
-    offsets = sizes.select("doc_id", "_seat", "block", before(Window.partitionBy("doc_id")).alias("_offset"),
-                           F.when(F.col("page").isNotNull(), before(Window.partitionBy("doc_id", "page"))).otherwise(0).alias("before_piece"))
+    offsets = sizes.select("_doc", "_seat", "block", before(Window.partitionBy("_doc")).alias("_offset"),
+                           F.when(F.col("page").isNotNull(), before(Window.partitionBy("_doc", "page"))).otherwise(0).alias("before_piece"))
     placed = _with_context(own, offsets, "_offset", "before_piece").select("doc_id", "block", "_offset", "before_piece", F.posexplode("_own").alias("_p", "line"))
     return placed.select("doc_id", "block", (F.col("_offset") + F.col("_p")).alias("pos"), "before_piece", "line")
 
 
 def line_blocks(
     pages: DataFrame,
-    lines_of: Callable[[Column], Column],
+    lines_of: Callable[[Column], Column] | None,
     margin: int = 8,
     carry: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
@@ -105,23 +123,24 @@ def line_blocks(
 
     ``lines`` are the block's lines with the margins; positions ``first..last`` (1-based)
     are the block's own.  ``lines_of`` maps a text to an array of line structs or strings, line by line,
-    and runs where the page is read, before any shuffle.
+    and runs where the page is read, before any shuffle; without it, ``pages`` hold the lines of each of their
+    ``page_pieces`` as ``pieces`` instead of ``text``.
     """
     carry = carry or {}
     own = _own_blocks(pages, lines_of)
 
     # Both uses of ``own`` share one exchange: pages are read and cleaned once.
     lines = F.col("lines")
-    edges = own.select("doc_id", "_seat", F.inline("_subs")).select(
-        "doc_id", "_seat", "block", F.slice(lines, 1, margin).alias("head"), _last(lines, margin).alias("tail"),
+    edges = own.select("_doc", "_seat", F.inline("_subs")).select(
+        "_doc", "_seat", "block", F.slice(lines, 1, margin).alias("head"), _last(lines, margin).alias("tail"),
         *[f(lines).alias(n) for n, f in carry.items()],
     )
-    doc = Window.partitionBy("doc_id").orderBy("block")
+    doc = Window.partitionBy("_doc").orderBy("block")
     before = F.flatten(F.collect_list("tail").over(doc.rowsBetween(-margin, -1)))
     after = F.flatten(F.collect_list("head").over(doc.rowsBetween(1, margin)))
     earlier = doc.rowsBetween(Window.unboundedPreceding, -1)
     context = edges.select(
-        "doc_id", "_seat", "block", _last(before, margin).alias("_prev"), F.slice(after, 1, margin).alias("_next"),
+        "_doc", "_seat", "block", _last(before, margin).alias("_prev"), F.slice(after, 1, margin).alias("_next"),
         *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in carry],
     ).where((F.size("_prev") > 0) | (F.size("_next") > 0))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import bind, norm_punct, page_lines, py_punct, trim_ws
+from ..functions.text import bind, norm_punct, page_lines, py_punct, text_punct, trim_ws
 from ..functions.values import extract_date, extract_reference
-from .blocks import line_blocks, numbered_lines
+from . import blocks
+from .blocks import line_blocks, numbered_lines, text_pieces
 from .ordered import carry_last, first_rows
-from .storage import materialize
+from .storage import stored
 
 
 def _positions(pages: DataFrame) -> DataFrame:
@@ -21,35 +23,71 @@ def _positions(pages: DataFrame) -> DataFrame:
     return found.withColumn("line_no", (F.col("line_no") + F.col("before_piece")).cast("int")).drop("before_piece")
 
 
-def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
-    """Distinct markers per document in the normalised text, also across page ends.
+def _page_facts(sets: list[list[str]], width: int):
+    """Column function: each piece of a page's text to its hits and both ends of its normalised text, a blank one to nothing.
+
+    Whole texts are searched here, for all sets at once, so that each page is normalised once. Hits are places
+    among the markers of all sets, one after the other.
+    """
+    needles = [m for markers in sets for m in markers]
+    most = blocks.PIECE_CHARS
+
+    def facts(texts: pa.Array) -> pa.Array:
+        hits, starts, heads, ends, kept, pages = [], [0], [], [], [0], [0]
+        for page in texts:
+            for piece in text_pieces(page.as_py() or "", most):
+                text = text_punct(piece)
+                if text:
+                    hits += [i for i, m in enumerate(needles) if m in text]
+                    starts.append(len(hits))
+                    heads.append(text[:width])
+                    ends.append(text[-width:])
+                kept.append(len(heads))
+            pages.append(len(kept) - 1)
+        columns = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(hits, pa.int32())), pa.array(heads, pa.string()), pa.array(ends, pa.string())]
+        lines = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.StructArray.from_arrays(columns, ["hits", "h", "e"]))
+        return pa.ListArray.from_arrays(pa.array(pages, pa.int32()), lines)
+
+    return F.arrow_udf(facts, "array<array<struct<hits:array<int>,h:string,e:string>>>")
+
+
+def marker_counts(pages: DataFrame, **sets: list[str]) -> DataFrame:
+    """``doc_id`` and a column per set: distinct markers of the set in the normalised text, also across page ends.
 
     A page is reduced to its hits and its two ends where it is read; a marker cut by page
     ends is found in the ends of as many consecutive non-blank pages as it has words.
+    Documents without any marker are left out.
     """
-    width = max(len(m) for m in markers)
-    margin = max(1, *(m.count(" ") for m in markers))  # pages before the last word of the longest marker
-
-    def found(t: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(t.contains(m), F.lit(m)) for m in markers]))
+    lists = [list(dict.fromkeys(markers)) for markers in sets.values()]
+    widths = [max(map(len, markers)) for markers in lists]
+    margins = [max(1, *(m.count(" ") for m in markers)) for markers in lists]  # pages before the last word of the longest marker
+    firsts = [sum(map(len, lists[:i])) for i in range(len(lists))]
+    facts = _page_facts(lists, max(widths))("text")
+    marked = line_blocks(pages.select("doc_id", "page_number", facts.alias("pieces")), None, margin=max(margins))
+    lines, first, last = F.col("lines"), F.col("first"), F.col("last")
 
-    def facts(t: Column) -> Column:
-        ends = [F.left(t, F.lit(width)).alias("h"), F.right(t, F.lit(width)).alias("e")]
-        return F.when(t != "", F.struct(found(t).alias("hits"), *ends))
+    def seams(markers: list[str], width: int, margin: int, at: int) -> Column:
+        def found(t: Column) -> Column:
+            return F.array_compact(F.array(*[F.when(t.contains(m), F.lit(at + k)) for k, m in enumerate(markers)]))
 
-    page = lambda text: F.array_compact(F.array(bind(norm_punct(text), facts)))
-    blocks = line_blocks(pages, page, margin=margin)
-    lines, first, last = F.col("lines"), F.col("first"), F.col("last")
+        def seam(i: Column) -> Column:
+            lo = F.greatest(i - margin, F.lit(1))
+            before = F.transform(F.slice(lines, lo, i - lo), lambda x: F.right(x["e"], F.lit(width)))
+            return bind(F.concat_ws(" ", before, F.left(F.get(lines, i - 1)["h"], F.lit(width))), found)
 
-    def seam(i: Column) -> Column:
-        lo = F.greatest(i - margin, F.lit(1))
-        before = F.transform(F.slice(lines, lo, i - lo), lambda x: x["e"])
-        return bind(F.concat_ws(" ", before, F.get(lines, i - 1)["h"]), found)
+        # A line with none before it has no seam.
+        return F.flatten(F.transform(F.filter(F.sequence(first, last), lambda i: i > 1), seam))
 
     hits = F.flatten(F.transform(F.slice(lines, first, last - first + 1), lambda x: x["hits"]))
-    seams = F.flatten(F.transform(F.sequence(first, last), seam))
-    each = blocks.select("doc_id", F.explode(F.array_distinct(F.concat(hits, seams))).alias("marker"))
-    return each.groupBy("doc_id").agg(F.size(F.collect_set("marker")).alias("markers"))
+    found = F.array_distinct(F.concat(hits, *map(seams, lists, widths, margins, firsts)))
+    each = marked.select("doc_id", F.explode(found).alias("marker")).groupBy("doc_id").agg(F.collect_set("marker").alias("_found"))
+    of = lambda at, n: F.size(F.filter("_found", lambda i: (i >= at) & (i < at + n)))
+    return each.select("doc_id", *[of(at, len(markers)).alias(name) for name, markers, at in zip(sets, lists, firsts)])
+
+
+def document_markers(pages: DataFrame, markers: list[str]) -> DataFrame:
+    """Distinct markers per document in the normalised text, also across page ends."""
+    return marker_counts(pages, markers=markers)
 
 
 # --- annex -----------------------------------------------------------------
@@ -75,13 +113,17 @@ def join_wrapped_lines(pages: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.col("pos_head").alias("pos"), "line")
 
 
-def extract_annex_rows(pages: DataFrame) -> DataFrame:
-    """Rows of a known annex table: at least five markers and three parsed rows."""
-    docs = materialize(document_markers(pages, V.ANNEX_MARKERS).where(F.col("markers") >= 5).select("doc_id"))
+def extract_annex_rows(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Rows of a known annex table: at least five markers and three parsed rows.
+
+    ``counts`` (doc_id, annex) are the markers of the documents where they are known already.
+    """
+    counts = counts or stored(marker_counts(pages, annex=V.ANNEX_MARKERS).where(F.col("annex") >= 5))
+    docs = counts.where(F.col("annex") >= 5).select("doc_id")
     lines = join_wrapped_lines(pages.join(docs, "doc_id", "left_semi"))
     hit = lines.where(F.col("line").rlike(V.ANNEX_ROW))
     group = lambda i: trim_ws(F.regexp_extract("line", V.ANNEX_ROW, i))
-    rows = materialize(hit.select(
+    rows = stored(hit.select(
         "doc_id", "pos", *[group(i + 1).alias(c) for i, c in enumerate(V.ANNEX_COLUMNS)]
     ))
     enough = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= 3)
@@ -175,16 +217,20 @@ def section_rows(pages: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", *[x.alias(c) for x, c in zip(values, V.SECTION_COLUMNS)])
 
 
-def extract_sections(pages: DataFrame) -> DataFrame:
+_SECTION_NEEDLES = [py_punct(m) for m in V.SECTION_MARKERS]
+
+
+def extract_sections(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Section rows of documents with four or more markers and ten or more distinct rows.
 
-    The current section carries across lines and pages.
+    The current section carries across lines and pages. ``counts`` (doc_id, sections) are the markers of the
+    documents where they are known already.
     """
-    markers = [py_punct(m) for m in V.SECTION_MARKERS]
-    docs = materialize(document_markers(pages, markers).where(F.col("markers") >= 4).select("doc_id"))
+    counts = counts or stored(marker_counts(pages, sections=_SECTION_NEEDLES).where(F.col("sections") >= 4))
+    docs = counts.where(F.col("sections") >= 4).select("doc_id")
     rows = section_rows(pages.join(docs, "doc_id", "left_semi"))
     rows = first_rows(rows, ["doc_id", *V.SECTION_COLUMNS], ["pos"])
-    rows = materialize(rows.where((F.col("Detalle") != "") | (F.col("Valor") != "")))
+    rows = stored(rows.where((F.col("Detalle") != "") | (F.col("Valor") != "")))
     enough = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= 10)
     return rows.join(enough.select("doc_id"), "doc_id", "left_semi")
 
@@ -199,13 +245,17 @@ def _as_cells(columns: list[str]) -> Column:
 def local_fallback(pages: DataFrame) -> DataFrame:
     """Rows from the first method that yields any: annex, then sections, then plain lines.
 
-    ``doc_id, source, result_quality, pos, cells``.  Each later method only sees the documents
-    the earlier ones left, and parsed rows are stored, so no text is parsed twice.
+    ``doc_id, source, result_quality, pos, cells``.  The markers of both methods are counted in one pass; each later
+    method only sees the documents the earlier ones left, and parsed rows are stored, so no text is parsed twice.
+    Ids of documents are stored as well: a join with few of them leaves the texts where they are.
     """
-    annex = extract_annex_rows(pages)
-    left = pages.join(annex.select("doc_id").distinct(), "doc_id", "left_anti")
-    sections = extract_sections(left)
-    plain = left.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
+    ids = lambda df: stored(df.select("doc_id").distinct())
+    counts = stored(marker_counts(pages, annex=V.ANNEX_MARKERS, sections=_SECTION_NEEDLES).where(
+        (F.col("annex") >= 5) | (F.col("sections") >= 4)))
+    annex = extract_annex_rows(pages, counts)
+    left = pages.join(ids(annex), "doc_id", "left_anti")
+    sections = extract_sections(left, counts)
+    plain = left.join(ids(sections), "doc_id", "left_anti")
     numbered = _positions(plain)
     lines = numbered.select("doc_id", "pos", F.create_map(
         F.lit("Página"), F.col("page_number").cast("string"), F.lit("Línea"), F.col("line_no").cast("string"),
