@@ -79,7 +79,9 @@ def _own_blocks(pages: DataFrame, lines_of: Callable[[Column], Column] | None) -
             p, F.get(b, k - 1) + 1, F.get(b, k) - F.get(b, k - 1) - 1))
         return bind(bounds(marks), between)
 
-    subs = F.transform(F.filter(bind(F.col("_p"), stretches), lambda x: F.size(x) > 0), lambda x: F.struct(
+    # Most rows hold no mark and are one stretch.
+    all_stretches = F.when(F.exists("_p", lambda x: x["lines"].isNull()), bind(F.col("_p"), stretches)).otherwise(F.array("_p"))
+    subs = F.transform(F.filter(all_stretches, lambda x: F.size(x) > 0), lambda x: F.struct(
         F.get(x, F.lit(0))["block"].alias("block"), F.when(F.col("_seat") % 2 == 1, F.get(x, F.lit(0))["page"]).alias("page"),
         F.flatten(F.transform(x, lambda y: y["lines"])).alias("lines")))
     return rows.select("_doc", "_seat", subs.alias("_subs"))
@@ -98,10 +100,10 @@ def _with_context(own: DataFrame, context: DataFrame, *values: str) -> DataFrame
     return rows.withColumn("_mine", mine).select("doc_id", "block", "page", F.col("lines").alias("_own"), *[F.col("_mine")[v].alias(v) for v in values])
 
 
-def numbered_lines(pages: DataFrame, lines_of: Callable[[Column], Column]) -> DataFrame:
+def numbered_lines(pages: DataFrame, lines_of: Callable[[Column], Column] | None) -> DataFrame:
     """``doc_id, block, pos, before_piece, line``: every line with its 0-based place in the document.
 
-    ``before_piece`` counts the lines of a long page before the piece that holds the line; 0 elsewhere.
+    ``lines_of`` and ``pages`` are those of ``line_blocks``; ``before_piece`` counts the lines of a long page before the piece that holds the line; 0 elsewhere.
     """
     own = _own_blocks(pages, lines_of)
     first = Window.unboundedPreceding

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import bind, norm_punct, page_lines, py_punct, text_punct, trim_ws
+from ..functions.text import bind, norm_punct, py_punct, text_lines, text_punct, trim_ws
 from ..functions.values import extract_date, extract_reference
 from . import blocks
 from .blocks import line_blocks, numbered_lines, text_pieces
@@ -17,9 +17,15 @@ from .storage import stored
 
 def _positions(pages: DataFrame) -> DataFrame:
     """``doc_id, block, page_number, pos, line_no, line`` with a dense position per document."""
-    lines = lambda text: F.transform(page_lines(text), lambda x, i: F.struct(
-        F.col("page_number").alias("page_number"), (i + 1).alias("line_no"), x.alias("line")))
-    found = numbered_lines(pages, lines).select("doc_id", "block", "pos", "before_piece", "line.*")
+    most = blocks.PIECE_CHARS
+
+    def cut(texts: pa.Array) -> pa.Array:
+        pieces = [[text_lines(x) for x in text_pieces(page.as_py() or "", most)] for page in texts]
+        return pa.array(pieces, pa.list_(pa.list_(pa.string())))
+
+    pieces = F.transform(F.arrow_udf(cut, "array<array<string>>")("text"), lambda piece: F.transform(piece, lambda x, i: F.struct(
+        F.col("page_number").alias("page_number"), (i + 1).alias("line_no"), x.alias("line"))))
+    found = numbered_lines(pages.select("doc_id", "page_number", pieces.alias("pieces")), None).select("doc_id", "block", "pos", "before_piece", "line.*")
     return found.withColumn("line_no", (F.col("line_no") + F.col("before_piece")).cast("int")).drop("before_piece")
 
 

@@ -67,3 +67,10 @@ def test_each_document_takes_its_first_method(spark):
     got = {(r[0], r[1]): r[2] for r in sections.local_fallback(df).groupBy("doc_id", "source").count().collect()}
     assert got == {(1, "annex_table"): 4, (2, "sections"): 13, (3, "text_lines"): 3, (4, "text_lines"): 3, (None, "text_lines"): 5, (5, "annex_table"): 4}
     assert {r["cells"]["Texto"] for r in sections.local_fallback(df).where("doc_id = 4").collect()} == {"hola", "que tal", "fin"}
+
+
+def test_texts_are_split_alike_in_python(spark):
+    rng = random.Random(6)
+    rows = [("".join(rng.choice(" \t\f\x0b\r\r\n\nab.é\x1c\x85\xa0　﻿") for _ in range(rng.randrange(16))),) for _ in range(5000)]
+    got = spark.createDataFrame(rows, "t string").select("t", T.page_lines("t").alias("n")).collect()
+    assert [r for r in got if T.text_lines(r.t) != r.n] == []
