@@ -1,137 +1,319 @@
-"""Signals of a dictionary table found in texts, by an inverted index over words.
+"""Signals of a dictionary table found in texts, by the words of both.
 
 A signal is found where its normalised form is part of the normalised text, as in ``signal_counts``, but the
-signals come as a table of any length: nothing in the plan grows with it. Each signal is looked up by one of its
-words. A word between two others must be a whole word of the text; the first word of a signal may end a
-longer word, the last may begin one, and a single word may lie inside one. Such partial words are found
-among the distinct words of all texts by an equi-join on three-letter grams. Signals of one word are then
-settled; longer ones are confirmed in the texts that hold their word.
-
-A document meets its signals in a block of documents of bounded text: the distinct words of the block bring the ids of
-their signals, once for all of its documents. Only texts, words and ids are shuffled, never a row for each signal
-of each word of each document.
+signals come as a table of any length: nothing in the plan grows with it. A word between two others must be a whole
+word of the text; the first word of a signal may end a longer word, the last may begin one, and a single word may lie
+inside one. What the distinct words of some texts hold is looked up once, by exact numbers of up to twelve letters;
+signals of several words are then followed from word to word.
+
+A document meets the signals in a block of documents of bounded text, the signals come in packed parts of bounded
+length. Only texts and packed parts are shuffled, never a row for each signal of a word or of a document, and blocks
+grow with the parts, so that parts stay a fraction of the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_words
 from .storage import stored
 
-#: Letters of a gram.
-GRAM = 3
-#: Characters of normalised text in a block of documents, about.
-BLOCK_CHARS = 1 << 23
-#: Signals that are sent to the words as they are; a longer dictionary is shuffled.
-SENT_KEYS = 1 << 17
-
-
-def _grams(word: Column, width: int) -> Column:
-    """Distinct stretches of ``width`` letters; none for a shorter word."""
-    places = F.sequence(F.lit(1), F.length(word) - width + 1)
-    return F.when(F.length(word) >= width, F.array_distinct(F.transform(places, lambda i: F.substring(word, i, F.lit(width))))).otherwise(
-        F.array().cast("array<string>"))
-
-
-def _keys(signals: DataFrame) -> DataFrame:
-    """signal, needle, the word it is looked up by, how the word may lie in a word of the text, and its first gram."""
-    rows = signals.select("signal", norm_words("signal").alias("needle")).distinct().where(F.col("needle") != "")
-    words = F.split("needle", " ")
-    n = F.size(words)
-    longest = lambda values: F.array_max(F.transform(values, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
-    by_first = F.length(first) >= F.length(last)
-    rows = rows.withColumns({
-        "key": F.when(n > 2, longest(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))))).when((n == 2) & ~by_first, last).otherwise(first),
-        "place": F.when(n > 2, "whole").when(n == 1, "inside").when(by_first, "end").otherwise("start")})
-    # What stands beside the key, two characters of it: a text is searched for the needle only where it has them there.
-    at = F.when(n > 2, F.array_position(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))), F.col("key")) + 1).otherwise(F.lit(1)).cast("int")
-    after = F.array_join(F.slice(words, at + 1, n), " ")
-    rows = rows.withColumn("beside", F.when(F.col("place") == "start", F.concat(F.lit("<"), F.right(first, F.lit(2)))).when(
-        F.col("place") != "inside", F.concat(F.lit(">"), F.left(after, F.lit(2)))))
-    return rows.withColumn("gram", F.left("key", F.lit(GRAM)))
-
-
-def _hits(words: DataFrame, keys: DataFrame, sent) -> DataFrame:
-    """``word, settled, doubtful, needles, beside``: the signals that each distinct word holds, or may be a part of.
-
-    Grams that no key has leave the words before they meet the keys; at most 36 + 36^2 + 36^3 are different.
-    """
-    whole = keys.where("place = 'whole'").select(F.col("key").alias("word"), "id", "needle", "beside")
-    partial = keys.where("place <> 'whole'")
-    grams = F.concat(*[_grams(F.col("word"), k) for k in range(1, GRAM + 1)])
-    parts = words.select("word", F.explode(grams).alias("gram")).join(F.broadcast(partial.select("gram").distinct()), "gram", "left_semi")
-    parts = parts.join(sent(partial.select("gram", "key", "place", "id", "needle", "beside")), "gram")
-    lies = F.when(F.col("place") == "inside", F.contains("word", "key")).when(
-        F.col("place") == "end", F.endswith("word", "key")).otherwise(F.startswith("word", "key"))
-    inside = F.col("place") == "inside"
-    found = words.join(sent(whole), "word").select("word", F.lit(None).cast("bigint").alias("settled"), F.struct("id", "needle", "beside").alias("doubt")).unionByName(
-        parts.where(lies).select("word", F.when(inside, F.col("id")).alias("settled"), F.when(~inside, F.struct("id", "needle", "beside")).alias("doubt")))
-    lists = found.groupBy("word").agg(F.collect_list("settled").alias("settled"), F.collect_list("doubt").alias("doubts"))
-    return lists.select("word", "settled", F.col("doubts.id").alias("doubtful"), F.col("doubts.needle").alias("needles"), F.col("doubts.beside").alias("beside"))
-
-
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """Bounds of the lists and their values, one after the other."""
-    lists = lists.combine_chunks()
-    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    return bounds, lists.flatten()
-
-
-def _ids_of_block(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """``doc_id, id`` of one block: signals settled by a word, and those whose needle a text holds."""
-    at = {w: i for i, w in enumerate(words["word"].to_pylist())}
-    ends, settled = _flat(words["settled"])
-    settled = settled.to_numpy()
-    limits, doubtful = _flat(words["doubtful"])
-    doubts = list(zip(doubtful.to_pylist(), _flat(words["needles"])[1].to_pylist()))
-    beside = _flat(words["beside"])[1].to_pylist()
-    doubts_of: dict[str, dict[str, list]] = {}
-    for word, i in at.items():
-        for j in range(limits[i], limits[i + 1]):
-            doubts_of.setdefault(word, {}).setdefault(beside[j], []).append(doubts[j])
-    docs: dict[object, set[int]] = {}
-    for doc_id, body in zip(texts["doc_id"].to_pylist(), texts["body"]):
-        body, start = body.as_py(), 0
-        every = body.split(" ")
-        held = docs.setdefault(doc_id, set())
-        rows = [i for i in map(at.get, set(every)) if i is not None]
-        if rows:
-            held.update(np.unique(np.concatenate([settled[ends[i]:ends[i + 1]] for i in rows])).tolist())
-        tried = set()
-        for word in every if doc_id is not None else ():
-            end = start + len(word)
-            found = doubts_of.get(word)
-            if found:
-                after, before = body[end + 1:end + 3], body[max(start - 3, 0):max(start - 1, 0)]
-                for hint in {">" + after, ">" + after[:1], "<" + before, "<" + before[-1:]}:
-                    if hint in found and (word, hint) not in tried:
-                        tried.add((word, hint))
-                        held.update([k for k, needle in found[hint] if k not in held and needle in body])
-            start = end + 1
-    sizes = np.array([len(x) for x in docs.values()], np.int64)
-    return pa.table({
-        "doc_id": pa.array(list(docs), texts.schema.field("doc_id").type).take(pa.array(np.repeat(np.arange(len(docs)), sizes))),
-        "id": pa.array([i for x in docs.values() for i in x], pa.int64())})
-
-
-def _found(docs: DataFrame, signals: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """``doc_id, id`` of every signal held; the stored signals with their ids; and how they are joined."""
-    keys = stored(_keys(signals).withColumn("id", F.monotonically_increasing_id()))
-    sent = F.broadcast if keys.count() <= SENT_KEYS else (lambda df: df)
-    texts = docs.select(F.col(id_col).alias("doc_id"), norm_words(text_col).alias("body")).where(F.col("body") != "")
+#: Letters and digits that fit a number: 37^12 < 2^63.
+LETTERS = 12
+#: Characters of normalised text in a block of documents, about: at least, and at most.
+BLOCK_CHARS, MOST_CHARS = 1 << 23, 1 << 26
+#: Characters of a block for each byte of the packed signals.
+CHARS_A_BYTE = 8
+#: Signals in a packed part, about.
+PART_SIGNALS = 1 << 19
+#: Characters of text that are searched at a time, about, unless one document has more.
+WINDOW_CHARS = 1 << 21
+#: Pairs of neighbouring words that are followed at a time.
+STEPS = 1 << 17
+#: Places for marks of signals by document.
+MARKS = 1 << 22
+
+_DIGITS = np.zeros(256, np.int64)
+_DIGITS[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.arange(1, 37)
+
+#: Bounds of lists, and their values one after the other.
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+class _Numbers:
+    """Places of distinct numbers, none of them negative, by an open hash table."""
+
+    def __init__(self, numbers: np.ndarray):
+        bits = max(10, (4 * len(numbers)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.held, self.place = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slots, left = self._slots(numbers), np.arange(len(numbers))
+        while len(left):
+            free = self.held[slots[left]] == -1
+            put = left[free]
+            self.held[slots[put]] = numbers[put]
+            won = self.held[slots[put]] == numbers[put]
+            self.place[slots[put[won]]] = put[won]
+            left = np.concatenate([left[~free], put[~won]])
+            slots[left] = (slots[left] + 1) & self.mask
+
+    def _slots(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for one that is not held."""
+        slots = self._slots(numbers)
+        held = self.held[slots]
+        found = np.where(held == numbers, self.place[slots], np.int32(-1))
+        left = np.flatnonzero((held != numbers) & (held != -1))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            held = self.held[slots[left]]
+            same = held == numbers[left]
+            found[left[same]] = self.place[slots[left[same]]]
+            left = left[~same & (held != -1)]
+        return found
+
+
+def _number(word: str) -> int:
+    number = 0
+    for digit in _DIGITS[np.frombuffer(word.encode(), np.uint8)].tolist():
+        number = number * 37 + digit
+    return number
+
+
+def _pairs(found: dict[tuple[int, int], int]) -> tuple[_Numbers, np.ndarray]:
+    return _Numbers(np.fromiter((a << 32 | b for a, b in found), np.int64, len(found))), np.fromiter(found.values(), np.int64, len(found))
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> Lists:
+    """The values of each of n rows."""
+    order = np.sort(rows << 32 | values)
+    return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), order & 0xFFFFFFFF
+
+
+def _spread(lists: Lists, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every value of the lists of the rows, with its place in the rows."""
+    bounds, values = lists
+    n = bounds[rows + 1] - bounds[rows]
+    ends = np.cumsum(n)
+    return np.repeat(np.arange(len(rows)), n), values[np.arange(n.sum()) + np.repeat(bounds[rows] - ends + n, n)]
+
+
+class _Words:
+    """Known words of one kind: those of up to ``LETTERS`` by number, longer ones by the number of their first or last letters."""
+
+    def __init__(self, words: dict[str, int], at_end: bool = False):
+        self.short = {_number(w): i for w, i in words.items() if len(w) <= LETTERS}
+        self.at_end, self.longer = at_end, {}
+        for w, i in words.items():
+            if len(w) > LETTERS:
+                self.longer.setdefault(_number(w[-LETTERS:] if at_end else w[:LETTERS]), []).append((w, i))
+
+
+class _Part:
+    """The signals of one packed part, for the search of windows of text."""
+
+    def __init__(self, packed: bytes):
+        table = pa.ipc.open_stream(packed).read_all()
+        needles = table["needle"].combine_chunks().dictionary_encode()
+        single, first, last, middle, step, end = {}, {}, {}, {}, {}, {}
+        words = [x.split(" ") for x in needles.dictionary.to_pylist()]
+        for x in words:
+            if len(x) > 1:
+                first.setdefault(x[0], len(first))
+        for code, x in enumerate(words):
+            if len(x) == 1:
+                single[x[0]] = code
+                continue
+            node = first[x[0]]
+            for w in x[1:-1]:
+                node = step.setdefault((node, middle.setdefault(w, len(middle))), len(first) + len(step))
+            end[node, last.setdefault(x[-1], len(last))] = code
+        self.n = len(words)
+        self.step, self.end = _pairs(step), _pairs(end)
+        self.middle = pa.array(list(middle), pa.string())
+        self.kinds = [_Words(single), _Words(first, at_end=True), _Words(last)]
+        numbers = list(dict.fromkeys(x for k in self.kinds for x in (*k.short, *k.longer)))
+        self.numbers = _Numbers(np.array(numbers, np.int64))
+        self.codes = [np.fromiter((k.short.get(x, -1) for x in numbers), np.int64, len(numbers)) for k in self.kinds]
+        self.longer = [[k.longer.get(x) for x in numbers] for k in self.kinds]
+        self.is_longer = [np.fromiter((x is not None for x in k), bool, len(numbers)) for k in self.longer]
+        groups = table["signal_group"].combine_chunks().dictionary_encode()
+        codes = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.groups = pa.concat_arrays([groups.dictionary, pa.nulls(1, groups.dictionary.type)])
+        self.groups_of = _lists(needles.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.arange(table.num_rows), self.n)
+        self.group, self.signals = codes, table["signals"].to_numpy()
+        self.marks = np.empty(max(MARKS, self.n), np.int32)
+
+    def held(self, words: pa.Array) -> tuple[Lists, Lists, Lists, np.ndarray]:
+        """What each word holds: signals inside it, first words at its end, last words at its start; and which middle word it is."""
+        n, at = len(words), np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+        digits = _DIGITS[np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]]] if at[-1] > at[0] else np.empty(0, np.int64)
+        bounds = at - at[0]
+        of = np.repeat(np.arange(n), np.diff(bounds))
+        start, number, rows, values = np.arange(len(digits)), np.zeros(len(digits), np.int64), ([], [], []), ([], [], [])
+        for k in range(1, LETTERS + 1):
+            inside = start + k <= bounds[of + 1]
+            start, of = start[inside], of[inside]
+            number = number[inside] * 37 + digits[start + k - 1]
+            found = self.numbers.find(number)
+            hits = np.flatnonzero(found >= 0)
+            found, starts, owner = found[hits], start[hits], of[hits]
+            for kind, lies in enumerate((None, starts + k == bounds[owner + 1], starts == bounds[owner])):
+                codes = self.codes[kind][found]
+                good = codes >= 0 if lies is None else (codes >= 0) & lies
+                rows[kind].append(owner[good])
+                values[kind].append(codes[good])
+                if k == LETTERS:
+                    long = np.flatnonzero(self.is_longer[kind][found] if lies is None else self.is_longer[kind][found] & lies)
+                    for i in long.tolist():
+                        word, place = words[int(owner[i])].as_py(), int(starts[i] - bounds[owner[i]])
+                        for x, code in self.longer[kind][found[i]]:
+                            if word.endswith(x) if kind == 1 else word.startswith(x, place):
+                                rows[kind].append(owner[i:i + 1])
+                                values[kind].append(np.array([code]))
+        middle = pc.fill_null(pc.index_in(words, self.middle), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return *(_lists(np.concatenate(r), np.concatenate(v), n) for r, v in zip(rows, values)), middle
+
+    def once(self, docs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The places of one of each document and signal; documents come in order."""
+        kept, start, width = [np.empty(0, np.int64)], 0, len(self.marks) // self.n
+        while start < len(docs):
+            stop = int(np.searchsorted(docs, docs[start] + width))
+            keys, places = (docs[start:stop] - docs[start]) * self.n + codes[start:stop], np.arange(stop - start, dtype=np.int32)
+            self.marks[keys] = places
+            kept.append(start + np.flatnonzero(self.marks[keys] == places))
+            start = stop
+        return np.concatenate(kept)
+
+    def search(self, words: pa.Array, code: np.ndarray, row: np.ndarray, doc: np.ndarray, told: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Documents and signals of a window: its distinct words, and of each word which it is, its row and its document; told: the documents with an id."""
+        inside, ends, starts, middle = self.held(words)
+        seen = np.unique(doc * len(words) + code)
+        docs, seen = seen // len(words), seen % len(words)
+        done, width = 0, len(self.marks) // self.n
+        while done < len(docs):
+            stop = int(np.searchsorted(docs, docs[done] + width))
+            of, found = _spread(inside, seen[done:stop])
+            of = docs[done:stop][of]
+            kept = self.once(of, found)
+            yield of[kept], found[kept]
+            done = stop
+        if not len(code):
+            return
+        follows = np.append((row[1:] == row[:-1]) & told[doc[1:]], False)
+        size, after = np.diff(ends[0]), (np.diff(starts[0]) > 0) | (middle >= 0)
+        begins = np.flatnonzero(follows[:-1] & (size[code[:-1]] > 0) & after[code[1:]])
+        levels: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        for lo in range(0, len(begins), STEPS):
+            at = begins[lo:lo + STEPS]
+            of, node = _spread(ends, code[at])
+            at, level = at[of], 0
+            while len(at):
+                of, last = _spread(starts, code[at + 1])
+                found = self.end[0].find(node[of] << 32 | last)
+                held = np.flatnonzero(found >= 0)
+                if level == len(levels):
+                    levels.append([])
+                levels[level].append((doc[at[of[held]]], self.end[1][found[held]]))
+                on = np.flatnonzero(follows[at + 1] & (middle[code[at + 1]] >= 0))
+                found = self.step[0].find(node[on] << 32 | middle[code[at[on] + 1]])
+                held = np.flatnonzero(found >= 0)
+                at, node, level = at[on[held]] + 1, self.step[1][found[held]], level + 1
+        for level in levels:
+            docs, found = (np.concatenate(x) for x in zip(*level))
+            kept = self.once(docs, found)
+            yield docs[kept], found[kept]
+
+    def counts(self, docs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, group and how many signals, of documents and needles that come once; documents count from 0."""
+        of, row = _spread(self.groups_of, codes)
+        keys = docs[of] * len(self.groups) + self.group[row]
+        if len(keys) and keys.max() < 4 * len(keys):
+            sums = np.bincount(keys, self.signals[row])
+            keys = np.flatnonzero(sums)
+            sums = sums[keys]
+        else:
+            keys, at = np.unique(keys, return_inverse=True)
+            sums = np.bincount(at, self.signals[row], len(keys))
+        return keys // len(self.groups), keys % len(self.groups), sums.astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _part(packed: bytes) -> _Part:
+    """Blocks that a worker searches one after the other mostly meet the same part."""
+    return _Part(packed)
+
+
+def _windows(chars: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about ``WINDOW_CHARS``; the rows of a document stay together."""
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    upto, done = np.cumsum(chars)[ends - 1], 0
+    while done < len(ends):
+        before = (ends[done - 1], upto[done - 1]) if done else (0, 0)
+        done = max(done + 1, int(np.searchsorted(upto, before[1] + WINDOW_CHARS, "right")))
+        yield int(before[0]), int(ends[done - 1])
+
+
+def _counts_of_block(texts: pa.Table, parts: pa.Table) -> pa.Table:
+    """``doc_id, signal_group, matched`` of one block, each part on its own."""
+    texts = texts.filter(pc.greater(pc.binary_length(texts["body"]), 0))
+    if not texts.num_rows or not parts.num_rows:
+        return pa.table({})
+    ids = texts["doc_id"].combine_chunks().dictionary_encode()
+    known = len(ids.dictionary)
+    doc = ids.indices.fill_null(known).to_numpy(zero_copy_only=False).astype(np.int64)
+    names, told = pa.concat_arrays([ids.dictionary, pa.nulls(1, ids.dictionary.type)]), np.arange(known + 1) < known
+    order, counts = np.argsort(doc, kind="stable"), []
+    doc, chars = doc[order], pc.binary_length(texts["body"]).to_numpy()[order]
+    for packed in parts["packed"]:
+        part = _part(packed.as_py())
+        for start, stop in _windows(chars, doc):
+            lists = pc.split_pattern(texts["body"].take(pa.array(order[start:stop])).combine_chunks(), " ")
+            words = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(start, stop), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            first = doc[start]
+            found = part.search(words.dictionary.cast(pa.string()), words.indices.to_numpy().astype(np.int64), row, doc[row] - first, told[first:])
+            docs, groups, matched = part.counts(*(np.concatenate(x) for x in zip(*found)))
+            counts.append(pa.table({"doc_id": names.take(pa.array(docs + first)), "signal_group": part.groups.take(pa.array(groups)), "matched": matched}))
+    return pa.concat_tables(counts)
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """``packed``: needles in order, with their groups."""
+    rows, sink = rows.select(["needle", "signal_group", "signals"]).sort_by("needle"), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return pa.table({"packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _parts(signals: DataFrame) -> DataFrame:
+    """``packed``: the needles of the signals (signal_group, signal), and how many signals of a group each stands for."""
+    rows = signals.select("signal_group", "signal", norm_words("signal").alias("needle")).distinct().where(F.col("needle") != "")
+    rows = stored(rows.groupBy("needle", "signal_group").agg(F.count("*").alias("signals")))
+    part = F.pmod(F.xxhash64("needle"), F.lit(1 + rows.count() // PART_SIGNALS))
+    return stored(rows.groupBy(part.alias("part")).applyInArrow(_packed, "packed binary"))
+
+
+def _found(docs: DataFrame, signals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, signal_group, matched``: how many signals of each group (signal_group, signal) a document holds, by part."""
+    parts = _parts(signals)
+    size = parts.agg(F.sum(F.length("packed"))).first()[0] or 0
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(1 + chars // BLOCK_CHARS)))
-    seen = texts.select("block", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).distinct()
-    words = seen.join(_hits(seen.select("word").distinct(), keys, sent), "word").withColumnRenamed("block", "of_block")
-    found = texts.groupBy("block").cogroup(words.groupBy("of_block")).applyInArrow(
-        _ids_of_block, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, id bigint")
-    return found, keys, sent
+    blocks = 1 + chars // min(MOST_CHARS, max(BLOCK_CHARS, CHARS_A_BYTE * size))
+    texts = docs.select(F.col(id_col).alias("doc_id"), norm_words(text_col).alias("body"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    met = parts.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("of_block"), "packed")
+    kinds = [df.schema[name].dataType.simpleString() for df, name in ((texts, "doc_id"), (signals, "signal_group"))]
+    return texts.groupBy("block").cogroup(met.groupBy("of_block")).applyInArrow(
+        _counts_of_block, "doc_id {}, signal_group {}, matched bigint".format(*kinds))
 
 
 def find_signals(docs: DataFrame, signals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,13 +322,10 @@ def find_signals(docs: DataFrame, signals: DataFrame, id_col: str = "doc_id", te
     Null and empty texts hold none; a signal without letters or digits is found nowhere; documents are
     told apart by their id, so rows of one id are one document.
     """
-    found, keys, sent = _found(docs, signals, id_col, text_col)
-    return found.join(sent(keys.select("id", "signal")), "id").select("doc_id", "signal")
+    found = _found(docs, signals.select(F.col("signal").alias("signal_group"), "signal"), id_col, text_col)
+    return found.select("doc_id", F.col("signal_group").alias("signal"))
 
 
 def signal_groups(docs: DataFrame, signals: DataFrame) -> DataFrame:
     """``doc_id, signal_group, matched``: how many signals of each group (signal_group, signal) a document holds."""
-    found, keys, sent = _found(docs, signals.select("signal"))
-    groups = stored(keys.select("id", "signal").join(signals.select("signal_group", "signal").distinct(), "signal").select("id", "signal_group"))
-    sent = sent if groups.count() <= SENT_KEYS else (lambda df: df)
-    return found.join(sent(groups), "id").groupBy("doc_id", "signal_group").agg(F.count("*").alias("matched"))
+    return _found(docs, signals).groupBy("doc_id", "signal_group").agg(F.sum("matched").alias("matched"))
