@@ -36,7 +36,9 @@ PART_SIGNALS = 1 << 19
 #: Characters of text that are searched at a time, about, unless one document has more.
 WINDOW_CHARS = 1 << 21
 #: Pairs of neighbouring words that are followed at a time.
-STEPS = 1 << 17
+STEPS = 1 << 15
+#: Signals of the words of documents that are marked at a time, about, unless one document has more.
+HITS = 1 << 17
 #: Places for marks of signals by document.
 MARKS = 1 << 22
 
@@ -47,6 +49,16 @@ _DIGITS[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.a
 Lists = tuple[np.ndarray, np.ndarray]
 
 
+def _stretches(sizes: np.ndarray, doc: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows whose sizes make about ``most`` at most; the rows of a document stay together."""
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    upto, done = np.cumsum(sizes)[ends - 1], 0
+    while done < len(ends):
+        start, before = (int(ends[done - 1]), upto[done - 1]) if done else (0, 0)
+        done = max(done + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield start, int(ends[done - 1])
+
+
 class _Numbers:
     """Places of distinct numbers, none of them negative, by an open hash table."""
 
@@ -82,82 +94,100 @@ class _Numbers:
         return found
 
 
-def _number(word: str) -> int:
-    number = 0
-    for digit in _DIGITS[np.frombuffer(word.encode(), np.uint8)].tolist():
-        number = number * 37 + digit
-    return number
-
-
-def _pairs(found: dict[tuple[int, int], int]) -> tuple[_Numbers, np.ndarray]:
-    return _Numbers(np.fromiter((a << 32 | b for a, b in found), np.int64, len(found))), np.fromiter(found.values(), np.int64, len(found))
-
-
 def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> Lists:
     """The values of each of n rows."""
     order = np.sort(rows << 32 | values)
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), order & 0xFFFFFFFF
 
 
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _spread(lists: Lists, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every value of the lists of the rows, with its place in the rows."""
     bounds, values = lists
     n = bounds[rows + 1] - bounds[rows]
-    ends = np.cumsum(n)
-    return np.repeat(np.arange(len(rows)), n), values[np.arange(n.sum()) + np.repeat(bounds[rows] - ends + n, n)]
+    return np.repeat(np.arange(len(rows)), n), values[_counted(n) + np.repeat(bounds[rows], n)]
 
 
-class _Words:
-    """Known words of one kind: those of up to ``LETTERS`` by number, longer ones by the number of their first or last letters."""
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the words, and the digits of their letters one after the other."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    return bounds - bounds[0], _DIGITS[np.frombuffer(words.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]]
 
-    def __init__(self, words: dict[str, int], at_end: bool = False):
-        self.short = {_number(w): i for w, i in words.items() if len(w) <= LETTERS}
-        self.at_end, self.longer = at_end, {}
-        for w, i in words.items():
-            if len(w) > LETTERS:
-                self.longer.setdefault(_number(w[-LETTERS:] if at_end else w[:LETTERS]), []).append((w, i))
+
+class _Known:
+    """Words of a kind with their codes: by number, and longer ones by the number of their first or last letters."""
+
+    def __init__(self, words: pa.Array, codes: np.ndarray, at_end: bool = False):
+        bounds, digits = _letters(words)
+        size = np.diff(bounds)
+        some = np.minimum(size, LETTERS)
+        at, self.number = bounds[1:] - some if at_end else bounds[:-1], np.zeros(len(words), np.int64)
+        for k in range(LETTERS):
+            more = np.flatnonzero(some > k)
+            self.number[more] = self.number[more] * 37 + digits[at[more] + k]
+        self.words, self.codes, self.short, self.at_end = words, codes, size <= LETTERS, at_end
+
+    def placed(self, numbers: np.ndarray) -> _Known:
+        """Codes by the place of a number, and the longer words there."""
+        places, codes = np.searchsorted(numbers, self.number), np.full(len(numbers), -1)
+        codes[places[self.short]] = self.codes[self.short]
+        self.longer: dict[int, list[tuple[str, int]]] = {}
+        for i in np.flatnonzero(~self.short).tolist():
+            self.longer.setdefault(int(places[i]), []).append((self.words[i].as_py(), int(self.codes[i])))
+        self.codes, self.is_longer = codes, np.zeros(len(numbers), bool)
+        self.is_longer[list(self.longer)] = True
+        return self
 
 
 class _Part:
-    """The signals of one packed part, for the search of windows of text."""
+    """The signals of one packed part, for the search of windows of text.
+
+    First words are nodes, a middle word leads from a node to the next, and a last word from a node to the signal.
+    """
 
     def __init__(self, packed: bytes):
         table = pa.ipc.open_stream(packed).read_all()
-        needles = table["needle"].combine_chunks().dictionary_encode()
-        single, first, last, middle, step, end = {}, {}, {}, {}, {}, {}
-        words = [x.split(" ") for x in needles.dictionary.to_pylist()]
-        for x in words:
-            if len(x) > 1:
-                first.setdefault(x[0], len(first))
-        for code, x in enumerate(words):
-            if len(x) == 1:
-                single[x[0]] = code
-                continue
-            node = first[x[0]]
-            for w in x[1:-1]:
-                node = step.setdefault((node, middle.setdefault(w, len(middle))), len(first) + len(step))
-            end[node, last.setdefault(x[-1], len(last))] = code
-        self.n = len(words)
-        self.step, self.end = _pairs(step), _pairs(end)
-        self.middle = pa.array(list(middle), pa.string())
-        self.kinds = [_Words(single), _Words(first, at_end=True), _Words(last)]
-        numbers = list(dict.fromkeys(x for k in self.kinds for x in (*k.short, *k.longer)))
-        self.numbers = _Numbers(np.array(numbers, np.int64))
-        self.codes = [np.fromiter((k.short.get(x, -1) for x in numbers), np.int64, len(numbers)) for k in self.kinds]
-        self.longer = [[k.longer.get(x) for x in numbers] for k in self.kinds]
-        self.is_longer = [np.fromiter((x is not None for x in k), bool, len(numbers)) for k in self.longer]
+        needles = table["needle"].cast(pa.string()).combine_chunks().dictionary_encode()
+        self.n = len(needles.dictionary)
+        lists = pc.split_pattern(needles.dictionary, " ")
+        begins, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+        begins, size = begins[:-1], np.diff(begins)
+        one, more = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+        single, begins, size = words.take(pa.array(begins[one])), begins[more], size[more]
+        first, last = (words.take(pa.array(x)).dictionary_encode() for x in (begins, begins + size - 1))
+        places = np.repeat(begins + 1, size - 2) + _counted(size - 2)
+        middle = words.take(pa.array(places)).dictionary_encode()
+        middle_at = np.zeros(len(words), np.int64)
+        middle_at[places] = middle.indices.to_numpy()
+        node, nodes, level = first.indices.to_numpy().astype(np.int64), len(first.dictionary), 1
+        steps, left = [np.empty(0, np.int64)], np.flatnonzero(size > 2)
+        while len(left):
+            keys, at = np.unique(node[left] << 32 | middle_at[begins[left] + level], return_inverse=True)
+            node[left], nodes, level = nodes + at, nodes + len(keys), level + 1
+            steps.append(keys)
+            left = left[size[left] > level + 1]
+        steps = np.concatenate(steps)
+        self.step = _Numbers(steps), len(first.dictionary) + np.arange(len(steps))
+        self.end = _Numbers(node << 32 | last.indices.to_numpy()), more
+        self.middle = middle.dictionary
+        kinds = (_Known(single, one), _Known(first.dictionary, np.arange(len(first.dictionary)), at_end=True),
+                 _Known(last.dictionary, np.arange(len(last.dictionary))))
+        numbers = np.unique(np.concatenate([x.number for x in kinds]))
+        self.numbers, self.kinds = _Numbers(numbers), [x.placed(numbers) for x in kinds]
         groups = table["signal_group"].combine_chunks().dictionary_encode()
-        codes = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.group = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
         self.groups = pa.concat_arrays([groups.dictionary, pa.nulls(1, groups.dictionary.type)])
-        self.groups_of = _lists(needles.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.arange(table.num_rows), self.n)
-        self.group, self.signals = codes, table["signals"].to_numpy()
+        self.groups_of = _lists(needles.indices.to_numpy().astype(np.int64), np.arange(table.num_rows), self.n)
+        self.signals = table["signals"].to_numpy()
         self.marks = np.empty(max(MARKS, self.n), np.int32)
 
     def held(self, words: pa.Array) -> tuple[Lists, Lists, Lists, np.ndarray]:
         """What each word holds: signals inside it, first words at its end, last words at its start; and which middle word it is."""
-        n, at = len(words), np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
-        digits = _DIGITS[np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]]] if at[-1] > at[0] else np.empty(0, np.int64)
-        bounds = at - at[0]
+        n, (bounds, digits) = len(words), _letters(words)
         of = np.repeat(np.arange(n), np.diff(bounds))
         start, number, rows, values = np.arange(len(digits)), np.zeros(len(digits), np.int64), ([], [], []), ([], [], [])
         for k in range(1, LETTERS + 1):
@@ -167,19 +197,18 @@ class _Part:
             found = self.numbers.find(number)
             hits = np.flatnonzero(found >= 0)
             found, starts, owner = found[hits], start[hits], of[hits]
-            for kind, lies in enumerate((None, starts + k == bounds[owner + 1], starts == bounds[owner])):
-                codes = self.codes[kind][found]
-                good = codes >= 0 if lies is None else (codes >= 0) & lies
-                rows[kind].append(owner[good])
-                values[kind].append(codes[good])
-                if k == LETTERS:
-                    long = np.flatnonzero(self.is_longer[kind][found] if lies is None else self.is_longer[kind][found] & lies)
-                    for i in long.tolist():
-                        word, place = words[int(owner[i])].as_py(), int(starts[i] - bounds[owner[i]])
-                        for x, code in self.longer[kind][found[i]]:
-                            if word.endswith(x) if kind == 1 else word.startswith(x, place):
-                                rows[kind].append(owner[i:i + 1])
-                                values[kind].append(np.array([code]))
+            every = np.ones(len(hits), bool)
+            for known, lies, r, v in zip(self.kinds, (every, starts + k == bounds[owner + 1], starts == bounds[owner]), rows, values):
+                codes = known.codes[found]
+                good = (codes >= 0) & lies
+                r.append(owner[good])
+                v.append(codes[good])
+                for i in np.flatnonzero(known.is_longer[found] & lies).tolist() if k == LETTERS else ():
+                    word, place = words[int(owner[i])].as_py(), int(starts[i] - bounds[owner[i]])
+                    for x, code in known.longer[int(found[i])]:
+                        if word.endswith(x) if known.at_end else word.startswith(x, place):
+                            r.append(owner[i:i + 1])
+                            v.append(np.array([code]))
         middle = pc.fill_null(pc.index_in(words, self.middle), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         return *(_lists(np.concatenate(r), np.concatenate(v), n) for r, v in zip(rows, values)), middle
 
@@ -199,16 +228,11 @@ class _Part:
         inside, ends, starts, middle = self.held(words)
         seen = np.unique(doc * len(words) + code)
         docs, seen = seen // len(words), seen % len(words)
-        done, width = 0, len(self.marks) // self.n
-        while done < len(docs):
-            stop = int(np.searchsorted(docs, docs[done] + width))
-            of, found = _spread(inside, seen[done:stop])
-            of = docs[done:stop][of]
+        for start, stop in _stretches(np.diff(inside[0])[seen], docs, HITS):
+            of, found = _spread(inside, seen[start:stop])
+            of = docs[start:stop][of]
             kept = self.once(of, found)
             yield of[kept], found[kept]
-            done = stop
-        if not len(code):
-            return
         follows = np.append((row[1:] == row[:-1]) & told[doc[1:]], False)
         size, after = np.diff(ends[0]), (np.diff(starts[0]) > 0) | (middle >= 0)
         begins = np.flatnonzero(follows[:-1] & (size[code[:-1]] > 0) & after[code[1:]])
@@ -253,16 +277,6 @@ def _part(packed: bytes) -> _Part:
     return _Part(packed)
 
 
-def _windows(chars: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of rows of about ``WINDOW_CHARS``; the rows of a document stay together."""
-    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
-    upto, done = np.cumsum(chars)[ends - 1], 0
-    while done < len(ends):
-        before = (ends[done - 1], upto[done - 1]) if done else (0, 0)
-        done = max(done + 1, int(np.searchsorted(upto, before[1] + WINDOW_CHARS, "right")))
-        yield int(before[0]), int(ends[done - 1])
-
-
 def _counts_of_block(texts: pa.Table, parts: pa.Table) -> pa.Table:
     """``doc_id, signal_group, matched`` of one block, each part on its own."""
     texts = texts.filter(pc.greater(pc.binary_length(texts["body"]), 0))
@@ -276,7 +290,7 @@ def _counts_of_block(texts: pa.Table, parts: pa.Table) -> pa.Table:
     doc, chars = doc[order], pc.binary_length(texts["body"]).to_numpy()[order]
     for packed in parts["packed"]:
         part = _part(packed.as_py())
-        for start, stop in _windows(chars, doc):
+        for start, stop in _stretches(chars, doc, WINDOW_CHARS):
             lists = pc.split_pattern(texts["body"].take(pa.array(order[start:stop])).combine_chunks(), " ")
             words = lists.flatten().dictionary_encode()
             row = np.repeat(np.arange(start, stop), pc.list_value_length(lists).to_numpy(zero_copy_only=False))

@@ -116,10 +116,10 @@ def test_windows_do_not_change_a_block(monkeypatch):
     packed = signals._packed(pa.table({
         "needle": [n for n, _ in rows], "signal_group": pa.array([g for _, g in rows], pa.string()), "signals": list(rows.values())}))
     texts = pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "body": [text for _, text in docs]})
-    for window, steps, marks in ((1 << 21, 1 << 17, 1 << 22), (50, 3, 0), (1, 1, 1)):
-        monkeypatch.setattr(signals, "WINDOW_CHARS", window)
-        monkeypatch.setattr(signals, "STEPS", steps)
-        monkeypatch.setattr(signals, "MARKS", marks)
+    names = ("WINDOW_CHARS", "STEPS", "HITS", "MARKS")
+    for sizes in ([getattr(signals, x) for x in names], (50, 3, 9, 0), (1, 1, 1, 1)):
+        for name, size in zip(names, sizes):
+            monkeypatch.setattr(signals, name, size)
         signals._part.cache_clear()
         got = signals._counts_of_block(texts, packed).to_pylist()
         assert len(got) == len({(r["doc_id"], r["signal_group"]) for r in got})
