@@ -33,6 +33,8 @@ BLOCK_CHARS, MOST_CHARS = 1 << 23, 1 << 26
 CHARS_A_BYTE = 8
 #: Signals in a packed part, about.
 PART_SIGNALS = 1 << 19
+#: Needles of a part that are looked at to find its bounds, about. Parts go by the order of needles: few share a first word.
+PART_SAMPLE = 1 << 8
 #: Characters of text that are searched at a time, about, unless one document has more.
 WINDOW_CHARS = 1 << 21
 #: Pairs of neighbouring words that are followed at a time.
@@ -279,15 +281,16 @@ def _part(packed: bytes) -> _Part:
 
 def _counts_of_block(texts: pa.Table, parts: pa.Table) -> pa.Table:
     """``doc_id, signal_group, matched`` of one block, each part on its own."""
-    texts = texts.filter(pc.greater(pc.binary_length(texts["body"]), 0))
-    if not texts.num_rows or not parts.num_rows:
-        return pa.table({})
     ids = texts["doc_id"].combine_chunks().dictionary_encode()
     known = len(ids.dictionary)
     doc = ids.indices.fill_null(known).to_numpy(zero_copy_only=False).astype(np.int64)
     names, told = pa.concat_arrays([ids.dictionary, pa.nulls(1, ids.dictionary.type)]), np.arange(known + 1) < known
+    chars = pc.fill_null(pc.binary_length(texts["body"]), 0).to_numpy()
     order, counts = np.argsort(doc, kind="stable"), []
-    doc, chars = doc[order], pc.binary_length(texts["body"]).to_numpy()[order]
+    order = order[chars[order] > 0]
+    if not len(order) or not parts.num_rows:
+        return pa.table({})
+    doc, chars = doc[order], chars[order]
     for packed in parts["packed"]:
         part = _part(packed.as_py())
         for start, stop in _stretches(chars, doc, WINDOW_CHARS):
@@ -313,7 +316,10 @@ def _parts(signals: DataFrame) -> DataFrame:
     """``packed``: the needles of the signals (signal_group, signal), and how many signals of a group each stands for."""
     rows = signals.select("signal_group", "signal", norm_words("signal").alias("needle")).distinct().where(F.col("needle") != "")
     rows = stored(rows.groupBy("needle", "signal_group").agg(F.count("*").alias("signals")))
-    part = F.pmod(F.xxhash64("needle"), F.lit(1 + rows.count() // PART_SIGNALS))
+    n, part = 1 + rows.count() // PART_SIGNALS, F.lit(0)
+    if n > 1 and (few := sorted(x.needle for x in rows.select("needle").sample(min(1.0, PART_SAMPLE / PART_SIGNALS), seed=0).collect())):
+        bounds = F.array(*(F.lit(few[i * len(few) // n]) for i in range(1, n)))
+        part = F.size(F.filter(bounds, lambda x: x <= F.col("needle")))
     return stored(rows.groupBy(part.alias("part")).applyInArrow(_packed, "packed binary"))
 
 

@@ -89,9 +89,12 @@ def test_odd_ids_groups_and_long_words(spark, monkeypatch):
     docs, found = odd_rows()
     for parts, chars in ((signals.PART_SIGNALS, signals.BLOCK_CHARS), (20, 200)):
         monkeypatch.setattr(signals, "PART_SIGNALS", parts)
+        monkeypatch.setattr(signals, "PART_SAMPLE", parts)
         monkeypatch.setattr(signals, "BLOCK_CHARS", chars)
         monkeypatch.setattr(signals, "CHARS_A_BYTE", 0)
-        given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(found, "signal_group string, signal string")
+        rows = spark.createDataFrame(found, "signal_group string, signal string")
+        assert (signals._parts(rows).count() > 5) == (parts == 20)
+        given = spark.createDataFrame(docs, "doc_id long, text string"), rows
         assert {(r.doc_id, r.signal_group): r.matched for r in signals.signal_groups(*given).collect()} == by_hand(docs, found)
         pairs = signals.find_signals(given[0], given[1].select("signal")).collect()
         assert len(pairs) == len({(r.doc_id, r.signal) for r in pairs})
